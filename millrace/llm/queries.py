@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, mixing, packing
-from .common import held_out, read_table
+from . import embedding_dedup, exact_dedup, language_id, lm_scoring, minhash_dedup, mixing, packing, pii, quality
+from .common import held_out, read_table, written
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,15 +18,44 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", F.to_json("shares").alias("shares"))
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target: documents labelled as of good quality; background: all others."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    good = read_table(spark, sf_dir, "labels").where("quality = 1")
+    return lm_scoring.cross_entropy_difference(lm_scoring.marked(docs, good), F.col("target"))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    feats = written(quality.features(read_table(spark, sf_dir, "documents").select("doc_id", "text")), "statistics")
+    model = quality.train(feats.where(~held_out(F.col("doc_id"))), read_table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id"))))
+    out = quality.apply(feats, model)
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = exact_dedup.exact_dedup(read_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(read_table(spark, sf_dir, "embeddings"))
+
+
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.find_pii(read_table(spark, sf_dir, "documents"))
+    count = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
+    text = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+    return out.select("doc_id", *[count(k) for k in pii.KINDS[:4]], F.sha2(text("base").cast("binary"), 256).alias("base_sha256"), text("spans").alias("spans"))
+
+
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(read_table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic"), F.col("_tokens").cast("long").alias("n_tokens"), F.col("_p").alias("p"), F.col("_drawn").alias("drawn"))
@@ -34,8 +63,13 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
+    "op3_lm_scoring": op3_lm_scoring,
+    "op4_quality": op4_quality,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_embedding_near_dedup": op6_embedding_near_dedup,
+    "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_pii": op9_pii,
     "op10_source_mixing": op10_source_mixing,
 }
 ORACLES: dict[str, str] = {"op5_exact_dedup": exact_dedup.ORACLE}
