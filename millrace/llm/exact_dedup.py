@@ -120,3 +120,20 @@ SELECT doc_id, min(doc_id) OVER (PARTITION BY text_sha256) AS keep_id,
        count(*) OVER (PARTITION BY text_sha256) AS group_size,
        doc_id = min(doc_id) OVER (PARTITION BY text_sha256) AS kept, text_sha256
 FROM t"""
+
+
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns: one of each group of equal texts."""
+    out = written(exact_dedup(docs, id_col, text_col), "decisions")
+    pair = ["doc_id", "text_sha256"]
+    kept = out.where("kept").select(*pair)
+    same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["text_sha256"] == b["text_sha256"])
+    lost = out.where("not kept").select(*pair).distinct()
+    gone = written(lost.join(kept, same(lost, kept), "left_anti"), "gone").select(F.col("doc_id").alias("_gone_id"), F.col("text_sha256").alias("_gone_sha"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("_id"), digest(F.col(text_col)).alias("_sha"))
+    rows = rows.join(gone, rows["_id"].eqNullSafe(F.col("_gone_id")) & (rows["_sha"] == F.col("_gone_sha")), "left_anti")
+    twice = written(out.groupBy(*pair).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("_twice_id"), F.col("text_sha256").alias("_twice_sha")), "twice")
+    if not twice.isEmpty():  # rows repeated with the same id and text: one of each stays
+        match = rows["_id"].eqNullSafe(F.col("_twice_id")) & (rows["_sha"] == F.col("_twice_sha"))
+        rows = rows.join(twice, match, "left_anti").union(rows.join(twice, match, "left_semi").dropDuplicates(["_id", "_sha"]))
+    return rows.select("row.*")
