@@ -1,6 +1,695 @@
-"""Every query of the log engine by name, with the SQL that must give the same rows."""
+"""Every query of the log engine by name, with the SQL that must give the same rows.
+
+Times are returned as seconds since the epoch, so that results do not depend on the session's time zone.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .config import EngineConfig
+from .functions import patterns as P
+from .functions import text as T
+from .functions import timestamps as D
+from .functions import vectors as V
+from .operators import anomaly, budgets, findings, incidents, metrics, retrieval, segments, windows
+from .operators.metrics import RULES, WINDOW
+from .plans.ingest import Ingested, ingest, session_metrics, wide
+from .sources import tables
+from .sources.lines import synth_log_lines
+from .streaming import ingest as streams
+
+CFG = EngineConfig(window_seconds=3600)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(oracle: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def _read(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def _lines(spark: SparkSession, sf: str) -> DataFrame:
+    return synth_log_lines(_read(spark, sf, "events"))
+
+
+def _runs(spark: SparkSession, sf: str) -> DataFrame:
+    return windows.with_runs(_lines(spark, sf), CFG)
+
+
+def _done(spark: SparkSession, sf: str) -> Ingested:
+    return ingest(_lines(spark, sf), CFG)
+
+
+def _sec(c: Column | str) -> Column:
+    return F.unix_seconds(F.col(c) if isinstance(c, str) else c)
+
+
+def flagship(spark: SparkSession, sf: str) -> DataFrame:
+    return windows_flagged(spark, sf).orderBy("bucket", "session_id", "line_start")
+
+
+# --- the SQL twins share these steps -------------------------------------------------------------------------
+def _q(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+LINES = """ev AS (
+  SELECT event_id, CAST(user_id % 4 AS VARCHAR) AS session_id, CAST(user_id AS VARCHAR) AS u, event_type, ts,
+         CAST(json_extract_string(props, '$.k') AS INTEGER) AS k,
+         CAST(CAST(floor(value) AS BIGINT) * CASE WHEN event_id % 97 = 0 THEN 40 ELSE 1 END AS VARCHAR) AS v,
+         strftime(ts, '%Y-%m-%d %H:%M:%S') AS t
+  FROM events),
+lines AS (
+  SELECT event_id, session_id, 'doc-' || session_id AS document_id,
+    CASE event_type
+      WHEN 'view' THEN t || ' INFO GET ' || CASE WHEN k % 10 = 0 THEN '/feature/' || k ELSE '/items/' || u END || ' HTTP/1.1" status=200 took=' || v || 'ms'
+      WHEN 'click' THEN t || ' INFO POST /api/click/' || k || CASE WHEN k % 7 = 0 THEN ' status=503' ELSE ' status=404' END || ' latency: ' || v || 'ms'
+      WHEN 'purchase' THEN t || ' INFO ' || CASE WHEN k % 33 = 0 THEN 'deadlock detected ' ELSE '' END || CASE WHEN k % 20 = 0 THEN 'slow query ' ELSE 'executing query ' END || 'INSERT INTO orders took ' || v || ' ms'
+      WHEN 'signup' THEN t || ' WARN login failed 401 Unauthorized' || CASE WHEN k % 5 = 0 THEN ' token has expired' ELSE '' END
+      ELSE CASE WHEN k % 17 = 0 THEN '' ELSE t || ' ' END || 'ERROR java.lang.' || substr('ABC', k % 3 + 1, 1) || 'Exception: boom' || CASE WHEN k % 25 = 0 THEN ' OutOfMemoryError heap space' ELSE '' END
+    END AS value,
+    row_number() OVER (PARTITION BY session_id ORDER BY event_id) AS line_no
+  FROM ev)"""
+TIMED = f"""{LINES},
+timed AS (SELECT *, TRY_CAST(nullif(regexp_extract(value, {_q(P.ISO)}, 1), '') AS TIMESTAMP) AS lts FROM lines),
+filled AS (
+  SELECT *, coalesce(last_value(lts IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+                     first_value(lts IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS fts
+  FROM timed)"""
+
+
+def _sql_runs(seconds: int = 3600) -> str:
+    return f"""{TIMED},
+bucketed AS (SELECT *, CAST(floor(epoch(fts) / {seconds}) * {seconds} AS BIGINT) AS bucket FROM filled),
+marked AS (SELECT *, CASE WHEN bucket IS DISTINCT FROM lag(bucket) OVER (PARTITION BY session_id ORDER BY line_no) THEN line_no END AS opens FROM bucketed),
+runs AS (SELECT *, max(opens) OVER (PARTITION BY session_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS line_start FROM marked)"""
+
+
+RUNS = _sql_runs()
+_FLAGS = ", ".join(f"regexp_matches(value, {_q(p)}) AS {k}" for k, p in metrics.FLAGS.items())
+
+
+def _grp(pattern: str, group: int = 1) -> str:
+    return f"nullif(regexp_extract(value, {_q(pattern)}, {group}), '')"
+
+
+def _sql_feats(runs: str = RUNS) -> str:
+    return f"""{runs},
+feats AS (
+  SELECT *, {_FLAGS},
+    CASE WHEN regexp_matches(value, {_q(P.METHOD_PATH)}) THEN regexp_extract(value, {_q(P.METHOD_PATH)}, 2) END AS path,
+    TRY_CAST(coalesce({_grp(P.STATUS_LABELLED)}, {_grp(P.STATUS_HTTP)}) AS INTEGER) AS status,
+    TRY_CAST(coalesce({_grp(P.LATENCY_LABELLED)}, {_grp(P.LATENCY_BARE)}) AS BIGINT) AS latency,
+    TRY_CAST({_grp(P.QUERY_LATENCY)} AS BIGINT) AS sql_latency,
+    {_grp(P.EXCEPTION)} AS exception,
+    CAST(floor(TRY_CAST(coalesce({_grp(P.GC_PAUSE, 1)}, {_grp(P.GC_PAUSE, 2)}) AS DOUBLE) + 0.5) AS BIGINT) AS gc_pause
+  FROM runs)"""
+
+
+FEATS = _sql_feats()
+
+
+def _sql_rule(r: metrics.MetricRule) -> str:
+    when = r.when.replace("lower(path) rlike 'flag|feature'", "regexp_matches(lower(path), 'flag|feature')")
+    sample = f"SUM({r.sample})::BIGINT, (200 * SUM({r.sample})::BIGINT + count(*)) // (2 * count(*)) / 100.0, quantile_disc({r.sample}, 0.95)::DOUBLE" if r.sample else "NULL::BIGINT, NULL::DOUBLE, NULL::DOUBLE"
+    return f"SELECT session_id, bucket, line_start, '{r.category}' AS category, '{r.metric}' AS metric, count(*) AS \"count\", {sample} FROM feats WHERE {when} GROUP BY session_id, bucket, line_start"
+
+
+_HEAD = "(session_id, bucket, line_start, category, metric, n, sum_ms, avg_ms, p95_ms)"
+_EXCEPTIONS = "SELECT session_id, bucket, line_start, 'ERRORS', 'exception:' || regexp_extract(exception, '([^.]*)$', 1), count(*), NULL::BIGINT, NULL::DOUBLE, NULL::DOUBLE FROM feats WHERE exception IS NOT NULL GROUP BY ALL"
+
+
+def _sql_metrics(category: str | None = None, exceptions: bool = True, feats: str = FEATS) -> str:
+    parts = [_sql_rule(r) for r in RULES if category in (None, r.category)]
+    if exceptions and category in (None, "ERRORS"):
+        parts.append(_EXCEPTIONS)
+    return f"{feats},\nm{_HEAD} AS (\n" + "\nUNION ALL ".join(parts) + ")"
+
+
+METRICS = _sql_metrics()
+_INTRINSIC = " OR ".join(f"({r.when})" for r in RULES if r.anomalous)
+LOCAL = f"""local AS (
+  SELECT session_id, bucket, line_start, max(line_no) AS line_end,
+         coalesce(bool_or({_INTRINSIC}), false) OR count(*) FILTER (WHERE warn) >= 5 AS is_anomalous
+  FROM feats GROUP BY session_id, bucket, line_start)"""
+CORPUS = "corpus AS (SELECT session_id, category, metric, quantile_cont(p95_ms, 0.95) AS corpus_p95 FROM m WHERE p95_ms IS NOT NULL GROUP BY ALL)"
+OUTLIERS = "outliers AS (SELECT DISTINCT m.session_id, m.bucket FROM m JOIN corpus c USING (session_id, category, metric) WHERE c.corpus_p95 > 0 AND m.p95_ms > 3.0 * c.corpus_p95)"
+FLAGGED = f"""{METRICS}, {LOCAL}, {CORPUS}, {OUTLIERS},
+flagged AS (SELECT l.session_id, l.bucket, l.line_start, l.line_end, l.is_anomalous OR o.bucket IS NOT NULL AS is_anomalous,
+            o.bucket IS NOT NULL AND NOT l.is_anomalous AS newly_flagged
+  FROM local l LEFT JOIN outliers o ON l.session_id = o.session_id AND l.bucket = o.bucket)"""
+_CHUNK = "sha256({0} || '|doc-' || {0} || '|' || line_start)"
+CHUNK_ID = "substr({h},1,8)||'-'||substr({h},9,4)||'-'||substr({h},13,4)||'-'||substr({h},17,4)||'-'||substr({h},21,12)".format(h=_CHUNK.format("session_id"))
+
+
+# --- scans, timestamps, windows ------------------------------------------------------------------------------
+@query(f"WITH {LINES} SELECT session_id, document_id, line_no, value FROM lines")
+def log_lines(spark, sf):
+    return _lines(spark, sf).select("session_id", "document_id", "line_no", "value")
+
+
+@query(f"WITH {TIMED} SELECT session_id, line_no, CAST(epoch(lts) AS BIGINT) AS ts FROM timed")
+def ts_extract(spark, sf):
+    return _lines(spark, sf).select("session_id", "line_no", _sec(D.line_ts(F.col("value"), 2024)).alias("ts"))
+
+
+@query(f"WITH {TIMED} SELECT session_id, line_no, CAST(epoch(fts) AS BIGINT) AS at_s FROM filled")
+def ts_forward_fill(spark, sf):
+    return windows.with_time(_lines(spark, sf), CFG).select("session_id", "line_no", _sec("at").alias("at_s"))
+
+
+@query(f"WITH {RUNS} SELECT session_id, bucket, line_start, max(line_no) AS line_end, count(*) AS n_lines FROM runs GROUP BY ALL")
+def window_runs(spark, sf):
+    return _runs(spark, sf).groupBy("session_id", _sec("time_bucket").alias("bucket"), "line_start").agg(F.max("line_no").alias("line_end"), F.count(F.lit(1)).alias("n_lines"))
+
+
+@query(
+    """WITH n AS (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS line_no FROM documents)
+SELECT lang, (line_no - 1) // 500 * 60 AS bucket, min(line_no) AS line_start, max(line_no) AS line_end FROM n GROUP BY lang, (line_no - 1) // 500"""
+)
+def window_line_fallback(spark, sf):
+    docs = _read(spark, sf, "documents")
+    lines = docs.select(F.col("lang").alias("session_id"), F.lit("d").alias("document_id"), F.row_number().over(Window.partitionBy("lang").orderBy("doc_id")).cast("long").alias("line_no"), F.lit("no time here").alias("value"))
+    runs = windows.with_runs(lines, EngineConfig())
+    return runs.groupBy(F.col("session_id").alias("lang"), _sec("time_bucket").alias("bucket")).agg(F.min("line_no").alias("line_start"), F.max("line_no").alias("line_end"))
+
+
+@query(f"WITH {RUNS} SELECT session_id, line_start, {CHUNK_ID} AS chunk_id, string_agg(value, chr(10) ORDER BY line_no) AS content FROM runs GROUP BY session_id, line_start")
+def window_content(spark, sf):
+    return windows.chunks(_runs(spark, sf)).select("session_id", "line_start", "chunk_id", "content")
+
+
+@query(f"WITH {RUNS} SELECT session_id, line_no FROM runs WHERE opens IS NOT NULL")
+def window_boundaries(spark, sf):
+    return windows.boundaries(_runs(spark, sf)).select("session_id", "line_no")
+
+
+# --- metrics ---------------------------------------------------------------------------------------------------
+def _metric_rows(df: DataFrame) -> DataFrame:
+    return df.select("session_id", _sec("time_bucket").alias("bucket"), "line_start", "category", "metric", F.col("count").alias("n"), "sum_ms", F.col("avg_ms").cast("double").alias("avg_ms"), F.col("p95_ms").cast("double").alias("p95_ms"))
+
+
+def _category(name: str) -> None:
+    def run(spark, sf):
+        return _metric_rows(_done(spark, sf).metrics.where(F.col("category") == name))
+
+    run.__name__ = {"DATABASE": "metrics_sql", "PERFORMANCE": "metrics_perf"}.get(name, f"metrics_{name.lower()}")
+    query(f"WITH {_sql_metrics(name)} SELECT * FROM m")(run)
+
+
+for _name in ("API", "DATABASE", "AUTH", "ERRORS", "PERFORMANCE", "LIFECYCLE", "TRAFFIC"):
+    _category(_name)
+
+
+@query(f"WITH {METRICS} SELECT * FROM m")
+def metrics_all_long(spark, sf):
+    return _metric_rows(_done(spark, sf).metrics)
+
+
+MERGED = f"""{METRICS},
+merged AS (SELECT session_id, bucket, category, metric, sum(n)::BIGINT AS n, count(*) AS k,
+  CASE WHEN count(*) > 1 THEN coalesce(sum(sum_ms), 0) ELSE max(sum_ms) END::BIGINT AS sum_ms,
+  CASE WHEN count(*) > 1 THEN (200 * coalesce(sum(sum_ms), 0)::BIGINT + sum(n)::BIGINT) // (2 * sum(n)::BIGINT) / 100.0 ELSE max(avg_ms) END AS avg_ms,
+  CASE WHEN count(*) > 1 THEN coalesce(max(p95_ms), 0) ELSE max(p95_ms) END AS p95_ms,
+  least(count(*), 20) AS n_samples
+  FROM m GROUP BY session_id, bucket, category, metric)"""
+
+
+def _merged(spark, sf) -> DataFrame:
+    return session_metrics(_done(spark, sf).metrics, CFG)
+
+
+@query(f"WITH {MERGED} SELECT session_id, bucket, category, metric, n, sum_ms, avg_ms, p95_ms, n_samples FROM merged")
+def metric_merge_sessions(spark, sf):
+    m = _merged(spark, sf).withColumn("n_samples", F.size("sample_chunk_ids").cast("long"))
+    return m.select("session_id", _sec("time_bucket").alias("bucket"), "category", "metric", F.col("count").alias("n"), "sum_ms", F.col("avg_ms").cast("double").alias("avg_ms"), F.col("p95_ms").cast("double").alias("p95_ms"), "n_samples")
+
+
+@query(f"WITH {MERGED} SELECT bucket, metric, n, p95_ms FROM merged WHERE session_id = '1' AND category = 'API' AND bucket >= 1704672000 AND bucket < 1705276800 ORDER BY bucket, category, metric")
+def metrics_filtered(spark, sf):
+    out = metrics.metrics_query(_merged(spark, sf), "1", "API", None, "2024-01-08 00:00:00+00:00", "2024-01-15 00:00:00+00:00")
+    return out.select(_sec("time_bucket").alias("bucket"), "metric", F.col("count").alias("n"), F.col("p95_ms").cast("double").alias("p95_ms"))
+
+
+@query(f"WITH {MERGED} SELECT category, metric, sum(n)::BIGINT AS total, max(p95_ms) AS max_p95, max(avg_ms) AS max_avg FROM merged GROUP BY ALL ORDER BY total DESC, category, metric LIMIT 40")
+def top_metrics(spark, sf):
+    return metrics.top_metrics(_merged(spark, sf), 40).select("category", "metric", "total", F.col("max_p95").cast("double").alias("max_p95"), F.col("max_avg").cast("double").alias("max_avg"))
+
+
+@query(
+    f"""WITH {MERGED}, r AS (SELECT session_id, 'r' || (bucket // 86400) AS range_id, min(bucket) AS lo, max(bucket) AS hi FROM merged WHERE category = 'ERRORS' GROUP BY ALL)
+SELECT m.session_id, range_id, bucket, category, metric,
+  category || '.' || metric || ' count=' || n || CASE WHEN p95_ms IS NOT NULL THEN
+    ' avg=' || regexp_replace(regexp_replace(CAST(CAST(avg_ms AS DECIMAL(12,2)) AS VARCHAR), '(\\.\\d*?)0+$', '\\1'), '\\.$', '') || 'ms p95=' ||
+    regexp_replace(regexp_replace(CAST(CAST(p95_ms AS DECIMAL(12,2)) AS VARCHAR), '(\\.\\d*?)0+$', '\\1'), '\\.$', '') || 'ms' ELSE '' END AS line
+FROM r JOIN merged m ON m.session_id = r.session_id AND m.bucket BETWEEN lo AND hi"""
+)
+def metric_context(spark, sf):
+    m = _merged(spark, sf)
+    day = F.concat(F.lit("r"), F.floor(_sec("time_bucket") / 86400).cast("string"))
+    r = m.where("category = 'ERRORS'").groupBy("session_id", day.alias("range_id")).agg(F.min("time_bucket").alias("lo"), F.max("time_bucket").alias("hi"))
+    return metrics.metric_context(r, m).select("session_id", "range_id", _sec("time_bucket").alias("bucket"), "category", "metric", "line")
+
+
+@query(f"WITH {METRICS} SELECT DISTINCT category FROM m")
+def category_list(spark, sf):
+    return findings.categories(_done(spark, sf).metrics)
+
+
+# --- anomalies -------------------------------------------------------------------------------------------------
+@query(f"WITH {FEATS}, {LOCAL} SELECT * FROM local")
+def local_anomaly(spark, sf):
+    out = anomaly.local_anomaly(_done(spark, sf).table, CFG)
+    return out.select("session_id", _sec("time_bucket").alias("bucket"), "line_start", "line_end", "is_anomalous")
+
+
+_SIX = _sql_feats(_sql_runs(21600))
+
+
+@query(f"WITH {_SIX} SELECT session_id, bucket, line_start, count(*) FILTER (WHERE warn) AS warn_lines FROM feats GROUP BY ALL HAVING count(*) FILTER (WHERE warn) >= 5")
+def warn_burst(spark, sf):
+    done = ingest(_lines(spark, sf), EngineConfig(window_seconds=21600))
+    return done.table.where("warn_lines >= 5").select("session_id", _sec("time_bucket").alias("bucket"), "line_start", "warn_lines")
+
+
+@query(f"WITH {METRICS}, {CORPUS} SELECT session_id, category, metric, round(corpus_p95, 6) AS corpus_p95 FROM corpus")
+def corpus_p95(spark, sf):
+    return anomaly.corpus_p95(_done(spark, sf).metrics).withColumn("corpus_p95", F.round("corpus_p95", 6))
+
+
+@query(f"WITH {FLAGGED} SELECT * FROM flagged")
+def windows_flagged(spark, sf):
+    return _done(spark, sf).windows.select("session_id", _sec("time_bucket").alias("bucket"), "line_start", "line_end", "is_anomalous", "newly_flagged")
+
+
+@query(f"WITH {FLAGGED} SELECT session_id, bucket, line_start FROM flagged WHERE newly_flagged")
+def latency_outlier_chunks(spark, sf):
+    return _done(spark, sf).windows.where("newly_flagged").select("session_id", _sec("time_bucket").alias("bucket"), "line_start")
+
+
+@query(
+    f"""WITH {METRICS}, {LOCAL}, c AS (SELECT session_id, category, metric, quantile_disc(p95_ms, 0.95) AS corpus_p95 FROM m WHERE p95_ms IS NOT NULL GROUP BY ALL),
+far AS (SELECT DISTINCT m.session_id, m.bucket, m.line_start FROM m JOIN c USING (session_id, category, metric) WHERE c.corpus_p95 > 0 AND m.p95_ms > 3.0 * c.corpus_p95)
+SELECT l.session_id, l.bucket, l.line_start, l.is_anomalous OR far.bucket IS NOT NULL AS is_anomalous
+FROM local l LEFT JOIN far ON l.session_id = far.session_id AND l.bucket = far.bucket AND l.line_start = far.line_start"""
+)
+def anomaly_inmemory(spark, sf):
+    done = _done(spark, sf)
+    return anomaly.in_memory_anomaly(done.table, done.metrics, CFG).select("session_id", _sec("time_bucket").alias("bucket"), "line_start", "is_anomalous")
+
+
+_BATCHES = f"numbered AS (SELECT *, {CHUNK_ID} AS chunk_id, (row_number() OVER (PARTITION BY session_id ORDER BY line_start) - 1) // 10 AS batch FROM flagged)"
+
+
+@query(f"WITH {FLAGGED}, {_BATCHES} SELECT session_id, batch, string_agg(chunk_id, ',' ORDER BY line_start) AS ids FROM numbered GROUP BY ALL")
+def embed_batches(spark, sf):
+    return anomaly.embed_batches(_done(spark, sf).windows, CFG).select("session_id", "batch", F.array_join("chunk_ids", ",").alias("ids"))
+
+
+@query(
+    f"""WITH {FLAGGED}, {_BATCHES}
+SELECT session_id, 'ENRICH_WINDOW' AS kind, chunk_id AS ids FROM numbered WHERE is_anomalous
+UNION ALL SELECT session_id, 'EMBED_BATCH', string_agg(chunk_id, ',' ORDER BY line_start) FROM numbered GROUP BY session_id, batch"""
+)
+def enrich_fanout(spark, sf):
+    return anomaly.fan_out(_done(spark, sf).windows, CFG).select("session_id", "kind", F.array_join("chunk_ids", ",").alias("ids"))
+
+
+@query(f"WITH {FLAGGED} SELECT session_id, (count(*) FILTER (WHERE is_anomalous) + (count(*) + 9) // 10)::BIGINT AS items FROM flagged GROUP BY session_id")
+def work_item_count(spark, sf):
+    return anomaly.work_item_count(_done(spark, sf).windows, CFG)
+
+
+@query("SELECT event_id % 6 AS lane, count(*) AS n FROM events GROUP BY 1")
+def partition_routing(spark, sf):
+    return _read(spark, sf, "events").groupBy(F.pmod("event_id", F.lit(6)).alias("lane")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def parts_plan(spark, sf):
+    return segments.parts_plan(_runs(spark, sf), EngineConfig(part_bytes=20_000, part_lines=500))
+
+
+@query(f"WITH {LINES} SELECT session_id, line_no, count(*) FILTER (WHERE regexp_matches(value, {_q(P.RECORD_START)})) OVER (PARTITION BY session_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS record_no FROM lines")
+def record_groups(spark, sf):
+    return segments.record_groups(_lines(spark, sf), CFG).select("session_id", "line_no", "record_no")
+
+
+@query()
+def content_segments(spark, sf):
+    return segments.content_segments(_read(spark, sf, "documents"), "doc_id", "text", 5000).select("doc_id", "segment_no", F.length("segment").alias("n"), F.sha2("segment", 256).alias("sha"))
+
+
+@query(
+    """WITH RECURSIVE t AS (SELECT CAST(doc_id // 20 AS BIGINT) AS grp, doc_id AS ord, CAST(least(length(text), 8000) // 4 + 8 AS BIGINT) AS tokens,
+  row_number() OVER (PARTITION BY doc_id // 20 ORDER BY doc_id) AS i FROM documents),
+f AS (SELECT grp, ord, tokens, i, 0 AS request, tokens AS used FROM t WHERE i = 1
+  UNION ALL SELECT t.grp, t.ord, t.tokens, t.i, CASE WHEN f.used + t.tokens > 10000 THEN f.request + 1 ELSE f.request END, CASE WHEN f.used + t.tokens > 10000 THEN t.tokens ELSE f.used + t.tokens END
+  FROM f JOIN t ON t.grp = f.grp AND t.i = f.i + 1)
+SELECT grp, ord, tokens, request FROM f"""
+)
+def embed_packing(spark, sf):
+    docs = _read(spark, sf, "documents").withColumn("g", F.floor(F.col("doc_id") / 20))
+    return segments.embed_packing(docs, "g", "doc_id", "text")
+
+
+@query()
+def stack_frames(spark, sf):
+    frames = F.concat(F.col("content"), F.lit("\nCaused by\n  at com.app.Main.run(Main.java)\n  at com.app.Main$1.call(Main.java)\nend"))
+    return segments.stack_frames(windows.chunks(_runs(spark, sf)).withColumn("content", frames))
+
+
+# --- findings and incidents ------------------------------------------------------------------------------------
+def _raw_findings(spark, sf) -> DataFrame:
+    """One finding per error and deadlock line; titles hold a number that the fingerprint ignores."""
+    r = _runs(spark, sf).where(F.col("value").rlike(P.ERROR_LEVEL) | F.col("value").rlike(P.DEADLOCK))
+    error = F.col("value").rlike(P.ERROR_LEVEL)
+    name = F.regexp_extract("value", P.EXCEPTION, 1)
+    return windows.with_chunk_id(r).select(
+        "session_id", F.when(error, "errors").otherwise("database").alias("category"), F.when(F.col("value").rlike(P.OOM), "CRITICAL").when(error, "ERROR").otherwise("WARN").alias("severity"),
+        F.when(error, F.concat(name, F.lit("  in line "), F.col("line_no").cast("string"))).otherwise(F.concat(F.lit("Deadlock on table "), F.col("line_no").cast("string"))).alias("title"),
+        F.col("value").alias("explanation"), F.lit(0.5).cast("decimal(3,2)").alias("confidence"), F.array("chunk_id").alias("evidence_chunk_ids"),
+        F.col("time_bucket").alias("time_range_start"), (F.col("time_bucket") + F.expr("interval 3600 seconds")).alias("time_range_end"), F.col("line_no").alias("seq"),
+    )
+
+
+RAW = f"""{RUNS},
+raw AS (SELECT session_id, CASE WHEN e THEN 'errors' ELSE 'database' END AS category, CASE WHEN oom THEN 'CRITICAL' WHEN e THEN 'ERROR' ELSE 'WARN' END AS severity,
+    CASE WHEN e THEN regexp_extract(value, {_q(P.EXCEPTION)}, 1) || '  in line ' || line_no ELSE 'Deadlock on table ' || line_no END AS title,
+    value AS explanation, {CHUNK_ID} AS chunk_id, bucket AS t0, bucket + 3600 AS t1, line_no AS seq
+  FROM (SELECT *, regexp_matches(value, {_q(P.ERROR_LEVEL)}) AS e, regexp_matches(value, {_q(P.OOM)}) AS oom FROM runs
+        WHERE regexp_matches(value, {_q(P.ERROR_LEVEL)}) OR regexp_matches(value, {_q(P.DEADLOCK)}))),
+printed AS (SELECT *, sha256(upper(trim(category)) || '|' || trim(regexp_replace(regexp_replace(lower(title), '\\d+', '', 'g'), '\\s+', ' ', 'g'))) AS fingerprint FROM raw)"""
+
+
+@query(f"WITH {RAW} SELECT session_id, seq, fingerprint FROM printed")
+def finding_fingerprint(spark, sf):
+    return _raw_findings(spark, sf).select("session_id", "seq", T.fingerprint(F.col("category"), F.col("title")).alias("fingerprint"))
+
+
+MERGED_FINDINGS = f"""{RAW},
+fm AS (SELECT session_id, fingerprint, count(*) AS occurrence_count, arg_min(title, seq) AS title, arg_max(explanation, seq) AS explanation, arg_max(severity, seq) AS severity,
+  arg_min(category, seq) AS category, count(DISTINCT chunk_id) AS n_evidence, min(t0) AS t0, max(t1) AS t1, min(seq) AS seq FROM printed GROUP BY session_id, fingerprint)"""
+
+
+def _merged_findings(spark, sf) -> DataFrame:
+    return findings.merge(_raw_findings(spark, sf))
+
+
+@query(f"WITH {MERGED_FINDINGS} SELECT session_id, fingerprint, occurrence_count, title, explanation, severity, n_evidence, t0, t1 FROM fm")
+def finding_merge(spark, sf):
+    f = _merged_findings(spark, sf)
+    return f.select("session_id", "fingerprint", F.col("occurrence_count").cast("long").alias("occurrence_count"), "title", "explanation", "severity", F.size("evidence_chunk_ids").cast("long").alias("n_evidence"), _sec("time_range_start").alias("t0"), _sec("time_range_end").alias("t1"))
+
+
+@query(f"WITH {MERGED_FINDINGS} SELECT session_id, severity, t0, title FROM fm WHERE category = 'errors' ORDER BY CASE severity WHEN 'CRITICAL' THEN 0 WHEN 'ERROR' THEN 1 WHEN 'WARN' THEN 2 ELSE 3 END, t0, seq")
+def findings_ranked(spark, sf):
+    return findings.ranked(_merged_findings(spark, sf), category="errors").select("session_id", "severity", _sec("time_range_start").alias("t0"), "title")
+
+
+@query(f"WITH {MERGED_FINDINGS} SELECT severity, count(*) AS n FROM fm GROUP BY severity")
+def severity_counts(spark, sf):
+    return findings.severity_counts(_merged_findings(spark, sf))
+
+
+@query(
+    """WITH e AS (SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events WHERE event_type = 'error')
+SELECT event_id, CASE WHEN k % 2 = 0 THEN 'DATABASE' ELSE 'GENERAL' END AS category, CASE WHEN k % 3 = 0 THEN 'ERROR' ELSE 'WARN' END AS severity, 'boom ' || k AS title, least(1.0, k / 50.0)::DECIMAL(3,2)::DOUBLE AS confidence
+FROM e WHERE k % 5 <> 0"""
+)
+def finding_json_parse(spark, sf):
+    k = F.get_json_object("props", "$.k").cast("int")
+    body = F.concat(
+        F.lit('{"category": "'), F.when(k % 2 == 0, " database ").otherwise(" "), F.lit('", "severity": "'), F.when(k % 3 == 0, "error").otherwise("bad"), F.lit('", "title": "'),
+        F.when(k % 5 == 0, " ").otherwise(F.concat(F.lit("boom "), k.cast("string"))), F.lit('", "explanation": "x", "confidence": '), (k / 50.0).cast("string"), F.lit("}"),
+    )
+    raw = F.when(k % 4 == 0, F.concat(F.lit("```json\n["), body, F.lit("]\n```"))).when(k % 4 == 1, body).otherwise(F.concat(F.lit("Here: ["), body, F.lit("]")))
+    rows = _read(spark, sf, "events").where("event_type = 'error'").select("event_id", raw.alias("raw"))
+    return findings.parse(rows).select("event_id", "category", "severity", "title", F.col("confidence").cast("double").alias("confidence"))
+
+
+CLUSTERED = f"""{RAW},
+o AS (SELECT *, max(t1) OVER (PARTITION BY session_id, category ORDER BY t0, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS latest FROM printed),
+isl AS (SELECT *, sum(CASE WHEN latest IS NULL OR t0 > latest + 300 THEN 1 ELSE 0 END) OVER (PARTITION BY session_id, category ORDER BY t0, seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT AS island FROM o)"""
+
+
+def _clustered(spark, sf) -> DataFrame:
+    return incidents.cluster(_raw_findings(spark, sf), CFG, key="seq")
+
+
+@query(f"WITH {CLUSTERED} SELECT session_id, category, seq, island FROM isl")
+def incident_clusters(spark, sf):
+    return _clustered(spark, sf).select("session_id", "category", "seq", "island")
+
+
+@query(f"WITH {CLUSTERED} SELECT session_id, category, island, min(t0) AS t0, max(t1) AS t1, count(*) AS n_findings, string_agg(CAST(seq AS VARCHAR), ',' ORDER BY t0, seq) AS ids FROM isl GROUP BY ALL")
+def incident_bounds(spark, sf):
+    i = incidents.incidents(_clustered(spark, sf), "seq")
+    return i.select("session_id", "category", "island", _sec("time_range_start").alias("t0"), _sec("time_range_end").alias("t1"), "n_findings", F.array_join(F.transform("finding_ids", lambda x: x.cast("string")), ",").alias("ids"))
+
+
+@query(f"WITH {CLUSTERED} SELECT session_id, island, seq, CASE WHEN seq % 2 = 0 THEN title ELSE CAST(seq AS VARCHAR) END AS title FROM isl WHERE session_id = '1' AND category = 'errors'")
+def incident_titles(spark, sf):
+    one = _clustered(spark, sf).where("session_id = '1' and category = 'errors'")
+    built = incidents.incidents(one, "seq")
+    named = incidents.titles(built, one.where("seq % 2 = 0"), "seq").join(built.select(F.col("id").alias("incident"), "session_id", "island"), "incident")
+    return named.select("session_id", "island", F.col("finding_id").alias("seq"), "title")
+
+
+def _flat_chunks(spark, sf) -> DataFrame:
+    return windows.chunks(_runs(spark, sf))
+
+
+@query(
+    f"""WITH {MERGED_FINDINGS}, ids AS (SELECT DISTINCT session_id || fingerprint AS owner, chunk_id FROM printed),
+c AS (SELECT {CHUNK_ID} AS chunk_id, bucket, line_start, max(line_no) AS line_end FROM runs GROUP BY session_id, bucket, line_start)
+SELECT owner, chunk_id, bucket, line_start, line_end FROM ids JOIN c USING (chunk_id)"""
+)
+def evidence_lookup(spark, sf):
+    ids = _merged_findings(spark, sf).select(F.concat("session_id", "fingerprint").alias("owner"), F.col("evidence_chunk_ids").alias("chunk_ids"))
+    return findings.evidence(ids, _flat_chunks(spark, sf)).select("owner", "chunk_id", _sec("time_bucket").alias("bucket"), "line_start", "line_end")
+
+
+@query(
+    f"""WITH {RUNS}, c AS (SELECT session_id, {CHUNK_ID} AS chunk_id, line_start FROM runs GROUP BY session_id, line_start),
+l AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY chunk_id DESC) - 1 AS pos FROM c)
+SELECT session_id AS owner, pos, line_start FROM l"""
+)
+def ordered_chunk_lookup(spark, sf):
+    c = _flat_chunks(spark, sf)
+    ids = c.groupBy(F.col("session_id").alias("owner")).agg(F.sort_array(F.collect_list("chunk_id"), asc=False).alias("chunk_ids"))
+    return findings.in_list_order(ids, c).select("owner", F.col("pos").cast("long").alias("pos"), "line_start")
+
+
+# --- vectors, text, hybrid ---------------------------------------------------------------------------------------
+_QUERY_ID = 7
+
+
+def _query_vector(spark, sf) -> list[float]:
+    return _read(spark, sf, "embeddings").where(F.col("vec_id") == _QUERY_ID).first()["embedding"]
+
+
+_COS = "round(list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) / sqrt(list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[]))) / sqrt(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))), 6)"
+
+
+@query(f"SELECT e.vec_id, {_COS} AS similarity FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = {_QUERY_ID}) q WHERE e.embedding IS NOT NULL ORDER BY similarity DESC, vec_id LIMIT 30")
+def knn_cosine(spark, sf):
+    return retrieval.knn(_read(spark, sf, "embeddings"), _query_vector(spark, sf), 30, "vec_id")
+
+
+@query()
+def knn_lsh(spark, sf):
+    return retrieval.knn_lsh(_read(spark, sf, "embeddings"), _query_vector(spark, sf), 10, "vec_id")
+
+
+@query(
+    f"""SELECT e.vec_id AS chunk_id, {_COS} AS similarity FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id, (SELECT embedding FROM embeddings WHERE vec_id = {_QUERY_ID}) q
+WHERE d.source = 'src3' AND d.lang <> 'de' ORDER BY similarity DESC, chunk_id LIMIT 10"""
+)
+def search_similar_chunks(spark, sf):
+    docs = _read(spark, sf, "documents").select(F.col("doc_id").alias("document_id"), F.col("source").alias("user_id"), F.when(F.col("lang") == "de", "PENDING").otherwise("COMPLETED").alias("processing_status"))
+    chunks = _read(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("vec_id").alias("document_id"), "embedding")
+    return retrieval.search_similar_chunks(chunks, docs, "src3", _query_vector(spark, sf), 10)
+
+
+@query(
+    """SELECT vec_id, round(sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 5) AS norm,
+  round(embedding[1]::DOUBLE / sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 5) AS first FROM embeddings"""
+)
+def l2_normalize(spark, sf):
+    return _read(spark, sf, "embeddings").select("vec_id", F.round(V.norm(F.col("embedding")), 5).alias("norm"), F.round(V.l2_normalised(F.col("embedding"))[0], 5).alias("first"))
+
+
+@query()
+def vector_literal(spark, sf):
+    return _read(spark, sf, "embeddings").select("vec_id", V.literal(F.col("embedding")).alias("literal"))
+
+
+_WORDS = "w AS (SELECT doc_id, regexp_extract_all(lower(text), '([a-z0-9_]+)') AS ws FROM documents)"
+_RANK = "round(0.1 * ({sum}) / {n}, 6)"
+
+
+def _rank_sql(words: list[str]) -> str:
+    one = "coalesce(list_sum(list_transform(generate_series(1, len(list_filter(ws, lambda x: x = '{w}'))), lambda j: 1.0::DOUBLE / (j * j))), 0.0)"
+    return _RANK.format(sum=" + ".join(one.format(w=w) for w in words), n=len(words))
+
+
+@query(f"WITH {_WORDS} SELECT doc_id FROM w WHERE list_contains(ws, 'the') AND list_contains(ws, 'on') AND (list_contains(ws, 'that') OR list_contains(ws, 'with')) AND NOT list_contains(ws, 'licensed')")
+def fts_match(spark, sf):
+    q = retrieval.TextQuery.parse("the on that or with -licensed")
+    return _read(spark, sf, "documents").where(retrieval.matches(T.terms(F.col("text")), q)).select("doc_id")
+
+
+@query(f"WITH {_WORDS} SELECT doc_id AS doc_id, {_rank_sql(['the', 'on'])} AS rank FROM w WHERE list_contains(ws, 'the') AND list_contains(ws, 'on') ORDER BY rank DESC, doc_id LIMIT 30")
+def fts_rank(spark, sf):
+    return retrieval.full_text(_read(spark, sf, "documents"), "the on", 30, "doc_id", "text")
+
+
+@query(f"WITH {_WORDS} SELECT doc_id, {_rank_sql(['licensed', 'nosuchword'])} AS rank FROM w WHERE list_contains(ws, 'licensed') OR list_contains(ws, 'nosuchword') ORDER BY rank DESC, doc_id LIMIT 30")
+def fts_or_fallback(spark, sf):
+    docs = _read(spark, sf, "documents")
+    found = retrieval.full_text(docs, "licensed nosuchword", 30, "doc_id", "text")
+    return retrieval.full_text(docs, "licensed nosuchword", 30, "doc_id", "text", any_word=True) if found.isEmpty() else found
+
+
+@query(
+    f"""WITH {_WORDS}, near AS (SELECT e.vec_id AS key, {_COS} AS s FROM embeddings e JOIN documents USING_ ON USING_.doc_id = e.vec_id, (SELECT embedding FROM embeddings WHERE vec_id = {_QUERY_ID}) q ORDER BY s DESC, key LIMIT 30),
+txt AS (SELECT doc_id AS key, {_rank_sql(['the', 'on'])} AS s FROM w JOIN embeddings e ON e.vec_id = doc_id WHERE list_contains(ws, 'the') AND list_contains(ws, 'on') ORDER BY s DESC, key LIMIT 30),
+l AS (SELECT key, 0 AS list_no, row_number() OVER (ORDER BY s DESC, key) - 1 AS p FROM near UNION ALL SELECT key, 1, row_number() OVER (ORDER BY s DESC, key) - 1 FROM txt)
+SELECT key, round(sum(1.0::DOUBLE / (60 + p)), 6) AS score FROM l GROUP BY key ORDER BY score DESC, min(list_no * 1000 + p) LIMIT 30"""
+)
+def rrf_hybrid(spark, sf):
+    items = _read(spark, sf, "documents").join(_read(spark, sf, "embeddings"), F.col("doc_id") == F.col("vec_id")).select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"), "embedding")
+    return retrieval.retrieve(items, "the on", _query_vector(spark, sf), 30)
+
+
+# --- state, sessions, budgets --------------------------------------------------------------------------------------
+@query("SELECT conv_id, turn, role, text FROM conversations ORDER BY conv_id, turn")
+def drilldown_history(spark, sf):
+    return _read(spark, sf, "conversations").select("conv_id", "turn", "role", "text").orderBy("conv_id", "turn")
+
+
+@query("SELECT doc_id FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id WHERE e.embedding IS NULL")
+def missing_embeddings(spark, sf):
+    chunks = _read(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.lit(None).cast("array<float>").alias("embedding"))
+    vectors = _read(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"))
+    return tables.missing_embeddings(tables.update_embeddings(chunks, vectors)).select(F.col("chunk_id").alias("doc_id"))
+
+
+@query("SELECT lang, n_chars, min(doc_id) AS doc_id FROM documents GROUP BY lang, n_chars")
+def dedup_uploads(spark, sf):
+    return tables.first_uploads(_read(spark, sf, "documents").select("lang", "n_chars", "doc_id"), ["lang", "n_chars"], "doc_id")
+
+
+def _parts(spark, sf) -> DataFrame:
+    return _read(spark, sf, "events").select((F.col("user_id") % 10).cast("string").alias("document_id"), (F.col("event_id") % 50).cast("int").alias("part_idx"), "event_id")
+
+
+@query("SELECT DISTINCT CAST(user_id % 10 AS VARCHAR) AS document_id, CAST(event_id % 50 AS INTEGER) AS part_idx FROM events WHERE event_id % 50 >= 20")
+def idempotent_parts(spark, sf):
+    p = _parts(spark, sf)
+    return tables.unprocessed(p, p.where("part_idx < 20").select("document_id", "part_idx").distinct()).select("document_id", "part_idx")
+
+
+@query("SELECT CAST(user_id % 10 AS VARCHAR) AS document_id, count(DISTINCT event_id % 50) AS parsed FROM events GROUP BY 1 HAVING count(DISTINCT event_id % 50) >= 50")
+def redelivered_counts(spark, sf):
+    p = _parts(spark, sf)
+    docs = p.select("document_id").distinct().withColumn("total_parts", F.lit(50)).withColumn("processing_status", F.lit("PROCESSING"))
+    return streams.finished(docs, p).select("document_id", "parsed")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
+def cascade_delete(spark, sf):
+    gone = _read(spark, sf, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"))
+    return tables.without_parent(_read(spark, sf, "orders"), gone, "o_custkey").select("o_orderkey")
+
+
+@query(
+    """SELECT o_orderkey, CASE WHEN c.c_custkey IS NULL THEN 'NOT_FOUND' WHEN c.c_nationkey = 3 OR c.c_nationkey = o_orderkey % 25 THEN 'GRANTED' ELSE 'FORBIDDEN' END AS result
+FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 7 <> 0) c ON c.c_custkey = o_custkey"""
+)
+def session_access(spark, sf):
+    sessions = _read(spark, sf, "customer").where("c_custkey % 7 <> 0").select(F.col("c_custkey").alias("id"), F.when(F.col("c_nationkey") != 3, F.col("c_nationkey").cast("long")).alias("user_id"))
+    asked = _read(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("session_id"), (F.col("o_orderkey") % 25).alias("user_id"))
+    return tables.access(asked, sessions).select("o_orderkey", "result")
+
+
+@query(
+    """SELECT event_id, count(*) OVER w AS calls_in_window, CAST(sum(CAST(floor(value) AS BIGINT)) OVER w AS BIGINT) AS tokens_in_window
+FROM events WINDOW w AS (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 59999999 PRECEDING AND CURRENT ROW)"""
+)
+def rolling_budget_60s(spark, sf):
+    e = _read(spark, sf, "events").withColumn("at", F.col("ts").cast("timestamp"))
+    return budgets.rolling_budget(e, "user_id", "at", F.floor("value").cast("bigint")).select("event_id", "calls_in_window", "tokens_in_window")
+
+
+@query()
+def token_bucket(spark, sf):
+    return budgets.token_bucket(_read(spark, sf, "events").withColumn("at_ts", F.col("ts").cast("timestamp")), "user_id", "at_ts", 3, 0.0001)
+
+
+@query()
+def key_health(spark, sf):
+    e = _read(spark, sf, "events").withColumn("at_ts", F.col("ts").cast("timestamp"))
+    return budgets.key_health(e, "user_id", "at_ts", F.col("event_type") != "error", failures=2, minutes=600)
+
+
+_ERR = "CASE event_type WHEN 'view' THEN NULL WHEN 'click' THEN 'HTTP 429 too many requests' WHEN 'purchase' THEN 'connection refused' WHEN 'signup' THEN '401 unauthorized' ELSE 'request timed out' END"
+
+
+def _error() -> Column:
+    return F.expr(_ERR)
+
+
+@query(f"SELECT event_id, CASE WHEN {_ERR} IS NULL THEN 'DONE' WHEN event_type = 'click' AND user_id % 5 + 1 < 4 THEN 'RETRY' ELSE 'DLQ' END AS route, CAST(user_id % 5 + CASE WHEN event_type = 'click' AND user_id % 5 + 1 < 4 THEN 1 ELSE 0 END AS BIGINT) AS next_attempt FROM events")
+def retry_router(spark, sf):
+    items = _read(spark, sf, "events").withColumn("attempt", F.col("user_id") % 5)
+    return streams.route(items, _error(), F.lit(0), max_attempts=4).select("event_id", "route", F.col("next_attempt").cast("long").alias("next_attempt"))
+
+
+@query(f"SELECT event_type, CASE event_type WHEN 'view' THEN 'UNKNOWN' WHEN 'click' THEN 'RATE_LIMIT' WHEN 'purchase' THEN 'CONNECTION' WHEN 'signup' THEN 'UNAUTHORIZED' ELSE 'TIMEOUT' END AS category, count(*) AS n FROM events GROUP BY 1, 2")
+def error_category(spark, sf):
+    return _read(spark, sf, "events").groupBy("event_type", T.error_category(_error()).alias("category")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    """WITH s AS (SELECT event_id, user_id, event_type AS status, CAST(floor(value / 100) AS BIGINT) AS enriched, lag(event_type || ':' || CAST(floor(value / 100) AS BIGINT)) OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM events)
+SELECT event_id FROM s WHERE p IS NULL OR p <> status || ':' || enriched"""
+)
+def progress_changes(spark, sf):
+    s = _read(spark, sf, "events").select("event_id", "user_id", F.col("event_type").alias("status"), F.floor(F.col("value") / 100).alias("enriched"), F.lit(5).alias("total"))
+    return streams.progress_changes(s, "user_id", "event_id").select("event_id")
+
+
+@query("SELECT event_type, CAST(floor(epoch(ts) / 3600) * 3600 AS BIGINT) AS bucket, count(*) AS n FROM events GROUP BY 1, 2")
+def streaming_metrics(spark, sf):
+    """The event table read as a stream; batches add up to the same hourly counts."""
+    schema = _read(spark, sf, "events").schema
+    out = _stream_folder(spark)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("pathGlobFilter", "events.parquet").parquet(sf).withColumn("at", F.col("ts").cast("timestamp"))
+    keyed = stream.select("event_type", D.bucket(F.col("at"), 3600).alias("b")).groupBy("event_type", "b").agg(F.count(F.lit(1)).alias("n"))
+    streams.run_available(keyed, f"{out}/checkpoint", streams.additive_sink(f"{out}/rows"), "update")
+    rows = spark.read.parquet(f"{out}/rows")
+    shift = F.expr("unix_micros(cast(timestamp_ntz '1970-01-01 00:00:00' as timestamp)) div 1000000")
+    return rows.groupBy("event_type", "b").agg(F.max_by("n", "batch").alias("n")).select("event_type", (_sec("b") - shift).alias("bucket"), "n")
+
+
+def _stream_folder(spark: SparkSession) -> str:
+    import tempfile
+    import uuid
+
+    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="millrace-stream-")
+    return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"

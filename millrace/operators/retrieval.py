@@ -86,7 +86,7 @@ def text_rank(words: Column, query: TextQuery) -> Column:
     n = max(len(query.words), 1)
     total = F.lit(0.0)
     for w in query.words:
-        c = F.size(F.filter(words, lambda x, w=w: x == w))
+        c = F.size(words) - F.size(F.array_remove(words, w))
         total = total + F.when(c > 0, F.aggregate(F.sequence(F.lit(1), c), F.lit(0.0), lambda s, j: s + 1.0 / (j * j))).otherwise(0.0)
     return F.round(0.1 * total / n, 6)
 
