@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, exact_dedup, language_id, lm_scoring, minhash_dedup, mixing, packing, pii, quality
+from . import embedding_dedup, exact_dedup, language_id, lm_scoring, minhash_dedup, mixing, packing, pii, quality, suffix_dedup
 from .common import held_out, read_table, written
 
 
@@ -18,6 +18,11 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", F.to_json("shares").alias("shares"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.remove_repeats(read_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target: documents labelled as of good quality; background: all others."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -63,6 +68,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_lm_scoring": op3_lm_scoring,
     "op4_quality": op4_quality,
     "op5_exact_dedup": op5_exact_dedup,
