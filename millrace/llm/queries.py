@@ -27,7 +27,7 @@ def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target: documents labelled as of good quality; background: all others."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     good = read_table(spark, sf_dir, "labels").where("quality = 1")
-    return lm_scoring.cross_entropy_difference(lm_scoring.marked(docs, good), F.col("target"))
+    return lm_scoring.cross_entropy_difference(docs, good)
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
