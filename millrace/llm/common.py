@@ -53,3 +53,14 @@ def held_out(doc_id: Column) -> Column:
 def with_text(docs: DataFrame) -> DataFrame:
     """Null text becomes the empty text."""
     return docs.withColumn("text", F.coalesce(F.col("text"), F.lit("")))
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete written tables, and let Spark's cleaner drop the shuffle files of plans that nothing refers to."""
+    import gc
+
+    for t in tables:
+        remove(t)
+    gc.collect()
+    if tables:
+        tables[0].sparkSession._jvm.System.gc()

@@ -29,12 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import release, written
 from .hashing import buffers, mix, powers, prefix_sums, steps
 
 LENGTH = 400
 GRAM = 24
-COARSE, WINDOW = 200, 40
+COARSE, WINDOW = 200, 64
 #: A window's first inner anchor is at least INNER bytes after its start, and at most INNER + WINDOW.
 INNER = WINDOW - 1
 #: Bytes from a window's first inner anchor that every such window holds.
@@ -101,8 +101,9 @@ def coarse(rows: DataFrame) -> DataFrame:
 def phrases(texts: DataFrame) -> DataFrame:
     """Fine anchors of the regions that coarse anchors (column at) mark, one row each.
 
-    idx: number of the anchor in its text; len, p: length and hash of its phrase; c: hash of its core; lo, hi:
-    first and last start of the windows whose first inner anchor it is; e: hash of all bytes they cover.
+    idx: number of the anchor in its text; len, p: length and hash of its phrase (l1, p1 and l2, p2: of the next
+    two in the string, else 0); c: hash of its core; lo, hi: first and last start of the windows whose first
+    inner anchor it is; e: hash of all bytes they cover.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,62 +131,71 @@ def phrases(texts: DataFrame) -> DataFrame:
                 block = (hi >= lo) & (at + CORE <= n)
                 e = np.zeros(len(at), np.uint64)
                 e[block] = mix(hashed(sums, lo[block], hi[block] + LENGTH) + (at - lo)[block].astype(np.uint64))
-                columns = [np.full(len(idx), tags[k]), idx, at[idx], (nxt - at)[idx], hashed(sums, at, nxt)[idx].view(np.int64), hashed(sums, at, core)[idx].view(np.int64), lo[idx], np.where(block, hi, -1)[idx], e[idx].view(np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], names=["tag", "idx", "pos", "len", "p", "c", "lo", "hi", "e"])
+                p, size = hashed(sums, at, nxt).view(np.int64), nxt - at
+                ahead = [(np.where(np.r_[use[j:], np.zeros(min(j, len(use)), bool)] & use & (np.r_[use[1:], False] | (j == 1)), np.r_[x[j:], np.zeros(min(j, len(x)), np.int64)], 0)) for x in (p, size) for j in (1, 2)]
+                wide = [p, ahead[0], ahead[1], hashed(sums, at, core).view(np.int64), e.view(np.int64)]
+                narrow = [idx, at[idx], size[idx], ahead[2][idx], ahead[3][idx], lo[idx], np.where(block, hi, -1)[idx]]
+                columns = [pa.array(np.full(len(idx), tags[k])), *[pa.array(x[idx]) for x in wide], *[pa.array(x.astype(np.int32)) for x in narrow]]
+                yield pa.RecordBatch.from_arrays(columns, names=["tag", "p", "p1", "p2", "c", "e", "idx", "pos", "len", "l1", "l2", "lo", "hi"])
 
-    return texts.mapInArrow(run, "tag bigint, idx bigint, pos bigint, len bigint, p bigint, c bigint, lo bigint, hi bigint, e bigint")
+    return texts.mapInArrow(run, "tag bigint, p bigint, p1 bigint, p2 bigint, c bigint, e bigint, idx int, pos int, len int, l1 int, l2 int, lo int, hi int")
 
 
 def named(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """Adds ``name``: numbers in the order of the sorted distinct keys. The sort is by ranges, in parallel."""
-    names = rows.select(*keys).distinct().orderBy(*keys).withColumn(name, F.monotonically_increasing_id() + 1)
-    return rows.join(written(names, "names"), keys)
-
+    """Adds ``name``: numbers in the order of the sorted distinct keys, and again: the key occurs several times.
 
-def _ahead(column: str, step: int, by: list[str]) -> F.Column:
-    """The value ``step`` phrases on in the same text; 0 where the next phrases are not part of the string."""
-    w = Window.partitionBy(*by).orderBy("idx")
-    n = step if len(by) == 1 else step // 3
-    return F.when(F.lead("idx", n).over(w) == F.col("idx") + step, F.lead(column, n).over(w)).otherwise(F.lit(0).cast("bigint"))
+    The sort is by ranges, in parallel.
+    """
+    names = rows.groupBy(*keys).agg((F.count(F.lit(1)) > 1).alias("again")).orderBy(*keys).withColumn(name, F.monotonically_increasing_id() + 1)
+    return rows.join(written(names, "names"), keys)
 
 
 def repeated_runs(string: DataFrame, least: int = LENGTH, levels: int = 6) -> DataFrame:
     """(tag, start, end) of whole-phrase prefixes of at least ``least`` bytes that start at two suffixes.
 
-    ``string`` has tag, idx, pos, len and p (the phrase). Windows are by text, whose length bounds them.
+    ``string`` has tag, idx, pos, and the next three phrases (p, p1, p2 and their lengths). Windows are by
+    text, whose length bounds them.
     """
-    text = ["tag"]
-    s = string.select("tag", "idx", "pos", "len", "p").withColumns({"p1": _ahead("p", 1, text), "p2": _ahead("p", 2, text), "l1": _ahead("len", 1, text), "l2": _ahead("len", 2, text)})
-    s = written(s, "string")
-    # sort the sampled triples and name them; then recurse on the names of every third phrase
-    sample = named(s.where("idx % 3 <> 0"), ["p", "p1", "p2"], "name").select("tag", "idx", "name", (F.col("len") + F.col("l1") + F.col("l2")).alias("bytes"), (F.col("l2") > 0).alias("whole"))
-    sample, step = written(sample, "sample"), 3
+    text = Window.partitionBy("tag").orderBy("idx")
+    # sort the sampled triples and name them; then recurse on the names of every third phrase. A suffix whose
+    # name occurs once has no equal, nor has what continues it.
+    triples = string.where("idx % 3 <> 0").select("tag", "idx", "p", "p1", "p2", (F.col("len") + F.col("l1") + F.col("l2")).alias("bytes"), (F.col("l2") > 0).alias("whole"))
+    sample, step = written(named(triples, ["p", "p1", "p2"], "name").where("again").select("tag", "idx", "name", "bytes", "whole"), "sample"), 3
     for _ in range(levels - 1):
         if sample.where(F.col("whole") & (F.col("bytes") < least)).isEmpty():
             break
-        by = ["tag", "r"]
-        wide = sample.withColumn("r", F.col("idx") % step)
+        w = Window.partitionBy("tag", "r").orderBy("idx")
+        wide = sample.withColumn("r", F.col("idx") % step).withColumnRenamed("name", "n0")
+        joined = F.col("whole")  # a name is continued only where it stands for three names in a row
         for k in (1, 2):
-            w = Window.partitionBy(*by).orderBy("idx")
-            there = F.lead("idx", k).over(w) == F.col("idx") + k * step
-            wide = wide.withColumns({f"n{k}": F.when(there, F.lead("name", k).over(w)).otherwise(F.lit(0).cast("bigint")), f"b{k}": F.when(there, F.lead("bytes", k).over(w)).otherwise(F.lit(0).cast("bigint")), f"w{k}": F.coalesce(there & F.lead("whole", k).over(w), F.lit(False))})
-        wide = wide.withColumnRenamed("name", "n0")
-        sample = named(wide, ["n0", "n1", "n2"], "name").select("tag", "idx", "name", (F.col("bytes") + F.col("b1") + F.col("b2")).alias("bytes"), "w2").withColumnRenamed("w2", "whole")
-        sample, step = written(sample, "sample"), step * 3
+            joined = joined & (F.lead("idx", k).over(w) == F.col("idx") + k * step)
+            ahead = {f"n{k}": F.lead("n0", k).over(w), f"b{k}": F.lead("bytes", k).over(w)}
+            whole = F.coalesce(joined & F.lead("whole", k).over(w), F.lit(False))
+            wide = wide.withColumns({c: F.when(joined, x).otherwise(F.lit(0)) for c, x in ahead.items()} | {f"w{k}": whole})
+            joined = F.col(f"w{k}")
+        longer = named(wide, ["n0", "n1", "n2"], "name").where("again").select("tag", "idx", "name", (F.col("bytes") + F.col("b1") + F.col("b2")).cast("int").alias("bytes"), F.col("w2").alias("whole"))
+        before, sample, step = sample, written(longer, "sample"), step * 3
+        release(before)
     # merge the rest: each pair of residues meets in one order, in which both know the next sampled suffix
-    full = s.join(sample, ["tag", "idx"], "left")
-    ahead = {f"name{k}": _ahead("name", k, text) for k in (1, 2)} | {f"bytes{k}": _ahead("bytes", k, text) for k in (1, 2)}
-    full = written(full.withColumns({"name": F.coalesce("name", F.lit(0)), "bytes": F.coalesce("bytes", F.lit(0))}).withColumns(ahead), "suffixes")
+    full = string.select("tag", "idx", "pos", "len", "l1", "p", "p1").join(sample.select("tag", "idx", "name", "bytes"), ["tag", "idx"], "left")
+    for k in (1, 2):
+        there = F.lead("idx", k).over(text) == F.col("idx") + k
+        full = full.withColumns({f"{c}{k}": F.when(there, F.lead(c, k).over(text)) for c in ("name", "bytes")})
     zero = F.lit(0).cast("bigint")
-    orders = (
-        full.where("idx % 3 <> 2").select("tag", "pos", F.lit(1).alias("o"), "p", zero.alias("q"), F.col("name1").alias("rank"), (F.col("len") + F.col("bytes1")).alias("cover")),
-        full.where("idx % 3 <> 1").select("tag", "pos", F.lit(2).alias("o"), "p", F.col("p1").alias("q"), F.col("name2").alias("rank"), (F.col("len") + F.col("l1") + F.col("bytes2")).alias("cover")),
-        full.where("idx % 3 <> 0").select("tag", "pos", F.lit(3).alias("o"), zero.alias("p"), zero.alias("q"), F.col("name").alias("rank"), F.col("bytes").alias("cover")),
+    order = lambda n, p, q, rank, cover: F.struct(F.lit(n).alias("o"), p.alias("p"), q.alias("q"), F.col(rank).alias("rank"), cover.alias("cover"))
+    r, length = F.col("idx") % 3, F.col("len")
+    orders = F.array(
+        F.when(r != 2, order(1, F.col("p"), zero, "name1", length + F.col("bytes1"))),
+        F.when(r != 1, order(2, F.col("p"), F.col("p1"), "name2", length + F.col("l1") + F.col("bytes2"))),
+        F.when(r != 0, order(3, zero, zero, "name", F.col("bytes"))),
     )
-    every = written(orders[0].union(orders[1]).union(orders[2]).where(F.col("cover") >= least), "orders")
+    every = written(full.select("tag", "pos", F.explode(orders).alias("x")).select("tag", "pos", "x.*").where((F.col("rank") > 0) & (F.col("cover") >= least)), "orders")
     # side by side in an order with equal bounded prefixes: the rows of one key
     beside = every.groupBy("o", "p", "q", "rank").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    return every.join(beside, ["o", "p", "q", "rank"], "left_semi").groupBy("tag", "pos").agg(F.max("cover").alias("cover")).select("tag", F.col("pos").alias("start"), (F.col("pos") + F.col("cover")).alias("end"))
+    runs = every.join(beside, ["o", "p", "q", "rank"], "left_semi").groupBy("tag", "pos").agg(F.max("cover").alias("cover"))
+    out = written(runs.select("tag", F.col("pos").cast("long").alias("start"), (F.col("pos") + F.col("cover")).cast("long").alias("end")), "runs")
+    release(every, sample)
+    return out
 
 
 def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -260,28 +270,43 @@ def cut(texts: DataFrame) -> DataFrame:
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, removed ([start, end] in bytes)."""
     rows = _tagged(docs, id_col, text_col)
+    bytes_ = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    plain = written(rows.select("tag", "doc_id", F.octet_length(bytes_).cast("long").alias("n_bytes"), F.sha2(bytes_, 256).alias("kept_sha256")), "plain")
+    # whole copies: of each group one takes part in the search; all of them go if they are long enough
+    copies = plain.groupBy("kept_sha256").agg(F.min("tag").alias("rep"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
+    plain = written(plain.join(copies, "kept_sha256", "left"), "plain")
+    twin = F.col("rep").isNotNull()
     marks = coarse(rows)
     twice = written(marks.groupBy("c").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("c"), "twice")
-    at = written(marks.join(twice, "c", "left_semi").groupBy("tag").agg(F.collect_list("pos").alias("at")), "marks")
+    at = marks.join(twice, "c", "left_semi").groupBy("tag").agg(F.collect_list("pos").alias("at"))
+    at = written(at.join(plain.where(twin & (F.col("tag") != F.col("rep"))).select("tag"), "tag", "left_anti"), "marks")
+    release(twice)
     texts = written(rows.join(at, "tag"), "texts")
-    string = phrases(texts.select("tag", "text", "at"))
-    string = written(string, "phrases")
-    runs = written(repeated_runs(string), "runs")
+    release(at)
+    string = written(phrases(texts.select("tag", "text", "at")), "phrases")
+    runs = repeated_runs(string)
     # windows at the ends of repeats, in blocks that share their core
-    blocks = string.where("hi >= lo").select("tag", "lo", "hi", "c", "e")
+    blocks = string.where("hi >= lo").select("tag", F.col("lo").cast("long").alias("lo"), F.col("hi").cast("long").alias("hi"), "c", "e")
     variants = written(blocks.groupBy("c", "e").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("tag", "lo", "hi")).alias("rep")), "variants")
     same = variants.where("n > 1").select("c", "e")
     whole = blocks.join(same, ["c", "e"], "left_semi").select("tag", F.col("lo").alias("start"), (F.col("hi") + LENGTH).alias("end"))
     found = written(_by_text(runs.union(whole), "covered"), "covered")
     open_ = variants.groupBy("c").agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("least")).where("k > 1 and least = 1").select("c")
-    reps = variants.join(open_, "c", "left_semi").select("rep.tag", F.struct("rep.lo", "rep.hi", "n").alias("b")).groupBy("tag").agg(F.collect_list("b").alias("blocks"))
+    reps = written(variants.join(open_, "c", "left_semi").select("rep.tag", F.struct("rep.lo", "rep.hi", "n").alias("b")).groupBy("tag").agg(F.collect_list("b").alias("blocks")), "blocks")
+    release(string, runs, variants)
     checked = written(windows(texts.select("tag", "text").join(reps, "tag").join(found, "tag", "left")), "windows")
     again = checked.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
     ends = checked.join(again, "h", "left_semi").select("tag", "start", (F.col("start") + LENGTH).alias("end"))
-    flat = found.select("tag", F.explode(F.arrays_zip(F.slice("covered", F.lit(1), (F.size("covered") / 2).cast("int")).alias("start"), F.slice("covered", (F.size("covered") / 2).cast("int") + 1, F.size("covered")).alias("end"))).alias("x")).select("tag", "x.*")
+    half = (F.size("covered") / 2).cast("int")
+    flat = found.select("tag", F.explode(F.arrays_zip(F.slice("covered", F.lit(1), half).alias("start"), F.slice("covered", half + 1, F.size("covered")).alias("end"))).alias("x")).select("tag", "x.*")
     spans = written(_by_text(flat.union(ends), "covered"), "spans")
-    changed = cut(texts.select("tag", "doc_id", "text").join(spans, "tag", "left"))
-    bytes_ = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    plain = rows.select("tag", "doc_id", F.octet_length(bytes_).cast("long").alias("n_bytes"), F.sha2(bytes_, 256).alias("kept_sha256")).join(at.select("tag"), "tag", "left_anti")
-    zero = F.lit(0).cast("long")
-    return changed.unionByName(plain.select("doc_id", "n_bytes", zero.alias("n_removed"), zero.alias("n_spans"), "kept_sha256", F.expr("cast(array() as array<array<bigint>>)").alias("removed")))
+    release(reps, checked, found)
+    changed = cut(texts.select("tag", "doc_id", "text").join(plain.where(twin).select("tag"), "tag", "left_anti").join(spans, "tag"))
+    gone = twin & (F.col("n_bytes") >= LENGTH)
+    rest = plain.join(spans.select("tag", F.lit(True).alias("hit")), "tag", "left").where(twin | F.col("hit").isNull())
+    ranges = "array<array<bigint>>"
+    rest = rest.select(
+        "doc_id", "n_bytes", F.when(gone, F.col("n_bytes")).otherwise(0).cast("long").alias("n_removed"), F.when(gone, 1).otherwise(0).cast("long").alias("n_spans"),
+        F.when(gone, F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.col("kept_sha256")).alias("kept_sha256"), F.when(gone, F.array(F.array(F.lit(0).cast("long"), F.col("n_bytes")))).otherwise(F.expr(f"cast(array() as {ranges})")).alias("removed"),
+    )
+    return changed.unionByName(rest)
