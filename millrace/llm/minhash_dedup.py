@@ -174,6 +174,7 @@ def likely(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row per row: doc_id, class_id (same words), component_id (linked classes), n_docs, kept."""
+    spark = docs.sparkSession
     sigs = written(signatures(docs, id_col, text_col), "signatures")
     named = sigs.where("bands is not null and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("cls"), F.count(F.lit(1)).alias("n"), F.first(F.struct("bands", "sketch")).alias("s"))
     classes = written(named.select("k1", "k2", "cls", "n", "s.*"), "classes")
@@ -182,21 +183,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = classes.select("cls", F.posexplode("bands").alias(*bucket))
     shared = rows.groupBy(*bucket).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     met = written(rows.join(shared, bucket), "met")
-    hubs = met.groupBy(*bucket, F.pmod(F.xxhash64("cls"), F.lit(HUBS)).alias("salt")).agg(F.min("cls").alias("hub")).drop("salt")
-    tried = met.join(hubs, bucket).where("cls <> hub").select(F.least("hub", "cls").alias("a"), F.greatest("hub", "cls").alias("b")).distinct()
-    tried = written(tried, "tried")
-    links = _linked(docs, id_col, text_col, tried, sketches, threshold)
-    comp = written(components(links), "components")
-    # what is left: members of one bucket whose components differ, after the comparison with its hubs
-    left = met.join(comp.toDF("cls", "comp"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    sizes = left.groupBy(*bucket).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n"))
-    mixed = sizes.where(F.col("lo") < F.col("hi")).where(F.col("n") > 2).select(*bucket)
-    left = written(left.join(mixed, bucket, "left_semi"), "left")
-    x, y = left.select(*bucket, F.col("cls").alias("a"), F.col("comp").alias("ca")), left.select(*bucket, F.col("cls").alias("b"), F.col("comp").alias("cb"))
-    rest = x.join(y, bucket).where("ca <> cb and a < b").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
-    more = _linked(docs, id_col, text_col, rest, sketches, threshold)
-    if not more.isEmpty():
-        comp = written(components(links.union(more)), "components")
+    # compare with one member of each bucket, then with HUBS, then with all: each time only members of buckets
+    # in which different components are left, and only across components
+    tried = links = comp = None
+    for hubs in (1, HUBS, None):
+        if comp is None:
+            left = met.withColumn("comp", F.col("cls"))
+        else:
+            left = met.join(comp.toDF("cls", "comp"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+            mixed = left.groupBy(*bucket).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where(F.col("lo") < F.col("hi")).select(*bucket)
+            left = written(left.join(mixed, bucket, "left_semi"), "left")
+        if hubs:
+            hub = left.groupBy(*bucket, F.pmod(F.xxhash64("cls"), F.lit(hubs)).alias("salt")).agg(F.min(F.struct("cls", "comp")).alias("hub")).drop("salt")
+        else:
+            hub = left.select(*bucket, F.struct("cls", "comp").alias("hub"))
+        pairs = left.join(hub, bucket).where((F.col("cls") != F.col("hub.cls")) & (F.col("comp") != F.col("hub.comp")))
+        pairs = pairs.select(F.least("hub.cls", "cls").alias("a"), F.greatest("hub.cls", "cls").alias("b")).distinct()
+        pairs = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        if pairs.isEmpty():
+            break
+        found = _linked(docs, id_col, text_col, pairs, sketches, threshold)
+        tried = pairs if tried is None else tried.union(pairs)
+        links = found if links is None else links.union(found)
+        comp = written(components(links), "components") if comp is None or not found.isEmpty() else comp
+    if comp is None:
+        comp = spark.createDataFrame([], "cls bigint, component bigint")
     named = comp.toDF("cls", "component")
     found = classes.select("k1", "k2", "cls", "n").join(named, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     found = written(found, "named")
