@@ -181,8 +181,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sketches = classes.select("cls", "sketch")
     bucket = ["band", "hash"]
     rows = classes.select("cls", F.posexplode("bands").alias(*bucket))
-    shared = rows.groupBy(*bucket).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    met = written(rows.join(shared, bucket), "met")
+    shared = rows.groupBy(*bucket).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    met = rows.join(shared, bucket)
+    # the more members a class meets, the more central it is: an original meets its copies oftener than they each other
+    central = met.groupBy("cls").agg((-F.sum("n")).alias("rank"))
+    met = written(met.drop("n").join(central, "cls"), "met")
     # compare with one member of each bucket, then with HUBS, then with all: each time only members of buckets
     # in which different components are left, and only across components
     tried = links = comp = None
@@ -194,7 +197,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             mixed = left.groupBy(*bucket).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where(F.col("lo") < F.col("hi")).select(*bucket)
             left = written(left.join(mixed, bucket, "left_semi"), "left")
         if hubs:
-            hub = left.groupBy(*bucket, F.pmod(F.xxhash64("cls"), F.lit(hubs)).alias("salt")).agg(F.min(F.struct("cls", "comp")).alias("hub")).drop("salt")
+            hub = left.groupBy(*bucket, F.pmod(F.xxhash64("cls"), F.lit(hubs)).alias("salt")).agg(F.min(F.struct("rank", "cls", "comp")).alias("hub")).drop("salt")
         else:
             hub = left.select(*bucket, F.struct("cls", "comp").alias("hub"))
         pairs = left.join(hub, bucket).where((F.col("cls") != F.col("hub.cls")) & (F.col("comp") != F.col("hub.comp")))
