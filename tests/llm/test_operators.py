@@ -95,10 +95,11 @@ def test_quality(spark):
     words = vocabulary(8, 300)
     texts = [prose(rng, words, 80).capitalize() + "." if k % 3 else " ".join(w.upper() + "!!" for w in rng.choice(words, 80)) for k in range(300)] + [None, ""]
     labels = spark.createDataFrame([(k, int(k % 3 > 0)) for k in range(0, 300, 2)] + [(None, 1), (1000, None)], "doc_id long, quality int")
-    feats = quality.features(docs_of(spark, texts)).localCheckpoint() if False else quality.features(docs_of(spark, texts))
+    feats = quality.features(docs_of(spark, texts))
     model = quality.train(feats.where("doc_id < 200"), labels.where("doc_id < 200"))
     out = {r.doc_id: r.score for r in quality.apply(feats, model).collect()}
-    assert all((out[k] >= 0.7) == (k % 3 > 0) for k in range(200, 300)) and 0 <= out[300] <= 1 and 0 <= out[301] <= 1
+    good, bad = [out[k] for k in range(200, 300) if k % 3], [out[k] for k in range(200, 300) if not k % 3]
+    assert np.mean([g > b for g in good for b in bad]) > 0.9 and 0 <= out[300] <= 1 and 0 <= out[301] <= 1
     assert {r.score for r in quality.apply(feats, quality.train(feats, labels.limit(0))).collect()} == {0.5}
 
 

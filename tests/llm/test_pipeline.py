@@ -16,7 +16,7 @@ def test_stages(spark, tmp_path):
     rows = [(k, text(int(rng.integers(20, 400))), "en", f"s{k % 4}", 1) for k in range(120)]
     near = rows[5][1].split()
     near[3] = "changed"
-    rows += [(200, rows[0][1] + " ", "en", "s0", 1), (201, " ".join(near), "en", "s1", 1), (202, None, None, None, None), (203, "!!! 123", "en", "s2", 1), rows[7]]
+    rows += [(200, rows[0][1].replace(" ", " \t", 1), "en", "s0", 1), (201, " ".join(near), "en", "s1", 1), (202, None, None, None, None), (203, "!!! 123", "en", "s2", 1), rows[7]]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumn("row", F.lit(1)).withColumn("score", F.lit(2.0))
     df.write.parquet(str(tmp_path / "documents.parquet"))
     docs, seen = spark.read.parquet(str(tmp_path / "documents.parquet")), {}
