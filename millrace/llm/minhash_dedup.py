@@ -6,9 +6,11 @@ elements whose next arrival comes after every register's first stop early. Regis
 with the probability Jaccard similarity. Documents that agree on a band become candidates, and only pairs
 whose exact probability Jaccard reaches the threshold are linked.
 
-Documents with the same words are one class. In each bucket the members are compared with HUBS of its
-classes; those that then still lie in different components are compared with each other, so no link between
-components is lost, and no large bucket is expanded into all its pairs. A pair is verified if enough of its
+Documents with the same words are one class. In each bucket the members are first compared with its most
+central class. Only buckets in which different components are left are compared further, and only across
+components: small ones pair by pair, larger ones in blocks. The members of a bucket's largest component need
+not be compared with each other, so a bucket of m others and M members of that component takes work in
+proportion to m (m + M), and no link between components is lost. A pair of a small bucket is verified if enough of its
 registers agree: of pairs at the threshold about one in a million has fewer, while a band lets one in
 fifteen thousand slip.
 
@@ -22,6 +24,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,8 +35,12 @@ from .hashing import mix, shingles, words
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 24, 5
-#: Members that stand for a bucket in the first comparison.
-HUBS = 8
+#: Members of a bucket that is compared pair by pair; larger ones are compared in blocks.
+SMALL = 16
+#: Members and bytes of a block, on average; two blocks meet in one task.
+BLOCK, BLOCK_BYTES = 256, 8 << 20
+#: Elements of one step of a block's comparison; bounds its matrices.
+COLUMNS = 4096
 #: Least number of the BANDS x ROWS registers that agree for a pair to be verified: 0.8 less 4.8 deviations.
 AGREE = 75
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -186,31 +193,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # the more members a class meets, the more central it is: an original meets its copies oftener than they each other
     central = met.groupBy("cls").agg((-F.sum("n")).alias("rank"))
     met = written(met.drop("n").join(central, "cls"), "met")
-    # compare with one member of each bucket, then with HUBS, then with all: each time only members of buckets
-    # in which different components are left, and only across components
-    tried = links = comp = None
-    for hubs in (1, HUBS, None):
-        if comp is None:
-            left = met.withColumn("comp", F.col("cls"))
-        else:
-            left = met.join(comp.toDF("cls", "comp"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-            mixed = left.groupBy(*bucket).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where(F.col("lo") < F.col("hi")).select(*bucket)
-            left = written(left.join(mixed, bucket, "left_semi"), "left")
-        if hubs:
-            hub = left.groupBy(*bucket, F.pmod(F.xxhash64("cls"), F.lit(hubs)).alias("salt")).agg(F.min(F.struct("rank", "cls", "comp")).alias("hub")).drop("salt")
-        else:
-            hub = left.select(*bucket, F.struct("cls", "comp").alias("hub"))
-        pairs = left.join(hub, bucket).where((F.col("cls") != F.col("hub.cls")) & (F.col("comp") != F.col("hub.comp")))
-        pairs = pairs.select(F.least("hub.cls", "cls").alias("a"), F.greatest("hub.cls", "cls").alias("b")).distinct()
-        pairs = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        if pairs.isEmpty():
-            break
-        found = _linked(docs, id_col, text_col, pairs, sketches, threshold)
-        tried = pairs if tried is None else tried.union(pairs)
-        links = found if links is None else links.union(found)
-        comp = written(components(links), "components") if comp is None or not found.isEmpty() else comp
-    if comp is None:
-        comp = spark.createDataFrame([], "cls bigint, component bigint")
+    hub = met.groupBy(*bucket).agg(F.min(F.struct("rank", "cls")).alias("hub"))
+    links = _linked(docs, id_col, text_col, _pairs(met.join(hub, bucket).where(F.col("cls") != F.col("hub.cls"))), sketches, threshold)
+    comp = written(components(links), "components")
+    # buckets in which different components are left
+    left = met.join(comp.toDF("cls", "comp"), "cls", "left").select(*bucket, "cls", F.coalesce("comp", "cls").alias("comp"))
+    parts = left.groupBy(*bucket, "comp").agg(F.count(F.lit(1)).alias("n"))
+    mixed = parts.groupBy(*bucket).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"), F.max(F.struct("n", "comp"))["comp"].alias("major")).where("k > 1").drop("k")
+    left = written(left.join(mixed, bucket), "left")
+    small = left.where(F.col("n") <= SMALL).drop("n", "major")
+    other = small.select(*bucket, F.struct("cls", "comp").alias("hub"))
+    found = _linked(docs, id_col, text_col, _pairs(small.join(other, bucket).where((F.col("cls") < F.col("hub.cls")) & (F.col("comp") != F.col("hub.comp")))), sketches, threshold)
+    large = left.where(F.col("n") > SMALL)
+    if not large.isEmpty():
+        found = found.union(written(block_links(large, _elements_of(docs, id_col, text_col, large), threshold), "block-links"))
+    if not found.isEmpty():
+        comp = written(components(links.union(found)), "components")
     named = comp.toDF("cls", "component")
     found = classes.select("k1", "k2", "cls", "n").join(named, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     found = written(found, "named")
@@ -221,12 +219,99 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return has.union(none).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def _pairs(met: DataFrame) -> DataFrame:
+    """Distinct (a, b), a < b, of rows with cls and hub.cls."""
+    return written(met.select(F.least("hub.cls", "cls").alias("a"), F.greatest("hub.cls", "cls").alias("b")).distinct(), "pairs")
+
+
+def _elements_of(docs: DataFrame, id_col: str, text_col: str, classes: DataFrame) -> DataFrame:
+    """Elements of the classes in column cls; only their texts are read again."""
+    wanted = written(classes.select("cls").distinct(), "wanted")
+    texts = docs.select(F.col(id_col).cast("long").alias("cls"), F.col(text_col).alias("text")).join(wanted, "cls", "left_semi")
+    return written(elements(texts).dropDuplicates(["cls"]), "elements")
+
+
 def _linked(docs: DataFrame, id_col: str, text_col: str, pairs: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
-    """The pairs that verification links; only the texts of likely pairs are read again."""
+    """The pairs that verification links."""
     good = written(likely(pairs, sketches), "likely")
     if good.isEmpty():
         return good
-    wanted = written(good.select(F.col("a").alias("cls")).union(good.select("b")).distinct(), "wanted")
-    texts = docs.select(F.col(id_col).cast("long").alias("cls"), F.col(text_col).alias("text")).join(wanted, "cls", "left_semi")
-    els = written(elements(texts).dropDuplicates(["cls"]), "elements")
+    els = _elements_of(docs, id_col, text_col, good.select(F.col("a").alias("cls")).union(good.select("b")))
     return written(verify(good, els, threshold), "links")
+
+
+def block_links(members: DataFrame, els: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Links (a, b) that join the components of each bucket, of (band, hash, cls, comp, major) rows.
+
+    The members outside a bucket's major component are dealt to ``ms`` blocks and meet each other and all
+    ``mb`` blocks of the major component; each meeting of two blocks is one group, of bounded size.
+    """
+    bucket, minor = ["band", "hash"], F.col("comp") != F.col("major")
+    sized = members.join(els.select("cls", (F.octet_length("e") + F.octet_length("w")).alias("size")), "cls")
+    blocks = lambda of: F.greatest(F.lit(1), F.ceil(F.count(F.when(of, 1)) / BLOCK), F.ceil(F.sum(F.when(of, F.col("size")).otherwise(0)) / BLOCK_BYTES)).cast("int")
+    sizes = sized.groupBy(*bucket).agg(blocks(minor).alias("ms"), blocks(~minor).alias("mb"))
+    place = F.xxhash64("cls", "band")
+    dealt = members.join(sizes, bucket).withColumn("k", F.when(minor, F.pmod(place, F.col("ms"))).otherwise(F.col("ms") + F.pmod(place, F.col("mb"))).cast("int"))
+    meets = F.sequence(F.lit(0), F.when(minor, F.col("ms") + F.col("mb")).otherwise(F.col("ms")) - 1)
+    cells = dealt.withColumn("o", F.explode(meets)).select(*bucket, F.least("k", "o").alias("i"), F.greatest("k", "o").alias("j"), "k", "cls", "comp")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        k = pdf["k"].to_numpy()
+        left, right = np.flatnonzero(k == pdf["i"].iloc[0]), np.flatnonzero(k == pdf["j"].iloc[0])
+        sets = [(np.frombuffer(e, "<u4"), np.frombuffer(w, "<u4")) for e, w in zip(pdf["e"], pdf["w"], strict=True)]
+        cls = pdf["cls"].to_numpy(np.int64)
+        found = joining(sets, pdf["comp"].to_numpy(np.int64), left, right, threshold) if len(left) and len(right) else []
+        a, b = (cls[[x[c] for x in found]] if found else np.zeros(0, np.int64) for c in (0, 1))
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return cells.join(els, "cls").groupBy(*bucket, "i", "j").applyInPandas(run, "a bigint, b bigint")
+
+
+def joining(sets: list[tuple[np.ndarray, np.ndarray]], comp: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+    """Pairs of ``left`` x ``right`` that reach the threshold, as many as it takes to join their components.
+
+    Sets without repeats are settled by their common elements. Of others, the similarity is at most the
+    weight that either has in common elements; pairs within that bound are verified.
+    """
+    sizes = np.array([len(e) for e, _ in sets])
+    total = np.array([w.sum() for _, w in sets], float)
+    doc, weight = np.repeat(np.arange(len(sets)), sizes), np.concatenate([w for _, w in sets]).astype(np.float32)
+    _, column, uses = np.unique(np.concatenate([e for e, _ in sets]), return_inverse=True, return_counts=True)
+    keep = np.flatnonzero(uses[column] > 1)
+    keep = keep[np.argsort(column[keep], kind="stable")]
+    number = (np.cumsum(uses > 1) - 1)[column[keep]]
+    doc, weight = doc[keep], weight[keep]
+    plain = total == sizes
+    common, mine, yours = (np.zeros((len(left), len(right))) for _ in range(3))
+    for lo in range(0, int(number[-1]) + 1 if len(number) else 0, COLUMNS):
+        s, e = np.searchsorted(number, [lo, lo + COLUMNS])
+        m = np.zeros((len(sets), COLUMNS), np.float32)
+        m[doc[s:e], number[s:e] - lo] = weight[s:e]
+        there = (m > 0).astype(np.float32)
+        common += there[left] @ there[right].T
+        if not plain.all():
+            mine += m[left] @ there[right].T
+            yours += there[left] @ m[right].T
+    across = comp[left][:, None] != comp[right][None, :]
+    if np.array_equal(left, right):
+        across &= np.triu(np.ones(across.shape, bool), 1)
+    both = plain[left][:, None] & plain[right][None, :]
+    sure = across & both & (common >= threshold * (sizes[left][:, None] + sizes[right][None, :] - common) - 1e-9)
+    close = across & ~both & (mine >= threshold * total[left][:, None] - 1e-6) & (yours >= threshold * total[right][None, :] - 1e-6)
+    root = {c: c for c in comp.tolist()}
+
+    def find(c: int) -> int:
+        while root[c] != c:
+            root[c] = root[root[c]]
+            c = root[c]
+        return c
+
+    out = []
+    for pairs, known in ((np.argwhere(sure), True), (np.argwhere(close), False)):
+        for x, y in pairs.tolist():
+            a, b = int(left[x]), int(right[y])
+            ra, rb = find(int(comp[a])), find(int(comp[b]))
+            if ra != rb and (known or similarity(sets[a], sets[b]) >= threshold - 1e-12):
+                root[ra] = rb
+                out.append((a, b))
+    return out
