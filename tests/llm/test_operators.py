@@ -200,6 +200,63 @@ def test_minhash(spark):
     assert minhash_dedup.near_duplicates(docs_of(spark, texts).limit(0)).count() == 0
 
 
+def minhash_family(seed, n, repeats):
+    """Sets around one base with 0 to 30 elements changed; every third has repeated elements if ``repeats``."""
+    rng = np.random.default_rng(seed)
+    base, sets = rng.choice(10_000, 120, replace=False), []
+    for k in range(n):
+        x, c = base.copy(), int(rng.integers(0, 30))
+        x[rng.choice(120, c, replace=False)] = rng.choice(10_000, c) + 10_000
+        x = np.unique(x).astype("<u4")
+        w = np.ones(len(x), "<u4")
+        if repeats and k % 3 == 0:
+            w[: rng.integers(0, 20)] = rng.integers(2, 5)
+        sets.append((x, w))
+    return sets
+
+
+def partition(n, links):
+    root = list(range(n))
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a, b in links:
+        root[max(find(a), find(b))] = min(find(a), find(b))
+    return [find(k) for k in range(n)]
+
+
+@pytest.mark.parametrize("repeats", [False, True])
+def test_joining_matches_all_pairs(repeats, monkeypatch):
+    monkeypatch.setattr(minhash_dedup, "COLUMNS", 64)  # several steps
+    n = 60
+    sets = minhash_family(17, n, repeats)
+    pairs = [(a, b) for a in range(n) for b in range(a) if minhash_dedup.similarity(sets[a], sets[b]) >= 0.8 - 1e-12]
+    every, low, high = np.arange(n), np.arange(25), np.arange(25, n)
+    assert partition(n, minhash_dedup.joining(sets, every, every, every, 0.8)) == partition(n, pairs)
+    assert partition(n, minhash_dedup.joining(sets, every, low, high, 0.8)) == partition(n, [p for p in pairs if (p[0] < 25) != (p[1] < 25)])
+    assert minhash_dedup.joining(sets, np.zeros(n, np.int64), every, every, 0.8) == []
+    odd = [(np.zeros(0, "<u4"), np.zeros(0, "<u4")), sets[0]]
+    assert minhash_dedup.joining(odd, np.arange(2), np.array([0]), np.array([1]), 0.8) == []
+
+
+def test_blocks_of_a_bucket_lose_no_link(spark, monkeypatch):
+    """One bucket over many small blocks, some members already in one component."""
+    monkeypatch.setattr(minhash_dedup, "BLOCK", 7)
+    n, known = 50, 20
+    sets = minhash_family(18, n, True)
+    near = [(a, b) for a in range(n) for b in range(a) if minhash_dedup.similarity(sets[a], sets[b]) >= 0.8 - 1e-12]
+    rows = [(0, 1, k, 0 if k < known else k, 0) for k in range(n)]
+    members = spark.createDataFrame(rows, "band int, hash long, cls long, comp long, major long")
+    els = spark.createDataFrame([(k, bytearray(e.tobytes()), bytearray(w.tobytes())) for k, (e, w) in enumerate(sets)], "cls long, e binary, w binary")
+    found = [(r.a, r.b) for r in minhash_dedup.block_links(members, els).collect()]
+    assert set(found) <= {(min(p), max(p)) for p in near}
+    whole = [(0, k) for k in range(known)]
+    assert partition(n, found + whole) == partition(n, near + whole)
+
+
 def test_similarity_and_estimate():
     rng = np.random.default_rng(13)
     x, y = ({int(k): int(rng.integers(1, 5)) for k in rng.choice(200, 120, replace=False)} for _ in range(2))
