@@ -1,40 +1,41 @@
 """Cross-entropy difference of two matched n-gram models.
 
-Both models share one vocabulary, the most frequent words of all documents, with one token for every other
-word. Each is a class bigram model interpolated with its unigram model: frequent words are classes of their
-own, all others form one class. The background's counts are scaled to the target's number of tokens, so that
-the same smoothing weighs alike in both. A document's score is its loss per token under the background less
-its loss under the target: the higher, the closer to the target.
-
-Counts come from every row of the tables; what grows with the corpus is shuffled, and the models that reach
-each task have a fixed bound. Defined results: null and empty texts have 0 tokens, null losses and score 0;
-without target rows (or background rows) both models are the same and every score is 0; repeated rows count
-as often as they occur.
+Both models share one vocabulary: every word that occurs at least MIN_COUNT times in all documents; all other
+words are one token. Each is a bigram model interpolated with its unigram model; a bigram's count is backed by
+its unigram probability, and after a rare word, or at a text's start, the unigram model stands alone. The
+background's counts are scaled to the target's number of tokens, so that the same smoothing weighs alike in
+both. A document's score is its loss per token under the background less its loss under the target: the
+higher, the closer to the target.
+
+The n-gram tables come from every row and grow with the corpus; they are shuffled, and so are the documents'
+own n-grams, summed for each document, to meet them. Only the HOT most frequent bigrams, which would be hot
+keys, are broadcast; that changes no result. Words are 64-bit hashes, pairs 64-bit hashes of two.
+
+Defined results: null and empty texts have 0 tokens, null losses and score 0; without target rows (or
+background rows) both models are the same and every score is 0; repeated rows count as often as they occur.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import release, written
 
-#: Bound of the shared vocabulary, and of the words that are classes of their own.
-VOCABULARY, CLASSES = 32_768, 1024
-#: Longer words are never in the vocabulary, which bounds its bytes.
-LONGEST = 40
 BIGRAM_WEIGHT, ADD = 0.7, 0.1
 #: Words that occur less often are never in the vocabulary; bins of the count histogram for each power of two.
 MIN_COUNT, BINS = 2, 64
-#: Distinct words that a task holds before it hands its partial counts on.
-HELD = 500_000
+#: Most bigrams that are broadcast.
+HOT = 1 << 18
+#: Tokens (and cached word hashes) that a task holds before it hands its partial counts on.
+HELD = 2_000_000
+CACHED = 500_000
 _WORD = re.compile(r"\w+|[^\w\s]")
 
 
@@ -42,132 +43,144 @@ def tokenise(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, n) over all texts; summed per task before the shuffle."""
+class Hashes(dict):
+    """Word to its 64-bit hash, which is never 0; holds a bounded number of words."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= CACHED:
+            self.clear()
+        h = self[word] = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True) or 1
+        return h
+
+    def of(self, text: str | None) -> np.ndarray:
+        words = tokenise(text)
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+
+
+def before(h: np.ndarray) -> np.ndarray:
+    """The word before each word; 0 at the start."""
+    return np.r_[np.zeros(min(1, len(h)), np.int64), h[:-1]]
+
+
+def pair_keys(h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+    u = h1.view(np.uint64)
+    return ((u << np.uint64(1) | u >> np.uint64(63)) ^ h2.view(np.uint64)).view(np.int64)
+
+
+def _pair_key(h1: str, h2: str) -> Column:
+    return F.shiftleft(h1, 1).bitwiseOR(F.shiftrightunsigned(h1, 63)).bitwiseXOR(F.col(h2))
+
+
+def bigrams(docs: DataFrame) -> DataFrame:
+    """(h1, h2, n0, n1): counts of every pair in background and target; h1 is 0 at the start of a text.
+
+    ``docs`` has text and target. Counts are summed per task before the shuffle.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush() -> pa.RecordBatch:
-            kept = [(w, n) for w, n in counts.items() if len(w) <= LONGEST]
-            counts.clear()
-            return pa.RecordBatch.from_arrays([pa.array([w for w, _ in kept], pa.string()), pa.array([n for _, n in kept], pa.int64())], names=["word", "n"])
-
-        counts: Counter[str] = Counter()
+            h1, h2, side = (np.concatenate([x[k] for x in held]) for k in range(3))
+            held.clear()
+            order = np.lexsort((h2, h1))
+            h1, h2, side = h1[order], h2[order], side[order]
+            at = np.flatnonzero(np.r_[True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])])
+            near, every = np.add.reduceat(side, at), np.diff(np.r_[at, len(h1)])
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (h1[at], h2[at], every - near, near)], names=["h1", "h2", "n0", "n1"])
+
+        held, size, hashes = [], 0, Hashes()
         for batch in batches:
-            for text in batch.column("text"):
-                counts.update(tokenise(text.as_py()))
-                if len(counts) > HELD:
+            for text, target in zip(batch.column("text"), batch.column("target").to_pylist(), strict=True):
+                h = hashes.of(text.as_py())
+                held.append((before(h), h, np.full(len(h), int(target), np.int64)))
+                size += len(h)
+                if size > HELD:
                     yield flush()
-        yield flush()
+                    size = 0
+        if size:
+            yield flush()
 
-    return docs.select("text").mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    rows = docs.select("text", "target").mapInArrow(run, "h1 bigint, h2 bigint, n0 bigint, n1 bigint")
+    return rows.groupBy("h1", "h2").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
 
-def vocabulary(docs: DataFrame) -> dict[str, int]:
-    """Word to id, by falling count; id 0 is every other word. At most VOCABULARY entries.
+def losses(pairs: DataFrame) -> DataFrame:
+    """(key, n, l0, l1): nats of the second word of each pair under background and target, and the pair's count.
 
-    The least count of a vocabulary word follows from a histogram of counts (BINS bins a power of two), so
-    only words that are in it reach the driver.
+    u: count of the word; c: of the word before it, as such; r: of that word before any rare word.
+    """
+    words = written(pairs.groupBy("h2").agg(F.sum("n0").alias("u0"), F.sum("n1").alias("u1")), "words")
+    known = F.col("u0") + F.col("u1") >= MIN_COUNT
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("double")
+    size0, size1, rare0, rare1, kinds = words.agg(zero(F.sum("u0")), zero(F.sum("u1")), zero(F.sum(F.when(~known, F.col("u0")))), zero(F.sum(F.when(~known, F.col("u1")))), F.count_if(known)).first()
+    vocab = words.where(known)
+    both = not size0 or not size1  # one side is missing: both are the sum
+    scaled = lambda a, b: (F.col(a) + F.col(b), F.col(a) + F.col(b)) if both else (F.col(a) * F.lit(size1 / size0), F.col(b).cast("double"))
+    rare = (rare0 + rare1, rare0 + rare1) if both else (rare0 * size1 / size0, rare1)
+    total = (size0 + size1 if both else size1) + ADD * (kinds + 1)
+    joined = written(pairs.join(vocab, "h2", "left"), "joined")
+    sums = {f"c{k}": F.sum(f"n{k}") for k in (0, 1)} | {f"r{k}": F.sum(F.when(F.col("u0").isNull(), F.col(f"n{k}")).otherwise(0)) for k in (0, 1)}
+    context = joined.where("h1 <> 0").groupBy("h1").agg(*[v.alias(k) for k, v in sums.items()])
+    context = context.join(vocab.select(F.col("h2").alias("h1")), "h1", "left_semi")
+    rows = joined.join(written(context, "contexts"), "h1", "left")
+    out = []
+    for k in (0, 1):
+        p = (F.coalesce(scaled("u0", "u1")[k], F.lit(rare[k])) + ADD) / total
+        n = F.when(F.col("u0").isNull(), scaled("r0", "r1")[k]).otherwise(scaled("n0", "n1")[k])
+        after = (1 - BIGRAM_WEIGHT) * p + BIGRAM_WEIGHT * (n + ADD * p) / (scaled("c0", "c1")[k] + ADD)
+        out.append((-F.log(F.coalesce(after, p))).alias(f"l{k}"))
+    table = written(rows.select(_pair_key("h1", "h2").alias("key"), (F.col("n0") + F.col("n1")).alias("n"), *out), "losses")
+    release(joined, words)
+    return table
+
+
+def hottest(table: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
+    """Keys and losses of at most HOT of the most frequent pairs, sorted by key, and the least bin of their counts.
+
+    The bin follows from a histogram of counts, so only those pairs reach the driver.
     """
-    words = written(word_counts(docs).where(F.col("n") >= MIN_COUNT), "words")
     at = F.floor(F.log2("n") * BINS).cast("long")
-    room, least = VOCABULARY - 1, None
-    for r in sorted(words.groupBy(at.alias("bin")).agg(F.count(F.lit(1)).alias("k")).collect(), key=lambda r: -r["bin"]):  # at most 64 x BINS rows
+    room, least = HOT, float("inf")
+    for r in sorted(table.groupBy(at.alias("bin")).agg(F.count(F.lit(1)).alias("k")).collect(), key=lambda r: -r["bin"]):  # at most 64 x BINS rows
         if r["k"] > room:
             break
         room, least = room - r["k"], r["bin"]
-    if least is None:
-        return {}
-    top = words.where(at >= least).toPandas().sort_values(["n", "word"], ascending=[False, True])["word"]
-    return {w: k + 1 for k, w in enumerate(top)}
+    top = table.where(at >= F.lit(least)).select("key", "l0", "l1").toPandas().sort_values("key")
+    return top["key"].to_numpy(np.int64), top[["l0", "l1"]].to_numpy(float), least
 
 
-def counts(docs: DataFrame, vocab: dict[str, int]) -> dict[str, np.ndarray]:
-    """uni (2 x VOCABULARY) and bi (2 x CLASSES x CLASSES) token counts; row 1 is the target.
+def score(docs: DataFrame, table: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(doc_id, n_tokens, loss_background, loss_target, score) of each whole text.
 
-    ``docs`` has text and target. Each task adds up its own rows; sums of blocks are shuffled.
+    Hot pairs are summed where the text is read. Of the others each document has one row a pair, which meets
+    the table by a merge join; one further row of each document, whose key meets nothing, brings the rest.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(vocab)
+    keys, values, least = hottest(table)
+    shared = docs.sparkSession.sparkContext.broadcast((keys, values))  # bounded: HOT
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = shared.value.get
-        uni, bi = np.zeros((2, VOCABULARY), np.int64), np.zeros((2, CLASSES * CLASSES), np.int64)
+        hot, lost = shared.value
+        hashes = Hashes()
         for batch in batches:
-            for text, target in zip(batch.column("text"), batch.column("target").to_pylist(), strict=True):
-                ids = np.array([get(w, 0) for w in tokenise(text.as_py())], np.int64)
-                uni[int(target)] += np.bincount(ids, minlength=VOCABULARY) if len(ids) > 4096 else 0
-                if len(ids) <= 4096:
-                    np.add.at(uni[int(target)], ids, 1)
-                c = np.where(ids < CLASSES, ids, 0)
-                np.add.at(bi[int(target)], c[:-1] * CLASSES + c[1:], 1)
-        for name, table in (("uni", uni), ("bi", bi)):
-            for target in (0, 1):
-                for block, part in enumerate(table[target].reshape(-1, CLASSES)):
-                    if part.any():
-                        yield pa.RecordBatch.from_pydict({"name": [name], "target": pa.array([target], pa.int32()), "block": pa.array([block], pa.int32()), "n": [part.tobytes()]})
-
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(x, np.int64) for x in pdf["n"])
-        return pdf[["name", "target", "block"]][:1].assign(n=[total.tobytes()])
-
-    kind = "name string, target int, block int, n binary"
-    out = {"uni": np.zeros((2, VOCABULARY)), "bi": np.zeros((2, CLASSES * CLASSES))}
-    for r in docs.select("text", F.col("target").cast("int").alias("target")).mapInArrow(run, kind).groupBy("name", "target", "block").applyInPandas(add, kind).toLocalIterator():
-        out[r["name"]][r["target"], r["block"] * CLASSES : (r["block"] + 1) * CLASSES] = np.frombuffer(r["n"], np.int64)
-    return out
-
-
-class Pair:
-    """Log probabilities of both models: log_uni and log_bi are the parts that interpolate."""
-
-    def __init__(self, counted: dict[str, np.ndarray], vocab: dict[str, int]):
-        uni, bi = counted["uni"].astype(float), counted["bi"].reshape(2, CLASSES, CLASSES).astype(float)
-        sizes = uni.sum(1)
-        if not sizes.all():  # one side is missing: both are the sum
-            uni[:], bi[:] = uni.sum(0), bi.sum(0)
-        else:
-            scale = sizes[1] / sizes[0]
-            uni[0] *= scale
-            bi[0] *= scale
-        used = len(vocab) + 1
-        uni = uni[:, :used] + ADD
-        self.uni = (uni / uni.sum(1, keepdims=True)).astype(np.float32)
-        cls = np.where(np.arange(used) < CLASSES, np.arange(used), 0)
-        of_class = np.stack([np.bincount(cls, u, CLASSES) for u in self.uni])
-        inside = self.uni / of_class[:, cls]
-        bi = bi + ADD * of_class[:, None, :]
-        self.bi = (bi / bi.sum(2, keepdims=True)).astype(np.float32)
-        self.inside, self.cls, self.vocab = inside.astype(np.float32), cls, vocab
-
-    def losses(self, tokens: list[str]) -> tuple[float, float]:
-        """Nats per token under background and target."""
-        get = self.vocab.get
-        ids = np.array([get(w, 0) for w in tokens], np.int64)
-        c = self.cls[ids]
-        p = self.uni[:, ids].astype(float)
-        p[:, 1:] = (1 - BIGRAM_WEIGHT) * p[:, 1:] + BIGRAM_WEIGHT * self.bi[:, c[:-1], c[1:]] * self.inside[:, ids[1:]]
-        loss = -np.log(p).mean(1)
-        return float(loss[0]), float(loss[1])
-
-
-def score(docs: DataFrame, model: Pair, id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, n_tokens, loss_background, loss_target, score) of each whole text."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: VOCABULARY and CLASSES
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        for batch in batches:
-            n, back, near = [], [], []
-            for text in batch.column("text"):
-                toks = tokenise(text.as_py())
-                a, b = m.losses(toks) if toks else (None, None)
-                n.append(len(toks))
-                back.append(a)
-                near.append(b)
-            diff = [0.0 if a is None else a - b for a, b in zip(back, near, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(back, pa.float64()), pa.array(near, pa.float64()), pa.array(diff, pa.float64())], names=["doc_id", "n_tokens", "loss_background", "loss_target", "score"])
-
-    rows = docs.select(F.col(id_col).alias("doc_id"), "text")
-    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, n_tokens bigint, loss_background double, loss_target double, score double")
+            tags = batch.column("tag").to_numpy()
+            for k, text in enumerate(batch.column("text")):
+                h = hashes.of(text.as_py())
+                key, n = np.unique(pair_keys(before(h), h), return_counts=True)
+                at = np.searchsorted(hot, key)
+                met = (hot[np.minimum(at, len(hot) - 1)] == key) if len(hot) else np.zeros(len(key), bool)
+                a, b = n[met] @ lost[at[met]] if met.any() else (0.0, 0.0)
+                key, n = key[~met], n[~met]
+                whole = pa.StructArray.from_arrays([pa.concat_arrays([batch.column("doc_id").slice(k, 1), pa.nulls(len(key), batch.column("doc_id").type)]), *[pa.array(np.r_[x, np.zeros(len(key))].astype(t)) for x, t in ((len(h), np.int64), (a, float), (b, float))]], names=["doc_id", "tokens", "a", "b"], mask=pa.array(np.arange(len(key) + 1) > 0))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key) + 1, tags[k])), pa.array(np.r_[~tags[k], key]), pa.array(np.r_[0, n].astype(np.int32)), whole], names=["tag", "key", "n", "whole"])
+
+    kind = dict(docs.dtypes)[id_col]
+    rows = docs.select(F.col(id_col).alias("doc_id"), "text").withColumn("tag", F.monotonically_increasing_id())
+    rows = rows.mapInArrow(run, f"tag bigint, key bigint, n int, whole struct<doc_id:{kind},tokens:bigint,a:double,b:double>")
+    cold = table.where(F.floor(F.log2("n") * BINS) < F.lit(least)).select("key", "l0", "l1")
+    met = rows.hint("merge").join(cold, "key", "left")
+    part = lambda c, x: F.sum(F.when(F.col("n") > 0, F.col("n") * F.col(c)).otherwise(F.col(f"whole.{x}"))).alias(x)
+    sums = met.groupBy("tag").agg(F.max("whole.doc_id").alias("doc_id"), F.sum("whole.tokens").alias("n_tokens"), part("l0", "a"), part("l1", "b"))
+    a, b = (F.when(F.col("n_tokens") > 0, F.col(c) / F.col("n_tokens")) for c in "ab")
+    return sums.select("doc_id", "n_tokens", a.alias("loss_background"), b.alias("loss_target"), F.coalesce(a - b, F.lit(0.0)).alias("score"))
 
 
 def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
@@ -177,5 +190,7 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame) -> DataFram
     """
     ids = target_ids.select("doc_id").where("doc_id is not null").distinct().withColumn("_t", F.lit(True))
     marked = docs.select("doc_id", "text").hint("merge").join(ids, "doc_id", "left").select("text", F.coalesce("_t", F.lit(False)).alias("target"))
-    vocab = vocabulary(docs)
-    return score(docs, Pair(counts(marked, vocab), vocab))
+    pairs = written(bigrams(marked), "pairs")
+    table = losses(pairs)
+    release(pairs)
+    return score(docs, table)

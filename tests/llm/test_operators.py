@@ -90,6 +90,49 @@ def test_lm_scoring(spark):
     assert same == pytest.approx(0, abs=1e-6)
 
 
+def brute_losses(texts, near):
+    """Per text: tokens, loss under background and target, by plain dictionaries."""
+    toks = [lm_scoring.tokenise(t) for t in texts]
+    every = collections.Counter(w for t in toks for w in t)
+    ids = [[w if every[w] >= 2 else None for w in t] for t in toks]
+    uni, bi, ctx = ([collections.Counter() for _ in range(2)] for _ in range(3))
+    for k, t in enumerate(ids):
+        uni[k in near].update(t)
+        bi[k in near].update(zip(t, t[1:], strict=False))
+        ctx[k in near].update(t[:-1])
+    scale = [uni[1].total() / uni[0].total(), 1.0]
+    kinds = sum(n >= 2 for n in every.values()) + 1
+    out = []
+    for t in ids:
+        loss = [0.0, 0.0]
+        for s in (0, 1):
+            for before, w in zip([None, *t], t, strict=False):
+                p = (uni[s][w] * scale[s] + 0.1) / (uni[1].total() + 0.1 * kinds)
+                if before is not None:
+                    p = 0.3 * p + 0.7 * (bi[s][before, w] * scale[s] + 0.1 * p) / (ctx[s][before] * scale[s] + 0.1)
+                loss[s] -= np.log(p)
+        out.append((len(t), *(x / len(t) for x in loss)))
+    return out
+
+
+@pytest.mark.parametrize("hot", [0, 300, 1 << 18])
+def test_lm_scoring_counts_every_word_and_pair(spark, monkeypatch, hot):
+    """More words than any fixed number of classes, in the same shares on both sides: only rare pairs, in their order, tell the sides apart."""
+    monkeypatch.setattr(lm_scoring, "HOT", hot)
+    rng = np.random.default_rng(21)
+    words = [f"w{k}" for k in range(2400)] + ["long" * 15 + str(k) for k in range(40)]
+    pairs = [(words[2 * k], words[2 * k + 1]) for k in range(1220)]
+    texts = []
+    for k in range(240):
+        order = rng.permutation(1220)[:60]
+        texts.append(" ".join(w for j in order for w in (pairs[j] if k % 2 else pairs[j][::-1])) + f" once{k}")
+    near = {k for k in range(1, 160, 2)}
+    out = {r.doc_id: r for r in lm_scoring.cross_entropy_difference(docs_of(spark, texts), spark.createDataFrame([(k,) for k in near], "doc_id long")).collect()}
+    for k, (n, a, b) in enumerate(brute_losses(texts, near)):
+        assert out[k].n_tokens == n and (out[k].loss_background, out[k].loss_target, out[k].score) == pytest.approx((a, b, a - b))
+    assert min(out[k].score for k in range(161, 240, 2)) > max(out[k].score for k in range(160, 240, 2))
+
+
 def test_quality(spark):
     rng = np.random.default_rng(7)
     words = vocabulary(8, 300)
