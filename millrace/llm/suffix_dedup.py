@@ -218,30 +218,37 @@ def _by_text(ranges: DataFrame, name: str) -> DataFrame:
     return ranges.groupBy("tag").applyInPandas(run, f"tag bigint, {name} array<bigint>")
 
 
-def windows(texts: DataFrame) -> DataFrame:
-    """(tag, start, h): hashes of the windows of blocks; of unique blocks only those that no found range holds.
+def unsettled(texts: DataFrame) -> DataFrame:
+    """(c): cores of the blocks that no found range holds as a whole.
 
-    ``texts`` has tag, text, covered (as _by_text gives it) and blocks: structs of lo, hi and n.
+    ``texts`` has covered (as _by_text gives it) and blocks: structs of c, lo and hi.
     """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for flat, blocks in zip(batch.column("covered").to_pylist(), batch.column("blocks").to_pylist(), strict=True):
+                s, e = np.array(flat or [], np.int64).reshape(2, -1)
+                c, lo, hi = (np.array([b[k] for b in blocks], np.int64) for k in ("c", "lo", "hi"))
+                at = np.searchsorted(s, lo, "right") - 1
+                held = (at >= 0) & (np.r_[e, 0][at] >= hi + LENGTH)
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(c[~held]))], names=["c"])
+
+    return texts.select("covered", "blocks").mapInArrow(run, "c bigint").distinct()
+
+
+def windows(texts: DataFrame) -> DataFrame:
+    """(tag, start, h): hashes of all windows of blocks. ``texts`` has tag, text and blocks: structs of lo and hi."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, off = buffers(batch.column("text"))
             tags = batch.column("tag").to_numpy()
             for k in range(batch.num_rows):
                 sums = prefix_sums(data[off[k] : off[k + 1]])
-                flat = np.array(batch.column("covered")[k].as_py() or [], np.int64).reshape(2, -1)
-                out = []
-                for b in batch.column("blocks")[k].as_py():
-                    i = np.arange(b["lo"], b["hi"] + 1)
-                    if b["n"] == 1 and flat.shape[1]:
-                        at = np.searchsorted(flat[0], i, "right") - 1
-                        i = i[(at < 0) | (flat[1][at] < i + LENGTH)]
-                    out.append(i)
-                i = np.unique(np.concatenate(out)) if out else np.zeros(0, np.int64)
+                i = np.unique(np.concatenate([np.arange(b["lo"], b["hi"] + 1) for b in batch.column("blocks")[k].as_py()]))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), tags[k])), pa.array(i), pa.array(hashed(sums, i, i + LENGTH).view(np.int64))], names=["tag", "start", "h"])
 
-    return texts.select("tag", "text", "covered", "blocks").mapInArrow(run, "tag bigint, start bigint, h bigint")
+    return texts.select("tag", "text", "blocks").mapInArrow(run, "tag bigint, start bigint, h bigint")
 
 
 def cut(texts: DataFrame) -> DataFrame:
@@ -292,9 +299,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     whole = blocks.join(same, ["c", "e"], "left_semi").select("tag", F.col("lo").alias("start"), (F.col("hi") + LENGTH).alias("end"))
     found = written(_by_text(runs.union(whole), "covered"), "covered")
     open_ = variants.groupBy("c").agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("least")).where("k > 1 and least = 1").select("c")
-    reps = written(variants.join(open_, "c", "left_semi").select("rep.tag", F.struct("rep.lo", "rep.hi", "n").alias("b")).groupBy("tag").agg(F.collect_list("b").alias("blocks")), "blocks")
+    reps = written(variants.join(open_, "c", "left_semi").select("c", "rep.tag", "rep.lo", "rep.hi", "n"), "blocks")
     release(string, runs, variants)
-    checked = written(windows(texts.select("tag", "text").join(reps, "tag").join(found, "tag", "left")), "windows")
+    # a window that is found already may still be the partner of one that is not: all variants of a core are hashed, or none
+    alone = reps.where("n = 1").groupBy("tag").agg(F.collect_list(F.struct("c", "lo", "hi")).alias("blocks"))
+    cores = written(unsettled(alone.join(found, "tag", "left")), "cores")
+    needed = reps.join(cores, "c", "left_semi").groupBy("tag").agg(F.collect_list(F.struct("lo", "hi")).alias("blocks"))
+    checked = written(windows(texts.select("tag", "text").join(needed, "tag")), "windows")
+    release(cores)
     again = checked.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
     ends = checked.join(again, "h", "left_semi").select("tag", "start", (F.col("start") + LENGTH).alias("end"))
     half = (F.size("covered") / 2).cast("int")

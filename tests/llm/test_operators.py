@@ -90,6 +90,20 @@ def test_lm_scoring(spark):
     assert same == pytest.approx(0, abs=1e-6)
 
 
+def test_suffix_dedup_trimmed_third_copy(spark):
+    """A and B repeat one passage whole; C has it without its first bytes, or without its last."""
+    rng = np.random.default_rng(22)
+    words = vocabulary(23, 2000)
+    texts = []
+    for cut in (3, 17, 33, 50, 61, 90):
+        p = prose(rng, words, 300)
+        texts += [prose(rng, words, 90) + p, prose(rng, words, 90) + p, prose(rng, words, 90) + p[cut:]]
+        q = prose(rng, words, 300)
+        texts += [q + prose(rng, words, 90), q + prose(rng, words, 90), q[:-cut] + prose(rng, words, 90)]
+    out = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(docs_of(spark, texts)).collect()}
+    assert [out[k] for k in range(len(texts))] == brute_repeats(texts)
+
+
 def brute_losses(texts, near):
     """Per text: tokens, loss under background and target, by plain dictionaries."""
     toks = [lm_scoring.tokenise(t) for t in texts]
