@@ -29,18 +29,19 @@ IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){13,18}+(?![\x20-]?[0-9])"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 BASE = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE}
-#: Generators of candidates: (name, kind, pattern, what a text must hold for the pattern to be tried).
+#: Generators of candidates: (name, kind, pattern, what a text must hold for the pattern to be tried). Runs have no
+#: upper bound, so that a candidate is never a part of a longer token.
 GENERATORS = (
-    ("key_value", "secret", r"(?i)(?<![A-Za-z])(?:password|passwd|pwd|token|secret|api[_-]?key)[\"']?\x20{0,2}[=:]\x20{0,2}[\"']?[^\s\"']{4,200}", "[=:]"),
-    ("access_key", "secret", r"(?<![A-Za-z0-9])[A-Z]{3,5}[0-9A-Z]{14,17}(?![A-Za-z0-9])", "[0-9]"),
+    ("key_value", "secret", r"(?i)(?<![A-Za-z])(?:password|passwd|pwd|token|secret|api[_-]?key)[\"']?\x20{0,2}[=:]\x20{0,2}[\"']?[^\s\"']{4,}+", "[=:]"),
+    ("access_key", "secret", r"(?<![A-Za-z0-9])[A-Z]{3}[0-9A-Z]{14,}+(?![A-Za-z0-9])", "[0-9]"),
     ("local_phone", "phone", r"(?<![0-9])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9])", "[0-9]"),
     ("triple", "ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "[0-9]"),
     ("account", "iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}+(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", "[0-9]"),
-    ("written_mail", "email", r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\x20?[\[(]at[\])]\x20?[A-Za-z0-9-]{1,63}+(?:(?:\.|\x20?[\[(]dot[\])]\x20?)[A-Za-z0-9-]{1,63}+){1,8}", r"[\[(]"),
-    ("digits", "card", r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){8,24}+", "[0-9]"),
-    ("dotted", "ip", r"(?<![0-9.])[0-9]{1,5}(?:\.[0-9]{1,5}){1,5}+", "[0-9]"),
-    ("plus", "phone", r"\+[0-9][\x20().0-9-]{3,30}+", r"\+"),
-    ("at", "email", r"(?<![^\s])[^\s@]{1,64}@[^\s@]{1,255}", "@"),
+    ("written_mail", "email", r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?[\[(]at[\])]\x20?[A-Za-z0-9-]++(?:(?:\.|\x20?[\[(]dot[\])]\x20?)[A-Za-z0-9-]++)++", r"[\[(]"),
+    ("digits", "card", r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){8,}+", "[0-9]"),
+    ("dotted", "ip", r"(?<![0-9.])[0-9]++(?:\.[0-9]++)++", "[0-9]"),
+    ("plus", "phone", r"\+[0-9][\x20().0-9-]{3,}+", r"\+"),
+    ("at", "email", r"(?<![^\s])[^\s@]++@[^\s@]++", "@"),
 )
 #: Most candidate rows that the trees are fitted on; the calibration rows are as many at most.
 FIT_ROWS = 20_000

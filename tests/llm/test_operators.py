@@ -384,6 +384,19 @@ def test_pii(spark):
     assert redacted[11] == "日本 [phone] 😀 [email]"
 
 
+@pytest.mark.parametrize("n", [10, 201, 5000])
+def test_pii_candidates_cover_whole_tokens(spark, n):
+    run = ("0a1B2c3D.-" * 500)[:n]
+    digits = "1234567890" * (n // 10)
+    upper = "AKIA" + ("0A1B2C3D4E" * 500)[: max(n, 16)]
+    cases = {"key_value": f"token={run}", "access_key": upper, "at": f"{run}@{run}!x", "written_mail": f"{run}x [at] {run}x.org", "digits": digits, "plus": "+1" + digits, "dotted": ".".join(["12345678"] * (n // 5))}
+    texts = [f"so {v} end" for v in cases.values()]
+    out = {r.doc_id: r.cand for r in pii.scan(docs_of(spark, texts)).collect()}
+    names = [name for name, *_ in pii.GENERATORS]
+    for k, (name, v) in enumerate(cases.items()):
+        assert [(c.start, c.end) for c in out[k] if names[c.generator] == name] == [(3, 3 + len(v) + (name == "plus"))], name
+
+
 def test_mixing(spark):
     rng = np.random.default_rng(17)
     rows = [(k, "w " * int(rng.integers(1, 60)), str(rng.choice(["en", "de", None])), ["big", "big", "big", "s1", "s2"][k % 5], 0) for k in range(3000)] + [(5000, None, None, None, None), (5001, "", "en", "big", 0)]
