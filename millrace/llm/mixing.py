@@ -92,11 +92,64 @@ def calibrate(fit: DataFrame, keep_share: float) -> DataFrame:
     return fit.withColumn("p", F.when(F.col("tokens") > 0, F.least(F.lit(1.0), F.lit(hi) * F.col("f"))).otherwise(1.0))
 
 
+def _level(table: DataFrame, cap: str, rate: str, want: float) -> float:
+    """s with the sum of min(cap, s x rate) being ``want``, or, where all caps are less, one that reaches every cap."""
+    lo, hi = 0.0, table.agg(F.max(F.when(F.col(rate) > 0, F.col(cap) / F.col(rate)))).first()[0] or 0.0
+    for _ in range(6):
+        grid = [lo + (hi - lo) * k / 64 for k in range(65)]
+        sums = table.agg(*[F.sum(F.least(F.col(cap), F.lit(c) * F.col(rate))).alias(f"s{k}") for k, c in enumerate(grid)]).first()
+        k = next((k for k in range(65) if (sums[k] or 0.0) >= want), 64)
+        lo, hi = grid[max(0, k - 1)], grid[k]
+    return hi
+
+
+def capped(fit: DataFrame, dims: list[str], keep_share: float, sweeps: int = 12, per_table: int = 4) -> DataFrame:
+    """Rake on where p is cut off at 1, until the expected draws, not the weights, meet the feasible targets.
+
+    A value's target (column _at_<dim>, in tokens) is its share of what is kept; where that exceeds its tokens
+    it is taken whole, and the others share what is left by their targets. Cells keep their uncut weight, and
+    the margins that scale it are of what can be drawn.
+    """
+    total, cut = fit.agg(F.sum("tokens"), F.count_if((F.col("tokens") > 0) & (F.col("p") >= 1))).first()
+    if not total or not cut:
+        return fit
+    for dim in dims:
+        sums = written(fit.where("tokens > 0").groupBy(dim).agg(F.sum("tokens").alias("cap"), F.max(f"_to_{dim}").alias("rate")), f"caps-{dim}")
+        s = _level(sums, "cap", "rate", keep_share * total)
+        fit = fit.join(sums.select(dim, F.least("cap", F.lit(s) * F.col("rate")).alias(f"_at_{dim}")), dim, "left").fillna(0.0, [f"_at_{dim}"])
+    fit = fit.withColumn("g", F.lit(keep_share) * F.lit(total) * F.col("w"))
+    for n in range(sweeps):
+        for dim in dims:
+            margin = F.sum(F.least("tokens", "g")).over(Window.partitionBy(dim))
+            fit = fit.withColumn("g", F.when(margin > 0, F.col("g") * F.col(f"_at_{dim}") / margin).otherwise(0.0))
+        if n % per_table == per_table - 1 or n == sweeps - 1:
+            fit = written(fit, "capped")
+    return fit.withColumn("p", F.when(F.col("tokens") > 0, F.least(F.lit(1.0), F.col("g") / F.col("tokens"))).otherwise(1.0))
+
+
+def margins(fit: DataFrame, dims: list[str]) -> DataFrame:
+    """(dim, value, target, feasible, expected): token shares asked for, feasible under the caps, and expected of the draw."""
+    kept = F.sum(F.col("p") * F.col("tokens"))
+    out = None
+    for dim in dims:
+        at = F.max(f"_at_{dim}") if f"_at_{dim}" in fit.columns else F.lit(None).cast("double")
+        rows = fit.where("tokens > 0").groupBy(F.col(dim).alias("value")).agg(F.max(f"_to_{dim}").alias("target"), at.alias("at"), kept.alias("kept"))
+        sums = rows.agg(F.sum("kept").alias("_k"), F.sum("at").alias("_a"))
+        rows = rows.join(F.broadcast(sums), F.lit(True)).select(F.lit(dim).alias("dim"), "value", "target", F.coalesce(F.col("at") / F.col("_a"), "target").alias("feasible"), (F.col("kept") / F.col("_k")).alias("expected"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def uniform(doc_id: Column) -> Column:
     """A number in [0, 1) from the id alone."""
     return F.pmod(F.xxhash64(doc_id.cast("string")), F.lit(1 << 53)) / F.lit(float(1 << 53))
 
 
+def fitted(cells: DataFrame, targets: dict[str, DataFrame], keep_share: float, sweeps: int = 12) -> DataFrame:
+    """The cells with p, as a written table."""
+    return written(capped(written(calibrate(rake(cells, targets, sweeps), keep_share), "calibrated"), list(targets), keep_share, sweeps), "fitted")
+
+
 def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, temperature: float = 0.7, keep_share: float = 0.8, sweeps: int = 12) -> DataFrame:
     """Every row of ``docs`` with _tokens, _source, _lang, _topic, _p (probability) and _drawn.
 
@@ -107,6 +160,6 @@ def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, temperatur
     cells = written(rows.groupBy(*[F.col(f"_{d}").alias(d) for d in DIMS]).agg(F.sum("_tokens").alias("tokens"), F.count(F.lit(1)).alias("n_docs")), "cells")
     if targets is None:
         targets = {d: written(tempered_targets(cells, d, temperature), f"target-{d}") for d in DIMS}
-    fit = written(calibrate(rake(cells, targets, sweeps), keep_share), "calibrated")
+    fit = fitted(cells, targets, keep_share, sweeps)
     prob = fit.select(*[F.col(d).alias(f"_{d}") for d in DIMS], F.col("p").alias("_p"))
     return rows.join(prob, [f"_{d}" for d in DIMS], "left").withColumn("_p", F.coalesce("_p", F.lit(1.0))).withColumn("_drawn", uniform(F.col("doc_id")) < F.col("_p"))

@@ -415,3 +415,19 @@ def test_mixing(spark):
     fit = mixing.rake(cells, t, sweeps=12).toPandas()
     assert fit.groupby("source").w.sum().to_numpy() == pytest.approx([0.5, 0.5], abs=1e-4) and fit.groupby("lang").w.sum().to_numpy() == pytest.approx([0.3, 0.7], abs=1e-4)
     assert mixing.mix(df.limit(0)).count() == 0
+
+
+def test_mixing_meets_feasible_margins_where_cells_are_capped(spark):
+    """The query's own defaults (temperature 0.7, 0.8 of the tokens) on skewed cells."""
+    share = {"source": {"hot": 0.9, "a": 0.08, "b": 0.02}, "lang": {"en": 0.85, "de": 0.12, "fr": 0.03}, "topic": {"prose": 0.7, "table": 0.25, "list": 0.05}}
+    rows = [(s, g, t, 1e6 * x * y * z * (1 + 0.5 * ((len(s) + len(g) + len(t)) % 3))) for s, x in share["source"].items() for g, y in share["lang"].items() for t, z in share["topic"].items()]
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens double")
+    fit = mixing.fitted(cells, {d: mixing.tempered_targets(cells, d, 0.7) for d in mixing.DIMS}, 0.8)
+    got = fit.toPandas()
+    assert (got.p == 1).any() and (got.p * got.tokens).sum() == pytest.approx(0.8 * got.tokens.sum(), rel=0.01)
+    table = mixing.margins(fit, list(mixing.DIMS)).toPandas()
+    assert len(table) == 9 and table.expected.to_numpy() == pytest.approx(table.feasible.to_numpy(), abs=0.01)
+    for dim, g in table.groupby("dim"):
+        tokens = got.groupby(dim).tokens.sum()[g.value].to_numpy()
+        whole = g.expected.to_numpy() * 0.8 * tokens.sum() >= 0.98 * tokens  # below its target only where it is taken whole
+        assert (whole | (g.expected >= g.target - 0.01)).all()
