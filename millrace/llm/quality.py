@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,7 +38,8 @@ def statistics(text: str) -> list[float]:
     words = text.split()
     w = len(words) or 1
     low = [x.lower() for x in words]
-    kinds = len(set(low))
+    seen = Counter(low)
+    kinds = len(seen)
     lines = [x for x in text.split("\n") if x.strip()]
     m = len(lines) or 1
     letters = sum(map(str.isalpha, text))
@@ -47,7 +49,7 @@ def statistics(text: str) -> list[float]:
     data = text.encode("utf-8", "replace")
     packed = len(zlib.compress(data, 1)) / (len(data) or 1)
     same_next = sum(map(str.__eq__, low, low[1:]))
-    top = max((low.count(x) for x in set(low[:64])), default=0) if w < 4000 else 0
+    top = max(seen.values(), default=0)
     return [
         np.log1p(n), np.log1p(w), np.log1p(len(lines)), n / w, n / m,
         letters / n, upper / n, digits / n, spaces / n, (n - letters - digits - spaces) / n,

@@ -160,6 +160,11 @@ def test_quality(spark):
     assert {r.score for r in quality.apply(feats, quality.train(feats, labels.limit(0))).collect()} == {0.5}
 
 
+def test_share_of_the_most_repeated_word_at_every_length():
+    for n in (100, 3998, 4000, 9000):
+        assert quality.statistics(" ".join([f"w{k}" for k in range(n // 2)] + ["same"] * (n // 2)))[17] == pytest.approx(0.5)
+
+
 def test_prior_and_risk():
     assert quality.estimate_prior(np.array([0.0, 0, 100, 300]), np.array([300.0, 0, 50, 150])) == pytest.approx(0.4, abs=0.01)
 
