@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -14,9 +15,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    """The folder named in ``spark.checkpoint.dir``; where that is unset, a temporary one, on a single machine only."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="millrace-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -50,17 +53,10 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def with_text(docs: DataFrame) -> DataFrame:
-    """Null text becomes the empty text."""
-    return docs.withColumn("text", F.coalesce(F.col("text"), F.lit("")))
-
-
 def release(*tables: DataFrame) -> None:
-    """Delete written tables, and let Spark's cleaner drop the shuffle files of plans that nothing refers to."""
-    import gc
-
+    """Delete written tables that no plan will read again; plans that nothing refers to lose their shuffle files too."""
     for t in tables:
         remove(t)
     gc.collect()
-    if tables:
+    if tables:  # Spark's cleaner drops shuffle files only once the JVM has collected what refers to them
         tables[0].sparkSession._jvm.System.gc()

@@ -4,9 +4,13 @@ Every language has a distribution over hashed byte 4-grams of lower-cased letter
 mixture of languages; expectation-maximisation estimates the proportions, and the language set is the one
 with the best penalised likelihood among the nested sets ordered by proportion.
 
-Defined results: a null text, or one without a letter, is ``und`` with score 0; with no training rows every
-document is ``und``; rows with null language train nothing; texts of any length are counted whole, in
-blocks. Repeated rows are predicted alike; other columns are ignored.
+The score is the predicted language's expected share, over the posterior of the sets (and, among sets of one
+language, of the languages).
+
+Defined results: a null text, or one without a letter, is ``und`` with score 0; a text with letters but
+without a gram tells nothing, so it gets the language with most training grams and that language's share of
+them as its score; with no training rows every document is ``und``; rows with null language train nothing;
+texts of any length are counted whole, in blocks. Repeated rows are predicted alike; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -14,20 +18,20 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import remove, written
+
 GRAM = 4
 #: Size of the hashed gram space; bounds the model to languages x 65,536 numbers.
 BUCKETS = 1 << 16
 #: Cells of the (language x gram) work array of one step; bounds a task's memory.
 WORK = 4_000_000
-MODEL_LIMIT_MB = 512
-#: Buckets of one row of partial counts.
-BLOCK = 4096
+#: Bounds what the driver and each task hold: 128 languages.
+MODEL_LIMIT_MB = 64
 EM_STEPS, REFINE_STEPS = 8, 6
 #: 4-grams overlap, so a likelihood counts each letter about four times; the penalty counts as often.
 PENALTY = 0.5 * GRAM
@@ -74,7 +78,7 @@ def gram_counts(texts: pa.Array, step_bytes: int) -> Iterator[tuple[int, int, np
 
 
 def train(docs: DataFrame) -> dict[str, np.ndarray]:
-    """Gram counts of each language over every row with a language; summed per task, then per block."""
+    """Gram counts of each language over every row with a language: summed per task, then by one aggregate."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -86,21 +90,24 @@ def train(docs: DataFrame) -> dict[str, np.ndarray]:
                     sums.setdefault(lang, np.zeros(BUCKETS, np.int64))
                     sums[lang] += np.bincount(gram[mine], n[mine], BUCKETS).astype(np.int64)
         for lang, total in sums.items():
-            blocks = total.reshape(-1, BLOCK)
-            yield pa.RecordBatch.from_pydict({"lang": [lang] * len(blocks), "block": pa.array(range(len(blocks)), pa.int32()), "n": [b.tobytes() for b in blocks]})
-
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(x, np.int64) for x in pdf["n"])
-        return pd.DataFrame({"lang": pdf["lang"][:1], "block": pdf["block"][:1], "n": [total.tobytes()]})
-
-    rows = docs.where("lang is not null").select("text", "lang").mapInArrow(count, "lang string, block int, n binary")
-    found = rows.groupBy("lang", "block").applyInPandas(add, "lang string, block int, n binary")
-    model: dict[str, np.ndarray] = {}
-    for r in found.toLocalIterator():
-        model.setdefault(r["lang"], np.zeros(BUCKETS, np.int64))[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(r["n"], np.int64)
-        if len(model) * BUCKETS * 8 > MODEL_LIMIT_MB << 20:
-            raise ValueError(f"more languages than the model's {MODEL_LIMIT_MB} MB hold")
-    return dict(sorted(model.items()))
+            found = np.flatnonzero(total)
+            # a language without a gram is still a language
+            found = found if len(found) else np.zeros(1, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(found.astype(np.int32)), pa.array(total[found])], names=["lang", "gram", "n"])
+
+    rows = docs.where("lang is not null").select("text", "lang").mapInArrow(count, "lang string, gram int, n bigint")
+    found = rows.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    table = written(found, "grams")
+    langs = sorted(r["lang"] for r in table.select("lang").distinct().limit((MODEL_LIMIT_MB << 20) // (BUCKETS * 8) + 1).collect())
+    if len(langs) * BUCKETS * 8 > MODEL_LIMIT_MB << 20:
+        raise ValueError(f"more languages than the model's {MODEL_LIMIT_MB} MB hold")
+    model = {lang: np.zeros(BUCKETS, np.int64) for lang in langs}
+    if langs:  # at most languages x BUCKETS rows, which MODEL_LIMIT_MB bounds
+        cells = table.toPandas()
+        for lang, rows_ in cells.groupby("lang"):
+            model[lang][rows_["gram"].to_numpy()] = rows_["n"].to_numpy()
+    remove(table)
+    return model
 
 
 def _em(p: np.ndarray, row: np.ndarray, n: np.ndarray, pi: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray]:
@@ -114,14 +121,20 @@ def _em(p: np.ndarray, row: np.ndarray, n: np.ndarray, pi: np.ndarray, steps: in
     return pi, np.bincount(row, n * np.log((pi.T[:, row] * p).sum(0)), rows)
 
 
-def infer(p: np.ndarray, row: np.ndarray, n: np.ndarray, rows: int) -> np.ndarray:
-    """Mixture proportions of each row over the languages of its selected set (zero elsewhere)."""
+def infer(p: np.ndarray, row: np.ndarray, n: np.ndarray, rows: int, prior: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(shares, expected): proportions over the languages of each row's selected set (zero elsewhere), and the
+    proportions expected over the posterior of all sets. Rows without a gram expect ``prior``."""
     langs = len(p)
     full, bound = _em(p, row, n, np.full((rows, langs), 1 / langs), EM_STEPS)
     order = np.argsort(-full, 1, kind="stable")
     price = PENALTY * np.log(np.maximum(np.bincount(row, n, rows), 2))
     best, value = np.zeros((rows, langs)), np.full(rows, -np.inf)
-    open_ = np.ones(rows, bool)
+    # sets of one language: each language's own likelihood; grams overlap, so a letter counts once in GRAM
+    single = np.stack([np.bincount(row, n * np.log(x), rows) for x in p], 1) / GRAM
+    expected = np.exp(single - single.max(1, keepdims=True)) * prior
+    expected /= expected.sum(1, keepdims=True)
+    weight, top = np.ones(rows), (single.max(1) * GRAM - price) / GRAM
+    open_ = np.bincount(row, minlength=rows) > 0
     for size in range(1, langs + 1):  # nested sets; a row stops at its first set that doesn't pay
         use = open_[row]
         if not use.any():
@@ -132,32 +145,39 @@ def infer(p: np.ndarray, row: np.ndarray, n: np.ndarray, rows: int) -> np.ndarra
         start = (start / start.sum(1, keepdims=True))[open_]
         pi, ll = _em(p[:, use], new[row[use]], n[use], start, REFINE_STEPS if size > 1 else 0)
         worth = ll - size * price[open_]
-        gain = worth > value[open_]
         at = np.flatnonzero(open_)
+        if size > 1:
+            more = np.exp(np.clip(worth / GRAM - top[at], -700, 700))
+            expected[at] = (expected[at] * weight[at, None] + pi * more[:, None]) / (weight[at] + more)[:, None]
+            weight[at] += more
+        gain = worth > value[open_]
         best[at[gain]], value[at[gain]] = pi[gain], worth[gain]
         open_[at[~gain]] = False
         open_ &= bound + 1 - (size + 1) * price > value  # no larger set explains more than all languages do
-    return best
+    return best, expected
 
 
 def identify(docs: DataFrame, model: dict[str, np.ndarray], keep: list[str] = ["doc_id"]) -> DataFrame:  # noqa: B006
-    """The columns of ``keep`` with lang_pred, score (its share) and shares (language to share)."""
+    """The columns of ``keep`` with lang_pred, score (its expected share) and shares (language to share in the selected set)."""
     langs = list(model)
     if not langs:
         return docs.select(*keep, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.expr("cast(map() as map<string,double>)").alias("shares"))
     counts = np.stack([model[x] for x in langs]).astype(np.float64) + 0.5
+    seen = np.array([max(int(model[x].sum()), 1) for x in langs], float)
+    prior = seen / seen.sum()
     prob = docs.sparkSession.sparkContext.broadcast(counts / counts.sum(1, keepdims=True))  # bounded: MODEL_LIMIT_MB
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = prob.value
         for batch in batches:
             texts = batch.column("text")
-            shares = np.zeros((len(texts), len(langs)))
+            shares, expected = np.zeros((len(texts), len(langs))), np.tile(prior, (len(texts), 1))
             for lo, rows, row, gram, n in gram_counts(texts, max(1 << 16, WORK // len(langs))):
-                shares[lo : lo + rows] = infer(p[:, gram], row, n, rows)
+                if len(gram):
+                    shares[lo : lo + rows], expected[lo : lo + rows] = infer(p[:, gram], row, n, rows, prior)
             any_letter = np.array(pc.match_substring_regex(pc.fill_null(texts, ""), r"\pL"), bool)
-            top = shares.argmax(1)
-            score = np.where(any_letter, np.clip(shares[np.arange(len(top)), top], 0, 1), 0.0)
+            top = expected.argmax(1)
+            score = np.where(any_letter, np.clip(expected[np.arange(len(top)), top], 0, 1), 0.0)
             names = [langs[t] if ok else "und" for t, ok in zip(top, any_letter, strict=True)]
             maps = [[(langs[j], float(s[j])) for j in np.flatnonzero(s > 0)] if ok else [] for s, ok in zip(shares, any_letter, strict=True)]
             columns = [batch.column(c) for c in keep] + [pa.array(names, pa.string()), pa.array(score), pa.array(maps, pa.map_(pa.string(), pa.float64()))]

@@ -1,8 +1,10 @@
 """Best-fit packing of tokenised documents by a grouping genetic algorithm on islands.
 
-Pieces are dealt by hash to shards of bounded size. Several islands evolve each shard: a crossover injects
-whole well-filled bins of one parent into another, removes the duplicates that this makes, and best-fits the
-displaced pieces. Between epochs the elite of each island migrates to the next island of its shard.
+Pieces are dealt by hash to shards of bounded size. Several islands evolve each shard, each in a task of its
+own: a crossover injects whole well-filled bins of one parent into another, removes the duplicates that this
+makes, and best-fits the displaced pieces. Between epochs the elite of each island migrates to the next island
+of its shard. Then the weakest bins of neighbouring shards fall apart and their pieces evolve together, level
+by level, so that the space that every shard wastes at its end is wasted once.
 
 Defined results: a null or empty text is the single token that ends a document; a text with more tokens
 than a sequence is cut, its first piece taking the remainder; repeated rows are packed as often as they
@@ -11,12 +13,15 @@ occur; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import bisect
+import os
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,44 +29,41 @@ from .common import written
 
 CAPACITY = 1024
 END = 2
+#: Characters that are tokenised in one call; bounds what a task holds.
+STEP = 1 << 20
 TOKENIZER = "byte_bpe_50k.json"
 #: Pieces of a shard, on average; bounds what one task evolves.
 SHARD = 4096
-ISLANDS, EPOCHS, GENERATIONS, POPULATION = 2, 2, 6, 4
+#: Pieces of the weakest bins that a shard gives away, at most, and shards that give them to one new shard.
+WEAKEST, MEET = 1024, 8
+ISLANDS, EPOCHS, GENERATIONS, POPULATION = 2, 2, 12, 4
 WELL_FILLED = 0.998
 PIECE = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 _encoders: dict[str, object] = {}
 
 
 def encoder(name: str):
-    """A function from text to ids. The byte-level vocabulary's rank file gives the same ids faster; what its regex engine refuses goes to the tokenizer itself."""
-    if name in _encoders:
-        return _encoders[name]
-    import base64
-
-    import public_tokenizers
-    import tiktoken
-    from tokenizers import Tokenizer
-
-    ranks = {}
-    with open(public_tokenizers.path(name.replace(".json", ".tiktoken")), "rb") as f:
-        for line in f:
-            word, rank = line.split()
-            ranks[base64.b64decode(word)] = int(rank)
-    fast = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-
-    def encode(text: str) -> list[int]:
-        try:
-            return fast.encode_ordinary(text)
-        except BaseException as e:
-            if isinstance(e, KeyboardInterrupt | SystemExit):
-                raise
-            slow = Tokenizer.from_file(public_tokenizers.path(name))
-            slow.encode_special_tokens = True
-            return slow.encode(text, add_special_tokens=False).ids
-
-    _encoders[name] = encode
-    return encode
+    """The named public tokenizer, read once a worker; threads are Spark's, one task each."""
+    if name not in _encoders:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import public_tokenizers
+        from tokenizers import Tokenizer
+
+        _encoders[name] = Tokenizer.from_file(public_tokenizers.path(name))
+    return _encoders[name]
+
+
+def batches_of(texts: list[str]) -> Iterator[list[str]]:
+    """Runs of texts of at most STEP characters; a longer text comes alone."""
+    run, size = [], 0
+    for t in texts:
+        if run and size + len(t) > STEP:
+            yield run
+            run, size = [], 0
+        run.append(t)
+        size += len(t)
+    if run:
+        yield run
 
 
 def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
@@ -74,13 +76,14 @@ def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
 
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer)
+        encode = encoder(tokenizer).encode_batch_fast  # ids as encode gives them, without offsets
         for batch in batches:
             out: list[tuple] = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.array(encode(text.as_py() or ""), "<u4")
-                ids = np.append(ids, np.uint32(END)).astype("<u4")
-                out += [(doc, k, s, n, zlib.crc32(ids[s : s + n].tobytes())) for k, (s, n) in enumerate(cut(len(ids)))]
+            docs_ = iter(batch.column(0).to_pylist())
+            for texts in batches_of(pc.fill_null(batch.column(1), "").to_pylist()):
+                for found, doc in zip(encode(texts, add_special_tokens=False), docs_, strict=False):
+                    ids = np.array([*found.ids, END], "<u4")
+                    out += [(doc, k, s, n, zlib.crc32(ids[s : s + n].tobytes())) for k, (s, n) in enumerate(cut(len(ids)))]
             names = ["doc_id", "piece", "start", "length", "ids_crc32"]
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             columns = list(zip(*out, strict=True)) or [[]] * 5
@@ -130,6 +133,22 @@ def _fitness(lengths: np.ndarray, assign: np.ndarray, capacity: int) -> tuple[in
     return -len(fill), float((fill**2).sum())
 
 
+def _exchange(lengths: np.ndarray, assign: np.ndarray, loose: np.ndarray, capacity: int) -> np.ndarray:
+    """Swaps displaced pieces with smaller ones of bins that they fill better; returns what is displaced then."""
+    pool = sorted(zip(lengths[loose].tolist(), loose.tolist(), strict=True))
+    free = capacity - np.bincount(assign[assign >= 0], lengths[assign >= 0], int(assign.max(initial=-1)) + 1).astype(np.int64)
+    inside = np.flatnonzero(assign >= 0)
+    for k in inside[free[assign[inside]] > 0].tolist():
+        room, mine = int(free[assign[k]]), int(lengths[k])
+        at = bisect.bisect_right(pool, (mine + room, 1 << 62)) - 1
+        if room and at >= 0 and pool[at][0] > mine:
+            size, other = pool.pop(at)
+            bisect.insort(pool, (mine, k))
+            free[assign[k]] -= size - mine
+            assign[other], assign[k] = assign[k], -1
+    return np.array([k for _, k in pool], np.int64)
+
+
 def _crossover(lengths: np.ndarray, giver: np.ndarray, taker: np.ndarray, capacity: int, rng: np.random.Generator) -> np.ndarray:
     fill = np.bincount(giver, lengths)
     good = np.flatnonzero(fill >= WELL_FILLED * capacity)
@@ -145,7 +164,7 @@ def _crossover(lengths: np.ndarray, giver: np.ndarray, taker: np.ndarray, capaci
     fills = np.bincount(child[child >= 0], lengths[child >= 0])
     low = weak[(child[weak] >= 0) & (fills[child[weak]] < WELL_FILLED * capacity)]
     child[np.isin(child, child[low]) & (child >= 0)] = -1
-    loose = np.flatnonzero(child < 0)
+    loose = _exchange(lengths, child, np.flatnonzero(child < 0), capacity)
     noise = rng.integers(0, 8, len(loose))
     return best_fit(lengths, loose[np.argsort(-(lengths[loose] + noise), kind="stable")], child, capacity)
 
@@ -166,66 +185,76 @@ def evolve(lengths: np.ndarray, population: list[np.ndarray], capacity: int, rng
     return population[:size]
 
 
-def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """``items`` (as :func:`pieces` gives them) with sequence_id and offset.
+def settle(lengths: np.ndarray, tags: np.ndarray, plan: np.ndarray, first: int, capacity: int, weakest: int) -> pd.DataFrame:
+    """Rows (tag, length, sequence_id, offset, weak) of a packing; sequences are numbered from ``first``.
 
-    ``items`` must be a written table: the shard of a row follows from its tag.
+    The pieces of the least filled bins, at most ``weakest``, are weak: they may be packed again with others.
     """
-    part = items.where(F.col("length") < capacity)
-    full = items.where(F.col("length") >= capacity)
-    shards = max(1, -(-part.count() // SHARD))
-    tagged = part.withColumn("tag", F.monotonically_increasing_id())
-    state = "shard bigint, island int, lengths binary, tags binary, rows binary, plan binary"
-    columns = ("doc_id", "piece", "start", "length", "ids_crc32")
+    order = np.argsort(plan, kind="stable")
+    size, used = lengths[order], plan[order]
+    starts = np.cumsum(size) - size
+    new = np.r_[True, np.diff(used) > 0]
+    fill, count = np.bincount(plan, lengths), np.bincount(plan)
+    by_fill = np.argsort(fill, kind="stable")
+    weak = np.zeros(len(fill), bool)
+    weak[by_fill[(np.cumsum(count[by_fill]) <= weakest) & (fill[by_fill] < capacity)]] = True
+    return pd.DataFrame({"tag": tags[order], "length": size, "sequence_id": first + used, "offset": starts - starts[new][np.cumsum(new) - 1], "weak": weak[used]})
+
+
+def _islands(part: DataFrame, shard: str, capacity: int, salt: int, weakest: int) -> DataFrame:
+    """Evolves the pieces (tag, length) of each shard on ISLANDS islands, a task each; the elite migrates between epochs."""
+    state = "shard bigint, island int, lengths binary, tags binary, plan binary"
+    names = [x.split()[0] for x in state.split(", ")]
+
+    def routed(shard: int, island: int, lengths: np.ndarray, tags: np.ndarray, found: list[np.ndarray]) -> pd.DataFrame:
+        to = [(island, x) for x in found] + [((island + 1) % ISLANDS, found[0])]
+        return pd.DataFrame([(shard, i, lengths.tobytes(), tags.tobytes(), x.astype(np.int64).tobytes()) for i, x in to], columns=names)
 
     def begin(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", "tag"], ascending=[False, True])
-        lengths = pdf["length"].to_numpy(np.int64)
-        rows = np.stack([pdf[c].fillna(0).to_numpy(np.int64) for c in columns] + [pdf["doc_id"].isna().to_numpy(np.int64)])
-        out, shard = [], int(pdf["shard"].iloc[0])
-        for island in range(ISLANDS):
-            found = evolve(lengths, [], capacity, np.random.default_rng([shard, island, 0]))
-            out += _routed(shard, island, lengths, pdf["tag"].to_numpy(np.int64), rows, found)
-        return pd.DataFrame(out, columns=[x.split()[0] for x in state.split(", ")])
+        lengths, at, island = pdf["length"].to_numpy(np.int64), int(pdf["shard"].iloc[0]), int(pdf["island"].iloc[0])
+        return routed(at, island, lengths, pdf["tag"].to_numpy(np.int64), evolve(lengths, [], capacity, np.random.default_rng([at, island, salt])))
 
     def epoch(pdf: pd.DataFrame) -> pd.DataFrame:
         first = pdf.iloc[0]
-        lengths = np.frombuffer(first["lengths"], np.int64)
+        lengths, at, island = np.frombuffer(first["lengths"], np.int64), int(first["shard"]), int(first["island"])
         population = [np.frombuffer(x, np.int64).copy() for x in sorted(pdf["plan"])]
-        shard, island = int(first["shard"]), int(first["island"])
-        found = evolve(lengths, population, capacity, np.random.default_rng([shard, island, 1]), size=max(POPULATION, len(population)))
-        out = _routed(shard, island, lengths, np.frombuffer(first["tags"], np.int64), np.frombuffer(first["rows"], np.int64), found[:POPULATION])
-        return pd.DataFrame(out, columns=list(pdf.columns))
+        found = evolve(lengths, population, capacity, np.random.default_rng([at, island, salt + 1]), size=max(POPULATION, len(population)))
+        return routed(at, island, lengths, np.frombuffer(first["tags"], np.int64), found[:POPULATION])
 
     def finish(pdf: pd.DataFrame) -> pd.DataFrame:
         first = pdf.iloc[0]
         lengths = np.frombuffer(first["lengths"], np.int64)
         best = max((np.frombuffer(x, np.int64) for x in sorted(pdf["plan"])), key=lambda x: _fitness(lengths, x, capacity))
-        rows = np.frombuffer(first["rows"], np.int64).reshape(6, -1)
-        order = np.argsort(best, kind="stable")
-        ends = np.cumsum(lengths[order])
-        starts = ends - lengths[order]
-        new = np.r_[True, np.diff(best[order]) > 0]
-        out = pd.DataFrame({c: rows[k][order] for k, c in enumerate(columns)})
-        out["doc_id"] = out["doc_id"].astype("Int64").mask(rows[5][order] == 1)
-        out["sequence_id"] = int(first["shard"]) * (1 << 20) + best[order]
-        out["offset"] = starts - starts[new][np.cumsum(new) - 1]
-        return out
-
-    kind = f"{PIECE}, sequence_id bigint, offset bigint"
-    islands = tagged.withColumn("shard", F.pmod(F.xxhash64("tag"), F.lit(shards))).groupBy("shard").applyInPandas(begin, state)
+        return settle(lengths, np.frombuffer(first["tags"], np.int64), best, (salt << 52) + (int(first["shard"]) << 20), capacity, weakest).assign(shard=int(first["shard"]))
+
+    rows = part.withColumn("island", F.explode(F.array(*[F.lit(k) for k in range(ISLANDS)])))
+    islands = rows.select(F.col(shard).alias("shard"), "island", "tag", "length").groupBy("shard", "island").applyInPandas(begin, state)
     for _ in range(EPOCHS - 1):
         islands = islands.groupBy("shard", "island").applyInPandas(epoch, state)
-    packed = islands.groupBy("shard").applyInPandas(finish, kind)
-    alone = full.select("*", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    return packed.unionByName(alone)
-
-
-def _routed(shard: int, island: int, lengths: np.ndarray, tags: np.ndarray, rows: np.ndarray, found: list[np.ndarray]) -> list[tuple]:
-    """State rows: the population stays, and a copy of the elite migrates to the next island."""
-    to = [(island, x) for x in found] + [((island + 1) % ISLANDS, found[0])]
-    return [(shard, i, lengths.tobytes(), tags.tobytes(), rows.tobytes(), x.astype(np.int64).tobytes()) for i, x in to]
+    return islands.groupBy("shard").applyInPandas(finish, "tag bigint, length bigint, sequence_id bigint, offset bigint, weak boolean, shard bigint")
+
+
+def pack(items: DataFrame, capacity: int = CAPACITY, shard: int = SHARD, weakest: int = WEAKEST, meet: int = MEET) -> DataFrame:
+    """``items`` (as :func:`pieces` gives them, with a tag) with sequence_id and offset. ``items`` must be a written table."""
+    part, full = items.where(F.col("length") < capacity), items.where(F.col("length") >= capacity)
+    shards = max(1, -(-part.count() // shard))
+    dealt = part.select("tag", "length", F.pmod(F.xxhash64("tag"), F.lit(shards)).alias("shard"))
+    found, places, level = written(_islands(dealt, "shard", capacity, 0, weakest), "packed"), None, 0
+    while True:
+        last = shards == 1
+        done = found.select("tag", "sequence_id", "offset") if last else found.where("not weak").select("tag", "sequence_id", "offset")
+        places = done if places is None else places.unionByName(done)
+        if last:
+            break
+        # the weakest bins of several shards fall apart and are packed together
+        shards, level = -(-shards // meet), level + 1
+        pool = found.where("weak").select("tag", "length", F.floor(F.col("shard") / meet).cast("bigint").alias("shard"))
+        found = written(_islands(pool, "shard", capacity, level, weakest), "packed")
+    placed = part.join(places, "tag").drop("tag")
+    alone = full.select("*", (-1 - F.col("tag")).alias("sequence_id"), F.lit(0).cast("long").alias("offset")).drop("tag")
+    return placed.unionByName(alone)
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    return pack(written(pieces(docs), "pieces"), capacity)
+    return pack(written(pieces(docs).withColumn("tag", F.monotonically_increasing_id()), "pieces"), capacity)

@@ -50,6 +50,49 @@ def test_language(spark):
     assert {r.lang_pred for r in language_id.identify(df, {}).collect()} == {"und"}
 
 
+def brute_language(text, counts):
+    """Shares by plain loops: every set of the nested order, the best by penalised likelihood."""
+    run = (" " + re.sub(r"[^a-z]+", " ", text.lower()) + " ").encode()
+    grams = collections.Counter(int(language_id._hash(np.frombuffer(run[i : i + 4], np.uint8))[0]) for i in range(len(run) - 3))
+    langs, total = sorted(counts), sum(grams.values())
+    p = {g: {x: (counts[x][g] + 0.5) / (counts[x].sum() + 0.5 * language_id.BUCKETS) for x in langs} for g in grams}
+
+    def em(pi, steps):
+        for _ in range(steps):
+            new = dict.fromkeys(pi, 0.0)
+            for g, n in grams.items():
+                all_ = sum(pi[x] * p[g][x] for x in pi)
+                for x in pi:
+                    new[x] += n * pi[x] * p[g][x] / all_ / total
+            pi = new
+        return pi, sum(n * np.log(sum(pi[x] * p[g][x] for x in pi)) for g, n in grams.items())
+
+    full, _ = em(dict.fromkeys(langs, 1 / len(langs)), 8)
+    order = sorted(langs, key=lambda x: -full[x])
+    best = (-np.inf, None)
+    for size in range(1, len(langs) + 1):
+        start = {x: max(full[x], 1e-3) for x in order[:size]}
+        pi, ll = em({x: v / sum(start.values()) for x, v in start.items()}, 6 if size > 1 else 0)
+        best = max(best, (ll - size * 2 * np.log(max(total, 2)), pi), key=lambda b: b[0])
+    return best[1]
+
+
+def test_language_against_brute_force(spark):
+    rng = np.random.default_rng(31)
+    langs = {x: vocabulary(40 + k, 150) for k, x in enumerate(("aa", "bb", "cc"))}
+    rows = [(k, prose(rng, langs[x], 40), x) for k in range(60) for x in [("aa", "bb", "cc")[k % 3]]]
+    mixed = [prose(rng, langs["aa"], 20) + " " + prose(rng, langs[x], n) for x in ("bb", "cc") for n in (3, 20, 60)] + ["of", prose(rng, langs["cc"], 2)]
+    df = spark.createDataFrame(rows + [(100 + k, t, None) for k, t in enumerate(mixed)] + [(200, "a", None), (200, "a", None)], "doc_id long, text string, lang string").withColumn("shares", F.lit(1)).withColumn("gram", F.lit(1))
+    model = language_id.train(df)
+    out = {r.doc_id: r for r in language_id.identify(df, model).collect()}
+    for k, t in enumerate(mixed):
+        assert dict(out[100 + k].shares) == pytest.approx(brute_language(t, model), abs=1e-6)
+    assert out[100].score < 1 and 1 / 3 <= out[106].score < 0.9999
+    most = max(model, key=lambda x: model[x].sum())
+    assert out[200].lang_pred == most and out[200].score == pytest.approx(model[most].sum() / sum(m.sum() for m in model.values())) and out[200].shares == {}
+    assert language_id.train(df.limit(0)) == {} and language_id.identify(df.limit(0), model).count() == 0
+
+
 def brute_repeats(texts, n=400):
     data = [(t or "").encode() for t in texts]
     seen = collections.Counter(b[i : i + n] for b in data for i in range(len(b) - n + 1))
@@ -334,13 +377,13 @@ def test_similarity_and_estimate():
 def test_packing(spark):
     rng = np.random.default_rng(14)
     words = vocabulary(15, 300)
-    texts = [prose(rng, words, int(n)) for n in rng.integers(1, 500, 60)] + [None, "", prose(rng, words, 3000), "<|endoftext|>", "x" * 5000]
+    texts = [prose(rng, words, int(n)) for n in rng.integers(1, 500, 60)] + [None, "", prose(rng, words, 3000), "<|endoftext|>", "hi <|endoftext|> x<|endoftext|>", "x" * 5000, "日本語 ünï 😀"]
     out = packing.pack_documents(docs_of(spark, texts)).toPandas()
     import public_tokenizers
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
+    assert tok.encode("hi <|endoftext|> x", add_special_tokens=False).ids == [5303, 220, 50256, 2124]
     for k, t in enumerate(texts):
         ids = np.array([*tok.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
         mine = out[out.doc_id == k].sort_values("piece")
@@ -352,6 +395,32 @@ def test_packing(spark):
     assert packing.pack_documents(docs_of(spark, texts).limit(0)).count() == 0
 
 
+def fitted_best(lengths):
+    return packing.best_fit(lengths, np.argsort(-lengths, kind="stable"), np.full(len(lengths), -1), 1024).max() + 1
+
+
+def test_evolution_beats_best_fit():
+    """Triples that fill a sequence exactly, which best fit doesn't find again."""
+    rng = np.random.default_rng(3)
+    lengths = np.array([x for _ in range(60) for a in [int(rng.integers(260, 400))] for b in [int(rng.integers(260, 1024 - a - 260))] for x in (a, b, 1024 - a - b)])
+    found = packing.evolve(lengths, [], 1024, np.random.default_rng(0))[0].max() + 1
+    assert 60 <= found <= fitted_best(lengths) - 3
+
+
+def test_shards_share_their_weakest_bins(spark):
+    """Real lengths: fewer sequences than best fit in each shard, and every piece placed once, without gaps."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    items = packing.written(packing.pieces(docs).withColumn("tag", F.monotonically_increasing_id()), "pieces")
+    out = packing.pack(items, shard=128, weakest=64, meet=2).toPandas()
+    rows = items.withColumn("shard", F.pmod(F.xxhash64("tag"), F.lit(-(-items.where("length < 1024").count() // 128)))).toPandas()
+    part = rows[rows.length < 1024]
+    plain = sum(fitted_best(g.length.to_numpy()) for _, g in part.groupby("shard")) + (rows.length == 1024).sum()
+    assert out.sequence_id.nunique() < plain and len(out) == len(rows)
+    assert sorted(zip(out.doc_id, out.piece, out.length, strict=True)) == sorted(zip(rows.doc_id, rows.piece, rows.length, strict=True))
+    for _, g in out.sort_values("offset").groupby("sequence_id"):
+        assert g.length.sum() <= 1024 and (np.cumsum(np.r_[0, g.length])[:-1] == g.offset).all()
+
+
 def test_crossover_keeps_every_item():
     rng = np.random.default_rng(16)
     lengths = rng.integers(1, 700, 300)
