@@ -11,14 +11,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import exact_dedup, language_id, minhash_dedup, mixing, packing
-from millrace.llm.common import held_out, read_table, written
+from millrace.llm.common import held_out, read_table, remove, written
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents in no language: null texts and texts without a letter."""
+    """Rejects documents in no language (null texts, texts without a letter); ``lang`` becomes the predicted language.
+
+    Without a row to learn from, only those without a letter go and ``lang`` stays as it is.
+    """
     model = language_id.train(docs.where(~held_out(F.col("doc_id"))))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
-    return language_id.identify(rows, model, ["row"]).where("lang_pred <> 'und'").select("row.*") if model else docs.where(F.coalesce(F.col("text"), F.lit("")).rlike(r"\p{L}"))
+    if not model:
+        return docs.where(F.coalesce(F.col("text"), F.lit("")).rlike(r"\p{L}"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
+    found = language_id.identify(rows, model, ["row"]).where("lang_pred <> 'und'")
+    return found.select(*[F.col("lang_pred").alias("lang") if c == "lang" else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +40,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text", "source", "lang")
+    """Rakes over source, the language that the first stage found, and learnt topics; draws documents by probability."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "text", "source", "lang")
     return mixing.mix(rows).where("_drawn").select("row.*")
 
 
@@ -55,6 +62,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, written(stage(spark, docs, sf_dir), name)
+        if k:
+            remove(before)
     return STAGES[-1][1](spark, docs, sf_dir)
