@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import EngineConfig
@@ -17,9 +17,11 @@ from .functions import timestamps as D
 from .functions import vectors as V
 from .operators import anomaly, budgets, findings, incidents, metrics, retrieval, segments, windows
 from .operators.metrics import RULES, WINDOW
+from .operators.ordered import number_lines
 from .plans.ingest import Ingested, ingest, session_metrics, wide
 from .sources import tables
-from .sources.lines import synth_log_lines
+from .sources.lines import NOTE_EVERY, NOTES, synth_log_lines
+from .sources.scratch import scratch_path
 from .streaming import ingest as streams
 
 CFG = EngineConfig(window_seconds=3600)
@@ -45,6 +47,10 @@ def _lines(spark: SparkSession, sf: str) -> DataFrame:
     return synth_log_lines(_read(spark, sf, "events"))
 
 
+def _numbered(spark: SparkSession, sf: str) -> DataFrame:
+    return number_lines(_lines(spark, sf), windows.KEYS, "seq", CFG.order_block)
+
+
 def _runs(spark: SparkSession, sf: str) -> DataFrame:
     return windows.with_runs(_lines(spark, sf), CFG)
 
@@ -66,7 +72,8 @@ def _q(pattern: str) -> str:
     return "'" + pattern.replace("'", "''") + "'"
 
 
-LINES = """ev AS (
+_NOTE = " ".join(f"WHEN {k} THEN {_q(t)}" for k, t in NOTES.items())
+LINES = f"""ev AS (
   SELECT event_id, CAST(user_id % 4 AS VARCHAR) AS session_id, CAST(user_id AS VARCHAR) AS u, event_type, ts,
          CAST(json_extract_string(props, '$.k') AS INTEGER) AS k,
          CAST(CAST(floor(value) AS BIGINT) * CASE WHEN event_id % 97 = 0 THEN 40 ELSE 1 END AS VARCHAR) AS v,
@@ -76,11 +83,11 @@ lines AS (
   SELECT event_id, session_id, 'doc-' || session_id AS document_id,
     CASE event_type
       WHEN 'view' THEN t || ' INFO GET ' || CASE WHEN k % 10 = 0 THEN '/feature/' || k ELSE '/items/' || u END || ' HTTP/1.1" status=200 took=' || v || 'ms'
-      WHEN 'click' THEN t || ' INFO POST /api/click/' || k || CASE WHEN k % 7 = 0 THEN ' status=503' ELSE ' status=404' END || ' latency: ' || v || 'ms'
+      WHEN 'click' THEN CASE WHEN k % 11 = 0 THEN '  at com.app.Svc' || (k % 3) || '.call(Svc.java)' ELSE t || ' INFO POST /api/click/' || k || CASE WHEN k % 7 = 0 THEN ' status=503' ELSE ' status=404' END || ' latency: ' || v || 'ms' END
       WHEN 'purchase' THEN t || ' INFO ' || CASE WHEN k % 33 = 0 THEN 'deadlock detected ' ELSE '' END || CASE WHEN k % 20 = 0 THEN 'slow query ' ELSE 'executing query ' END || 'INSERT INTO orders took ' || v || ' ms'
       WHEN 'signup' THEN t || ' WARN login failed 401 Unauthorized' || CASE WHEN k % 5 = 0 THEN ' token has expired' ELSE '' END
       ELSE CASE WHEN k % 17 = 0 THEN '' ELSE t || ' ' END || 'ERROR java.lang.' || substr('ABC', k % 3 + 1, 1) || 'Exception: boom' || CASE WHEN k % 25 = 0 THEN ' OutOfMemoryError heap space' ELSE '' END
-    END AS value,
+    END || CASE event_id % {NOTE_EVERY} {_NOTE} ELSE '' END AS value,
     row_number() OVER (PARTITION BY session_id ORDER BY event_id) AS line_no
   FROM ev)"""
 TIMED = f"""{LINES},
@@ -158,17 +165,17 @@ CHUNK_ID = "substr({h},1,8)||'-'||substr({h},9,4)||'-'||substr({h},13,4)||'-'||s
 # --- scans, timestamps, windows ------------------------------------------------------------------------------
 @query(f"WITH {LINES} SELECT session_id, document_id, line_no, value FROM lines")
 def log_lines(spark, sf):
-    return _lines(spark, sf).select("session_id", "document_id", "line_no", "value")
+    return _numbered(spark, sf).select("session_id", "document_id", "line_no", "value")
 
 
 @query(f"WITH {TIMED} SELECT session_id, line_no, CAST(epoch(lts) AS BIGINT) AS ts FROM timed")
 def ts_extract(spark, sf):
-    return _lines(spark, sf).select("session_id", "line_no", _sec(D.line_ts(F.col("value"), 2024)).alias("ts"))
+    return _numbered(spark, sf).select("session_id", "line_no", _sec(D.line_ts(F.col("value"), 2024)).alias("ts"))
 
 
 @query(f"WITH {TIMED} SELECT session_id, line_no, CAST(epoch(fts) AS BIGINT) AS at_s FROM filled")
 def ts_forward_fill(spark, sf):
-    return windows.with_time(_lines(spark, sf), CFG).select("session_id", "line_no", _sec("at").alias("at_s"))
+    return _runs(spark, sf).select("session_id", "line_no", _sec("at").alias("at_s"))
 
 
 @query(f"WITH {RUNS} SELECT session_id, bucket, line_start, max(line_no) AS line_end, count(*) AS n_lines FROM runs GROUP BY ALL")
@@ -182,7 +189,7 @@ SELECT lang, (line_no - 1) // 500 * 60 AS bucket, min(line_no) AS line_start, ma
 )
 def window_line_fallback(spark, sf):
     docs = _read(spark, sf, "documents")
-    lines = docs.select(F.col("lang").alias("session_id"), F.lit("d").alias("document_id"), F.row_number().over(Window.partitionBy("lang").orderBy("doc_id")).cast("long").alias("line_no"), F.lit("no time here").alias("value"))
+    lines = docs.select(F.col("lang").alias("session_id"), F.lit("d").alias("document_id"), F.col("doc_id").alias("seq"), F.lit("no time here").alias("value"))
     runs = windows.with_runs(lines, EngineConfig())
     return runs.groupBy(F.col("session_id").alias("lang"), _sec("time_bucket").alias("bucket")).agg(F.min("line_no").alias("line_start"), F.max("line_no").alias("line_end"))
 
@@ -345,7 +352,7 @@ def parts_plan(spark, sf):
 
 @query(f"WITH {LINES} SELECT session_id, line_no, count(*) FILTER (WHERE regexp_matches(value, {_q(P.RECORD_START)})) OVER (PARTITION BY session_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS record_no FROM lines")
 def record_groups(spark, sf):
-    return segments.record_groups(_lines(spark, sf), CFG).select("session_id", "line_no", "record_no")
+    return segments.record_groups(_numbered(spark, sf), CFG).select("session_id", "line_no", "record_no")
 
 
 @query()
@@ -678,18 +685,10 @@ def progress_changes(spark, sf):
 def streaming_metrics(spark, sf):
     """The event table read as a stream; batches add up to the same hourly counts."""
     schema = _read(spark, sf, "events").schema
-    out = _stream_folder(spark)
+    out = scratch_path(spark, "stream")
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("pathGlobFilter", "events.parquet").parquet(sf).withColumn("at", F.col("ts").cast("timestamp"))
     keyed = stream.select("event_type", D.bucket(F.col("at"), 3600).alias("b")).groupBy("event_type", "b").agg(F.count(F.lit(1)).alias("n"))
     streams.run_available(keyed, f"{out}/checkpoint", streams.additive_sink(f"{out}/rows"), "update")
     rows = spark.read.parquet(f"{out}/rows")
     shift = F.expr("unix_micros(cast(timestamp_ntz '1970-01-01 00:00:00' as timestamp)) div 1000000")
     return rows.groupBy("event_type", "b").agg(F.max_by("n", "batch").alias("n")).select("event_type", (_sec("b") - shift).alias("bucket"), "n")
-
-
-def _stream_folder(spark: SparkSession) -> str:
-    import tempfile
-    import uuid
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="millrace-stream-")
-    return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"

@@ -12,7 +12,7 @@ from .plans import analyse
 from .plans.ingest import ingest, session_metrics
 from .ports import ChatModel, EchoModel, Embedder, HashEmbedder, embed_column
 from .sources import tables
-from .sources.lines import read_lines
+from .sources.lines import split_lines
 
 
 class Engine:
@@ -25,8 +25,8 @@ class Engine:
 
     def ingest(self, path: str, session_id: str) -> None:
         """Replace a session's chunks and metrics by those of the files at ``path``; running it again changes nothing."""
-        done = ingest(read_lines(self.spark, path, session_id), self.cfg)
-        content = windows.chunks(done.feats).select("chunk_id", "content")
+        done = ingest(split_lines(self.spark, path, session_id), self.cfg, content=True)
+        content = windows.with_chunk_id(done.table).select("chunk_id", "content")
         out = done.windows.join(content, "chunk_id")
         out = embed_column(out, "content", "embedding", self.embedder, self.cfg.embed_text_chars)
         tables.write_sessions(out.select("session_id", "chunk_id", "document_id", "time_bucket", "line_start", "line_end", "content", "embedding", "is_anomalous"), f"{self.root}/chunks")

@@ -99,15 +99,23 @@ def _numbers(rule: MetricRule) -> list[Column]:
     return out
 
 
-def window_table(feats: DataFrame, rules: Sequence[MetricRule] = RULES, extra: Sequence[MetricRule] = ()) -> DataFrame:
-    """One wide row per window: every rule's numbers, WARN lines and the exceptions by class; a single aggregate."""
+def window_table(feats: DataFrame, rules: Sequence[MetricRule] = RULES, extra: Sequence[MetricRule] = (), content: bool = False) -> DataFrame:
+    """One wide row per window (exception_class is null): every rule's numbers, WARN lines, and the text if asked for;
+    beside it one row per window and exception class. A single aggregate: a line with an exception counts in both.
+    """
     every = [*rules, *extra]
     intrinsic = " or ".join(f"({r.when})" for r in every if r.anomalous)
-    return feats.groupBy(*WINDOW).agg(
+    none = F.lit(None).cast("string")
+    rows = feats.withColumn("_class", F.explode(F.when(F.col("exception").isNull(), F.array(none)).otherwise(F.array(none, simple_name(F.col("exception"))))))
+    line = F.when(F.col("_class").isNull(), F.struct("line_no", "value"))
+    text = [F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["value"]), "\n").alias("content")] if content else []
+    return rows.groupBy(*WINDOW, F.col("_class").alias("exception_class")).agg(
         F.max("line_no").alias("line_end"),
         *[c for r in every for c in _numbers(r)],
+        F.count(F.lit(1)).alias("rows"),
         F.count_if("warn").alias("warn_lines"),
         F.bool_or(F.expr(f"coalesce({intrinsic}, false)")).alias("intrinsic"),
+        *text,
     )
 
 
@@ -128,15 +136,11 @@ def long_metrics(table: DataFrame, rules: Sequence[MetricRule] = RULES, extra: S
     return rows.select(*WINDOW, "m.*").where("count > 0")
 
 
-def exception_metrics(feats: DataFrame) -> DataFrame:
-    """Rows ``exception:<SimpleName>`` of each window."""
-    named = feats.where("exception is not null").withColumn("metric", F.concat(F.lit("exception:"), simple_name(F.col("exception"))))
+def exception_metrics(summary: DataFrame) -> DataFrame:
+    """Rows ``exception:<SimpleName>`` of each window, from the summary's rows by class."""
     none = F.lit(None)
-    return named.groupBy(*WINDOW, "metric").agg(F.count(F.lit(1)).alias("count")).select(*WINDOW, F.lit("ERRORS").alias("category"), "metric", "count", none.cast("bigint").alias("sum_ms"), none.cast("decimal(12,2)").alias("avg_ms"), none.cast("decimal(12,2)").alias("p95_ms"))
-
-
-def window_metrics(feats: DataFrame, extra: Sequence[MetricRule] = ()) -> DataFrame:
-    return long_metrics(window_table(feats, extra=extra), extra=extra).unionByName(exception_metrics(feats))
+    rows = summary.where("exception_class is not null")
+    return rows.select(*WINDOW, F.lit("ERRORS").alias("category"), F.concat(F.lit("exception:"), "exception_class").alias("metric"), F.col("rows").alias("count"), none.cast("bigint").alias("sum_ms"), none.cast("decimal(12,2)").alias("avg_ms"), none.cast("decimal(12,2)").alias("p95_ms"))
 
 
 def merge_metrics(rows: DataFrame, cfg: EngineConfig = EngineConfig()) -> DataFrame:  # noqa: B008
@@ -146,8 +150,13 @@ def merge_metrics(rows: DataFrame, cfg: EngineConfig = EngineConfig()) -> DataFr
     ids stay. A key merged from several rows has 0 where its numbers were null.
     """
     key = ["session_id", "time_bucket", "category", "metric"]
-    ids = F.slice(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("seq", "sample_chunk_ids"))), lambda x: x["sample_chunk_ids"])), 1, cfg.sample_cap)
-    m = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_k"), F.sum("count").alias("count"), F.sum("sum_ms").alias("_sum"), F.max("avg_ms").alias("_avg"), F.max("p95_ms").alias("_p95"), ids.alias("sample_chunk_ids"))
+    # the first rows of a key, in two rounds, so that a key's samples meet in rows of bounded size
+    spread = rows.withColumn("_part", F.pmod(F.xxhash64("seq"), F.lit(64)))
+    first = F.slice(F.array_sort(F.collect_list(F.struct("seq", F.slice("sample_chunk_ids", 1, cfg.sample_cap).alias("ids")))), 1, cfg.sample_cap)
+    sums = lambda n: [F.sum(n).alias("_k"), F.sum("count").alias("count"), F.sum("sum_ms").alias("sum_ms"), F.max("avg_ms").alias("avg_ms"), F.max("p95_ms").alias("p95_ms")]
+    parts = spread.groupBy(*key, "_part").agg(*sums(F.lit(1)), first.alias("_ids"))
+    ids = F.slice(F.flatten(F.transform(F.array_sort(F.flatten(F.collect_list("_ids"))), lambda x: x["ids"])), 1, cfg.sample_cap)
+    m = parts.groupBy(*key).agg(*sums("_k"), ids.alias("sample_chunk_ids")).withColumnsRenamed({"sum_ms": "_sum", "avg_ms": "_avg", "p95_ms": "_p95"})
     many = F.col("_k") > 1
     total = F.when(many, F.coalesce("_sum", F.lit(0))).otherwise(F.col("_sum"))
     avg = F.when(many, average(F.coalesce("_sum", F.lit(0)), F.col("count"))).otherwise(F.col("_avg"))

@@ -1,7 +1,7 @@
 """Ordered operators that do not put a whole file into one task.
 
-A file's lines are cut into blocks of bounded size. What must be carried into a block (the last value before
-it) is computed over one row per block; the rest is a window within the block.
+A file's lines are cut into blocks of bounded size. What must be carried into a block is computed over one row
+per block; the rest is a window within the block.
 """
 
 from __future__ import annotations
@@ -16,20 +16,18 @@ def with_block(df: DataFrame, order: str, size: int, name: str = "_block") -> Da
     return df.withColumn(name, F.floor((F.col(order) - 1) / size))
 
 
-def carry_last(df: DataFrame, keys: Sequence[str], order: str, value: Column, out: str, size: int, before: bool = False) -> DataFrame:
-    """Adds ``out``: the last non-null ``value`` up to each row (``before``: up to the row before it).
+def number_lines(df: DataFrame, keys: Sequence[str], order: str, size: int, out: str = "line_no", block: str | None = None) -> DataFrame:
+    """Adds ``out``: the rows of ``keys`` counted from 1 in the order of ``order``, which may have gaps.
 
-    ``order`` counts from 1 within ``keys``. Two shuffles of narrow rows and one of rows by block.
+    ``block`` names a column that already cuts the rows into blocks that follow each other.
     """
-    df = with_block(df.withColumn("_v", value), order, size)
-    # null values are left out of max_by by ordering only the rows that have one
-    ends = df.where(F.col("_v").isNotNull()).groupBy(*keys, "_block").agg(F.max_by("_v", order).alias("_end"))
-    blocks = df.select(*keys, "_block").distinct().join(ends, [*keys, "_block"], "left")
-    w = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    carried = blocks.select(*keys, "_block", F.last("_end", ignorenulls=True).over(w).alias("_in"))
-    inside = Window.partitionBy(*keys, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1 if before else 0)
-    out_df = df.join(carried, [*keys, "_block"]).withColumn(out, F.coalesce(F.last("_v", ignorenulls=True).over(inside), F.col("_in")))
-    return out_df.drop("_v", "_block", "_in")
+    df = df.withColumn("_block", F.col(block)) if block else with_block(df, order, size)
+    counts = df.groupBy(*keys, "_block").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*keys, "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy(*keys, "_block").orderBy(order)
+    numbered = df.withColumn("_k", F.row_number().over(inside)).join(offsets, [*keys, "_block"])
+    return numbered.withColumn(out, (F.col("_before") + F.col("_k")).cast("long")).drop("_block", "_before", "_k")
 
 
 def running_count(df: DataFrame, keys: Sequence[str], order: str, flag: Column, out: str, size: int) -> DataFrame:

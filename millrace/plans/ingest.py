@@ -1,4 +1,4 @@
-"""The ingest plan: lines to windows, metric rows and anomaly flags, as one lazy chain."""
+"""The ingest plan: lines to one summary per window, written once, and metric rows and anomaly flags from it."""
 
 from __future__ import annotations
 
@@ -10,24 +10,32 @@ from pyspark.sql import functions as F
 from ..config import EngineConfig
 from ..operators import anomaly, metrics, windows
 from ..operators.metrics import WINDOW, MetricRule
+from ..sources.scratch import written
 
 
 @dataclass(frozen=True)
 class Ingested:
-    feats: DataFrame
+    #: One row per window; with its text (content) if that was asked for.
     table: DataFrame
     metrics: DataFrame
     windows: DataFrame
 
 
-def ingest(lines: DataFrame, cfg: EngineConfig = EngineConfig(), extra: tuple[MetricRule, ...] = ()) -> Ingested:  # noqa: B008
-    """Everything that a session's lines give; ``extra`` rules join the built-in ones in the same aggregate."""
-    runs = windows.with_runs(lines, cfg)
-    feats = metrics.features(runs)
-    table = metrics.window_table(feats, extra=extra)
-    rows = metrics.long_metrics(table, extra=extra).unionByName(metrics.exception_metrics(feats))
+def summary(lines: DataFrame, cfg: EngineConfig = EngineConfig(), extra: tuple[MetricRule, ...] = (), content: bool = False) -> DataFrame:  # noqa: B008
+    """The one pass over the lines: two scans of the source, of which one is narrow, and one aggregate."""
+    return metrics.window_table(metrics.features(windows.with_runs(lines, cfg)), extra=extra, content=content)
+
+
+def ingest(lines: DataFrame, cfg: EngineConfig = EngineConfig(), extra: tuple[MetricRule, ...] = (), content: bool = False) -> Ingested:  # noqa: B008
+    """Everything that a session's lines give; ``extra`` rules join the built-in ones in the same aggregate.
+
+    The summary is written once; metrics, flags and whatever follows read its few rows per window.
+    """
+    rows = written(summary(lines, cfg, extra, content), "windows")
+    table = rows.where("exception_class is null").drop("exception_class", "rows")
+    metric_rows = metrics.long_metrics(table, extra=extra).unionByName(metrics.exception_metrics(rows))
     local = windows.with_chunk_id(anomaly.local_anomaly(table, cfg))
-    return Ingested(feats, table, rows, anomaly.flag_latency_outliers(local, rows, cfg))
+    return Ingested(table, metric_rows, anomaly.flag_latency_outliers(local, metric_rows, cfg))
 
 
 def session_metrics(rows: DataFrame, cfg: EngineConfig = EngineConfig()) -> DataFrame:  # noqa: B008
