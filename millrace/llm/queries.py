@@ -58,7 +58,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pii.find_pii(read_table(spark, sf_dir, "documents"))
     count = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
     text = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
-    return out.select("doc_id", *[count(k) for k in pii.KINDS[:4]], F.sha2(text("base").cast("binary"), 256).alias("base_sha256"), text("spans").alias("spans"))
+    return out.select("doc_id", *[count(k) for k in pii.KINDS[:4]], F.sha2(text("base").cast("binary"), 256).alias("base_sha256"), text("spans").alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
