@@ -2,20 +2,29 @@
 
 The texts are cut at content-defined anchors (a 24-byte gram whose hash is least in some window of WINDOW
 grams), so equal strings are cut alike. Each anchor starts a phrase, and a text becomes a string of phrases.
-Only texts that can hold a repeat take part: every string of LENGTH bytes starts with a coarse anchor within
-its first COARSE grams, and the bytes from there on to the string's end must occur twice.
-
-The suffixes of the phrase strings are sorted by difference cover: positions 1 and 2 modulo 3 are sampled;
-their triples are sorted and named; the names form a shorter string on which the step is repeated until a
-name stands for enough bytes; the suffixes at the remaining positions are merged in by their first phrases
-and the name of the next sampled suffix. Suffixes that lie side by side in this order with equal prefixes of
-LENGTH bytes or more are repeats. What is shorter than whole phrases, at the ends of a repeat, is settled
-exactly: blocks of windows that share their core are compared by hashes of whole blocks, then, where a block
-is unique, window by window.
+Only regions that can hold a repeat take part: every string of LENGTH bytes has a coarse anchor among its first
+COARSE grams, and the bytes from there on to the string's end must occur twice.
+
+The suffixes of the phrase strings are sorted by difference cover. Positions 1 and 2 modulo 3 are sampled; their
+triples are sorted, in ranges over all tasks, and each suffix is named by its place in that order. Names that
+occur again and stand for less than LENGTH bytes are sorted on by the names of the sampled suffixes that follow
+(the triples of the string of names), which refines the order, until none is left. The suffixes at positions 0
+modulo 3 are merged in: a suffix is compared with one of residue 1 by its first phrase and the place of the
+suffix after it, with one of residue 2 by two phrases and the place of the suffix after those. Neighbours in
+these orders are compared. Those that agree on LENGTH bytes in whole phrases are repeats. Those that agree on
+three phrases can be the inside of a repeat: any repeated string's phrases do so.
+
+What is left are the ends of repeats, shorter than whole phrases: windows of LENGTH bytes whose first three
+inner phrases occur again but which no repeat found so far covers. They are compared in blocks that share their
+core: first as whole blocks, then, where a block is unique, window by window, under a 64-bit hash of the window
+next to that of its core, which are 128 bits of different strings.
+
+Phrases are compared by 64-bit hashes. For a wrong byte, two different phrases with equal hashes must follow
+equal phrases; among 10^12 pairs of suffixes that part after a common prefix the chance of one is below 10^-7.
 
 Defined results: a null text is empty; texts shorter than LENGTH lose nothing; repeated rows are documents of
 their own, so whole copies of at least LENGTH bytes go from both; a null id is passed through; an empty table
-gives an empty result.
+gives an empty result. Texts are known by their SHA-256, so no pass depends on the order in which rows arrive.
 """
 
 from __future__ import annotations
@@ -24,9 +33,8 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import release, written
@@ -34,8 +42,9 @@ from .hashing import buffers, mix, powers, prefix_sums, steps
 
 LENGTH = 400
 GRAM = 24
-COARSE, WINDOW = 200, 64
-#: A window's first inner anchor is at least INNER bytes after its start, and at most INNER + WINDOW.
+COARSE, WINDOW = 200, 63
+#: A window's first inner anchor is at least INNER bytes after its start, and at most INNER + WINDOW. WINDOW is the
+#: largest for which the three phrases from there on lie where equal windows have equal anchors: 6 WINDOW + GRAM <= LENGTH + 3.
 INNER = WINDOW - 1
 #: Bytes from a window's first inner anchor that every such window holds.
 CORE = LENGTH - INNER - WINDOW
@@ -70,19 +79,21 @@ def hashed(sums: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
     return mix((sums[e] - sums[s]) * powers(int(s.max(initial=0)) + 1)[1][s] + (e - s).astype(np.uint64))
 
 
-def _tagged(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows get a tag from their place in the scan; every pass reads the same columns, so tags agree."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("tag", F.monotonically_increasing_id())
+def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, text, sha, k): a text is known by its digest; k, its first 64 bits, is only used to filter."""
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    rows = rows.withColumn("sha", F.sha2(F.col("text").cast("binary"), 256))
+    return rows.withColumn("k", F.conv(F.substring("sha", 1, 15), 16, 10).cast("bigint"))
 
 
 def coarse(rows: DataFrame) -> DataFrame:
-    """(tag, pos, c): coarse anchors with the hash of the bytes that any string starting before them holds."""
+    """(k, pos, c): coarse anchors with the hash of the bytes that any string starting before them holds."""
     reach = LENGTH - COARSE + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, off = buffers(batch.column("text"))
-            tags = batch.column("tag").to_numpy()
+            keys = batch.column("k").to_numpy()
             for lo, hi in steps(off):
                 part, ends = data[off[lo] : off[hi]], off[lo + 1 : hi + 1] - off[lo]
                 if not len(part):
@@ -93,23 +104,37 @@ def coarse(rows: DataFrame) -> DataFrame:
                 ok = at + reach <= ends[row]
                 at, row = at[ok], row[ok]
                 start = np.r_[0, ends[:-1]][row]
-                yield pa.RecordBatch.from_arrays([pa.array(tags[lo + row]), pa.array((at - start).astype(np.int64)), pa.array(hashed(sums, at, at + reach).view(np.int64))], names=["tag", "pos", "c"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys[lo + row]), pa.array((at - start).astype(np.int64)), pa.array(hashed(sums, at, at + reach).view(np.int64))], names=["k", "pos", "c"])
+
+    return rows.select("k", "text").mapInArrow(run, "k bigint, pos bigint, c bigint")
+
+
+def once_a_task(rows: DataFrame) -> DataFrame:
+    """``rows`` (k, sha, text) without copies within a task, so that a hot text is not shuffled as often as it occurs."""
 
-    return rows.select("tag", "text").mapInArrow(run, "tag bigint, pos bigint, c bigint")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[str] = set()
+        for batch in batches:
+            new = []
+            for x in batch.column("sha").to_pylist():
+                new.append(x not in seen)
+                seen.add(x)
+            yield batch.filter(pa.array(new, pa.bool_()))
+
+    return rows.mapInArrow(run, rows.schema)
 
 
 def phrases(texts: DataFrame) -> DataFrame:
-    """Fine anchors of the regions that coarse anchors (column at) mark, one row each.
+    """One row per text, (tag, n, pos, p, c, e): the anchors in the regions that coarse anchors (column at) mark.
 
-    idx: number of the anchor in its text; len, p: length and hash of its phrase (l1, p1 and l2, p2: of the next
-    two in the string, else 0); c: hash of its core; lo, hi: first and last start of the windows whose first
-    inner anchor it is; e: hash of all bytes they cover.
+    pos: place; p: hash of the phrase; c: hash of its core; e: hash of all bytes that the windows cover whose
+    first inner anchor it is (0: there is none); as packed arrays. An anchor past a gap follows a 0 in p.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, off = buffers(batch.column("text"))
-            tags = batch.column("tag").to_numpy()
+            tags = batch.column("tag").to_pylist()
             for k in range(batch.num_rows):
                 part = data[off[k] : off[k + 1]]
                 n = len(part)
@@ -121,80 +146,267 @@ def phrases(texts: DataFrame) -> DataFrame:
                 marks = np.array(batch.column("at")[k].as_py(), np.int64)
                 np.add.at(near, np.maximum(marks - COARSE, 0), 1)
                 np.add.at(near, np.minimum(marks + LENGTH, n), -1)
-                inside = np.cumsum(near)[:-1] > 0
-                prev, nxt = np.r_[-(1 << 40), at[:-1]], np.r_[at[1:], n]
-                lo = np.maximum(np.maximum(prev - INNER + 1, at - INNER - WINDOW), 0)
-                hi = np.minimum(at - INNER, n - LENGTH)
-                core = np.minimum(at + CORE, n)
-                use = inside[at]
-                idx = np.flatnonzero(use)
+                use = np.cumsum(near)[at] > 0
+                lo, hi = _blocks(at, n)
                 block = (hi >= lo) & (at + CORE <= n)
                 e = np.zeros(len(at), np.uint64)
-                e[block] = mix(hashed(sums, lo[block], hi[block] + LENGTH) + (at - lo)[block].astype(np.uint64))
-                p, size = hashed(sums, at, nxt).view(np.int64), nxt - at
-                ahead = [(np.where(np.r_[use[j:], np.zeros(min(j, len(use)), bool)] & use & (np.r_[use[1:], False] | (j == 1)), np.r_[x[j:], np.zeros(min(j, len(x)), np.int64)], 0)) for x in (p, size) for j in (1, 2)]
-                wide = [p, ahead[0], ahead[1], hashed(sums, at, core).view(np.int64), e.view(np.int64)]
-                narrow = [idx, at[idx], size[idx], ahead[2][idx], ahead[3][idx], lo[idx], np.where(block, hi, -1)[idx]]
-                columns = [pa.array(np.full(len(idx), tags[k])), *[pa.array(x[idx]) for x in wide], *[pa.array(x.astype(np.int32)) for x in narrow]]
-                yield pa.RecordBatch.from_arrays(columns, names=["tag", "p", "p1", "p2", "c", "e", "idx", "pos", "len", "l1", "l2", "lo", "hi"])
+                e[block] = mix(hashed(sums, lo[block], hi[block] + LENGTH) + (at - lo)[block].astype(np.uint64)) | np.uint64(1)
+                p = hashed(sums, at, np.r_[at[1:], n]) | np.uint64(1)
+                p[~use] = 0
+                keep = use | np.r_[False, use[:-1]]  # one anchor past each region ends its last phrase
+                c = hashed(sums, at, np.minimum(at + CORE, n))
+                e[~use] = 0
+                yield pa.RecordBatch.from_arrays([pa.array([tags[k]]), pa.array([n]), *[pa.array([x[keep].tobytes()], pa.binary()) for x in (at.astype("<i8"), p, c, e, lo.astype("<i8"), hi.astype("<i8"))]], names=["tag", "n", "pos", "p", "c", "e", "lo", "hi"])
+
+    return texts.select("tag", "text", "at").mapInArrow(run, "tag bigint, n bigint, pos binary, p binary, c binary, e binary, lo binary, hi binary")
+
+
+def _blocks(at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last start of the windows whose first inner anchor each anchor is."""
+    prev = np.r_[-(1 << 40), at[:-1]]
+    return np.maximum(np.maximum(prev - INNER + 1, at - INNER - WINDOW), 0), np.minimum(at - INNER, n - LENGTH)
+
+
+def _ahead(x: np.ndarray, k: int) -> np.ndarray:
+    """The value k places on; 0 past the end."""
+    return np.r_[x[k:], np.zeros(min(k, len(x)), x.dtype)]
+
+
+def _string(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Phrase hashes (0 in gaps), lengths in bytes, and whether three phrases follow each other from here, of one text."""
+    p, pos = np.frombuffer(batch.column("p")[k].as_buffer(), np.int64), np.frombuffer(batch.column("pos")[k].as_buffer(), np.int64)
+    size = np.where(p != 0, np.r_[pos[1:], batch.column("n")[k].as_py()] - pos, 0)
+    return p, size, (p != 0) & (_ahead(p, 1) != 0) & (_ahead(p, 2) != 0)
+
+
+SORTED = "tag bigint, idx int, k0 bigint, k1 bigint, k2 bigint, k3 bigint, q bigint, bytes int, whole boolean"
+
+
+def _rows(tag: int, idx: np.ndarray, keys: list[np.ndarray], q: np.ndarray, size: np.ndarray, whole: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(idx), tag)), pa.array(idx.astype(np.int32)), *[pa.array(np.asarray(x, np.int64)) for x in (*keys, q)], pa.array(size.astype(np.int32)), pa.array(whole)], names=["tag", "idx", "k0", "k1", "k2", "k3", "q", "bytes", "whole"])
+
+
+def triples(strings: DataFrame) -> DataFrame:
+    """The sampled suffixes with their first three phrases as keys; a phrase that isn't there is 0."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                p, size, whole = _string(batch, k)
+                one = np.where(p != 0, _ahead(p, 1), 0)
+                two = np.where(one != 0, _ahead(p, 2), 0)
+                total = size + np.where(one != 0, _ahead(size, 1), 0) + np.where(two != 0, _ahead(size, 2), 0)
+                idx = np.flatnonzero((np.arange(len(p)) % 3 != 0) & (p != 0))
+                yield _rows(batch.column("tag")[k].as_py(), idx, [p[idx], one[idx], two[idx], np.zeros(len(idx))], np.zeros(len(idx)), total[idx], whole[idx])
+
+    return strings.select("tag", "n", "pos", "p").mapInArrow(run, SORTED)
+
+
+def ranked(rows: DataFrame, keys: list[str], group: list[str], name: str) -> DataFrame:
+    """Sorts ``rows`` (as SORTED, a written table) by ``keys`` and compares neighbours.
+
+    Adds place (rows before the first with equal keys), inner (rows of the same ``group`` before that one), again
+    (a neighbour has equal keys) and near (a neighbour is of the same group); rows of a group lie side by side.
+    Tasks hold ranges of the order, which may split even the rows of one key; what crosses their borders follows
+    from one row per task.
+    """
+    names = [x.split()[0] for x in SORTED.split(", ")]
+    edge = "struct<n:bigint,first:array<bigint>,last:array<bigint>,first_group:array<bigint>,last_group:array<bigint>,start:bigint,outer:bigint>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, first, last, last_group, n, start, outer = None, None, None, None, 0, 0, 0
+
+        def flush(same: bool, kin: bool) -> pa.RecordBatch:
+            batch, eq, group_eq, at, out = held
+            again, near = eq | np.r_[eq[1:], same], group_eq | np.r_[group_eq[1:], kin]
+            columns = [batch.column(c) for c in ("pid", "tag", "idx", "k0", "bytes", "whole")]
+            return pa.RecordBatch.from_arrays([*columns, pa.array(at), pa.array(out), pa.array(again), pa.array(near), pa.nulls(len(at), edge_type)], names=out_names)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = np.stack([batch.column(c).to_numpy() for c in keys])
+            g = np.stack([batch.column(c).to_numpy() for c in group])
+            same, kin = last is not None and bool((x[:, 0] == last).all()), last is not None and bool((g[:, 0] == last_group).all())
+            if held is not None:
+                yield flush(same, kin)
+            else:
+                pid, first, first_group = batch.column("pid")[0].as_py(), x[:, 0], g[:, 0]
+            eq, group_eq = np.r_[same, (x[:, 1:] == x[:, :-1]).all(0)], np.r_[kin, (g[:, 1:] == g[:, :-1]).all(0)]
+            here = np.arange(n, n + batch.num_rows)
+            at = np.maximum.accumulate(np.where(eq, start, here))
+            out = np.maximum.accumulate(np.where(group_eq, outer, here))
+            held, last, last_group, n, start, outer = (batch, eq, group_eq, at, out), x[:, -1], g[:, -1], n + batch.num_rows, int(at[-1]), int(out[-1])
+        if held is not None:
+            yield flush(False, False)
+            summary = {"n": n, "first": first.tolist(), "last": last.tolist(), "first_group": first_group.tolist(), "last_group": last_group.tolist(), "start": start, "outer": outer}
+            none = [pa.array([None], t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_())]
+            yield pa.RecordBatch.from_arrays([pa.array([pid], pa.int32()), *none, pa.array([summary], edge_type)], names=out_names)
+
+    longs = pa.list_(pa.int64())
+    edge_type = pa.struct([("n", pa.int64()), ("first", longs), ("last", longs), ("first_group", longs), ("last_group", longs), ("start", pa.int64()), ("outer", pa.int64())])
+    out_names = ["pid", "tag", "idx", "k0", "bytes", "whole", "start", "outer", "again", "near", "edge"]
+    kinds = f"pid int, tag bigint, idx int, k0 bigint, bytes int, whole boolean, start bigint, outer bigint, again boolean, near boolean, edge {edge}"
+    order = rows.repartitionByRange(*keys, "tag", "idx").sortWithinPartitions(*keys).select(F.spark_partition_id().alias("pid"), *names)
+    table = written(order.mapInArrow(run, kinds), name)
+    spark, fixes, before = rows.sparkSession, [], None
+    for r in sorted(table.where("edge is not null").select("pid", "edge").collect(), key=lambda r: r["pid"]):  # one row per task
+        e, off = r["edge"], before["end"] if before else 0
+        same, kin = bool(before) and before["last"] == e["first"], bool(before) and before["last_group"] == e["first_group"]
+        if before:
+            fixes[-1][6:8] = [same, kin]
+        s0, o0 = before["start"] if same else off, before["outer"] if kin else off
+        fixes.append([r["pid"], off, s0, o0, same, kin, False, False, e["start"], e["outer"]])
+        before = {"end": off + e["n"], "last": e["last"], "last_group": e["last_group"], "start": off + e["start"] if e["start"] else s0, "outer": off + e["outer"] if e["outer"] else o0}
+    fix = spark.createDataFrame([tuple(f) for f in fixes], "pid int, off bigint, s0 bigint, o0 bigint, same boolean, kin boolean, same_next boolean, kin_next boolean, last_start bigint, last_outer bigint")
+    full = table.where("edge is null").join(F.broadcast(fix), "pid")  # one row per task
+    place = F.when(F.col("start") == 0, F.col("s0")).otherwise(F.col("off") + F.col("start"))
+    outer_ = F.when(F.col("outer") == 0, F.col("o0")).otherwise(F.col("off") + F.col("outer"))
+    again = F.col("again") | ((F.col("start") == 0) & F.col("same")) | ((F.col("start") == F.col("last_start")) & F.col("same_next"))
+    near = F.col("near") | ((F.col("outer") == 0) & F.col("kin")) | ((F.col("outer") == F.col("last_outer")) & F.col("kin_next"))
+    return full.select("tag", "idx", "k0", "bytes", "whole", place.alias("place"), (place - outer_).alias("inner"), again.alias("again"), near.alias("near"))
+
+
+#: What is known of a text's sampled suffixes: idx, name (place in the order, from 1), bytes that it stands for, flags.
+STATE = "tag bigint, idx binary, name binary, bytes binary, flags binary"
+AGAIN, WHOLE, NEAR = 1, 2, 4
+
+
+def _listed(rows: DataFrame, *extra) -> DataFrame:
+    """(tag, x): the rows of each text as one list."""
+    return rows.groupBy("tag").agg(F.collect_list(F.struct("idx", *extra)).alias("x"))
+
+
+def _lists(batch: pa.RecordBatch, k: int) -> dict[str, np.ndarray]:
+    x = batch.column("x")[k].values
+    return {f.name: x.field(f.name).to_numpy(zero_copy_only=False) for f in x.type} if x is not None else {}
+
+
+def _packed(batch: pa.RecordBatch, k: int) -> list[np.ndarray]:
+    return [np.frombuffer(batch.column(c)[k].as_buffer(), t) for c, t in (("idx", np.int32), ("name", np.int64), ("bytes", np.int32), ("flags", np.uint8))]
+
+
+def _state(tag: int, idx: np.ndarray, name: np.ndarray, size: np.ndarray, flags: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([tag]), *[pa.array([np.ascontiguousarray(x, t).tobytes()], pa.binary()) for x, t in ((idx, np.int32), (name, np.int64), (size, np.int32), (flags, np.uint8))]], names=["tag", "idx", "name", "bytes", "flags"])
+
+
+def first_names(order: DataFrame) -> DataFrame:
+    """State from the sorted triples."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                x = _lists(batch, k)
+                at = np.argsort(x["idx"], kind="stable")
+                flags = x["again"] * AGAIN + x["whole"] * WHOLE + (x["again"] & x["whole"]) * NEAR
+                yield _state(batch.column("tag")[k].as_py(), x["idx"][at], x["place"][at] + 1, x["bytes"][at], flags[at])
+
+    return _listed(order, "place", "bytes", "whole", "again").mapInArrow(run, STATE)
+
+
+def _open(size: np.ndarray, flags: np.ndarray) -> np.ndarray:
+    """Names to sort on: they occur again, are followed by a phrase, and stand for too few bytes."""
+    return ((flags & (AGAIN | WHOLE)) == AGAIN | WHOLE) & (size < LENGTH)
+
+
+def longer(state: DataFrame, step: int) -> DataFrame:
+    """Triples of the string of names: an open name and the two names ``step`` and 2 ``step`` phrases on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                idx, name, size, flags = _packed(batch, k)
+                at = np.flatnonzero(_open(size, flags))
+                keys, total, whole = [name[at]], size[at].astype(np.int64), np.ones(len(at), bool)
+                for j in (1, 2):
+                    to = np.minimum(np.searchsorted(idx, idx[at] + j * step), len(idx) - 1)
+                    there = whole & (idx[to] == idx[at] + j * step)
+                    keys.append(np.where(there, name[to], 0))
+                    total += np.where(there, size[to], 0)
+                    whole = there & (flags[to] & WHOLE > 0)
+                yield _rows(batch.column("tag")[k].as_py(), idx[at], [*keys, np.zeros(len(at))], np.zeros(len(at)), np.minimum(total, 1 << 30), whole)
+
+    return state.mapInArrow(run, SORTED)
+
+
+def refined(state: DataFrame, order: DataFrame) -> DataFrame:
+    """State after the open names were sorted on: a name moves by its place among those that were equal to it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                idx, name, size, flags = (x.copy() for x in _packed(batch, k))
+                x = _lists(batch, k)
+                if x:
+                    at = np.searchsorted(idx, x["idx"])
+                    name[at] = x["k0"] + x["inner"]
+                    size[at] = x["bytes"]
+                    flags[at] = (flags[at] & NEAR) + x["again"] * AGAIN + x["whole"] * WHOLE
+                yield _state(batch.column("tag")[k].as_py(), idx, name, size, flags)
 
-    return texts.mapInArrow(run, "tag bigint, p bigint, p1 bigint, p2 bigint, c bigint, e bigint, idx int, pos int, len int, l1 int, l2 int, lo int, hi int")
+    return state.join(_listed(order, "k0", "inner", "bytes", "whole", "again"), "tag", "left").mapInArrow(run, STATE)
 
 
-def named(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """Adds ``name``: numbers in the order of the sorted distinct keys, and again: the key occurs several times.
+def orders(strings: DataFrame, state: DataFrame) -> DataFrame:
+    """Rows of the two merges: residues 0 and 1 by a phrase and the name after it, 0 and 2 by two phrases and the name after them.
 
-    The sort is by ranges, in parallel.
+    Keys: merge, phrase, phrase or 0, name; q: the rest of the first three phrases.
     """
-    names = rows.groupBy(*keys).agg((F.count(F.lit(1)) > 1).alias("again")).orderBy(*keys).withColumn(name, F.monotonically_increasing_id() + 1)
-    return rows.join(written(names, "names"), keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                p, size, whole = _string(batch, k)
+                idx, name, bytes_, _ = _packed(batch, k)
+                names, covers = np.zeros(len(p) + 2, np.int64), np.zeros(len(p) + 2, np.int64)
+                names[idx], covers[idx] = name, bytes_
+                one, two = _ahead(p, 1), _ahead(p, 2)
+                rest = mix(one.view(np.uint64) * np.uint64(3) + mix(two.view(np.uint64))).view(np.int64)
+                for o in (1, 2):
+                    at = np.flatnonzero(whole & np.isin(np.arange(len(p)) % 3, (0, o)))
+                    cover = size[at] + (_ahead(size, 1)[at] if o == 2 else 0) + covers[at + o]
+                    yield _rows(batch.column("tag")[k].as_py(), at, [np.full(len(at), o), p[at], one[at] if o == 2 else np.zeros(len(at)), names[at + o]], two[at] if o == 2 else rest[at], np.minimum(cover, 1 << 30), np.ones(len(at), bool))
+
+    return strings.select("tag", "n", "pos", "p").join(state, "tag").mapInArrow(run, SORTED)
 
 
-def repeated_runs(string: DataFrame, least: int = LENGTH, levels: int = 6) -> DataFrame:
-    """(tag, start, end) of whole-phrase prefixes of at least ``least`` bytes that start at two suffixes.
+def repeats(strings: DataFrame, levels: int = 12) -> DataFrame:
+    """(tag, near, start, end), packed per text: suffixes that share three phrases with a neighbour, and found repeats.
 
-    ``string`` has tag, idx, pos, and the next three phrases (p, p1, p2 and their lengths). Windows are by
-    text, whose length bounds them.
+    ``strings`` as :func:`phrases` gives them, a written table.
     """
-    text = Window.partitionBy("tag").orderBy("idx")
-    # sort the sampled triples and name them; then recurse on the names of every third phrase. A suffix whose
-    # name occurs once has no equal, nor has what continues it.
-    triples = string.where("idx % 3 <> 0").select("tag", "idx", "p", "p1", "p2", (F.col("len") + F.col("l1") + F.col("l2")).alias("bytes"), (F.col("l2") > 0).alias("whole"))
-    sample, step = written(named(triples, ["p", "p1", "p2"], "name").where("again").select("tag", "idx", "name", "bytes", "whole"), "sample"), 3
-    for _ in range(levels - 1):
-        if sample.where(F.col("whole") & (F.col("bytes") < least)).isEmpty():
+    three = ["k0", "k1", "k2"]
+    rows = written(triples(strings), "triples")
+    state, step = written(first_names(ranked(rows, three, ["k0"], "order")), "names"), 3
+    release(rows)
+    for _ in range(levels):
+        rows = written(longer(state, step), "longer")
+        if rows.isEmpty():
             break
-        w = Window.partitionBy("tag", "r").orderBy("idx")
-        wide = sample.withColumn("r", F.col("idx") % step).withColumnRenamed("name", "n0")
-        joined = F.col("whole")  # a name is continued only where it stands for three names in a row
-        for k in (1, 2):
-            joined = joined & (F.lead("idx", k).over(w) == F.col("idx") + k * step)
-            ahead = {f"n{k}": F.lead("n0", k).over(w), f"b{k}": F.lead("bytes", k).over(w)}
-            whole = F.coalesce(joined & F.lead("whole", k).over(w), F.lit(False))
-            wide = wide.withColumns({c: F.when(joined, x).otherwise(F.lit(0)) for c, x in ahead.items()} | {f"w{k}": whole})
-            joined = F.col(f"w{k}")
-        longer = named(wide, ["n0", "n1", "n2"], "name").where("again").select("tag", "idx", "name", (F.col("bytes") + F.col("b1") + F.col("b2")).cast("int").alias("bytes"), F.col("w2").alias("whole"))
-        before, sample, step = sample, written(longer, "sample"), step * 3
-        release(before)
-    # merge the rest: each pair of residues meets in one order, in which both know the next sampled suffix
-    full = string.select("tag", "idx", "pos", "len", "l1", "p", "p1").join(sample.select("tag", "idx", "name", "bytes"), ["tag", "idx"], "left")
-    for k in (1, 2):
-        there = F.lead("idx", k).over(text) == F.col("idx") + k
-        full = full.withColumns({f"{c}{k}": F.when(there, F.lead(c, k).over(text)) for c in ("name", "bytes")})
-    zero = F.lit(0).cast("bigint")
-    order = lambda n, p, q, rank, cover: F.struct(F.lit(n).alias("o"), p.alias("p"), q.alias("q"), F.col(rank).alias("rank"), cover.alias("cover"))
-    r, length = F.col("idx") % 3, F.col("len")
-    orders = F.array(
-        F.when(r != 2, order(1, F.col("p"), zero, "name1", length + F.col("bytes1"))),
-        F.when(r != 1, order(2, F.col("p"), F.col("p1"), "name2", length + F.col("l1") + F.col("bytes2"))),
-        F.when(r != 0, order(3, zero, zero, "name", F.col("bytes"))),
-    )
-    every = written(full.select("tag", "pos", F.explode(orders).alias("x")).select("tag", "pos", "x.*").where((F.col("rank") > 0) & (F.col("cover") >= least)), "orders")
-    # side by side in an order with equal bounded prefixes: the rows of one key
-    beside = every.groupBy("o", "p", "q", "rank").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    runs = every.join(beside, ["o", "p", "q", "rank"], "left_semi").groupBy("tag", "pos").agg(F.max("cover").alias("cover"))
-    out = written(runs.select("tag", F.col("pos").cast("long").alias("start"), (F.col("pos") + F.col("cover")).cast("long").alias("end")), "runs")
-    release(every, sample)
+        before, state, step = state, written(refined(state, ranked(rows, three, ["k0"], "order")), "names"), step * 3
+        release(before, rows)
+    rows = written(orders(strings, state), "merges")
+    merged_ = ranked(rows, ["k0", "k1", "k2", "k3"], ["k0", "k1", "k2", "q"], "order")
+    found = _listed(merged_.where("near or again").select("tag", "idx", F.when(F.col("again"), F.col("bytes")).otherwise(0).alias("cover")), "cover")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                pos = np.frombuffer(batch.column("pos")[k].as_buffer(), np.int64)
+                idx, _, size, flags = _packed(batch, k)
+                near, cover = np.zeros(len(pos), bool), np.zeros(len(pos), np.int64)
+                near[idx] = flags & NEAR > 0
+                cover[idx] = np.where(flags & AGAIN > 0, size, 0)
+                x = _lists(batch, k)
+                if x:
+                    near[x["idx"]] = True
+                    np.maximum.at(cover, x["idx"], x["cover"])
+                full = cover >= LENGTH
+                s, e = merged(pos[full], pos[full] + cover[full])
+                yield pa.RecordBatch.from_arrays([batch.column("tag").slice(k, 1), *[pa.array([v.tobytes()], pa.binary()) for v in (near, s.astype(np.int64), e.astype(np.int64))]], names=["tag", "near", "start", "end"])
+
+    out = written(strings.select("tag", "pos").join(state, "tag").join(found, "tag", "left").mapInArrow(run, "tag bigint, near binary, start binary, end binary"), "repeats")
+    release(rows, state)
     return out
 
 
@@ -208,51 +420,66 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return s[new], top[np.r_[np.flatnonzero(new)[1:] - 1, len(s) - 1]]
 
 
-def _by_text(ranges: DataFrame, name: str) -> DataFrame:
-    """(tag, name): the merged ranges of each text, as one array of starts and ends."""
+def _held(s: np.ndarray, e: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Whether a merged range holds each block of windows."""
+    at = np.searchsorted(s, lo, "right") - 1
+    return (at >= 0) & (np.r_[e, 0][at] >= hi + LENGTH)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        s, e = merged(pdf["start"].to_numpy(np.int64), pdf["end"].to_numpy(np.int64))
-        return pd.DataFrame({"tag": pdf["tag"][:1].to_numpy(), name: [np.stack([s, e]).ravel().tolist()]})
 
-    return ranges.groupBy("tag").applyInPandas(run, f"tag bigint, {name} array<bigint>")
-
-
-def unsettled(texts: DataFrame) -> DataFrame:
-    """(c): cores of the blocks that no found range holds as a whole.
-
-    ``texts`` has covered (as _by_text gives it) and blocks: structs of c, lo and hi.
-    """
+def blocks(strings: DataFrame, found: DataFrame) -> DataFrame:
+    """(tag, c, e, lo, hi, open): blocks of windows whose first phrases occur again; open: no found repeat holds it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for flat, blocks in zip(batch.column("covered").to_pylist(), batch.column("blocks").to_pylist(), strict=True):
-                s, e = np.array(flat or [], np.int64).reshape(2, -1)
-                c, lo, hi = (np.array([b[k] for b in blocks], np.int64) for k in ("c", "lo", "hi"))
-                at = np.searchsorted(s, lo, "right") - 1
-                held = (at >= 0) & (np.r_[e, 0][at] >= hi + LENGTH)
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(c[~held]))], names=["c"])
+            for k in range(batch.num_rows):
+                c, e, lo, hi, s, t = (np.frombuffer(batch.column(x)[k].as_buffer(), np.int64) for x in ("c", "e", "lo", "hi", "start", "end"))
+                near = np.frombuffer(batch.column("near")[k].as_buffer(), bool)
+                at = np.flatnonzero(near & (e != 0))
+                columns = [pa.array(x[at]) for x in (c, e, lo, hi)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), batch.column("tag")[k].as_py())), *columns, pa.array(~_held(s, t, lo[at], hi[at]))], names=["tag", "c", "e", "lo", "hi", "open"])
 
-    return texts.select("covered", "blocks").mapInArrow(run, "c bigint").distinct()
+    both = strings.select("tag", "c", "e", "lo", "hi").join(found, "tag")
+    return both.mapInArrow(run, "tag bigint, c bigint, e bigint, lo bigint, hi bigint, open boolean")
 
 
 def windows(texts: DataFrame) -> DataFrame:
-    """(tag, start, h): hashes of all windows of blocks. ``texts`` has tag, text and blocks: structs of lo and hi."""
+    """(tag, start, c, h): core and hash of all windows of blocks. ``texts`` has tag, text and blocks: structs of c, lo and hi."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, off = buffers(batch.column("text"))
             tags = batch.column("tag").to_numpy()
             for k in range(batch.num_rows):
-                sums = prefix_sums(data[off[k] : off[k + 1]])
-                i = np.unique(np.concatenate([np.arange(b["lo"], b["hi"] + 1) for b in batch.column("blocks")[k].as_py()]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), tags[k])), pa.array(i), pa.array(hashed(sums, i, i + LENGTH).view(np.int64))], names=["tag", "start", "h"])
-
-    return texts.select("tag", "text", "blocks").mapInArrow(run, "tag bigint, start bigint, h bigint")
+                sums, x = prefix_sums(data[off[k] : off[k + 1]]), batch.column("blocks")[k].values
+                c, lo, hi = (x.field(f).to_numpy(zero_copy_only=False) for f in ("c", "lo", "hi"))
+                count = hi - lo + 1
+                i = np.repeat(lo - np.cumsum(count) + count, count) + np.arange(count.sum())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), tags[k])), pa.array(i), pa.array(np.repeat(c, count)), pa.array(hashed(sums, i, i + LENGTH).view(np.int64))], names=["tag", "start", "c", "h"])
+
+    return texts.select("tag", "text", "blocks").mapInArrow(run, "tag bigint, start bigint, c bigint, h bigint")
+
+
+def ends(texts: DataFrame, strings: DataFrame, found: DataFrame) -> DataFrame:
+    """(tag, start, end): repeats that no found one holds, from the blocks at their ends."""
+    every = written(blocks(strings, found), "blocks")
+    # a window that is found already may still be the partner of one that is not: all blocks of an open core take part
+    cores = written(every.where("open").select("c").distinct(), "cores")
+    needed = written(every.join(cores, "c", "left_semi"), "needed")
+    variants = written(needed.groupBy("c", "e").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("tag", "lo", "hi")).alias("rep")), "variants")
+    same = variants.where("n > 1").select("c", "e")
+    whole = needed.join(same, ["c", "e"], "left_semi").select("tag", F.col("lo").alias("start"), (F.col("hi") + LENGTH).alias("end"))
+    mixed = variants.groupBy("c").agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("least")).where("k > 1 and least = 1").select("c")
+    chosen = variants.join(mixed, "c", "left_semi").groupBy("rep.tag").agg(F.collect_list(F.struct("c", "rep.lo", "rep.hi")).alias("blocks"))
+    hashes = written(windows(texts.select("tag", "text").join(chosen, "tag")), "windows")
+    again = hashes.groupBy("c", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("c", "h")
+    single = hashes.join(again, ["c", "h"], "left_semi").select("tag", "start", (F.col("start") + LENGTH).alias("end"))
+    out = written(whole.union(single), "ends")
+    release(every, cores, needed, variants, hashes)
+    return out
 
 
 def cut(texts: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, removed) of texts with their merged ranges (column covered)."""
+    """(sha, n_bytes, n_removed, n_spans, kept_sha256, removed) of texts with the repeats found in them (start, end, ends)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -260,65 +487,50 @@ def cut(texts: DataFrame) -> DataFrame:
             out: list[list] = [[], [], [], [], []]
             for k in range(batch.num_rows):
                 part = data[off[k] : off[k + 1]]
-                flat = np.array(batch.column("covered")[k].as_py() or [], np.int64).reshape(2, -1)
+                s, e = (np.frombuffer(batch.column(c)[k].as_buffer(), np.int64) for c in ("start", "end"))
+                more = batch.column("ends")[k].values
+                if more is not None:
+                    s, e = np.r_[s, more.field("start").to_numpy(zero_copy_only=False)], np.r_[e, more.field("end").to_numpy(zero_copy_only=False)]
+                s, e = merged(s, e)
                 keep, last = hashlib.sha256(), 0
-                for s, e in flat.T.tolist():
-                    keep.update(part[last:s].tobytes())
-                    last = e
+                for a, b in zip(s.tolist(), e.tolist(), strict=True):
+                    keep.update(part[last:a].tobytes())
+                    last = b
                 keep.update(part[last:].tobytes())
-                for c, v in zip(out, (len(part), int((flat[1] - flat[0]).sum()), flat.shape[1], keep.hexdigest(), flat.T.tolist()), strict=True):
+                for c, v in zip(out, (len(part), int((e - s).sum()), len(s), keep.hexdigest(), np.stack([s, e], 1).tolist()), strict=True):
                     c.append(v)
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c, t) for c, t in zip(out, kinds, strict=True)]], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed"])
+            yield pa.RecordBatch.from_arrays([batch.column("sha"), *[pa.array(c, t) for c, t in zip(out, kinds, strict=True)]], names=["sha", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed"])
 
-    return texts.select("doc_id", "text", "covered").mapInArrow(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, removed array<array<bigint>>")
+    return texts.select("sha", "text", "start", "end", "ends").mapInArrow(run, "sha string, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, removed array<array<bigint>>")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, removed ([start, end] in bytes)."""
-    rows = _tagged(docs, id_col, text_col)
-    bytes_ = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    plain = written(rows.select("tag", "doc_id", F.octet_length(bytes_).cast("long").alias("n_bytes"), F.sha2(bytes_, 256).alias("kept_sha256")), "plain")
-    # whole copies: of each group one takes part in the search; all of them go if they are long enough
-    copies = plain.groupBy("kept_sha256").agg(F.min("tag").alias("rep"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
-    plain = written(plain.join(copies, "kept_sha256", "left"), "plain")
-    twin = F.col("rep").isNotNull()
-    marks = coarse(rows)
-    twice = written(marks.groupBy("c").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("c"), "twice")
-    at = marks.join(twice, "c", "left_semi").groupBy("tag").agg(F.collect_list("pos").alias("at"))
-    at = written(at.join(plain.where(twin & (F.col("tag") != F.col("rep"))).select("tag"), "tag", "left_anti"), "marks")
-    release(twice)
-    texts = written(rows.join(at, "tag"), "texts")
-    release(at)
-    string = written(phrases(texts.select("tag", "text", "at")), "phrases")
-    runs = repeated_runs(string)
-    # windows at the ends of repeats, in blocks that share their core
-    blocks = string.where("hi >= lo").select("tag", F.col("lo").cast("long").alias("lo"), F.col("hi").cast("long").alias("hi"), "c", "e")
-    variants = written(blocks.groupBy("c", "e").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("tag", "lo", "hi")).alias("rep")), "variants")
-    same = variants.where("n > 1").select("c", "e")
-    whole = blocks.join(same, ["c", "e"], "left_semi").select("tag", F.col("lo").alias("start"), (F.col("hi") + LENGTH).alias("end"))
-    found = written(_by_text(runs.union(whole), "covered"), "covered")
-    open_ = variants.groupBy("c").agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("least")).where("k > 1 and least = 1").select("c")
-    reps = written(variants.join(open_, "c", "left_semi").select("c", "rep.tag", "rep.lo", "rep.hi", "n"), "blocks")
-    release(string, runs, variants)
-    # a window that is found already may still be the partner of one that is not: all variants of a core are hashed, or none
-    alone = reps.where("n = 1").groupBy("tag").agg(F.collect_list(F.struct("c", "lo", "hi")).alias("blocks"))
-    cores = written(unsettled(alone.join(found, "tag", "left")), "cores")
-    needed = reps.join(cores, "c", "left_semi").groupBy("tag").agg(F.collect_list(F.struct("lo", "hi")).alias("blocks"))
-    checked = written(windows(texts.select("tag", "text").join(needed, "tag")), "windows")
-    release(cores)
-    again = checked.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
-    ends = checked.join(again, "h", "left_semi").select("tag", "start", (F.col("start") + LENGTH).alias("end"))
-    half = (F.size("covered") / 2).cast("int")
-    flat = found.select("tag", F.explode(F.arrays_zip(F.slice("covered", F.lit(1), half).alias("start"), F.slice("covered", half + 1, F.size("covered")).alias("end"))).alias("x")).select("tag", "x.*")
-    spans = written(_by_text(flat.union(ends), "covered"), "spans")
-    release(reps, checked, found)
-    changed = cut(texts.select("tag", "doc_id", "text").join(plain.where(twin).select("tag"), "tag", "left_anti").join(spans, "tag"))
-    gone = twin & (F.col("n_bytes") >= LENGTH)
-    rest = plain.join(spans.select("tag", F.lit(True).alias("hit")), "tag", "left").where(twin | F.col("hit").isNull())
-    ranges = "array<array<bigint>>"
-    rest = rest.select(
-        "doc_id", "n_bytes", F.when(gone, F.col("n_bytes")).otherwise(0).cast("long").alias("n_removed"), F.when(gone, 1).otherwise(0).cast("long").alias("n_spans"),
-        F.when(gone, F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.col("kept_sha256")).alias("kept_sha256"), F.when(gone, F.array(F.array(F.lit(0).cast("long"), F.col("n_bytes")))).otherwise(F.expr(f"cast(array() as {ranges})")).alias("removed"),
+    rows = _named(docs, id_col, text_col)
+    plain = written(rows.select("doc_id", "sha", F.octet_length("text").cast("long").alias("n_bytes")), "plain")
+    copies = plain.groupBy("sha").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("sha", F.lit(True).alias("twin"))
+    # regions that can hold a repeat; of texts that occur several times, one takes part
+    marks = written(coarse(rows), "marks")
+    place = F.struct("k", "pos")
+    twice = marks.groupBy("c").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("c")
+    at = marks.join(twice, "c", "left_semi").groupBy("k").agg(F.collect_set("pos").alias("at"))
+    single = once_a_task(rows.select("k", "sha", "text")).join(at, "k").dropDuplicates(["k", "sha"])
+    texts = written(single.select(F.monotonically_increasing_id().alias("tag"), "sha", "text", "at"), "texts")
+    release(marks)
+    strings = written(phrases(texts), "phrases")
+    found = repeats(strings)
+    span = F.struct(F.col("start"), F.col("end"))
+    last = ends(texts, strings, found).groupBy("tag").agg(F.collect_list(span).alias("ends"))
+    changed = written(cut(texts.select("tag", "sha", "text").join(found.select("tag", "start", "end"), "tag").join(last, "tag", "left")), "changed")
+    release(strings, found)
+    none = F.lit(None).cast("array<array<bigint>>")
+    known = plain.join(changed.drop("n_bytes").withColumn("hit", F.lit(True)), "sha", "left").join(copies, "sha", "left")
+    gone = F.coalesce("twin", F.lit(False)) & (F.col("n_bytes") >= LENGTH)
+    all_of_it = F.array(F.array(F.lit(0).cast("long"), F.col("n_bytes")))
+    return known.select(
+        "doc_id", "n_bytes", F.when(gone, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
+        F.when(gone, 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
+        F.when(gone, F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
+        F.when(gone, all_of_it).otherwise(F.coalesce("removed", none, F.expr("cast(array() as array<array<bigint>>)"))).alias("removed"),
     )
-    return changed.unionByName(rest)

@@ -147,6 +147,57 @@ def test_suffix_dedup_trimmed_third_copy(spark):
     assert [out[k] for k in range(len(texts))] == brute_repeats(texts)
 
 
+def removed_of(df):
+    return {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(df).collect()}
+
+
+def test_suffix_dedup_hot_bytes_and_shuffled_rows(spark):
+    """One-byte and short-period texts, of which every suffix begins alike, in rows that a shuffle deals out."""
+    rng = np.random.default_rng(24)
+    words = vocabulary(25, 900)
+    text = lambda n: prose(rng, words, n)
+    p = text(120)
+    texts = ["a" * 399, "a" * 400, text(30) + "a" * 700 + text(30), text(20) + "a" * 450, "b" * 6000, "xyz" * 700, text(60) + "xyz" * 140, text(50) + p, p + text(50), text(90), text(90)]
+    df = docs_of(spark, texts).withColumn("tag", F.lit(1)).withColumn("sha", F.lit("x")).withColumn("k", F.lit(2))
+    want = dict(enumerate(brute_repeats(texts)))
+    assert removed_of(df.repartition(5, F.rand())) == want
+    # the answer doesn't depend on how the ranges of the order are cut
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "37")
+    try:
+        assert removed_of(df) == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_suffix_order_makes_the_answer(spark, monkeypatch):
+    """Without the neighbours that the order gives, nothing is found."""
+    rng = np.random.default_rng(26)
+    words = vocabulary(27, 900)
+    p = prose(rng, words, 200)
+    df = docs_of(spark, [prose(rng, words, 40) + p, prose(rng, words, 50) + p + prose(rng, words, 9), prose(rng, words, 100)])
+    assert sum(x[1] for x in removed_of(df).values()) > 2 * 1000
+    order = suffix_dedup.ranked
+    monkeypatch.setattr(suffix_dedup, "ranked", lambda *a: order(*a).withColumn("near", F.lit(False)).withColumn("again", F.lit(False)))
+    assert sum(x[1] for x in removed_of(df).values()) == 0
+
+
+def test_places_in_the_order(spark):
+    """Names are places in the sorted order, whatever the ranges, also where rows of one key lie in several."""
+    rng = np.random.default_rng(28)
+    keys = [tuple(int(v) for v in rng.integers(0, 3, 3)) for _ in range(300)] + [(1, 1, 1)] * 300
+    rows = spark.createDataFrame([(k, k, *x, 0, 0, 1, True) for k, x in enumerate(keys)], suffix_dedup.SORTED)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = {r.tag: r for r in suffix_dedup.ranked(suffix_dedup.written(rows, "rows"), ["k0", "k1", "k2"], ["k0"], "order").collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for k, x in enumerate(keys):
+        assert out[k].place == sum(y < x for y in keys) and out[k].inner == out[k].place - sum(y[0] < x[0] for y in keys)
+        assert out[k].again == (keys.count(x) > 1) and out[k].near
+
+
 def brute_losses(texts, near):
     """Per text: tokens, loss under background and target, by plain dictionaries."""
     toks = [lm_scoring.tokenise(t) for t in texts]
@@ -377,7 +428,7 @@ def test_similarity_and_estimate():
 def test_packing(spark):
     rng = np.random.default_rng(14)
     words = vocabulary(15, 300)
-    texts = [prose(rng, words, int(n)) for n in rng.integers(1, 500, 60)] + [None, "", prose(rng, words, 3000), "<|endoftext|>", "hi <|endoftext|> x<|endoftext|>", "x" * 5000, "日本語 ünï 😀"]
+    texts = [prose(rng, words, int(n)) for n in rng.integers(1, 500, 60)] + [None, "", prose(rng, words, 3000), "<|endoftext|>", "hi <|endoftext|> x<|endoftext|>", "x" * 5000, "日本語 ünï 😀", "a" + " " * 1_000_000 + "b"]
     out = packing.pack_documents(docs_of(spark, texts)).toPandas()
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -458,6 +509,39 @@ def test_pii(spark):
     assert redacted[11] == "日本 [phone] 😀 [email]"
 
 
+def test_pii_redacts_null_and_repeated_ids(spark):
+    rows = spark.createDataFrame([(None, "mail a@b.co now"), (None, "ip 1.2.3.4"), (7, "x@y.zz"), (7, "call +1 269 555 9077"), (7, None), (8, "a@1.2.3.4 b")], "doc_id long, text string")
+    out = pii.redact(rows.repartition(3)).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in out) == [(0, "ip [ip]"), (0, "mail [email] now"), (7, ""), (7, "[email]"), (7, "call [phone]"), (8, "[email] b")]
+
+
+def brute_added(base, chosen):
+    """Greedy selection by probability among the chosen spans that overlap no base span."""
+    free = [c for c in chosen if not any(b[0] < c[2] and c[1] < b[1] for b in base)]
+    out = []
+    for c in sorted(free):
+        if not any(o[1] < c[2] and c[1] < o[2] for o in out):
+            out.append(c)
+    return sorted(out)
+
+
+def test_pii_added_spans_against_brute_force(spark):
+    rng = np.random.default_rng(33)
+    spans = lambda n: [(int(a), int(a + rng.integers(1, 9))) for a in rng.integers(0, 120, n)]
+    base = {t: [x for k, x in enumerate(sorted(spans(6)))] for t in range(8)}
+    chosen = {t: [(-round(float(rng.random()), 2), a, b) for a, b in spans(25)] for t in range(8)}
+    b = spark.createDataFrame([(t, s, e, 0, "email") for t, xs in base.items() for s, e in xs], "tag long, start int, end int, rank int, kind string")
+    c = spark.createDataFrame([(t, s, e, -p, 4, "secret") for t, xs in chosen.items() for p, s, e in xs], "tag long, start int, end int, p double, rank int, kind string")
+    out = pii._selected(pii._free(b, c)).collect()
+    for t in base:
+        assert sorted((r.start, r.end) for r in out if r.tag == t) == sorted((s, e) for _, s, e in brute_added(base[t], chosen[t]))
+
+
+def test_pii_account_check_digits(spark):
+    df = spark.createDataFrame([("GB82 WEST 1234 5698 7654 32",), ("GB82WEST12345698765433",), ("DE89370400440532013000",)], "s string")
+    assert [r.ok for r in df.select(F.expr(pii._CONFIRMS["account"].format(s="s", l="''")).alias("ok")).collect()] == [True, False, True]
+
+
 @pytest.mark.parametrize("n", [10, 201, 5000])
 def test_pii_candidates_cover_whole_tokens(spark, n):
     run = ("0a1B2c3D.-" * 500)[:n]
@@ -465,10 +549,10 @@ def test_pii_candidates_cover_whole_tokens(spark, n):
     upper = "AKIA" + ("0A1B2C3D4E" * 500)[: max(n, 16)]
     cases = {"key_value": f"token={run}", "access_key": upper, "at": f"{run}@{run}!x", "written_mail": f"{run}x [at] {run}x.org", "digits": digits, "plus": "+1" + digits, "dotted": ".".join(["12345678"] * (n // 5))}
     texts = [f"so {v} end" for v in cases.values()]
-    out = {r.doc_id: r.cand for r in pii.scan(docs_of(spark, texts)).collect()}
-    names = [name for name, *_ in pii.GENERATORS]
+    out = pii.candidates(pii.hits(pii._rows(docs_of(spark, texts), "doc_id", "text"))).join(docs_of(spark, texts).select("doc_id", F.monotonically_increasing_id().alias("tag")), "tag").collect()
+    names = [None] * len(pii.BASE) + [name for name, *_ in pii.GENERATORS]
     for k, (name, v) in enumerate(cases.items()):
-        assert [(c.start, c.end) for c in out[k] if names[c.generator] == name] == [(3, 3 + len(v) + (name == "plus"))], name
+        assert [(c.start, c.end) for c in out if c.doc_id == k and names[c.pat] == name] == [(3, 3 + len(v) + (name == "plus"))], name
 
 
 def test_mixing(spark):
