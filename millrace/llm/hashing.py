@@ -27,8 +27,12 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 #: A random 64-bit value for each byte, by rule.
 BYTE_VALUES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
-#: ASCII letters and digits, and every byte of a longer UTF-8 sequence, are parts of words.
-WORD_BYTE = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
+#: ASCII letters and digits.
+WORD_BYTE = np.array([b < 128 and chr(b).isalnum() for b in range(256)])
+#: Fixed ranges of code points from U+0080 on: those that separate words, and those of scripts without spaces, of
+#: which each character is a word. All others are parts of words.
+GAPS = ((0x80, 0xA9), (0xAB, 0xB4), (0xB6, 0xB9), (0xBB, 0xBF), (0xD7, 0xD7), (0xF7, 0xF7), (0x2000, 0x206F), (0x20A0, 0x20CF), (0x2190, 0x2BFF), (0x2E00, 0x2E7F), (0x3000, 0x3004), (0x3008, 0x3020), (0x3030, 0x303F), (0xFE10, 0xFE1F), (0xFE30, 0xFE6F), (0xFF00, 0xFF0F), (0xFF1A, 0xFF20), (0xFF3B, 0xFF40), (0xFF5B, 0xFF65), (0x1F000, 0x1FAFF))
+SINGLE = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3005, 0x3007), (0x3040, 0x312F), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF))
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -64,11 +68,35 @@ def steps(off: np.ndarray, step: int = STEP) -> Iterator[tuple[int, int]]:
         lo = hi
 
 
+def _within(cp: np.ndarray, ranges: tuple[tuple[int, int], ...]) -> np.ndarray:
+    flat = np.array(ranges).ravel()
+    at = np.searchsorted(flat, cp, "right")
+    return (at % 2 == 1) | (flat[np.maximum(at - 1, 0)] == cp)
+
+
+def _classes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Class of each byte of UTF-8 text (0: gap, 1: part of a word, 2: of a word of one character), and whether a character starts there."""
+    kind, lead = WORD_BYTE[data].astype(np.uint8), np.ones(len(data), bool)
+    if not len(data) or data.max() < 128:
+        return kind, lead
+    lead = (data & 0xC0) != 0x80
+    first = np.flatnonzero(lead & (data >= 0xC0))
+    size = np.where(data[first] < 0xE0, 2, np.where(data[first] < 0xF0, 3, 4))
+    cp = data[first].astype(np.int64) & (0xFF >> (size + 1))
+    for k in (1, 2, 3):
+        more = size > k
+        cp[more] = cp[more] << 6 | (data[np.minimum(first[more] + k, len(data) - 1)] & 0x3F)
+    kind[first] = np.where(_within(cp, GAPS), 0, np.where(_within(cp, SINGLE), 2, 1))
+    return kind[np.maximum.accumulate(np.where(lead, np.arange(len(data)), 0))], lead
+
+
 def _words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and hash of each word."""
-    inside = np.r_[False, WORD_BYTE[data], False]
-    edge = np.flatnonzero(inside[1:] != inside[:-1])
-    s, e = edge[::2], edge[1::2]
+    kind, lead = _classes(data)
+    before, after = np.r_[np.uint8(0), kind], np.r_[kind, np.uint8(0)]
+    fresh = np.r_[lead, True]
+    s = np.flatnonzero((after == 2) & fresh | (after == 1) & (before != 1))
+    e = np.flatnonzero((before == 2) & fresh | (before == 1) & (after != 1))
     sums = prefix_sums(data)
     return s, e, mix((sums[e] - sums[s]) * powers(len(data))[1][s])
 
@@ -92,7 +120,10 @@ def words(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
             while at < len(part):
                 end = min(at + STEP, len(part))
                 if end < len(part):
-                    gaps = np.flatnonzero(~WORD_BYTE[part[at:end]])
+                    while end > at + 1 and part[end] & 0xC0 == 0x80:  # between characters
+                        end -= 1
+                    kind, _ = _classes(part[at:end])
+                    gaps = np.flatnonzero(kind != 1)
                     end = at + int(gaps[-1]) + 1 if len(gaps) else end
                 found.append(_words(part[at:end])[2])
                 at = end

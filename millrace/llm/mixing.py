@@ -1,47 +1,114 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
-Token counts are summed over (source, language, topic) cells; raking scales the cells until their margins
-meet the targets; each document is then drawn with its cell's calibrated probability, by a hash of its id,
-so that the draw is the same on every run and in every partition.
+A document's topic is learnt from its words: signed hashes of its word counts, less the mean of its language (a
+language is a margin of its own), are clustered by k-means over all documents. Token counts are summed over
+(source, language, topic) cells; raking scales the cells until their margins meet the targets; where a cell
+would be drawn with a probability above 1 it is raked on under that cap, until the expected draws meet the
+targets that are feasible; each document is then drawn with its cell's calibrated probability, by a hash of its
+id, so that the draw is the same on every run and in every partition. :func:`margins` tells what was asked for,
+what is feasible and what is expected.
 
 Defined results: nulls in source, language or topic form a cell value of their own; a null text has no
-tokens; a cell without tokens keeps its documents; targets naming an absent value are spread over the
-present ones; an empty table gives an empty result. Repeated rows are drawn alike.
+tokens, and a text without a word no topic; a cell without tokens keeps its documents; targets naming an absent
+value are spread over the present ones; an empty table gives an empty result. Repeated rows are drawn alike. A
+word of a script without spaces is a character.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import written
+from .common import remove, written
+from .hashing import words
 
 DIMS = ("source", "lang", "topic")
 NONE = "\u0000none"
+#: Topics, numbers of a document's vector, and steps of k-means.
+TOPICS, WIDTH, STEPS = 6, 64, 10
+
+
+def vectors(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Words of each text, and its vector: signed sums of 1 + log count over hashed words, of unit length."""
+    n = len(texts)
+    tokens, out = np.zeros(n), np.zeros((n, WIDTH))
+    for lo, rows, row, h in words(texts):
+        tokens[lo : lo + rows] = np.bincount(row, minlength=rows)
+        order = np.lexsort((h, row))
+        r, x = row[order], h[order]
+        at = np.flatnonzero(np.r_[True, (r[1:] != r[:-1]) | (x[1:] != x[:-1])]) if len(r) else np.zeros(0, np.int64)
+        count = np.diff(np.r_[at, len(r)])
+        r, x = r[at], x[at]
+        cell = (lo + r) * WIDTH + (x % np.uint64(WIDTH)).astype(np.int64)
+        out += np.bincount(cell, np.where(x >> np.uint64(63), 1.0, -1.0) * (1 + np.log(count)), n * WIDTH).reshape(n, WIDTH)
+    return tokens, out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
+
+
+def _cell(c: str) -> Column:
+    return F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(NONE))
+
+
+class Topics:
+    """Means of the languages and centres of the clusters; a row's topic is the centre nearest to its vector less its language's mean."""
+
+    def __init__(self, means: dict[str, np.ndarray], centres: np.ndarray):
+        self.means, self.centres = means, centres
+
+    def of(self, langs: list[str], tokens: np.ndarray, x: np.ndarray) -> list[str]:
+        zero = np.zeros(WIDTH)
+        y = x - np.array([self.means.get(g, zero) for g in langs]).reshape(len(langs), WIDTH)
+        near = ((y * y).sum(1)[:, None] - 2 * y @ self.centres.T + (self.centres**2).sum(1)).argmin(1) if len(self.centres) else np.zeros(len(y), int)
+        return [f"topic{t}" if n else NONE for t, n in zip(near, tokens, strict=True)]
+
 
+#: Languages with a mean of their own, the largest ones; bounds the model.
+MEANS = 64
 
-def tokens(text: Column) -> Column:
-    """White-space separated words."""
-    return F.size(F.split(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " ")), " ")) - F.when(F.coalesce(text, F.lit("")).rlike(r"\S"), 0).otherwise(1)
 
+def learn_topics(docs: DataFrame) -> Topics:
+    """k-means over all documents with a word; means of all languages up to MEANS of them, the others share a zero mean."""
 
-def topic(text: Column) -> Column:
-    """A coarse topic from the shape of the whole text: table, list, shout, data, note or prose."""
-    t = F.coalesce(text, F.lit(""))
-    return (
-        F.when(t.contains(" | "), "table")
-        .when(F.length(F.translate(t, "0123456789", "")) < 0.9 * F.length(t), "data")
-        .when((F.length(t) > 0) & (F.lower(t) != t) & (F.upper(t) == t), "shout")
-        .when(t.rlike(r"(?m)^\s*[-*•] "), "list")
-        .when(F.length(t) < 400, "note")
-        .otherwise("prose")
-    )
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens, x = vectors(batch.column("text"))
+            yield pa.RecordBatch.from_arrays([batch.column("_lang"), pa.array(tokens), pa.array(list(x), pa.list_(pa.float64()))], names=["lang", "tokens", "x"])
 
+    table = written(docs.select("text", _cell("lang").alias("_lang")).mapInArrow(run, "lang string, tokens double, x array<double>"), "vectors")
+    rows = table.where("tokens > 0").select("lang", array_to_vector("x").alias("x"))
+    sums = rows.groupBy("lang").agg(Summarizer.mean(F.col("x")).alias("m"), F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MEANS)
+    means = {r["lang"]: np.array(r["m"].toArray()) for r in sums.collect()}
+    if not means:
+        remove(table)
+        return Topics({}, np.zeros((0, WIDTH)))
+    mean = F.create_map(*[x for g, m in means.items() for x in (F.lit(g), F.array(*[F.lit(float(v)) for v in m]))])
+    zero = F.array(*[F.lit(0.0)] * WIDTH)
+    centred = table.where("tokens > 0").select(array_to_vector(F.zip_with("x", F.coalesce(mean[F.col("lang")], zero), lambda a, b: a - b)).alias("features"))
+    found = KMeans(k=TOPICS, maxIter=STEPS, seed=5).fit(centred)
+    remove(table)
+    return Topics(means, np.array(found.clusterCenters()))
 
-def with_cells(docs: DataFrame) -> DataFrame:
-    """Adds n_tokens and the three cell columns, under names that cannot clash with the table's own."""
-    dims = {"source": F.col("source"), "lang": F.col("lang"), "topic": topic(F.col("text"))}
-    return docs.withColumns({"_tokens": tokens(F.col("text")).cast("double")} | {f"_{k}": F.coalesce(v.cast("string"), F.lit(NONE)) for k, v in dims.items()})
+
+def with_cells(docs: DataFrame, topics: Topics | None = None) -> DataFrame:
+    """Adds _tokens, _source, _lang and _topic, names that cannot clash with the table's own."""
+    topics = topics or learn_topics(docs)
+    known = docs.withColumns({"_source": _cell("source"), "_lang": _cell("lang")})
+    shared = docs.sparkSession.sparkContext.broadcast(topics)  # bounded: MEANS and TOPICS vectors
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens, x = vectors(batch.column("text"))
+            topic = shared.value.of(batch.column("_lang").to_pylist(), tokens, x)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(tokens), pa.array(topic, pa.string())], names=[*batch.schema.names, "_tokens", "_topic"])
+
+    return known.mapInArrow(run, StructType([*known.schema.fields, StructField("_tokens", DoubleType()), StructField("_topic", StringType())]))
 
 
 def tempered_targets(cells: DataFrame, dim: str, temperature: float) -> DataFrame:
@@ -50,7 +117,23 @@ def tempered_targets(cells: DataFrame, dim: str, temperature: float) -> DataFram
     return sums.join(F.broadcast(sums.agg(F.sum("w").alias("all"))), F.lit(True)).select(dim, (F.col("w") / F.col("all")).alias("target"))
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = 12, per_table: int = 4) -> DataFrame:
+#: Raking ends when every margin is within TOLERANCE of its target, in shares, and after SWEEPS sweeps at the latest.
+TOLERANCE, SWEEPS, PER_TABLE = 5e-5, 40, 4
+
+
+def _off(fit: DataFrame, weight: Column, to: dict[str, Column]) -> float:
+    """Largest distance of a margin from its target, in shares of the whole."""
+    total = fit.agg(F.sum(weight)).first()[0]
+    if not total:
+        return 0.0
+    worst = 0.0
+    for dim, target in to.items():
+        far = fit.groupBy(dim).agg((F.abs(F.sum(weight) - F.max(target)) / F.lit(total)).alias("d"))
+        worst = max(worst, far.agg(F.max("d")).first()[0] or 0.0)
+    return worst
+
+
+def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS, per_table: int = PER_TABLE) -> DataFrame:
     """Scale ``tokens`` of the cells to ``w`` until every margin meets its target (shares that sum to 1).
 
     ``cells`` has one row for each value combination that occurs, so its size follows the categories and
@@ -69,6 +152,8 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = 12, per_
             fit = fit.withColumn("w", F.when(margin > 0, F.col("w") * F.col(f"_to_{dim}") / margin).otherwise(0.0))
         if n % per_table == per_table - 1 or n == sweeps - 1:
             fit = written(fit, "rake")
+            if _off(fit, F.col("w"), {d: F.col(f"_to_{d}") for d in targets}) < TOLERANCE:
+                break
     return fit
 
 
@@ -103,7 +188,7 @@ def _level(table: DataFrame, cap: str, rate: str, want: float) -> float:
     return hi
 
 
-def capped(fit: DataFrame, dims: list[str], keep_share: float, sweeps: int = 12, per_table: int = 4) -> DataFrame:
+def capped(fit: DataFrame, dims: list[str], keep_share: float, sweeps: int = SWEEPS, per_table: int = PER_TABLE) -> DataFrame:
     """Rake on where p is cut off at 1, until the expected draws, not the weights, meet the feasible targets.
 
     A value's target (column _at_<dim>, in tokens) is its share of what is kept; where that exceeds its tokens
@@ -124,6 +209,8 @@ def capped(fit: DataFrame, dims: list[str], keep_share: float, sweeps: int = 12,
             fit = fit.withColumn("g", F.when(margin > 0, F.col("g") * F.col(f"_at_{dim}") / margin).otherwise(0.0))
         if n % per_table == per_table - 1 or n == sweeps - 1:
             fit = written(fit, "capped")
+            if _off(fit, F.least("tokens", "g"), {d: F.col(f"_at_{d}") for d in dims}) < TOLERANCE:
+                break
     return fit.withColumn("p", F.when(F.col("tokens") > 0, F.least(F.lit(1.0), F.col("g") / F.col("tokens"))).otherwise(1.0))
 
 
@@ -145,19 +232,24 @@ def uniform(doc_id: Column) -> Column:
     return F.pmod(F.xxhash64(doc_id.cast("string")), F.lit(1 << 53)) / F.lit(float(1 << 53))
 
 
-def fitted(cells: DataFrame, targets: dict[str, DataFrame], keep_share: float, sweeps: int = 12) -> DataFrame:
+def fitted(cells: DataFrame, targets: dict[str, DataFrame], keep_share: float, sweeps: int = SWEEPS) -> DataFrame:
     """The cells with p, as a written table."""
     return written(capped(written(calibrate(rake(cells, targets, sweeps), keep_share), "calibrated"), list(targets), keep_share, sweeps), "fitted")
 
 
-def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, temperature: float = 0.7, keep_share: float = 0.8, sweeps: int = 12) -> DataFrame:
+def cells_of(rows: DataFrame) -> DataFrame:
+    """(source, lang, topic, tokens, n_docs) of the cells that occur, as a written table."""
+    return written(rows.groupBy(*[F.col(f"_{d}").alias(d) for d in DIMS]).agg(F.sum("_tokens").alias("tokens"), F.count(F.lit(1)).alias("n_docs")), "cells")
+
+
+def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, temperature: float = 0.7, keep_share: float = 0.8, sweeps: int = SWEEPS) -> DataFrame:
     """Every row of ``docs`` with _tokens, _source, _lang, _topic, _p (probability) and _drawn.
 
     ``targets`` maps a dimension to (dimension, target) rows; by default each margin is tempered, which
     lowers the largest sources and lifts the small ones.
     """
     rows = with_cells(docs)
-    cells = written(rows.groupBy(*[F.col(f"_{d}").alias(d) for d in DIMS]).agg(F.sum("_tokens").alias("tokens"), F.count(F.lit(1)).alias("n_docs")), "cells")
+    cells = cells_of(rows)
     if targets is None:
         targets = {d: written(tempered_targets(cells, d, temperature), f"target-{d}") for d in DIMS}
     fit = fitted(cells, targets, keep_share, sweeps)

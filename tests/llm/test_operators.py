@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.llm import embedding_dedup, exact_dedup, language_id, lm_scoring, minhash_dedup, mixing, packing, pii, quality, suffix_dedup
+from millrace.llm import embedding_dedup, exact_dedup, hashing, language_id, lm_scoring, minhash_dedup, mixing, packing, pii, quality, suffix_dedup
 from millrace.llm.graph import components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -321,8 +321,39 @@ def jp(x, y):
     return sum(1 / sum(max(x.get(j, 0) / x[i], y.get(j, 0) / y[i]) for j in x.keys() | y.keys()) for i in x.keys() & y.keys())
 
 
+def plain_words(text):
+    """Runs of letters and digits; each character of a script without spaces is a word."""
+    out, run = [], ""
+    for ch in text.lower() + " ":
+        within = lambda ranges: any(lo <= ord(ch) <= hi for lo, hi in ranges)  # noqa: B023, E731
+        single = within(hashing.SINGLE)
+        if single or (not ch.isalnum() if ord(ch) < 128 else within(hashing.GAPS)):
+            out += [run] if run else []
+            run = ""
+            out += [ch] if single else []
+        else:
+            run += ch
+    return out
+
+
+@pytest.mark.parametrize("step", [1 << 20, 40])
+def test_words_of_all_scripts(monkeypatch, step):
+    import pyarrow as pa
+
+    monkeypatch.setattr(hashing, "STEP", step)
+    texts = ["“curly” – dash’s naïve übung x", "近い文書を見つける。次の文、カタカナ", "ภาษาไทย ไม่มี ช่องว่าง", "한국어 띄어쓰기 있음", "a日b本c", "😀 smile😀face", "", None, "a" * 90 + " 日" * 30, "日本語" * 40]
+    known = {}
+    for arr in [texts] if step == 1 << 20 else [[t] for t in texts if t != texts[8]]:
+        found = [(arr[lo + k], h[row == k].tolist()) for lo, rows, row, h in hashing.words(pa.array(arr, pa.string())) for k in range(rows)]
+        for t, mine in found:
+            want = plain_words(t or "")
+            assert len(mine) == len(want), t
+            assert all(known.setdefault(w, x) == x for w, x in zip(want, mine, strict=True))
+    assert len(set(known.values())) == len(known)
+
+
 def shingle_counts(text):
-    w = re.findall(r"[0-9a-z\x80-\U0010ffff]+", text.lower())
+    w = plain_words(text)
     return collections.Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else collections.Counter()
 
 
@@ -338,7 +369,8 @@ def test_minhash(spark):
             for k in rng.choice(len(u), edits, replace=False):
                 u[k] = str(rng.choice(words))
             texts.append(" ".join(u))
-    texts += [texts[0].upper() + "!", "one two", "One, two.", None, "", "...", "same words " * 300]
+    han = "".join(chr(0x4E00 + int(k)) for k in rng.integers(0, 900, 160))
+    texts += [han, han[:80] + "新" + han[81:] + "。", han[:60], texts[0].upper() + "!", "one two", "One, two.", None, "", "...", "same words " * 300]
     sets = [shingle_counts(t or "") for t in texts]
     root = list(range(len(texts)))
 
@@ -575,6 +607,64 @@ def test_mixing(spark):
     assert mixing.mix(df.limit(0)).count() == 0
 
 
+def brute_mix(cells, keep, temperature=0.7, sweeps=300):
+    """Raking by plain loops: rows (source, lang, topic, tokens) to p under the cap of 1, and the feasible margins in tokens."""
+    total = sum(c[3] for c in cells)
+    sums = [collections.Counter() for _ in range(3)]
+    for c in cells:
+        for d in range(3):
+            sums[d][c[d]] += c[3]
+    goal = []
+    for d in range(3):
+        w = {v: n**temperature for v, n in sums[d].items()}
+        share = {v: x / sum(w.values()) for v, x in w.items()}
+        lo, hi = 0.0, max(sums[d][v] / x for v, x in share.items())
+        for _ in range(80):  # the level at which all values, each at most whole, make up what is kept
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if sum(min(sums[d][v], mid * x) for v, x in share.items()) < keep * total else (lo, mid)
+        goal.append({v: min(sums[d][v], hi * x) for v, x in share.items()})
+    g = [keep * c[3] for c in cells]
+    for _ in range(sweeps):
+        for d in range(3):
+            have = collections.Counter()
+            for c, x in zip(cells, g, strict=True):
+                have[c[d]] += min(c[3], x)
+            g = [x * goal[d][c[d]] / have[c[d]] for c, x in zip(cells, g, strict=True)]
+    return [min(1, x / c[3]) for c, x in zip(cells, g, strict=True)], goal
+
+
+def test_mixing_against_plain_loops_at_the_querys_settings(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = mixing.with_cells(docs)
+    cells = mixing.cells_of(rows)
+    targets = {d: mixing.written(mixing.tempered_targets(cells, d, 0.7), "target") for d in mixing.DIMS}
+    fit = mixing.fitted(cells, targets, 0.8)
+    got = {(r.source, r.lang, r.topic): r for r in fit.collect()}
+    filled = [(*k, r.tokens) for k, r in got.items() if r.tokens > 0]
+    want, goal = brute_mix(filled, 0.8)
+    assert (fit.agg(F.sum(F.col("p") * F.col("tokens")) / F.sum("tokens")).first()[0]) == pytest.approx(0.8, abs=0.005)
+    assert np.mean([abs(got[c[:3]].p - p) for c, p in zip(filled, want, strict=True)]) < 0.01
+    table = mixing.margins(fit, list(mixing.DIMS)).toPandas()
+    assert (table.expected - table.feasible).abs().max() < 0.005
+    total = sum(c[3] for c in filled)
+    for r in table.itertuples():
+        at = goal[mixing.DIMS.index(r.dim)][r.value]
+        assert r.feasible * 0.8 * total == pytest.approx(at, rel=0.01)
+    assert {r._topic for r in rows.select("_topic").distinct().collect()} - {mixing.NONE} == {f"topic{k}" for k in range(mixing.TOPICS)}
+
+
+def test_topics_follow_the_words(spark):
+    """Two vocabularies in two languages each: a topic's words decide, not the language's."""
+    rng = np.random.default_rng(35)
+    lang, subject = [vocabulary(50 + k, 40) for k in range(2)], [vocabulary(60 + k, 40) for k in range(2)]
+    rows = [(k, prose(rng, lang[k % 2], 60) + " " + prose(rng, subject[k // 2 % 2], 120), f"l{k % 2}", "s", 0) for k in range(200)] + [(900, None, None, None, None), (901, "...", "l0", "s", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumn("tokens", F.lit(1))
+    out = {r.doc_id: r._topic for r in mixing.with_cells(df).collect()}
+    of = [{out[k] for k in range(200) if k // 2 % 2 == s} for s in (0, 1)]
+    assert not of[0] & of[1] and out[900] == out[901] == mixing.NONE
+    assert mixing.with_cells(df.limit(0)).count() == 0
+
+
 def test_mixing_meets_feasible_margins_where_cells_are_capped(spark):
     """The query's own defaults (temperature 0.7, 0.8 of the tokens) on skewed cells."""
     share = {"source": {"hot": 0.9, "a": 0.08, "b": 0.02}, "lang": {"en": 0.85, "de": 0.12, "fr": 0.03}, "topic": {"prose": 0.7, "table": 0.25, "list": 0.05}}
