@@ -1,8 +1,10 @@
 """Quality classification by positive-unlabelled learning.
 
 A linear model over binned text statistics minimises the non-negative unbiased risk of trusted positives
-against unlabelled web text. The share of positives in unlabelled text is estimated from the scores of all
-learning rows, and a logistic curve fitted on labelled rows turns the model's output into a probability.
+against unlabelled web text. Bins are quantiles of all learning rows. Weights start from a bounded sample and are
+settled by steps down the risk of all positives and all unlabelled rows, each the sum of one pass over their bins.
+The share of positives in unlabelled text is estimated from the scores of all learning rows (between 0.05 and
+0.95), and a logistic curve fitted on labelled rows, at most FIT_ROWS, turns the model's output into a probability.
 
 Defined results: a null text is the empty text and gets a score like any other; label rows with a null id
 or label are ignored, a document labelled twice counts by its larger label; without positives or unlabelled
@@ -21,11 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import remove, written
 
-#: Most rows of each class (positive, unlabelled, labelled for calibration) that the classifier is fitted on.
+#: Most rows of each class that the weights start from, and most labelled rows of the probability curve.
 FIT_ROWS = 20_000
 BINS, STEPS, RATE, DECAY = 12, 250, 0.05, 1e-4
+#: Steps over all rows.
+FULL_STEPS = 12
 _SYMBOLS = re.compile(r"[^\w\s]{3,}")
 _SHOUT = re.compile(r"!{2,}")
 _LAST = re.compile(r"[.!?]\s")
@@ -91,32 +95,90 @@ def _logistic(z: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * z))
 
 
-def fit_risk(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = STEPS) -> Model:
-    """Non-negative unbiased risk with the logistic loss: prior R+(P) + max(0, R-(U) - prior R-(P)).
+class Descent:
+    """Adam on the non-negative unbiased risk with the logistic loss: prior R+(P) + max(0, R-(U) - prior R-(P)).
 
-    Where the second term goes negative the step reverses it instead of following the first.
+    Where the second term goes negative a step reverses it instead of following the first.
     """
-    both = np.concatenate([positive, unlabelled])
-    model = Model(np.quantile(both, np.linspace(0, 1, BINS + 1)[1:-1], axis=0).T)
+
+    def __init__(self, model: Model, prior: float, rate: float = RATE):
+        self.model, self.prior, self.rate, self.t = model, prior, rate, 0
+        self.first, self.second = np.zeros_like(model.w), np.zeros_like(model.w)
+
+    def step(self, p: Sums, u: Sums) -> None:
+        negative = u.risk_negative - self.prior * p.risk_negative
+        g_neg = u.grad_negative - self.prior * p.grad_negative
+        g = (self.prior * p.grad_positive + g_neg if negative >= 0 else -g_neg) + DECAY * self.model.w
+        self.t += 1
+        self.first, self.second = 0.9 * self.first + 0.1 * g, 0.999 * self.second + 0.001 * g * g
+        self.model.w -= self.rate * (self.first / (1 - 0.9**self.t)) / (np.sqrt(self.second / (1 - 0.999**self.t)) + 1e-8)
+
+
+class Sums:
+    """Means over rows of a class: the risk if they were negative, and the gradients as negatives and as positives."""
+
+    def __init__(self, flat: np.ndarray, shape: tuple[int, int]):
+        n = max(flat[0], 1.0)
+        self.risk_negative = flat[1] / n
+        self.grad_negative, self.grad_positive = (flat[2:] / n).reshape(2, *shape)
+
+    @staticmethod
+    def of(model: Model, bins: np.ndarray) -> np.ndarray:
+        """Rows, risk and both gradients, summed: they add up over parts."""
+        cols, width = np.arange(bins.shape[1]), model.w.shape[1]
+        z = _logistic(model.margin(bins))
+        spread = lambda g: np.bincount((bins + cols * width).ravel(), np.repeat(g, len(cols)), model.w.size)
+        return np.concatenate([[len(bins), -np.log1p(-z + 1e-12).sum()], spread(z), spread(z - 1)])
+
+
+def fit_risk(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = STEPS, edges: np.ndarray | None = None) -> Model:
+    """The model after so many steps on these rows alone."""
+    edges = np.quantile(np.concatenate([positive, unlabelled]), np.linspace(0, 1, BINS + 1)[1:-1], axis=0).T if edges is None else edges
+    model = Model(edges)
     bp, bu = model.bins(positive), model.bins(unlabelled)
-    cols = np.arange(bp.shape[1])
-    width = model.w.shape[1]
-    first, second = np.zeros_like(model.w), np.zeros_like(model.w)
-
-    def spread(bins: np.ndarray, g: np.ndarray) -> np.ndarray:
-        return np.bincount((bins + cols * width).ravel(), np.repeat(g, len(cols)), model.w.size).reshape(model.w.shape)
-
-    for t in range(1, steps + 1):
-        sp, su = _logistic(model.margin(bp)), _logistic(model.margin(bu))
-        negative = np.mean(-np.log1p(-su + 1e-12)) - prior * np.mean(-np.log1p(-sp + 1e-12))
-        g_neg = spread(bu, su / len(bu)) - prior * spread(bp, sp / len(bp))
-        g = prior * spread(bp, (sp - 1) / len(bp)) + g_neg if negative >= 0 else -g_neg
-        g += DECAY * model.w
-        first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g * g
-        model.w -= RATE * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8)
+    down = Descent(model, prior)
+    for _ in range(steps):
+        down.step(*(Sums(Sums.of(model, b), model.w.shape) for b in (bp, bu)))
     return model
 
 
+def quantiles(rows: DataFrame) -> np.ndarray:
+    """Inner bin edges of each statistic (STATS x BINS - 1) over all rows with a column x."""
+    at = F.array(*[F.lit(float(q)) for q in np.linspace(0, 1, BINS + 1)[1:-1]])
+    found = rows.agg(*[F.percentile_approx(F.col("x")[k], at, 10_000).alias(f"q{k}") for k in range(STATS)]).first()
+    return np.array([found[k] for k in range(STATS)], float)
+
+
+def binned(rows: DataFrame, edges: np.ndarray) -> DataFrame:
+    """(positive, bins): the bin numbers of each row (x, quality), a byte each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = Model(edges).bins(np.array(batch.column("x").flatten()).reshape(-1, STATS)).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([batch.column("positive"), pa.array([b.tobytes() for b in found], pa.binary())], names=["positive", "bins"])
+
+    return rows.select(F.col("quality").isNotNull().alias("positive"), "x").mapInArrow(run, "positive boolean, bins binary")
+
+
+def full_sums(table: DataFrame, model: Model) -> tuple[Sums, Sums]:
+    """Sums over all positive and all unlabelled rows of :func:`binned`: partial sums per task, added up by one aggregate."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2, 2 + 2 * model.w.size))
+        for batch in batches:
+            bins = np.frombuffer(b"".join(batch.column("bins").to_pylist()), np.uint8).reshape(-1, STATS).astype(np.int64)
+            side = np.array(batch.column("positive"), bool)
+            for k in (0, 1):
+                total[k] += Sums.of(model, bins[side == bool(k)])
+        for k in (0, 1):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(total[k]), k, np.int32)), pa.array(np.arange(len(total[k]), dtype=np.int32)), pa.array(total[k])], names=["side", "at", "v"])
+
+    out = np.zeros((2, 2 + 2 * model.w.size))
+    for r in table.mapInArrow(run, "side int, at int, v double").groupBy("side", "at").agg(F.sum("v").alias("v")).collect():  # two rows a weight
+        out[r["side"], r["at"]] = r["v"]
+    return Sums(out[1], model.w.shape), Sums(out[0], model.w.shape)
+
+
 def _sample(rows: DataFrame, n: int, limit: int = FIT_ROWS) -> np.ndarray:
     """Up to ``limit`` of n rows, by a hash of the id, so the same on every run."""
     share = F.pmod(F.xxhash64(F.lit("fit"), F.col("doc_id")), F.lit(1_000_000)) < F.lit(int(1_000_000 * min(1.0, limit / max(n, 1))) + 1)
@@ -154,14 +216,23 @@ def train(feats: DataFrame, labels: DataFrame) -> Model | None:
     p, u = _sample(positive, counts[0]), _sample(unlabelled, counts[1])
     if not len(p) or not len(u):
         return None
-    first = fit_risk(p, u, 0.5, STEPS // 2)
+    learning = rows.where("quality is null or quality = 1")
+    edges = quantiles(learning)
+    first = fit_risk(p, u, 0.5, STEPS // 2, edges)
     hist = {q: np.zeros(200) for q in (0, 1)}
-    scored = apply(rows.where("quality is null or quality = 1"), first, ("quality",))
+    scored = apply(learning, first, ("quality",))
     for r in scored.groupBy(F.coalesce("quality", F.lit(0)).alias("q"), F.least(F.floor(F.col("score") * 200), F.lit(199)).alias("k")).count().collect():  # 400 rows at most
         hist[r["q"]][r["k"]] = r["count"]
-    model = fit_risk(p, u, estimate_prior(hist[1], hist[0]))
+    prior = estimate_prior(hist[1], hist[0])
+    model = fit_risk(p, u, prior, STEPS, edges)
+    table = written(binned(learning, edges), "bins")
+    down = Descent(model, prior, RATE / 2)
+    for _ in range(FULL_STEPS):
+        down.step(*full_sums(table, model))
+    remove(table)
     marks = labelled.where(F.pmod(F.xxhash64(F.lit("curve"), F.col("doc_id")), F.lit(1_000_000)) < F.lit(int(1_000_000 * min(1.0, FIT_ROWS / counts[2])) + 1)).select("x", "quality").limit(FIT_ROWS).toPandas()
     model.a, model.b = fit_platt(model.margin(model.bins(np.array(marks["x"].tolist(), float).reshape(-1, STATS))), marks["quality"].to_numpy(float))
+    remove(rows)
     return model
 
 
