@@ -20,8 +20,8 @@ from .operators.metrics import RULES, WINDOW
 from .operators.ordered import number_lines
 from .plans.ingest import Ingested, ingest, session_metrics, wide
 from .sources import tables
-from .sources.lines import NOTE_EVERY, NOTES, synth_log_lines
-from .sources.scratch import scratch_path
+from .sources.lines import NOTE_EVERY, NOTES, read_lines, synth_log_lines
+from .sources.scratch import scratch_path, written
 from .streaming import ingest as streams
 
 CFG = EngineConfig(window_seconds=3600)
@@ -340,9 +340,9 @@ def work_item_count(spark, sf):
     return anomaly.work_item_count(_done(spark, sf).windows, CFG)
 
 
-@query("SELECT event_id % 6 AS lane, count(*) AS n FROM events GROUP BY 1")
+@query("SELECT (CAST('0x' || substr(md5(CAST(event_id AS VARCHAR)), 1, 8) AS BIGINT) % 6)::INTEGER AS lane, count(*) AS n FROM events GROUP BY 1")
 def partition_routing(spark, sf):
-    return _read(spark, sf, "events").groupBy(F.pmod("event_id", F.lit(6)).alias("lane")).agg(F.count(F.lit(1)).alias("n"))
+    return _read(spark, sf, "events").groupBy(T.lane(F.col("event_id").cast("string"), 6).alias("lane")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query()
@@ -373,10 +373,33 @@ def embed_packing(spark, sf):
     return segments.embed_packing(docs, "g", "doc_id", "text")
 
 
-@query()
+@query(
+    f"""WITH {RUNS}, fr AS (SELECT session_id, line_start, line_no, {_grp(P.EXCEPTION)} AS exception, {_grp(P.FRAME)} AS f FROM runs),
+nx AS (SELECT *, lead(f, 1) OVER w AS f2, lead(f, 2) OVER w AS f3 FROM fr WINDOW w AS (PARTITION BY session_id, line_start ORDER BY line_no)),
+op AS (SELECT *, CASE WHEN f IS NOT NULL THEN f || CASE WHEN f2 IS NOT NULL THEN ',' || f2 || coalesce(',' || f3, '') ELSE '' END END AS fs FROM nx),
+hit AS (SELECT *, first_value(fs IGNORE NULLS) OVER (PARTITION BY session_id, line_start ORDER BY line_no ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS frames FROM op)
+SELECT session_id, line_no, exception, coalesce(frames, '') AS frames, sha256(exception || '|' || coalesce(split_part(frames, ',', 1), '') || '|' || coalesce(split_part(frames, ',', 2), '') || '|' || coalesce(split_part(frames, ',', 3), '')) AS fingerprint FROM hit WHERE exception IS NOT NULL"""
+)
 def stack_frames(spark, sf):
-    frames = F.concat(F.col("content"), F.lit("\nCaused by\n  at com.app.Main.run(Main.java)\n  at com.app.Main$1.call(Main.java)\nend"))
-    return segments.stack_frames(windows.chunks(_runs(spark, sf)).withColumn("content", frames))
+    out = segments.stack_frames(_runs(spark, sf))
+    return out.select("session_id", "line_no", "exception", F.array_join("frames", ",").alias("frames"), T.exception_fingerprint(F.col("exception"), F.col("frames")).alias("fingerprint"))
+
+
+@query(f"WITH {LINES} SELECT session_id, line_no, value FROM lines")
+def file_lines(spark, sf):
+    """The log as text files, half of them with \\r\\n, written and read back."""
+    folder = scratch_path(spark, "files")
+    end = F.when(F.col("session_id").isin("1", "3"), "\r").otherwise("")
+    _lines(spark, sf).select("session_id", "seq", F.concat("value", end).alias("value")).repartition("session_id").sortWithinPartitions("session_id", "seq").select("value", F.col("session_id").alias("s")).write.partitionBy("s").text(folder)
+    return read_lines(spark, f"{folder}/s=*", "x").select(F.regexp_extract("document_id", "s=([0-9])/", 1).alias("session_id"), "line_no", "value")
+
+
+@query(f"WITH {RUNS} SELECT session_id, bucket, line_start, count(*) AS n, sum(length(value))::BIGINT AS sum_ms FROM runs WHERE regexp_matches(value, '/api/click/') GROUP BY ALL")
+def custom_rule(spark, sf):
+    """A user's rule beside the built-in ones: counts, and samples of a number of its own."""
+    rule = metrics.MetricRule("CUSTOM", "clicks", "value rlike '/api/click/'", "length(value)")
+    rows = ingest(_lines(spark, sf), CFG, extra=(rule,)).metrics.where("metric = 'clicks'")
+    return rows.select("session_id", _sec("time_bucket").alias("bucket"), "line_start", F.col("count").alias("n"), "sum_ms")
 
 
 # --- findings and incidents ------------------------------------------------------------------------------------
@@ -468,12 +491,13 @@ def incident_bounds(spark, sf):
     return i.select("session_id", "category", "island", _sec("time_range_start").alias("t0"), _sec("time_range_end").alias("t1"), "n_findings", F.array_join(F.transform("finding_ids", lambda x: x.cast("string")), ",").alias("ids"))
 
 
-@query(f"WITH {CLUSTERED} SELECT session_id, island, seq, CASE WHEN seq % 2 = 0 THEN title ELSE CAST(seq AS VARCHAR) END AS title FROM isl WHERE session_id = '1' AND category = 'errors'")
+@query(f"WITH {CLUSTERED} SELECT session_id, island, seq, category, CASE WHEN seq % 2 = 0 THEN title ELSE CAST(seq AS VARCHAR) END AS title FROM isl")
 def incident_titles(spark, sf):
-    one = _clustered(spark, sf).where("session_id = '1' and category = 'errors'")
-    built = incidents.incidents(one, "seq")
-    named = incidents.titles(built, one.where("seq % 2 = 0"), "seq").join(built.select(F.col("id").alias("incident"), "session_id", "island"), "incident")
-    return named.select("session_id", "island", F.col("finding_id").alias("seq"), "title")
+    found = _clustered(spark, sf).withColumn("key", F.struct("session_id", "seq"))
+    built = incidents.incidents(found, "key")
+    named = incidents.titles(built, found.where("seq % 2 = 0"), "key").join(built.select(F.col("id").alias("incident"), "session_id", "category", "island"), "incident")
+    plain = F.when(F.col("finding_id.seq") % 2 == 0, F.col("title")).otherwise(F.col("finding_id.seq").cast("string"))
+    return named.select("session_id", "category", "island", F.col("finding_id.seq").alias("seq"), plain.alias("title"))
 
 
 def _flat_chunks(spark, sf) -> DataFrame:
@@ -512,14 +536,22 @@ def _query_vector(spark, sf) -> list[float]:
 _COS = "round(list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) / sqrt(list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[]))) / sqrt(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))), 6)"
 
 
-@query(f"SELECT e.vec_id, {_COS} AS similarity FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = {_QUERY_ID}) q WHERE e.embedding IS NOT NULL ORDER BY similarity DESC, vec_id LIMIT 30")
+def _asked(spark, sf) -> DataFrame:
+    """The searches' query set: every vector whose id is divisible by 20."""
+    return _read(spark, sf, "embeddings").where("vec_id % 20 = 0")
+
+
+_NEAR = f"SELECT q.vec_id AS query, e.vec_id AS vec_id, {_COS} AS similarity FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 20 = 0) q WHERE e.embedding IS NOT NULL QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY similarity DESC, e.vec_id) <= 30"
+
+
+@query(_NEAR)
 def knn_cosine(spark, sf):
-    return retrieval.knn(_read(spark, sf, "embeddings"), _query_vector(spark, sf), 30, "vec_id")
+    return retrieval.knn_all(_read(spark, sf, "embeddings"), _asked(spark, sf), 30, "vec_id")
 
 
 @query()
 def knn_lsh(spark, sf):
-    return retrieval.knn_lsh(_read(spark, sf, "embeddings"), _query_vector(spark, sf), 10, "vec_id")
+    return retrieval.knn_lsh(_read(spark, sf, "embeddings"), _asked(spark, sf), 10, "vec_id")
 
 
 @query(
@@ -572,15 +604,24 @@ def fts_or_fallback(spark, sf):
     return retrieval.full_text(docs, "licensed nosuchword", 30, "doc_id", "text", any_word=True) if found.isEmpty() else found
 
 
+@query(f"WITH {_WORDS} SELECT doc_id, {_rank_sql(['the', 'on'])} AS rank FROM w WHERE list_contains(ws, 'the') AND list_contains(ws, 'on') AND NOT list_contains(ws, 'licensed') ORDER BY rank DESC, doc_id LIMIT 30")
+def fts_index(spark, sf):
+    """The index is written once; a search reads the rows of its words."""
+    index = written(retrieval.inverted_index(_read(spark, sf, "documents"), "doc_id", "text").repartition("term").sortWithinPartitions("term"), "index")
+    return retrieval.index_search(index, "the on -licensed", 30, "doc_id")
+
+
 @query(
-    f"""WITH {_WORDS}, near AS (SELECT e.vec_id AS key, {_COS} AS s FROM embeddings e JOIN documents USING_ ON USING_.doc_id = e.vec_id, (SELECT embedding FROM embeddings WHERE vec_id = {_QUERY_ID}) q ORDER BY s DESC, key LIMIT 30),
+    f"""WITH {_WORDS}, items AS (SELECT e.* FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id), q AS (SELECT * FROM items WHERE vec_id % 20 = 0),
+near AS (SELECT q.vec_id AS query, e.vec_id AS key, {_COS} AS s FROM items e, q QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY s DESC, e.vec_id) <= 30),
 txt AS (SELECT doc_id AS key, {_rank_sql(['the', 'on'])} AS s FROM w JOIN embeddings e ON e.vec_id = doc_id WHERE list_contains(ws, 'the') AND list_contains(ws, 'on') ORDER BY s DESC, key LIMIT 30),
-l AS (SELECT key, 0 AS list_no, row_number() OVER (ORDER BY s DESC, key) - 1 AS p FROM near UNION ALL SELECT key, 1, row_number() OVER (ORDER BY s DESC, key) - 1 FROM txt)
-SELECT key, round(sum(1.0::DOUBLE / (60 + p)), 6) AS score FROM l GROUP BY key ORDER BY score DESC, min(list_no * 1000 + p) LIMIT 30"""
+l AS (SELECT query, key, 0 AS list_no, row_number() OVER (PARTITION BY query ORDER BY s DESC, key) - 1 AS p FROM near UNION ALL SELECT q.vec_id, key, 1, row_number() OVER (PARTITION BY q.vec_id ORDER BY s DESC, key) - 1 FROM txt, q),
+f AS (SELECT query, key, round(sum(1.0::DOUBLE / (60 + p)), 6) AS score, min(list_no * 1000 + p) AS first FROM l GROUP BY query, key)
+SELECT query, key, score FROM f QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, first) <= 30"""
 )
 def rrf_hybrid(spark, sf):
     items = _read(spark, sf, "documents").join(_read(spark, sf, "embeddings"), F.col("doc_id") == F.col("vec_id")).select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"), "embedding")
-    return retrieval.retrieve(items, "the on", _query_vector(spark, sf), 30)
+    return retrieval.retrieve_all(items, "the on", items.where("chunk_id % 20 = 0"), 30)
 
 
 # --- state, sessions, budgets --------------------------------------------------------------------------------------
@@ -690,5 +731,31 @@ def streaming_metrics(spark, sf):
     keyed = stream.select("event_type", D.bucket(F.col("at"), 3600).alias("b")).groupBy("event_type", "b").agg(F.count(F.lit(1)).alias("n"))
     streams.run_available(keyed, f"{out}/checkpoint", streams.additive_sink(f"{out}/rows"), "update")
     rows = spark.read.parquet(f"{out}/rows")
-    shift = F.expr("unix_micros(cast(timestamp_ntz '1970-01-01 00:00:00' as timestamp)) div 1000000")
-    return rows.groupBy("event_type", "b").agg(F.max_by("n", "batch").alias("n")).select("event_type", (_sec("b") - shift).alias("bucket"), "n")
+    return rows.groupBy("event_type", "b").agg(F.max_by("n", "batch").alias("n")).select("event_type", (_sec("b") - _shift()).alias("bucket"), "n")
+
+
+@query(
+    """SELECT event_type, CAST(b AS BIGINT) AS bucket, count(*) AS n, round(sum(value), 2) AS total FROM (
+  SELECT event_type, value, floor(epoch(ts) / 1800) * 1800 - shift AS b FROM events, (VALUES (0), (1800)) AS x(shift)) GROUP BY ALL"""
+)
+def sliding_counts(spark, sf):
+    """Windows of an hour every half hour."""
+    e = _read(spark, sf, "events").withColumn("at", F.col("ts").cast("timestamp"))
+    out = streams.tumbling_counts(e, "at", ["event_type"], "1 hour", slide="30 minutes")
+    return out.select("event_type", (_sec("bucket") - _shift()).alias("bucket"), "n", F.round("total", 2).alias("total"))
+
+
+@query(
+    """WITH o AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 6 HOUR OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS opens FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+i AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM o)
+SELECT user_id, CAST(floor(epoch(min(ts))) AS BIGINT) AS start_s, count(*) AS n FROM i GROUP BY user_id, k"""
+)
+def session_counts(spark, sf):
+    """Sessions that end after six quiet hours."""
+    e = _read(spark, sf, "events").withColumn("at", F.col("ts").cast("timestamp"))
+    return streams.session_counts(e, "at", ["user_id"], "6 hours").select("user_id", (_sec("start") - _shift()).alias("start_s"), "n")
+
+
+def _shift() -> Column:
+    """Seconds by which the session's time zone moves a time without zone."""
+    return F.expr("unix_micros(cast(timestamp_ntz '1970-01-01 00:00:00' as timestamp)) div 1000000")

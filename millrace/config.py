@@ -23,6 +23,8 @@ class EngineConfig:
     rrf_k: int = 60
     retrieve_limit: int = 30
     top_metrics: int = 40
+    #: Metrics that a report lists, and incidents that one prompt holds.
+    report_rows: int = 25
     sample_cap: int = 20
     correlate_attempts: int = 3
     max_rewrites: int = 2
@@ -33,15 +35,3 @@ class EngineConfig:
     embed_dim: int = 768
     #: Lines of one block of the two-level ordered operators; bounds what one task orders.
     order_block: int = 50_000
-
-
-@dataclass(frozen=True)
-class Topic:
-    name: str
-    partitions: int
-
-
-def topics(slots: int = 4) -> tuple[Topic, ...]:
-    """The six message topics with their widths; enrich lanes have one partition per key slot."""
-    widths = (("ingest.requests", 6), ("ingest.parts", 6), ("ingest.dlq", 1), ("enrich.requests", slots), ("enrich.retry", slots), ("enrich.dlq", 1))
-    return tuple(Topic(f"log.{name}", n) for name, n in widths)

@@ -76,16 +76,6 @@ def stable_id(*parts: Column) -> Column:
     return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.substring(h, 13, 4), F.substring(h, 17, 4), F.substring(h, 21, 12))
 
 
-def object_key(url: Column, bucket: str) -> Column:
-    """Key of an object URL of this bucket, else null."""
-    prefix = f"s3://{bucket}/"
-    return F.when(url.startswith(prefix), F.substring(url, len(prefix) + 1, 1 << 30))
-
-
-def chat_tokens(system: Column, user: Column, allowance: int = 512) -> Column:
-    return F.expr("0") + F.floor((F.length(system) + F.length(user)) / 4).cast("long") + allowance
-
-
 def embed_tokens(text: Column) -> Column:
     return F.floor(F.length(text) / 4).cast("long") + 8
 
@@ -127,10 +117,6 @@ def progress_percent(done: Column, total: Column) -> Column:
     return F.when(total > 0, F.least(F.lit(100), F.round(100 * done / total).cast("int"))).otherwise(0)
 
 
-def backoff_ms(failures: Column, base: int = 1000) -> Column:
-    return F.lit(base) * F.pow(F.lit(2), F.least(failures, F.lit(4))).cast("long")
-
-
 def lane(work_id: Column, slots: int) -> Column:
     """Partition of a work item; never negative."""
-    return F.pmod(F.crc32(work_id.cast("binary")), F.lit(slots)).cast("int")
+    return (F.conv(F.substring(F.md5(work_id.cast("binary")), 1, 8), 16, 10).cast("bigint") % slots).cast("int")

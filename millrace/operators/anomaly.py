@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import EngineConfig
 from ..functions.text import stable_id
 from .metrics import WINDOW
+from .ordered import number_lines
 
 
 def local_anomaly(table: DataFrame, cfg: EngineConfig = EngineConfig()) -> DataFrame:  # noqa: B008
@@ -43,8 +44,8 @@ def in_memory_anomaly(table: DataFrame, metrics: DataFrame, cfg: EngineConfig =
 
 def embed_batches(chunks: DataFrame, cfg: EngineConfig = EngineConfig()) -> DataFrame:  # noqa: B008
     """(session_id, batch, chunk_ids): all chunks of a session in line order, a fixed number a batch."""
-    w = Window.partitionBy("session_id").orderBy("line_start", "chunk_id")
-    numbered = chunks.withColumn("batch", F.floor((F.row_number().over(w) - 1) / cfg.embed_batch))
+    placed = chunks.withColumn("_o", F.struct("line_start", "chunk_id")).withColumn("_b", F.floor(F.col("line_start") / cfg.order_block))
+    numbered = number_lines(placed, ["session_id"], "_o", cfg.order_block, "_n", block="_b").withColumn("batch", F.floor((F.col("_n") - 1) / cfg.embed_batch))
     ids = F.transform(F.array_sort(F.collect_list(F.struct("line_start", "chunk_id"))), lambda x: x["chunk_id"])
     return numbered.groupBy("session_id", "batch").agg(ids.alias("chunk_ids"))
 

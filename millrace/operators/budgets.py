@@ -15,11 +15,6 @@ def rolling_budget(calls: DataFrame, key: str, ts: str, tokens: Column, seconds:
     return df.withColumn("admitted", (F.col("calls_in_window") <= max_calls) & (F.col("tokens_in_window") <= max_tokens))
 
 
-def pacing_ms(rpm: int, utilisation: float) -> float:
-    """Least time between calls of one lane."""
-    return 60_000 / (rpm * utilisation)
-
-
 def token_bucket(requests: DataFrame, key: str, ts: str, capacity: float = 15, per_second: float = 0.25) -> DataFrame:
     """(key, ts, granted, left): a bucket per key that refills steadily. Requests of a key are few and ordered."""
 
@@ -43,7 +38,7 @@ def key_health(outcomes: DataFrame, key: str, ts: str, ok: Column, failures: int
     """(key, at, ok, enabled): a key is off for some minutes after so many failures in a row."""
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("at")
+        pdf = pdf.sort_values(["at", "ok"])
         row, until, out = 0, None, []
         for at, good in zip(pdf["at"], pdf["ok"], strict=True):
             if until is not None and at >= until:
@@ -59,11 +54,6 @@ def key_health(outcomes: DataFrame, key: str, ts: str, ok: Column, failures: int
     return src.groupBy("key").applyInPandas(fold, f"key {dict(src.dtypes)['key']}, at bigint, ok boolean, enabled boolean")
 
 
-def best_keys(keys: DataFrame) -> DataFrame:
-    """Usable keys, the one with most tokens left first."""
-    return keys.where("enabled").orderBy(F.desc("left"), "key")
-
-
 def queue(jobs: DataFrame, n: int = 2) -> DataFrame:
     """The next jobs: by priority, then age."""
     return jobs.where("status = 'QUEUED'").orderBy("priority", "created_at").limit(n)

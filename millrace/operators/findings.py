@@ -21,14 +21,22 @@ def merge(findings: DataFrame) -> DataFrame:
     Occurrences count up; evidence is the distinct union; the range widens; the first title and category
     stay; the last explanation, severity and confidence win.
     """
+    key = ["session_id", "fingerprint"]
     f = findings.withColumn("fingerprint", fingerprint(F.col("category"), F.col("title")))
-    ordered = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("seq", c))), lambda x: x[c])
-    return f.groupBy("session_id", "fingerprint").agg(
+    merged = f.groupBy(*key).agg(
         F.count(F.lit(1)).cast("int").alias("occurrence_count"), F.min_by("title", "seq").alias("title"), F.min_by("category", "seq").alias("category"),
         F.max_by("explanation", "seq").alias("explanation"), F.max_by("severity", "seq").alias("severity"), F.max_by("confidence", "seq").alias("confidence"),
-        F.array_distinct(F.flatten(ordered("evidence_chunk_ids"))).alias("evidence_chunk_ids"),
         F.min("time_range_start").alias("time_range_start"), F.max("time_range_end").alias("time_range_end"), F.min("seq").alias("seq"),
     )
+    # evidence is made distinct before it is gathered: a list holds each chunk once, however often it was found
+    ids = f.select(*key, "seq", F.posexplode("evidence_chunk_ids").alias("pos", "chunk_id")).groupBy(*key, "chunk_id").agg(F.min("seq").alias("seq"), F.min_by("pos", "seq").alias("pos"))
+    lists = ids.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "pos", "chunk_id"))), lambda x: x["chunk_id"]).alias("evidence_chunk_ids"))
+    return merged.join(lists, key, "left").withColumn("evidence_chunk_ids", F.coalesce("evidence_chunk_ids", F.array().cast("array<string>")))
+
+
+def by_time(findings: DataFrame) -> DataFrame:
+    """In the order of time, those without a start last, then by category."""
+    return findings.orderBy(F.col("time_range_start").asc_nulls_last(), "category", "seq")
 
 
 def ranked(findings: DataFrame, session_id: str | None = None, category: str | None = None, severity: str | None = None) -> DataFrame:
@@ -57,8 +65,3 @@ def severity_counts(findings: DataFrame) -> DataFrame:
 
 def categories(metrics: DataFrame) -> DataFrame:
     return metrics.select("category").distinct().orderBy("category")
-
-
-def valid_citations(answers: DataFrame) -> DataFrame:
-    """``answers`` with citations kept, in order, if they are among evidence_ids."""
-    return answers.withColumn("citations", F.filter("citations", lambda x: F.array_contains("evidence_ids", x)))

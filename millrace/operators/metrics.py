@@ -94,7 +94,7 @@ def _numbers(rule: MetricRule) -> list[Column]:
     hit = F.expr(rule.when)
     out = [F.count_if(hit).alias(f"{rule.column}.n")]
     if rule.sample:
-        x = F.when(hit, F.col(rule.sample))
+        x = F.when(hit, F.expr(rule.sample))
         out += [F.sum(x).alias(f"{rule.column}.sum"), F.percentile_disc(F.lit(0.95), x).alias(f"{rule.column}.p95") if hasattr(F, "percentile_disc") else F.expr(f"percentile_disc(0.95) within group (order by case when {rule.when} then {rule.sample} end)").alias(f"{rule.column}.p95")]
     return out
 

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import BucketedRandomProjectionLSH
-from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
@@ -21,15 +24,68 @@ def knn(items: DataFrame, query: list[float], k: int = 30, key: str = "chunk_id"
     return scored.orderBy(F.desc_nulls_last("similarity"), key).limit(k)
 
 
-def knn_lsh(items: DataFrame, query: list[float], k: int = 30, key: str = "chunk_id", vector: str = "embedding", tables: int = 8, width: float = 0.5) -> DataFrame:
-    """Approximate nearest neighbours: random projections of unit vectors, candidates ranked exactly."""
-    from pyspark.ml.linalg import Vectors
+#: Queries, and items, of one block of an exact search.
+QUERY_BLOCK, ITEM_BLOCK = 512, 4096
 
-    size = sum(x * x for x in query) ** 0.5 or 1.0
-    rows = items.where(F.col(vector).isNotNull()).withColumn("_v", array_to_vector(V.l2_normalised(F.col(vector))))
-    model = BucketedRandomProjectionLSH(inputCol="_v", outputCol="_h", numHashTables=tables, bucketLength=width, seed=7).fit(rows)
-    near = model.approxNearestNeighbors(rows, Vectors.dense([x / size for x in query]), k)
-    return near.select(key, F.round(1 - F.col("distCol") ** 2 / 2, 6).alias("similarity"))
+
+def _blocks(rows: DataFrame, key: str, vector: str, size: int) -> DataFrame:
+    """(keys, matrix, width): rows packed into blocks of at most ``size`` unit vectors, one width a block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            widths = np.asarray(batch.column("v").value_lengths())
+            for d in np.unique(widths):
+                at = np.flatnonzero(widths == d)
+                for lo in range(0, len(at), size):
+                    take = pa.array(at[lo : lo + size])
+                    x = np.asarray(batch.column("v").take(take).flatten(), float).reshape(len(take), d)
+                    x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+                    yield pa.RecordBatch.from_arrays([pa.array([batch.column("k").take(take).to_pylist()], pa.list_(batch.column("k").type)), pa.array([x.tobytes()], pa.binary()), pa.array([int(d)], pa.int32())], names=["keys", "matrix", "width"])
+
+    src = rows.where(F.col(vector).isNotNull() & (F.size(vector) > 0)).select(F.col(key).alias("k"), F.col(vector).alias("v"))
+    return src.mapInArrow(run, f"keys array<{dict(src.dtypes)['k']}>, matrix binary, width int")
+
+
+def knn_all(items: DataFrame, queries: DataFrame, k: int = 30, key: str = "chunk_id", vector: str = "embedding") -> DataFrame:
+    """(query, key, similarity): the k nearest items by cosine of every query, exactly; ties by key.
+
+    Blocks of queries meet blocks of items; from each meeting only a query's k best go on.
+    """
+    left = _blocks(queries, key, vector, QUERY_BLOCK).toDF("qk", "qm", "width")
+    both = left.join(_blocks(items, key, vector, ITEM_BLOCK), "width")
+    kind = dict(items.dtypes)[key]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n in range(batch.num_rows):
+                d = batch.column("width")[n].as_py()
+                q, x = (np.frombuffer(batch.column(c)[n].as_buffer()).reshape(-1, d) for c in ("qm", "matrix"))
+                keys, asked = batch.column("keys")[n].values, batch.column("qk")[n].values
+                order = np.argsort(np.asarray(keys), kind="stable")
+                sim = np.round(q @ x[order].T, 6)
+                best = np.argsort(-sim, 1, kind="stable")[:, :k]
+                yield pa.RecordBatch.from_arrays([asked.take(pa.array(np.repeat(np.arange(len(q)), best.shape[1]))), keys.take(pa.array(order[best].ravel())), pa.array(np.take_along_axis(sim, best, 1).ravel())], names=["query", key, "similarity"])
+
+    near = both.mapInArrow(run, f"query {kind}, `{key}` {kind}, similarity double")
+    return _top(near, k, key)
+
+
+def _top(near: DataFrame, k: int, key: str) -> DataFrame:
+    w = Window.partitionBy("query").orderBy(F.desc("similarity"), key)
+    return near.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
+
+
+def knn_lsh(items: DataFrame, queries: DataFrame, k: int = 10, key: str = "chunk_id", vector: str = "embedding", tables: int = 24, width: float = 1.0) -> DataFrame:
+    """(query, key, similarity): approximate nearest items of every query. Items are indexed by random projections of
+    their unit vectors, in several tables; what shares a bucket with a query is ranked exactly."""
+    unit = lambda df: df.where(F.col(vector).isNotNull()).select(F.col(key).alias("k"), V.l2_normalised(F.col(vector)).alias("u"))
+    rows, asked = unit(items), unit(queries)
+    hashed = lambda df: df.withColumn("_v", array_to_vector("u"))
+    model = BucketedRandomProjectionLSH(inputCol="_v", outputCol="_h", numHashTables=tables, bucketLength=width, seed=7).fit(hashed(rows))
+    index = lambda df: model.transform(hashed(df)).select("k", F.posexplode("_h").alias("table", "h")).select("k", "table", vector_to_array("h")[0].alias("bucket"))
+    pairs = index(asked).toDF("query", "table", "bucket").join(index(rows), ["table", "bucket"]).groupBy("query", "k").agg(F.count(F.lit(1)).alias("shared"))
+    met = pairs.join(asked.toDF("query", "qu"), "query").join(rows, "k")
+    return _top(met.select("query", F.col("k").alias(key), F.round(V.dot(F.col("qu"), F.col("u")), 6).alias("similarity")), k, key)
 
 
 @dataclass
@@ -101,8 +157,6 @@ def full_text(items: DataFrame, query: str, k: int = 30, key: str = "chunk_id",
 
 def ranked_list(df: DataFrame, score: str, key: str, list_no: int) -> DataFrame:
     """Positions from 0; the list is at most a query's limit long, so one window holds it."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy(F.lit(list_no)).orderBy(F.desc_nulls_last(score), key)
     return df.select(F.col(key).alias("key"), F.lit(list_no).alias("list_no"), (F.row_number().over(w) - 1).alias("position"))
 
@@ -127,6 +181,18 @@ def retrieve(items: DataFrame, query_text: str, query_vector: list[float] | None
     return out
 
 
+def retrieve_all(items: DataFrame, query_text: str, queries: DataFrame, limit: int = 30, key: str = "chunk_id", text: str = "content", k: int = 60) -> DataFrame:
+    """(query, key, score): hybrid retrieval with one text and every query vector."""
+    near = knn_all(items, queries, limit, key).select("query", F.col(key).alias("key"), F.lit(0).alias("list_no"), F.col("similarity").alias("s"))
+    found = full_text(items, query_text, limit, key, text).select(F.col(key).alias("key"), F.col("rank").alias("s"))
+    words = queries.select(F.col(key).alias("query")).join(F.broadcast(found), F.lit(True)).select("query", "key", F.lit(1).alias("list_no"), "s")  # at most ``limit`` rows
+    place = Window.partitionBy("query", "list_no").orderBy(F.desc("s"), "key")
+    every = near.unionByName(words).withColumn("position", F.row_number().over(place) - 1)
+    fused = every.groupBy("query", "key").agg(F.round(F.sum(1.0 / (k + F.col("position"))), 6).alias("score"), F.min(F.struct("list_no", "position")).alias("_first"))
+    best = Window.partitionBy("query").orderBy(F.desc("score"), "_first")
+    return fused.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= limit).drop("_r", "_first")
+
+
 def search_similar_chunks(chunks: DataFrame, documents: DataFrame, user_id, vector: list[float], limit: int = 10, document_ids: list | None = None) -> DataFrame:
     """Nearest chunks of a user's completed documents, optionally of some documents only."""
     docs = documents.where((F.col("user_id") == user_id) & (F.col("processing_status") == "COMPLETED"))
@@ -136,6 +202,28 @@ def search_similar_chunks(chunks: DataFrame, documents: DataFrame, user_id, vect
 
 
 def inverted_index(items: DataFrame, key: str = "chunk_id", text: str = "content") -> DataFrame:
-    """(term, key, positions): a table to equi-join terms with instead of scanning texts."""
-    pos = items.select(key, F.posexplode(terms(F.col(text))).alias("pos", "term"))
-    return pos.groupBy("term", key).agg(F.array_sort(F.collect_list("pos")).alias("positions"))
+    """(term, key, n): how often each term occurs in each text; written once, it is searched by its terms."""
+    return items.select(key, F.explode(terms(F.col(text))).alias("term")).groupBy("term", key).agg(F.count(F.lit(1)).alias("n"))
+
+
+def index_search(index: DataFrame, query: str, k: int = 30, key: str = "chunk_id", any_word: bool = False) -> DataFrame:
+    """(key, rank) as :func:`full_text` gives them, from the rows of the query's single words in the index alone."""
+    q = TextQuery.parse(query)
+    words, banned = q.words, [w for u in q.without for w in u]
+    if any(len(u) > 1 for g in [*q.groups, q.without] for u in g):
+        raise ValueError("phrases need the texts; use full_text")
+    rows = index.where(F.col("term").isin(*words, *banned))
+    count = {w: F.max(F.when(F.col("term") == w, F.col("n"))) for w in words}
+    found = rows.groupBy(key).agg(*[F.coalesce(c, F.lit(0)).alias(f"n{i}") for i, c in enumerate(count.values())], F.count_if(F.col("term").isin(*banned) if banned else F.lit(False)).alias("_banned"))
+    has = {w: F.col(f"n{i}") > 0 for i, w in enumerate(words)}
+    ok = F.lit(bool(q.groups))
+    for group in q.groups:
+        any_ = F.lit(False)
+        for unit in group:
+            any_ = any_ | has[unit[0]]
+        ok = (ok & any_) if not any_word else (any_ if group is q.groups[0] else ok | any_)
+    total = F.lit(0.0)
+    for i in range(len(words)):
+        c = F.col(f"n{i}").cast("int")
+        total = total + F.when(c > 0, F.aggregate(F.sequence(F.lit(1), c), F.lit(0.0), lambda s, j: s + 1.0 / (j * j))).otherwise(0.0)
+    return found.where(ok & ((F.col("_banned") == 0) | F.lit(any_word))).select(key, F.round(0.1 * total / max(len(words), 1), 6).alias("rank")).orderBy(F.desc("rank"), key).limit(k)

@@ -6,11 +6,12 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import EngineConfig
 from ..functions import patterns as P
+from ..functions.text import embed_tokens, first_group
 from ..functions.timestamps import is_record_start
 from .ordered import running_count
 from .windows import KEYS
@@ -72,7 +73,7 @@ def embed_packing(texts: DataFrame, group: str, order: str, text: str, cfg: Engi
 
     A group is one work item's texts, a few at most.
     """
-    cost = F.floor(F.least(F.length(text), F.lit(cfg.embed_text_chars)) / 4).cast("bigint") + 8
+    cost = embed_tokens(F.substring(F.col(text), 1, cfg.embed_text_chars))
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ord")
@@ -92,37 +93,46 @@ def embed_packing(texts: DataFrame, group: str, order: str, text: str, cfg: Engi
 def parts_plan(runs: DataFrame, cfg: EngineConfig = EngineConfig()) -> DataFrame:  # noqa: B008
     """(session, document, part, first line, last line, bytes) of processing parts.
 
-    A part is cut at the next window start once it holds ``part_bytes``, at the next record start beyond four
-    times that; files without timestamps every ``part_lines`` lines. One row per window reaches the fold.
+    A part is cut at the next window start once it holds ``part_bytes``, at the next record start beyond
+    ``hard_part_factor`` times that; files without timestamps every ``part_lines`` lines. One row per window
+    reaches the fold, and one per record of a window that is larger than a hard cut allows.
     """
+    window = [*KEYS, "line_start", "has_ts"]
     size = F.octet_length("value") + 1
-    windows = runs.groupBy(*KEYS, "line_start", "has_ts").agg(F.sum(size).alias("bytes"), F.max("line_no").alias("line_end"))
+    sizes = runs.groupBy(*window).agg(F.sum(size).alias("bytes"), F.max("line_no").alias("line_end"))
+    hard = cfg.hard_part_factor * cfg.part_bytes
+    small = sizes.where(~F.col("has_ts") | (F.col("bytes") <= hard)).select(*KEYS, "has_ts", F.col("line_start").alias("first"), F.col("line_end").alias("last"), "bytes", F.lit(True).alias("opens"))
+    large = runs.join(sizes.where(F.col("has_ts") & (F.col("bytes") > hard)).select(*window), window)
+    inside = Window.partitionBy(*window).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    opens = is_record_start(F.col("value")) | (F.col("line_no") == F.col("line_start"))
+    records = large.withColumn("_record", F.count_if(opens).over(inside)).groupBy(*window, "_record").agg(F.min("line_no").alias("first"), F.max("line_no").alias("last"), F.sum(size).alias("bytes"))
+    units = small.unionByName(records.select(*KEYS, "has_ts", "first", "last", "bytes", (F.col("first") == F.col("line_start")).alias("opens")))
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("line_start")
+        pdf = pdf.sort_values("first")
         out, first, used, last = [], None, 0, 0
         for r in pdf.itertuples():
-            full = used >= cfg.part_bytes if r.has_ts else first is not None and r.line_start - first >= cfg.part_lines
+            full = (used >= cfg.part_bytes and r.opens) or used >= hard if r.has_ts else first is not None and r.first - first >= cfg.part_lines
             if first is not None and full:
                 out.append((first, last, used))
                 first, used = None, 0
-            first = r.line_start if first is None else first
-            used, last = used + r.bytes, r.line_end
+            first = r.first if first is None else first
+            used, last = used + r.bytes, r.last
         out.append((first, last, used))
         return pd.DataFrame([(pdf["session_id"].iloc[0], pdf["document_id"].iloc[0], k, *x) for k, x in enumerate(out)], columns=["session_id", "document_id", "part_idx", "first_line", "last_line", "bytes"])
 
-    return windows.groupBy(*KEYS).applyInPandas(fold, "session_id string, document_id string, part_idx int, first_line bigint, last_line bigint, bytes bigint")
-
-
-def stack_frames(chunks: DataFrame, top: int = 3) -> DataFrame:
-    """(chunk_id, exception, frames): the first contiguous frames after each exception line of a window."""
-    lines = F.split("content", "\n")
-    rows = chunks.select("chunk_id", F.posexplode(lines).alias("pos", "line"), lines.alias("_all"))
-    hit = rows.where(F.col("line").rlike(P.EXCEPTION)).withColumn("_after", F.slice("_all", F.col("pos") + 2, F.size("_all")))
-    frame = P.FRAME.replace("\\", "\\\\").replace("'", "\\'")
-    folded = f"""aggregate(_after, named_struct('on', false, 'end', false, 'out', cast(array() as array<string>)),
-        (a, x) -> case when a.end or size(a.out) >= {top} then a
-            when x rlike '{frame}' then named_struct('on', true, 'end', false, 'out', concat(a.out, array(regexp_extract(x, '{frame}', 1))))
-            else named_struct('on', a.on, 'end', a.on, 'out', a.out) end,
-        a -> a.out)"""
-    return hit.select("chunk_id", "pos", F.regexp_extract("line", P.EXCEPTION, 1).alias("exception"), F.expr(folded).alias("frames"))
+    return units.groupBy(*KEYS).applyInPandas(fold, "session_id string, document_id string, part_idx int, first_line bigint, last_line bigint, bytes bigint")
+
+
+def stack_frames(runs: DataFrame) -> DataFrame:
+    """(session_id, document_id, line_start, line_no, exception, frames): up to three frames of the first run of frames
+    after each exception line of a window. Lines are read backwards, so that each carries only what follows it.
+    """
+    back = Window.partitionBy(*KEYS, "line_start").orderBy(F.desc("line_no"))
+    frame = first_group(F.col("value"), (P.FRAME, 1))
+    rows = runs.withColumn("_f", frame).withColumn("_f2", F.lag("_f", 1).over(back)).withColumn("_f3", F.when(F.col("_f2").isNotNull(), F.lag("_f", 2).over(back)))
+    opens = F.when(F.col("_f").isNotNull(), F.struct("_f", "_f2", "_f3"))
+    rows = rows.withColumn("_next", F.last(opens, ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1)))
+    hit = rows.withColumn("exception", first_group(F.col("value"), (P.EXCEPTION, 1))).where("exception is not null")
+    frames = F.array_compact(F.array(F.col("_next._f"), F.col("_next._f2"), F.col("_next._f3")))
+    return hit.select(*KEYS, "line_start", "line_no", "exception", frames.alias("frames"))

@@ -5,12 +5,15 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import EngineConfig
 from ..operators import findings, incidents, metrics, retrieval
+from ..operators.ordered import number_lines
 from ..ports import ChatModel, Embedder, explain_column
+from ..sources.scratch import written
 
 NOTHING = "No anomalies were found in this session."
 NO_EVIDENCE = "The logs hold nothing that answers this question."
@@ -28,33 +31,59 @@ def correlate(built: DataFrame, finding_rows: DataFrame, model: ChatModel, cfg:
     """Incidents with narrative and root cause; a judge may ask for another attempt, the last is taken as it is."""
     listed = incidents.titles(built, finding_rows).groupBy("incident").agg(F.array_join(F.array_sort(F.collect_set("title")), "\n").alias("facts"))
 
-    @F.udf("struct<narrative:string,root_cause:string>")
-    def tell(facts: str):
-        out = {}
-        for _ in range(cfg.correlate_attempts):
-            out = json.loads(model.complete("correlate: narrative and root_cause as JSON", facts or ""))
-            if json.loads(model.complete("judge: grounded as JSON", f"{facts}\n{out}")).get("grounded"):
-                break
-        return out.get("narrative"), out.get("root_cause")
+    @F.pandas_udf("narrative string, root_cause string")
+    def tell(facts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for f in facts:
+            out = {}
+            for _ in range(cfg.correlate_attempts):
+                out = json.loads(model.complete("correlate: narrative and root_cause as JSON", f or ""))
+                if json.loads(model.complete("judge: grounded as JSON", f"{f}\n{out}")).get("grounded"):
+                    break
+            rows.append((out.get("narrative"), out.get("root_cause")))
+        return pd.DataFrame(rows, columns=["narrative", "root_cause"])
 
     told = listed.withColumn("t", tell("facts")).select(F.col("incident").alias("id"), F.col("t.narrative").alias("narrative"), F.col("t.root_cause").alias("root_cause_hypothesis"))
     return built.join(told, "id", "left")
 
 
+def condensed(texts: DataFrame, model: ChatModel, size: int) -> DataFrame:
+    """(pos, text) in order: groups of ``size`` texts become one each, until no more than that are left."""
+
+    @F.pandas_udf("string")
+    def shorten(facts: pd.Series) -> pd.Series:
+        return facts.map(lambda f: model.complete("report", f or ""))
+
+    n = texts.count()
+    while n > size:
+        group = F.floor(F.col("pos") / size)
+        lists = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), "\n")
+        texts = written(texts.groupBy(group.alias("pos")).agg(lists.alias("text")).select("pos", shorten("text").alias("text")), "condensed")
+        n = texts.count()
+    return texts
+
+
 def report(spark: SparkSession, session_id: str, metric_rows: DataFrame, finding_rows: DataFrame, incident_rows: DataFrame, model: ChatModel, cfg: EngineConfig = EngineConfig()) -> DataFrame:  # noqa: B008
-    """One row (session_id, content_md, content_json). Only the top metrics and incidents reach the prompt."""
+    """One row (session_id, generated_at, content_md, content_json).
+
+    Every incident of the session counts and reaches the model, in groups where they are too many for a prompt; of the
+    metrics only the top ones.
+    """
     mine = lambda df: df.where(F.col("session_id") == session_id)
-    n = mine(finding_rows).count()
+    n, told = mine(finding_rows).count(), mine(incident_rows).count()
     top = metrics.top_metrics(mine(metric_rows), cfg.top_metrics).collect()  # a bounded top-k
-    inc = mine(incident_rows).orderBy(F.col("time_range_start").asc_nulls_last(), "id").limit(25).collect()
     if not n:
         md = NOTHING
     else:
-        table = "\n".join(f"| {r.category} | {r.metric} | {r.total} |" for r in top[:25])
-        body = model.complete("report", "\n".join(f"- {r.narrative}" for r in inc) or "-")
+        table = "\n".join(f"| {r.category} | {r.metric} | {r.total} |" for r in top[: cfg.report_rows])
+        order = F.struct(F.col("time_range_start").isNull(), "time_range_start", "id")
+        placed = number_lines(mine(incident_rows).withColumn("_o", order).withColumn("_b", F.coalesce(F.floor(F.unix_seconds("time_range_start") / 86400), F.lit((1 << 62) - 1))), ["session_id"], "_o", 1, "_n", block="_b")
+        few = condensed(placed.select((F.col("_n") - 1).alias("pos"), F.concat(F.lit("- "), F.coalesce("narrative", F.lit(""))).alias("text")), model, cfg.report_rows)
+        body = model.complete("report", "\n".join(r["text"] for r in few.orderBy("pos").collect()) or "-")  # at most report_rows
         md = f"{body}\n\n## Key Metrics\n\n| Category | Metric | Total |\n| --- | --- | --- |\n{table}"
-    content = json.dumps({"finding_count": n, "incident_count": len(inc), "metrics": [{"category": r.category, "metric": r.metric, "total": r.total} for r in top]})
-    return spark.createDataFrame([(session_id, md, content)], "session_id string, content_md string, content_json string")
+    content = json.dumps({"finding_count": n, "incident_count": told, "metrics": [{"category": r.category, "metric": r.metric, "total": r.total} for r in top]})
+    made = spark.createDataFrame([(session_id, md, content)], "session_id string, content_md string, content_json string")
+    return made.withColumn("generated_at", F.current_timestamp())
 
 
 @dataclass(frozen=True)

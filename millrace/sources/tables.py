@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def write_sessions(df: DataFrame, path: str) -> None:
     """Replace the sessions that ``df`` holds; all others stay. Sorted within files for min/max pruning."""
     order = [c for c in ("session_id", "time_bucket", "line_start", "created_at") if c in df.columns]
-    df.repartition("session_id").sortWithinPartitions(*order).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("session_id").parquet(path)
+    # a session is dealt to several tasks by time or line, so a large one is not written by one
+    spread = F.pmod(F.xxhash64(*order[1:2]), F.lit(16)) if len(order) > 1 else F.lit(0)
+    df.withColumn("_part", spread).repartition("session_id", "_part").drop("_part").sortWithinPartitions(*order).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("session_id").parquet(path)
 
 
 def append(df: DataFrame, path: str) -> None:
@@ -31,12 +33,6 @@ def drop_session(spark: SparkSession, path: str, session_id: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def latest(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """The last row of each key by ``order``: a last-writer-wins upsert."""
-    cols = [c for c in df.columns if c not in keys]
-    return df.groupBy(*keys).agg(F.max_by(F.struct(*cols), order).alias("_r")).select(*keys, "_r.*")
-
-
 def update_embeddings(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
     """``chunks`` with the vectors of (chunk_id, vector) in place of their embedding where there is one."""
     v = vectors.select("chunk_id", F.col("vector").alias("_vector"))
@@ -61,8 +57,9 @@ def unprocessed(parts: DataFrame, done: DataFrame) -> DataFrame:
 
 def first_uploads(files: DataFrame, key: list[str], order: str) -> DataFrame:
     """The first upload of each key."""
-    w = Window.partitionBy(*key).orderBy(order)
-    return files.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
+    rest = [c for c in files.columns if c not in key]
+    first = files.groupBy(*key).agg(F.min_by(F.struct(*rest), order).alias("_r"))
+    return first.select(*key, "_r.*").select(*files.columns)
 
 
 def without_parent(child: DataFrame, gone: DataFrame, key: str) -> DataFrame:
