@@ -3,7 +3,8 @@
 A vector is turned by three rounds of random signs and fast Hadamard transforms; the hash is the nearest
 signed axis. Two such hashes name a bucket of one table; further buckets per table follow the axes that come
 next. Equal vectors are joined to one class first; vectors that meet in a bucket are compared in double
-precision.
+precision. A pair is counted in the first bucket that it shares, so no table of pairs is needed: what leaves a
+comparison is each vector's number of links and one row per vector that ties it to its component.
 
 Defined results: a null label, or a vector that is null, empty, zero or has null or non-finite components,
 links with nothing and is kept; vectors of different length are not compared; repeated rows count as vectors
@@ -29,6 +30,8 @@ TABLES, HASHES, PROBES = 8, 2, 3
 BLOCK = 512
 #: Rows of small buckets that one task compares together.
 GROUP = 4096
+#: Parts into which the rows of a bucket are dealt to meet its size.
+SALTS = 8
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -82,8 +85,12 @@ def _valid(vector: str, label: str) -> F.Column:
     return F.coalesce(F.col(label).isNotNull() & F.col(vector).isNotNull() & ok, F.lit(False))
 
 
+def _codes_of(x: np.ndarray) -> np.ndarray:
+    return codes(x / np.linalg.norm(x, axis=1, keepdims=True))
+
+
 def candidate_buckets(classes: DataFrame) -> DataFrame:
-    """(cls, label, x, key) for each bucket that a class enters; key holds label, table and bucket."""
+    """(cls, label, tab, bucket) for each bucket that a class (cls, label, x) enters; tab holds the width and the table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -93,61 +100,90 @@ def candidate_buckets(classes: DataFrame) -> DataFrame:
             sizes = np.asarray(xs.value_lengths())
             for d in np.unique(sizes):
                 at = np.flatnonzero(sizes == d)
-                x = np.asarray(xs.take(pa.array(at)).flatten(), float).reshape(len(at), d)
-                found = codes(x / np.linalg.norm(x, axis=1, keepdims=True))
+                found = _codes_of(np.asarray(xs.take(pa.array(at)).flatten(), float).reshape(len(at), d))
                 for t in range(found.shape[1]):
                     rows = np.repeat(np.arange(len(at)), found.shape[2])
-                    bucket = found[:, t].ravel()
-                    pick = np.unique(np.stack([rows, bucket]), axis=1)
+                    pick = np.unique(np.stack([rows, found[:, t].ravel()]), axis=1)
                     take = pa.array(at[pick[0]])
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column("cls").take(take), batch.column("label").take(take), xs.take(take), pa.array(np.full(len(take), int(d) << 8 | t)), pa.array(pick[1])],
-                        names=["cls", "label", "x", "tab", "bucket"],
-                    )
+                    yield pa.RecordBatch.from_arrays([batch.column("cls").take(take), batch.column("label").take(take), pa.array(np.full(len(take), int(d) << 8 | t)), pa.array(pick[1])], names=["cls", "label", "tab", "bucket"])
 
     kind = dict(classes.dtypes)["label"]
-    return classes.select("cls", "label", "x").mapInArrow(run, f"cls bigint, label {kind}, x array<double>, tab bigint, bucket bigint")
+    return classes.select("cls", "label", "x").mapInArrow(run, f"cls bigint, label {kind}, tab bigint, bucket bigint")
+
+
+def _owned(x: np.ndarray, i: np.ndarray, j: np.ndarray, table: int, bucket: int) -> np.ndarray:
+    """Whether no earlier table, and no smaller bucket of this one, holds both rows of each pair."""
+    used, at = np.unique(np.r_[i, j], return_inverse=True)
+    c = _codes_of(x[used])
+    out = np.ones(len(i), bool)
+    for lo in range(0, len(i), 1 << 14):  # bounds the work arrays
+        hi = min(lo + (1 << 14), len(i))
+        a, b = c[at[lo:hi]], c[at[len(i) + lo : len(i) + hi]]
+        same = (a[:, : table + 1, :, None] == b[:, : table + 1, None, :]).any(3)
+        here = np.where(same[:, table], a[:, table], np.iinfo(np.int64).max).min(1)
+        out[lo:hi] = ~same[:, :table].any((1, 2)) & (here == bucket)
+    return out
+
+
+def _ties(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The smallest row of each row's component."""
+    low = np.arange(n)
+    while True:
+        new = low.copy()
+        np.minimum.at(new, i, low[j])
+        np.minimum.at(new, j, low[i])
+        new = new[new]
+        if (new == low).all():
+            return low
+        low = new
 
 
 def _compare(threshold: float):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        a_out, b_out = [], []
-        pdf = pdf.sort_values(["tab", "bucket", "label"], kind="stable")
-        cls, block = pdf["cls"].to_numpy(), pdf["block"].to_numpy()
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        pdf = pdf.sort_values(["tab", "bucket", "label", "cls"], kind="stable")
+        cls, block, weight = pdf["cls"].to_numpy(), pdf["block"].to_numpy(), pdf["weight"].to_numpy()
         same = (pdf[["tab", "bucket", "label"]].to_numpy()[1:] == pdf[["tab", "bucket", "label"]].to_numpy()[:-1]).all(1)
         cuts = np.r_[0, np.flatnonzero(~same) + 1, len(pdf)]
         for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
             if hi - lo < 2:
                 continue
-            x = np.stack(pdf["x"].iloc[lo:hi].to_numpy()).astype(float)
-            x /= np.linalg.norm(x, axis=1, keepdims=True)
+            y = np.stack(pdf["x"].iloc[lo:hi].to_numpy()).astype(float)
+            norm = np.sqrt((y * y).sum(1))
+            x = y / norm[:, None]
             i, j = np.nonzero(np.triu(x @ x.T >= threshold - 1e-9, 1))
-            if len(i):  # the rule itself, in double precision, from the vectors as they are
-                y = np.stack(pdf["x"].iloc[lo:hi].to_numpy()).astype(float)
-                norm = np.sqrt((y * y).sum(1))
-                ok = (y[i] * y[j]).sum(1) / (norm[i] * norm[j]) >= threshold
-                b = block[lo:hi]
-                ok &= (b.min() == b.max()) | (b[i] != b[j])  # a pair of one block is that block's own task's
-                a_out.append(cls[lo:hi][i[ok]])
-                b_out.append(cls[lo:hi][j[ok]])
-        a, b = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (a_out, b_out))
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+            # the rule itself, in double precision, from the vectors as they are
+            ok = (y[i] * y[j]).sum(1) / (norm[i] * norm[j]) >= threshold
+            b = block[lo:hi]
+            ok &= (b.min() == b.max()) | (b[i] != b[j])  # a pair of one block is that block's own task's
+            i, j = i[ok], j[ok]
+            if not len(i):
+                continue
+            own = _owned(y, i, j, int(pdf["tab"].iloc[lo]) & 255, int(pdf["bucket"].iloc[lo]))
+            far = np.bincount(i[own], weight[lo:hi][j[own]], hi - lo) + np.bincount(j[own], weight[lo:hi][i[own]], hi - lo)
+            low, c = _ties(hi - lo, i, j), cls[lo:hi]
+            use = np.flatnonzero((low != np.arange(hi - lo)) | (far > 0))
+            out.append((c[use], c[low[use]], far[use].astype(np.int64)))
+        a, b, far = (np.concatenate([x[k] for x in out]) if out else np.zeros(0, np.int64) for k in range(3))
+        return pd.DataFrame({"a": a.astype(np.int64), "b": b.astype(np.int64), "far": far.astype(np.int64)})
 
     return run
 
 
 def links(classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Distinct pairs (a < b) of classes with cosine of at least ``threshold``, among those that share a bucket."""
+    """(a, b, far) of classes (cls, label, x, n): b is in a's component; far adds up, over a's rows, to the vectors linked with a."""
     rows = written(candidate_buckets(classes), "buckets")
     key = ["tab", "bucket", "label"]
-    sizes = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    rows = rows.join(sizes, key).withColumn("blocks", F.ceil(F.col("n") / BLOCK))
+    sizes = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("k")).where("k > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("cls"), F.lit(SALTS)).cast("int")).join(sizes, [*key, "salt"]).withColumn("blocks", F.ceil(F.col("k") / BLOCK))
     groups = max(1, classes.count() * TABLES * (1 + PROBES) // GROUP)
-    small = rows.where("blocks = 1").select(*key, "cls", "x", F.lit(0).cast("long").alias("block"), F.concat_ws(":", F.lit("s"), F.pmod(F.xxhash64(*key), F.lit(groups))).alias("task"))
+    small = rows.where("blocks = 1").select(*key, "cls", F.lit(0).cast("long").alias("block"), F.concat_ws(":", F.lit("s"), F.pmod(F.xxhash64(*key), F.lit(groups))).alias("task"))
     own = F.pmod(F.xxhash64("cls"), F.col("blocks"))
     large = rows.where("blocks > 1").withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    large = large.select(*key, "cls", "x", "block", F.concat_ws(":", F.lit("l"), "tab", "bucket", "label", F.least("block", "other"), F.greatest("block", "other")).alias("task"))
-    return small.unionByName(large).groupBy("task").applyInPandas(_compare(threshold), "a bigint, b bigint").distinct()
+    large = large.select(*key, "cls", "block", F.concat_ws(":", F.lit("l"), "tab", "bucket", "label", F.least("block", "other"), F.greatest("block", "other")).alias("task"))
+    # vectors join last, and only those that meet another
+    full = small.unionByName(large).join(classes.select("cls", "x", F.col("n").alias("weight")), "cls")
+    return full.groupBy("task").applyInPandas(_compare(threshold), "a bigint, b bigint, far bigint")
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = THRESHOLD) -> DataFrame:
@@ -156,12 +192,10 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector: str = "e
     rows = rows.withColumn("ok", _valid("v", "label"))
     classes = rows.where("ok").groupBy("label", "v").agg(F.min("vec_id").alias("cls"), F.count(F.lit(1)).alias("n"))
     # -0.0 and 0.0 are one key; a class of rows without any id has no name and links with nothing
-    classes = written(classes.where("cls is not null").withColumn("x", F.col("v").cast("array<double>")), "classes")
-    pairs = written(links(classes, threshold), "pairs")
-    size = classes.select(F.col("cls").alias("b"), "n")
-    both = pairs.union(pairs.select("b", "a").toDF("a", "b"))
-    count = both.join(size, "b").groupBy("a").agg(F.sum("n").alias("far")).withColumnRenamed("a", "cls")
-    comp = components(pairs).withColumnRenamed("node", "cls")
+    classes = written(classes.where("cls is not null").withColumn("x", F.col("v")), "classes")
+    found = written(links(classes, threshold), "links")
+    count = found.groupBy("a").agg(F.sum("far").alias("far")).withColumnRenamed("a", "cls")
+    comp = components(found.where("a <> b")).withColumnRenamed("node", "cls")
     named = classes.select("label", "v", "cls", "n").join(count, "cls", "left").join(comp, "cls", "left")
     named = written(named.select("label", "v", (F.col("n") - 1 + F.coalesce("far", F.lit(0))).alias("n_links"), F.coalesce("component", "cls").alias("component_id"), F.lit(True).alias("ok")), "named")
     out = rows.join(named, ["label", "v", "ok"], "left")
