@@ -35,6 +35,8 @@ from .hashing import mix, shingles, words
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 24, 5
+#: Parts into which the members of a bucket are dealt to meet what is known of it.
+SALTS = 16
 #: Members of a bucket that is compared pair by pair; larger ones are compared in blocks.
 SMALL = 16
 #: Members and bytes of a block, on average; two blocks meet in one task.
@@ -136,17 +138,17 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def elements(docs: DataFrame) -> DataFrame:
-    """(cls, e, w): sorted elements (32 bits, enough within a pair) and their counts, as bytes, of (cls, text) rows."""
+    """(cls, e, w): sorted elements (64-bit hashes) and their counts, as bytes, of (cls, text) rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             es, ws = [b""] * batch.num_rows, [b""] * batch.num_rows
             for lo, rows, row, h in words(batch.column("text")):
                 srow, sh = shingles(row, h, SHINGLE)
-                erow, eh, w = weighted(srow, (sh >> np.uint64(32)).astype("<u4"))
+                erow, eh, w = weighted(srow, sh)
                 cut = np.searchsorted(erow, np.arange(rows + 1))
                 for k in range(rows):
-                    es[lo + k] = eh[cut[k] : cut[k + 1]].tobytes()
+                    es[lo + k] = eh[cut[k] : cut[k + 1]].astype("<u8").tobytes()
                     ws[lo + k] = w[cut[k] : cut[k + 1]].astype("<u4").tobytes()
             yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.array(es, pa.binary()), pa.array(ws, pa.binary())], names=["cls", "e", "w"])
 
@@ -159,7 +161,7 @@ def verify(pairs: DataFrame, els: DataFrame, threshold: float = THRESHOLD) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             get = lambda c, k, kind: np.frombuffer(batch.column(c)[k].as_buffer(), kind)  # noqa: B023, E731
-            ok = [similarity((get("ea", k, "<u4"), get("wa", k, "<u4")), (get("eb", k, "<u4"), get("wb", k, "<u4"))) >= threshold - 1e-12 for k in range(batch.num_rows)]
+            ok = [similarity((get("ea", k, "<u8"), get("wa", k, "<u4")), (get("eb", k, "<u8"), get("wb", k, "<u4"))) >= threshold - 1e-12 for k in range(batch.num_rows)]
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     first = pairs.join(els.toDF("a", "ea", "wa"), "a")
@@ -189,18 +191,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bucket = ["band", "hash"]
     rows = classes.select("cls", F.posexplode("bands").alias(*bucket))
     shared = rows.groupBy(*bucket).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = rows.join(shared, bucket)
+    met = _meet(rows, shared)
     # the more members a class meets, the more central it is: an original meets its copies oftener than they each other
     central = met.groupBy("cls").agg((-F.sum("n")).alias("rank"))
     met = written(met.drop("n").join(central, "cls"), "met")
     hub = met.groupBy(*bucket).agg(F.min(F.struct("rank", "cls")).alias("hub"))
-    links = _linked(docs, id_col, text_col, _pairs(met.join(hub, bucket).where(F.col("cls") != F.col("hub.cls"))), sketches, threshold)
+    links = _linked(docs, id_col, text_col, _pairs(_meet(met, hub).where(F.col("cls") != F.col("hub.cls"))), sketches, threshold)
     comp = written(components(links), "components")
     # buckets in which different components are left
     left = met.join(comp.toDF("cls", "comp"), "cls", "left").select(*bucket, "cls", F.coalesce("comp", "cls").alias("comp"))
     parts = left.groupBy(*bucket, "comp").agg(F.count(F.lit(1)).alias("n"))
     mixed = parts.groupBy(*bucket).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"), F.max(F.struct("n", "comp"))["comp"].alias("major")).where("k > 1").drop("k")
-    left = written(left.join(mixed, bucket), "left")
+    left = written(_meet(left, mixed), "left")
     small = left.where(F.col("n") <= SMALL).drop("n", "major")
     other = small.select(*bucket, F.struct("cls", "comp").alias("hub"))
     found = _linked(docs, id_col, text_col, _pairs(small.join(other, bucket).where((F.col("cls") < F.col("hub.cls")) & (F.col("comp") != F.col("hub.comp")))), sketches, threshold)
@@ -219,6 +221,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return has.union(none).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def _meet(rows: DataFrame, buckets: DataFrame) -> DataFrame:
+    """``rows`` (band, hash, cls, ...) joined with one row per bucket, each bucket's rows dealt to SALTS parts: a hot bucket is not one task's."""
+    salted = buckets.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("cls"), F.lit(SALTS)).cast("int")).join(salted, ["band", "hash", "salt"]).drop("salt")
+
+
 def _pairs(met: DataFrame) -> DataFrame:
     """Distinct (a, b), a < b, of rows with cls and hub.cls."""
     return written(met.select(F.least("hub.cls", "cls").alias("a"), F.greatest("hub.cls", "cls").alias("b")).distinct(), "pairs")
@@ -251,14 +259,14 @@ def block_links(members: DataFrame, els: DataFrame, threshold: float = THRESHOLD
     blocks = lambda of: F.greatest(F.lit(1), F.ceil(F.count(F.when(of, 1)) / BLOCK), F.ceil(F.sum(F.when(of, F.col("size")).otherwise(0)) / BLOCK_BYTES)).cast("int")
     sizes = sized.groupBy(*bucket).agg(blocks(minor).alias("ms"), blocks(~minor).alias("mb"))
     place = F.xxhash64("cls", "band")
-    dealt = members.join(sizes, bucket).withColumn("k", F.when(minor, F.pmod(place, F.col("ms"))).otherwise(F.col("ms") + F.pmod(place, F.col("mb"))).cast("int"))
+    dealt = _meet(members, sizes).withColumn("k", F.when(minor, F.pmod(place, F.col("ms"))).otherwise(F.col("ms") + F.pmod(place, F.col("mb"))).cast("int"))
     meets = F.sequence(F.lit(0), F.when(minor, F.col("ms") + F.col("mb")).otherwise(F.col("ms")) - 1)
     cells = dealt.withColumn("o", F.explode(meets)).select(*bucket, F.least("k", "o").alias("i"), F.greatest("k", "o").alias("j"), "k", "cls", "comp")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         k = pdf["k"].to_numpy()
         left, right = np.flatnonzero(k == pdf["i"].iloc[0]), np.flatnonzero(k == pdf["j"].iloc[0])
-        sets = [(np.frombuffer(e, "<u4"), np.frombuffer(w, "<u4")) for e, w in zip(pdf["e"], pdf["w"], strict=True)]
+        sets = [(np.frombuffer(e, "<u8"), np.frombuffer(w, "<u4")) for e, w in zip(pdf["e"], pdf["w"], strict=True)]
         cls = pdf["cls"].to_numpy(np.int64)
         found = joining(sets, pdf["comp"].to_numpy(np.int64), left, right, threshold) if len(left) and len(right) else []
         a, b = (cls[[x[c] for x in found]] if found else np.zeros(0, np.int64) for c in (0, 1))
