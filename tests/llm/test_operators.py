@@ -28,6 +28,30 @@ def prose(rng, words, n):
     return " ".join(rng.choice(words, n))
 
 
+def test_lm_scoring_odd_rows(spark):
+    long_ = "alpha beta gamma " * 60_000
+    rows = [(1, "alpha beta gamma delta"), (1, "alpha beta gamma delta"), (2, None), (3, long_), (None, "alpha beta"), (4, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("key", F.lit(1)).withColumn("n", F.lit(2)).withColumn("whole", F.lit(3))
+    target = spark.createDataFrame([(1,), (1,), (None,)], "doc_id long")
+    out = lm_scoring.cross_entropy_difference(df, target).collect()
+    assert len(out) == len(rows)
+    twins = [r for r in out if r.doc_id == 1]
+    assert len(twins) == 2 and twins[0].score == pytest.approx(twins[1].score) and {r.n_tokens for r in out if r.doc_id == 3} == {180_000}
+    assert lm_scoring.cross_entropy_difference(df.limit(0), target).count() == 0
+
+
+def test_minhash_odd_rows(spark):
+    rng = np.random.default_rng(41)
+    words = vocabulary(42, 4000)
+    long_ = prose(rng, words, 260_000)
+    assert len(long_) > hashing.STEP
+    rows = [(1, long_), (2, long_ + " more"), (3, "a b c d e f"), (3, "a b c d e f"), (3, "another text of seven words here now"), (None, "a b c d e f"), (4, "A, b; c d e f!"), (5, None), (6, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("band", F.lit(1)).withColumn("comp", F.lit(2))
+    out = minhash_dedup.near_duplicates(df).collect()
+    assert len(out) == len(rows)
+    assert {(r.doc_id or 0, r.component_id, r.kept) for r in out} == {(1, 1, True), (2, 1, False), (3, 3, True), (0, None, True), (4, 3, False), (5, 5, True), (6, 6, True)}
+
+
 def test_components(spark):
     links = spark.createDataFrame([(1, 2), (2, 3), (9, 8), (3, 10), (20, 21), (21, 22), (22, 23), (23, 24)], "a long, b long")
     got = {r.node: r.component for r in components(links).collect()}
@@ -187,10 +211,10 @@ def test_places_in_the_order(spark):
     """Names are places in the sorted order, whatever the ranges, also where rows of one key lie in several."""
     rng = np.random.default_rng(28)
     keys = [tuple(int(v) for v in rng.integers(0, 3, 3)) for _ in range(300)] + [(1, 1, 1)] * 300
-    rows = spark.createDataFrame([(k, k, *x, 0, 0, 1, True) for k, x in enumerate(keys)], suffix_dedup.SORTED)
+    rows = spark.createDataFrame([(k, k, *x, 1, True) for k, x in enumerate(keys)], suffix_dedup.SORTED)
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        out = {r.tag: r for r in suffix_dedup.ranked(suffix_dedup.written(rows, "rows"), ["k0", "k1", "k2"], ["k0"], "order").collect()}
+        out = {r.tag: r for r in suffix_dedup.ranked(suffix_dedup.written(rows, "rows"), "order").collect()}
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     for k, x in enumerate(keys):
@@ -254,6 +278,38 @@ def test_quality(spark):
     assert {r.score for r in quality.apply(feats, quality.train(feats, labels.limit(0))).collect()} == {0.5}
 
 
+def test_quality_sums_cover_all_rows(spark):
+    """One pass over all rows gives the risk and gradients that plain loops give, whatever the partitions."""
+    rng = np.random.default_rng(36)
+    x = rng.normal(size=(90, quality.STATS))
+    rows = spark.createDataFrame([([float(v) for v in r], 1 if k % 3 == 0 else None) for k, r in enumerate(x)], "x array<double>, quality int").repartition(7)
+    edges = quality.quantiles(rows)
+    want = np.quantile(x, np.linspace(0, 1, quality.BINS + 1)[1:-1], axis=0, method="inverted_cdf").T
+    assert edges == pytest.approx(want)
+    model = quality.Model(edges)
+    model.w = rng.normal(size=model.w.shape)
+    p, u = quality.full_sums(quality.binned(rows, edges), model)
+    for side, mine in ((p, x[::3]), (u, np.delete(x, np.s_[::3], 0))):
+        risk, g = 0.0, np.zeros((2, *model.w.shape))
+        for r in mine:
+            at = [int((edges[k] <= r[k]).sum()) for k in range(quality.STATS)]
+            z = 1 / (1 + np.exp(-sum(model.w[k, b] for k, b in enumerate(at))))
+            risk -= np.log(1 - z + 1e-12) / len(mine)
+            for k, b in enumerate(at):
+                g[0, k, b] += z / len(mine)
+                g[1, k, b] += (z - 1) / len(mine)
+        assert side.risk_negative == pytest.approx(risk) and side.grad_negative == pytest.approx(g[0]) and side.grad_positive == pytest.approx(g[1])
+
+
+def test_quality_odd_rows(spark):
+    texts = ["good words, in order."] * 3 + [None, "", "x " * 400_000]
+    df = docs_of(spark, texts).withColumn("x", F.lit(1)).withColumn("score", F.lit(2))
+    feats = quality.features(df)
+    out = quality.apply(feats, quality.train(feats, spark.createDataFrame([(0, 1), (0, 0), (3, 0)], "doc_id long, quality int"))).collect()
+    assert len(out) == 6 and len({r.score for r in out if r.doc_id < 3}) == 1 and all(0 <= r.score <= 1 for r in out)
+    assert quality.apply(quality.features(df.limit(0)), None).count() == 0
+
+
 def test_share_of_the_most_repeated_word_at_every_length():
     for n in (100, 3998, 4000, 9000):
         assert quality.statistics(" ".join([f"w{k}" for k in range(n // 2)] + ["same"] * (n // 2)))[17] == pytest.approx(0.5)
@@ -395,7 +451,7 @@ def minhash_family(seed, n, repeats):
     for k in range(n):
         x, c = base.copy(), int(rng.integers(0, 30))
         x[rng.choice(120, c, replace=False)] = rng.choice(10_000, c) + 10_000
-        x = np.unique(x).astype("<u4")
+        x = np.unique(x).astype("<u8")
         w = np.ones(len(x), "<u4")
         if repeats and k % 3 == 0:
             w[: rng.integers(0, 20)] = rng.integers(2, 5)

@@ -36,3 +36,18 @@ def test_stages(spark, tmp_path):
     least = sum(len(re.findall(r"\S+", r.text)) for r in seen["mixing"].collect())
     assert total > least
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == seen["packing"].count()
+
+
+def test_empty_table(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_language_is_carried_forward(spark, tmp_path):
+    """The predicted language, not the table's, reaches the later stages."""
+    rng = np.random.default_rng(4)
+    langs = [["".join(rng.choice(list(a), 5)) for _ in range(200)] for a in ("abcdefgh", "stuvwxyz")]
+    rows = [(k, " ".join(rng.choice(langs[k % 2], 60)), ("l0", "l1")[k % 2], "s", 1) for k in range(80)] + [(90, " ".join(rng.choice(langs[1], 60)), "l0", "s", 1), (91, " ".join(rng.choice(langs[0], 60)), None, "s", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = {r.doc_id: r.lang for r in corpus_pipeline.identify_language(spark, df, str(tmp_path)).collect()}
+    assert out[90] == "l1" and out[91] == "l0" and all(out[k] == f"l{k % 2}" for k in range(80))
