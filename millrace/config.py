@@ -34,4 +34,4 @@ class EngineConfig:
     syslog_year: int = 2024
     embed_dim: int = 768
     #: Lines of one block of the two-level ordered operators; bounds what one task orders.
-    order_block: int = 50_000
+    order_block: int = 10_000
