@@ -5,7 +5,9 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,6 +50,26 @@ def remove(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def combined(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], limit: int = 4 << 20) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` with its small record batches joined into some of about ``limit`` bytes: each batch costs as much as many rows."""
+
+    def joined(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in run(batches):
+            held.append(batch)
+            size += batch.nbytes
+            if size >= limit:
+                yield from joined(held)
+                held, size = [], 0
+        if held:
+            yield from joined(held)
+
+    return go
+
+
 def held_out(doc_id: Column) -> Column:
     """True for the fold that is never learned from: crc32 of the id as text, modulo 4, is 2."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))

@@ -12,12 +12,13 @@ occur again and stand for less than LENGTH bytes are sorted on by the names of t
 modulo 3 are merged in: a suffix is compared with one of residue 1 by its first phrase and the place of the
 suffix after it, with one of residue 2 by two phrases and the place of the suffix after those. Neighbours in
 these orders are compared. Those that agree on LENGTH bytes in whole phrases are repeats. Those that agree on
-three phrases can be the inside of a repeat: any repeated string's phrases do so.
+their first phrase can be the inside of a repeat: the first inner phrase of any repeated string occurs again.
 
-What is left are the ends of repeats, shorter than whole phrases: windows of LENGTH bytes whose first three
-inner phrases occur again but which no repeat found so far covers. They are compared in blocks that share their
-core: first as whole blocks, then, where a block is unique, window by window, under a 64-bit hash of the window
-next to that of its core, which are 128 bits of different strings.
+What is left are the ends of repeats, shorter than whole phrases: windows of LENGTH bytes whose first inner
+phrase occurs again but which no repeat found so far covers. They are compared in blocks that share their
+core: first as whole blocks, then, where a block is unique, in slices of SLICE windows, and in the slices at the
+very ends window by window, under a 64-bit hash of the window next to that of its core, which are 128 bits of
+different strings.
 
 Phrases are compared by 64-bit hashes. For a wrong byte, two different phrases with equal hashes must follow
 equal phrases; among 10^12 pairs of suffixes that part after a common prefix the chance of one is below 10^-7.
@@ -37,15 +38,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, written
+from .common import combined, release, written
 from .hashing import buffers, mix, powers, prefix_sums, steps
 
 LENGTH = 400
 GRAM = 24
-COARSE, WINDOW = 200, 63
+COARSE, WINDOW = 256, 94
 #: A window's first inner anchor is at least INNER bytes after its start, and at most INNER + WINDOW. WINDOW is the
-#: largest for which the three phrases from there on lie where equal windows have equal anchors: 6 WINDOW + GRAM <= LENGTH + 3.
+#: largest for which the phrase from there on lies where equal windows have equal anchors: 4 WINDOW + GRAM <= LENGTH + 2.
 INNER = WINDOW - 1
+#: Windows of a slice of a block.
+SLICE = 8
 #: Bytes from a window's first inner anchor that every such window holds.
 CORE = LENGTH - INNER - WINDOW
 
@@ -67,11 +70,11 @@ def _sliding(x: np.ndarray, w: int, pick) -> np.ndarray:
 
 def anchors(data: np.ndarray, sums: np.ndarray, w: int) -> np.ndarray:
     """Positions whose gram has the least hash of some window of w grams; of equal grams, all."""
-    h = grams(data, sums)
+    h = (grams(data, sums) >> np.uint64(32)).astype(np.uint32)
     if len(h) < w:
         return np.zeros(0, np.int64)
     least = _sliding(h, w, np.minimum)
-    pad = np.zeros(w - 1, np.uint64)
+    pad = np.zeros(w - 1, np.uint32)
     return np.flatnonzero(_sliding(np.concatenate([pad, least, pad]), w, np.maximum) == h)
 
 
@@ -106,7 +109,7 @@ def coarse(rows: DataFrame) -> DataFrame:
                 start = np.r_[0, ends[:-1]][row]
                 yield pa.RecordBatch.from_arrays([pa.array(keys[lo + row]), pa.array((at - start).astype(np.int64)), pa.array(hashed(sums, at, at + reach).view(np.int64))], names=["k", "pos", "c"])
 
-    return rows.select("k", "text").mapInArrow(run, "k bigint, pos bigint, c bigint")
+    return rows.select("k", "text").mapInArrow(combined(run), "k bigint, pos bigint, c bigint")
 
 
 def once_a_task(rows: DataFrame) -> DataFrame:
@@ -121,7 +124,7 @@ def once_a_task(rows: DataFrame) -> DataFrame:
                 seen.add(x)
             yield batch.filter(pa.array(new, pa.bool_()))
 
-    return rows.mapInArrow(run, rows.schema)
+    return rows.mapInArrow(combined(run), rows.schema)
 
 
 def phrases(texts: DataFrame) -> DataFrame:
@@ -158,7 +161,7 @@ def phrases(texts: DataFrame) -> DataFrame:
                 e[~use] = 0
                 yield pa.RecordBatch.from_arrays([pa.array([tags[k]]), pa.array([n]), *[pa.array([x[keep].tobytes()], pa.binary()) for x in (at.astype("<i8"), p, c, e, lo.astype("<i8"), hi.astype("<i8"))]], names=["tag", "n", "pos", "p", "c", "e", "lo", "hi"])
 
-    return texts.select("tag", "text", "at").mapInArrow(run, "tag bigint, n bigint, pos binary, p binary, c binary, e binary, lo binary, hi binary")
+    return texts.select("tag", "text", "at").mapInArrow(combined(run), "tag bigint, n bigint, pos binary, p binary, c binary, e binary, lo binary, hi binary")
 
 
 def _blocks(at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -172,18 +175,18 @@ def _ahead(x: np.ndarray, k: int) -> np.ndarray:
     return np.r_[x[k:], np.zeros(min(k, len(x)), x.dtype)]
 
 
-def _string(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Phrase hashes (0 in gaps), lengths in bytes, and whether three phrases follow each other from here, of one text."""
+def _string(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Phrase hashes (0 in gaps, else odd) and lengths in bytes of one text."""
     p, pos = np.frombuffer(batch.column("p")[k].as_buffer(), np.int64), np.frombuffer(batch.column("pos")[k].as_buffer(), np.int64)
-    size = np.where(p != 0, np.r_[pos[1:], batch.column("n")[k].as_py()] - pos, 0)
-    return p, size, (p != 0) & (_ahead(p, 1) != 0) & (_ahead(p, 2) != 0)
+    return p, np.where(p != 0, np.r_[pos[1:], batch.column("n")[k].as_py()] - pos, 0)
 
 
-SORTED = "tag bigint, idx int, k0 bigint, k1 bigint, k2 bigint, k3 bigint, q bigint, bytes int, whole boolean"
+KEYS = ["k0", "k1", "k2"]
+SORTED = "tag bigint, idx int, k0 bigint, k1 bigint, k2 bigint, bytes int, whole boolean"
 
 
-def _rows(tag: int, idx: np.ndarray, keys: list[np.ndarray], q: np.ndarray, size: np.ndarray, whole: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(idx), tag)), pa.array(idx.astype(np.int32)), *[pa.array(np.asarray(x, np.int64)) for x in (*keys, q)], pa.array(size.astype(np.int32)), pa.array(whole)], names=["tag", "idx", "k0", "k1", "k2", "k3", "q", "bytes", "whole"])
+def _rows(tag: int, idx: np.ndarray, keys: list[np.ndarray], size: np.ndarray, whole: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(idx), tag)), pa.array(idx.astype(np.int32)), *[pa.array(np.asarray(x, np.int64)) for x in keys], pa.array(size.astype(np.int32)), pa.array(whole)], names=["tag", "idx", *KEYS, "bytes", "whole"])
 
 
 def triples(strings: DataFrame) -> DataFrame:
@@ -192,29 +195,29 @@ def triples(strings: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                p, size, whole = _string(batch, k)
+                p, size = _string(batch, k)
                 one = np.where(p != 0, _ahead(p, 1), 0)
                 two = np.where(one != 0, _ahead(p, 2), 0)
                 total = size + np.where(one != 0, _ahead(size, 1), 0) + np.where(two != 0, _ahead(size, 2), 0)
                 idx = np.flatnonzero((np.arange(len(p)) % 3 != 0) & (p != 0))
-                yield _rows(batch.column("tag")[k].as_py(), idx, [p[idx], one[idx], two[idx], np.zeros(len(idx))], np.zeros(len(idx)), total[idx], whole[idx])
+                yield _rows(batch.column("tag")[k].as_py(), idx, [p[idx], one[idx], two[idx]], total[idx], two[idx] != 0)
 
-    return strings.select("tag", "n", "pos", "p").mapInArrow(run, SORTED)
+    return strings.select("tag", "n", "pos", "p").mapInArrow(combined(run), SORTED)
 
 
-def ranked(rows: DataFrame, keys: list[str], group: list[str], name: str) -> DataFrame:
-    """Sorts ``rows`` (as SORTED, a written table) by ``keys`` and compares neighbours.
+def ranked(rows: DataFrame, name: str) -> DataFrame:
+    """Sorts ``rows`` (as SORTED, a written table) by their keys and compares neighbours.
 
-    Adds place (rows before the first with equal keys), inner (rows of the same ``group`` before that one), again
-    (a neighbour has equal keys) and near (a neighbour is of the same group); rows of a group lie side by side.
+    Adds place (rows before the first with equal keys), inner (rows with its first key before that one), again
+    (a neighbour has equal keys) and near (a neighbour has the same first key).
     Tasks hold ranges of the order, which may split even the rows of one key; what crosses their borders follows
     from one row per task.
     """
     names = [x.split()[0] for x in SORTED.split(", ")]
-    edge = "struct<n:bigint,first:array<bigint>,last:array<bigint>,first_group:array<bigint>,last_group:array<bigint>,start:bigint,outer:bigint>"
+    edge = "struct<n:bigint,first:array<bigint>,last:array<bigint>,start:bigint,outer:bigint>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, first, last, last_group, n, start, outer = None, None, None, None, 0, 0, 0
+        held, first, last, n, start, outer = None, None, None, 0, 0, 0
 
         def flush(same: bool, kin: bool) -> pa.RecordBatch:
             batch, eq, group_eq, at, out = held
@@ -225,40 +228,40 @@ def ranked(rows: DataFrame, keys: list[str], group: list[str], name: str) -> Dat
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = np.stack([batch.column(c).to_numpy() for c in keys])
-            g = np.stack([batch.column(c).to_numpy() for c in group])
-            same, kin = last is not None and bool((x[:, 0] == last).all()), last is not None and bool((g[:, 0] == last_group).all())
+            x = np.stack([batch.column(c).to_numpy() for c in KEYS])
+            same, kin = last is not None and bool((x[:, 0] == last).all()), last is not None and bool(x[0, 0] == last[0])
             if held is not None:
                 yield flush(same, kin)
             else:
-                pid, first, first_group = batch.column("pid")[0].as_py(), x[:, 0], g[:, 0]
-            eq, group_eq = np.r_[same, (x[:, 1:] == x[:, :-1]).all(0)], np.r_[kin, (g[:, 1:] == g[:, :-1]).all(0)]
+                pid, first = batch.column("pid")[0].as_py(), x[:, 0]
+            eq, group_eq = np.r_[same, (x[:, 1:] == x[:, :-1]).all(0)], np.r_[kin, x[0, 1:] == x[0, :-1]]
             here = np.arange(n, n + batch.num_rows)
             at = np.maximum.accumulate(np.where(eq, start, here))
             out = np.maximum.accumulate(np.where(group_eq, outer, here))
-            held, last, last_group, n, start, outer = (batch, eq, group_eq, at, out), x[:, -1], g[:, -1], n + batch.num_rows, int(at[-1]), int(out[-1])
+            held, last, n, start, outer = (batch, eq, group_eq, at, out), x[:, -1], n + batch.num_rows, int(at[-1]), int(out[-1])
         if held is not None:
             yield flush(False, False)
-            summary = {"n": n, "first": first.tolist(), "last": last.tolist(), "first_group": first_group.tolist(), "last_group": last_group.tolist(), "start": start, "outer": outer}
+            summary = {"n": n, "first": first.tolist(), "last": last.tolist(), "start": start, "outer": outer}
             none = [pa.array([None], t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_())]
             yield pa.RecordBatch.from_arrays([pa.array([pid], pa.int32()), *none, pa.array([summary], edge_type)], names=out_names)
 
     longs = pa.list_(pa.int64())
-    edge_type = pa.struct([("n", pa.int64()), ("first", longs), ("last", longs), ("first_group", longs), ("last_group", longs), ("start", pa.int64()), ("outer", pa.int64())])
+    edge_type = pa.struct([("n", pa.int64()), ("first", longs), ("last", longs), ("start", pa.int64()), ("outer", pa.int64())])
     out_names = ["pid", "tag", "idx", "k0", "bytes", "whole", "start", "outer", "again", "near", "edge"]
     kinds = f"pid int, tag bigint, idx int, k0 bigint, bytes int, whole boolean, start bigint, outer bigint, again boolean, near boolean, edge {edge}"
-    order = rows.repartitionByRange(*keys, "tag", "idx").sortWithinPartitions(*keys).select(F.spark_partition_id().alias("pid"), *names)
-    table = written(order.mapInArrow(run, kinds), name)
+    order = rows.repartitionByRange(*KEYS, "tag", "idx").sortWithinPartitions(*KEYS).select(F.spark_partition_id().alias("pid"), *names)
+    table = written(order.mapInArrow(combined(run), kinds), name)
     spark, fixes, before = rows.sparkSession, [], None
     for r in sorted(table.where("edge is not null").select("pid", "edge").collect(), key=lambda r: r["pid"]):  # one row per task
         e, off = r["edge"], before["end"] if before else 0
-        same, kin = bool(before) and before["last"] == e["first"], bool(before) and before["last_group"] == e["first_group"]
+        same, kin = bool(before) and before["last"] == e["first"], bool(before) and before["last"][0] == e["first"][0]
         if before:
             fixes[-1][6:8] = [same, kin]
         s0, o0 = before["start"] if same else off, before["outer"] if kin else off
         fixes.append([r["pid"], off, s0, o0, same, kin, False, False, e["start"], e["outer"]])
-        before = {"end": off + e["n"], "last": e["last"], "last_group": e["last_group"], "start": off + e["start"] if e["start"] else s0, "outer": off + e["outer"] if e["outer"] else o0}
-    fix = spark.createDataFrame([tuple(f) for f in fixes], "pid int, off bigint, s0 bigint, o0 bigint, same boolean, kin boolean, same_next boolean, kin_next boolean, last_start bigint, last_outer bigint")
+        before = {"end": off + e["n"], "last": e["last"], "start": off + e["start"] if e["start"] else s0, "outer": off + e["outer"] if e["outer"] else o0}
+    kinds = [pa.int32(), *[pa.int64()] * 3, *[pa.bool_()] * 4, *[pa.int64()] * 2]
+    fix = spark.createDataFrame(pa.table([pa.array([f[k] for f in fixes], t) for k, t in enumerate(kinds)], names=["pid", "off", "s0", "o0", "same", "kin", "same_next", "kin_next", "last_start", "last_outer"]))
     full = table.where("edge is null").join(F.broadcast(fix), "pid")  # one row per task
     place = F.when(F.col("start") == 0, F.col("s0")).otherwise(F.col("off") + F.col("start"))
     outer_ = F.when(F.col("outer") == 0, F.col("o0")).otherwise(F.col("off") + F.col("outer"))
@@ -298,10 +301,10 @@ def first_names(order: DataFrame) -> DataFrame:
             for k in range(batch.num_rows):
                 x = _lists(batch, k)
                 at = np.argsort(x["idx"], kind="stable")
-                flags = x["again"] * AGAIN + x["whole"] * WHOLE + (x["again"] & x["whole"]) * NEAR
+                flags = x["again"] * AGAIN + x["whole"] * WHOLE + x["near"] * NEAR
                 yield _state(batch.column("tag")[k].as_py(), x["idx"][at], x["place"][at] + 1, x["bytes"][at], flags[at])
 
-    return _listed(order, "place", "bytes", "whole", "again").mapInArrow(run, STATE)
+    return _listed(order, "place", "bytes", "whole", "again", "near").mapInArrow(combined(run), STATE)
 
 
 def _open(size: np.ndarray, flags: np.ndarray) -> np.ndarray:
@@ -324,9 +327,9 @@ def longer(state: DataFrame, step: int) -> DataFrame:
                     keys.append(np.where(there, name[to], 0))
                     total += np.where(there, size[to], 0)
                     whole = there & (flags[to] & WHOLE > 0)
-                yield _rows(batch.column("tag")[k].as_py(), idx[at], [*keys, np.zeros(len(at))], np.zeros(len(at)), np.minimum(total, 1 << 30), whole)
+                yield _rows(batch.column("tag")[k].as_py(), idx[at], keys, np.minimum(total, 1 << 30), whole)
 
-    return state.mapInArrow(run, SORTED)
+    return state.mapInArrow(combined(run), SORTED)
 
 
 def refined(state: DataFrame, order: DataFrame) -> DataFrame:
@@ -344,50 +347,49 @@ def refined(state: DataFrame, order: DataFrame) -> DataFrame:
                     flags[at] = (flags[at] & NEAR) + x["again"] * AGAIN + x["whole"] * WHOLE
                 yield _state(batch.column("tag")[k].as_py(), idx, name, size, flags)
 
-    return state.join(_listed(order, "k0", "inner", "bytes", "whole", "again"), "tag", "left").mapInArrow(run, STATE)
+    return state.join(_listed(order, "k0", "inner", "bytes", "whole", "again"), "tag", "left").mapInArrow(combined(run), STATE)
 
 
 def orders(strings: DataFrame, state: DataFrame) -> DataFrame:
     """Rows of the two merges: residues 0 and 1 by a phrase and the name after it, 0 and 2 by two phrases and the name after them.
 
-    Keys: merge, phrase, phrase or 0, name; q: the rest of the first three phrases.
+    Keys: the phrase, its last bit telling the merges apart; the next phrase or 0; the name.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                p, size, whole = _string(batch, k)
+                p, size = _string(batch, k)
                 idx, name, bytes_, _ = _packed(batch, k)
                 names, covers = np.zeros(len(p) + 2, np.int64), np.zeros(len(p) + 2, np.int64)
                 names[idx], covers[idx] = name, bytes_
-                one, two = _ahead(p, 1), _ahead(p, 2)
-                rest = mix(one.view(np.uint64) * np.uint64(3) + mix(two.view(np.uint64))).view(np.int64)
+                one = _ahead(p, 1)
                 for o in (1, 2):
-                    at = np.flatnonzero(whole & np.isin(np.arange(len(p)) % 3, (0, o)))
-                    cover = size[at] + (_ahead(size, 1)[at] if o == 2 else 0) + covers[at + o]
-                    yield _rows(batch.column("tag")[k].as_py(), at, [np.full(len(at), o), p[at], one[at] if o == 2 else np.zeros(len(at)), names[at + o]], two[at] if o == 2 else rest[at], np.minimum(cover, 1 << 30), np.ones(len(at), bool))
+                    at = np.flatnonzero((p != 0) & np.isin(np.arange(len(p)) % 3, (0, o)))
+                    there = np.ones(len(at), bool) if o == 1 else one[at] != 0
+                    after = np.where(there, names[at + o], 0)
+                    cover = size[at] + np.where(there, covers[at + o] + (_ahead(size, 1)[at] if o == 2 else 0), 0)
+                    yield _rows(batch.column("tag")[k].as_py(), at, [p[at] - (o == 2), one[at] if o == 2 else np.zeros(len(at)), after], np.minimum(cover, 1 << 30), there)
 
-    return strings.select("tag", "n", "pos", "p").join(state, "tag").mapInArrow(run, SORTED)
+    return strings.select("tag", "n", "pos", "p").join(state, "tag").mapInArrow(combined(run), SORTED)
 
 
 def repeats(strings: DataFrame, levels: int = 12) -> DataFrame:
-    """(tag, near, start, end), packed per text: suffixes that share three phrases with a neighbour, and found repeats.
+    """(tag, near, start, end), packed per text: suffixes that share a phrase with a neighbour, and found repeats.
 
     ``strings`` as :func:`phrases` gives them, a written table.
     """
-    three = ["k0", "k1", "k2"]
     rows = written(triples(strings), "triples")
-    state, step = written(first_names(ranked(rows, three, ["k0"], "order")), "names"), 3
+    state, step = written(first_names(ranked(rows, "order")), "names"), 3
     release(rows)
     for _ in range(levels):
         rows = written(longer(state, step), "longer")
         if rows.isEmpty():
             break
-        before, state, step = state, written(refined(state, ranked(rows, three, ["k0"], "order")), "names"), step * 3
+        before, state, step = state, written(refined(state, ranked(rows, "order")), "names"), step * 3
         release(before, rows)
     rows = written(orders(strings, state), "merges")
-    merged_ = ranked(rows, ["k0", "k1", "k2", "k3"], ["k0", "k1", "k2", "q"], "order")
-    found = _listed(merged_.where("near or again").select("tag", "idx", F.when(F.col("again"), F.col("bytes")).otherwise(0).alias("cover")), "cover")
+    found = _listed(ranked(rows, "order").where("near or again").select("tag", "idx", F.when(F.col("again"), F.col("bytes")).otherwise(0).alias("cover")), "cover")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -405,7 +407,7 @@ def repeats(strings: DataFrame, levels: int = 12) -> DataFrame:
                 s, e = merged(pos[full], pos[full] + cover[full])
                 yield pa.RecordBatch.from_arrays([batch.column("tag").slice(k, 1), *[pa.array([v.tobytes()], pa.binary()) for v in (near, s.astype(np.int64), e.astype(np.int64))]], names=["tag", "near", "start", "end"])
 
-    out = written(strings.select("tag", "pos").join(state, "tag").join(found, "tag", "left").mapInArrow(run, "tag bigint, near binary, start binary, end binary"), "repeats")
+    out = written(strings.select("tag", "pos").join(state, "tag").join(found, "tag", "left").mapInArrow(combined(run), "tag bigint, near binary, start binary, end binary"), "repeats")
     release(rows, state)
     return out
 
@@ -427,23 +429,26 @@ def _held(s: np.ndarray, e: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.nd
 
 
 def blocks(strings: DataFrame, found: DataFrame) -> DataFrame:
-    """(tag, c, e, lo, hi, open): blocks of windows whose first phrases occur again; open: no found repeat holds it."""
+    """(tag, c, e, pos, lo, hi, open): blocks of windows whose first phrases occur again; open: no found repeat holds it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                c, e, lo, hi, s, t = (np.frombuffer(batch.column(x)[k].as_buffer(), np.int64) for x in ("c", "e", "lo", "hi", "start", "end"))
+                c, e, pos, lo, hi, s, t = (np.frombuffer(batch.column(x)[k].as_buffer(), np.int64) for x in ("c", "e", "pos", "lo", "hi", "start", "end"))
                 near = np.frombuffer(batch.column("near")[k].as_buffer(), bool)
                 at = np.flatnonzero(near & (e != 0))
-                columns = [pa.array(x[at]) for x in (c, e, lo, hi)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), batch.column("tag")[k].as_py())), *columns, pa.array(~_held(s, t, lo[at], hi[at]))], names=["tag", "c", "e", "lo", "hi", "open"])
+                columns = [pa.array(x[at]) for x in (c, e, pos, lo, hi)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), batch.column("tag")[k].as_py())), *columns, pa.array(~_held(s, t, lo[at], hi[at]))], names=["tag", "c", "e", "pos", "lo", "hi", "open"])
 
-    both = strings.select("tag", "c", "e", "lo", "hi").join(found, "tag")
-    return both.mapInArrow(run, "tag bigint, c bigint, e bigint, lo bigint, hi bigint, open boolean")
+    both = strings.select("tag", "c", "e", "pos", "lo", "hi").join(found, "tag")
+    return both.mapInArrow(combined(run), "tag bigint, c bigint, e bigint, pos bigint, lo bigint, hi bigint, open boolean")
 
 
-def windows(texts: DataFrame) -> DataFrame:
-    """(tag, start, c, h): core and hash of all windows of blocks. ``texts`` has tag, text and blocks: structs of c, lo and hi."""
+def slices(texts: DataFrame) -> DataFrame:
+    """(tag, c, g, w, lo, hi): blocks (column blocks: structs of c, pos, lo and hi) in slices of SLICE windows.
+
+    g: hash of the bytes that all windows of a whole slice share; w: hash of those that its windows cover.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -451,30 +456,63 @@ def windows(texts: DataFrame) -> DataFrame:
             tags = batch.column("tag").to_numpy()
             for k in range(batch.num_rows):
                 sums, x = prefix_sums(data[off[k] : off[k + 1]]), batch.column("blocks")[k].values
+                c, pos, lo, hi = (x.field(f).to_numpy(zero_copy_only=False) for f in ("c", "pos", "lo", "hi"))
+                first, last = (pos - hi) // SLICE, (pos - lo) // SLICE  # windows are dealt by their distance from the anchor
+                count = last - first + 1
+                at = np.repeat(np.arange(len(c)), count)
+                m = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + first[at]
+                lo, hi = np.maximum(lo[at], pos[at] - SLICE * m - SLICE + 1), np.minimum(hi[at], pos[at] - SLICE * m)
+                top = pos[at] - SLICE * m
+                g = hashed(sums, top, top + LENGTH - SLICE + 1) + mix(m.astype(np.uint64))
+                w = mix(hashed(sums, lo, hi + LENGTH) + (top - lo).astype(np.uint64) * np.uint64(SLICE) + (top - hi).astype(np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), tags[k])), pa.array(c[at]), *[pa.array(v.view(np.int64)) for v in (g, w)], pa.array(lo), pa.array(hi)], names=["tag", "c", "g", "w", "lo", "hi"])
+
+    return texts.select("tag", "text", "blocks").mapInArrow(combined(run), "tag bigint, c bigint, g bigint, w bigint, lo bigint, hi bigint")
+
+
+def windows(texts: DataFrame) -> DataFrame:
+    """(tag, start, c, h): core and hash of all windows of slices. ``texts`` has tag, text and slices: structs of c, lo and hi."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, off = buffers(batch.column("text"))
+            tags = batch.column("tag").to_numpy()
+            for k in range(batch.num_rows):
+                sums, x = prefix_sums(data[off[k] : off[k + 1]]), batch.column("slices")[k].values
                 c, lo, hi = (x.field(f).to_numpy(zero_copy_only=False) for f in ("c", "lo", "hi"))
                 count = hi - lo + 1
                 i = np.repeat(lo - np.cumsum(count) + count, count) + np.arange(count.sum())
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), tags[k])), pa.array(i), pa.array(np.repeat(c, count)), pa.array(hashed(sums, i, i + LENGTH).view(np.int64))], names=["tag", "start", "c", "h"])
 
-    return texts.select("tag", "text", "blocks").mapInArrow(run, "tag bigint, start bigint, c bigint, h bigint")
+    return texts.select("tag", "text", "slices").mapInArrow(combined(run), "tag bigint, start bigint, c bigint, h bigint")
 
 
 def ends(texts: DataFrame, strings: DataFrame, found: DataFrame) -> DataFrame:
     """(tag, start, end): repeats that no found one holds, from the blocks at their ends."""
     every = written(blocks(strings, found), "blocks")
     # a window that is found already may still be the partner of one that is not: all blocks of an open core take part
-    cores = written(every.where("open").select("c").distinct(), "cores")
-    needed = written(every.join(cores, "c", "left_semi"), "needed")
-    variants = written(needed.groupBy("c", "e").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("tag", "lo", "hi")).alias("rep")), "variants")
+    cores = every.groupBy("c").agg(F.bool_or("open").alias("open"), F.count(F.lit(1)).alias("n")).where("open and n > 1").select("c")
+    needed = written(every.select("tag", "c", "e", "pos", "lo", "hi").join(written(cores, "cores"), "c", "left_semi"), "needed")
+    release(every)
+    one = lambda *names: [F.first(x).alias(x) for x in names]  # of one row, whichever it is
+    again = F.count(F.lit(1)).alias("n")
+    variants = written(needed.groupBy("c", "e").agg(again, *one("tag", "pos", "lo", "hi")), "variants")
     same = variants.where("n > 1").select("c", "e")
     whole = needed.join(same, ["c", "e"], "left_semi").select("tag", F.col("lo").alias("start"), (F.col("hi") + LENGTH).alias("end"))
     mixed = variants.groupBy("c").agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("least")).where("k > 1 and least = 1").select("c")
-    chosen = variants.join(mixed, "c", "left_semi").groupBy("rep.tag").agg(F.collect_list(F.struct("c", "rep.lo", "rep.hi")).alias("blocks"))
-    hashes = written(windows(texts.select("tag", "text").join(chosen, "tag")), "windows")
-    again = hashes.groupBy("c", "h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("c", "h")
-    single = hashes.join(again, ["c", "h"], "left_semi").select("tag", "start", (F.col("start") + LENGTH).alias("end"))
-    out = written(whole.union(single), "ends")
-    release(every, cores, needed, variants, hashes)
+    chosen = variants.join(mixed, "c", "left_semi").groupBy("tag").agg(F.collect_list(F.struct("c", "pos", "lo", "hi")).alias("blocks"))
+    # a slice of which no other shares what all its windows hold has no repeated window; one that occurs again has no other
+    parts = written(slices(texts.select("tag", "text").join(chosen, "tag")), "slices")
+    kinds = written(parts.groupBy("c", "g", "w").agg(again, *one("tag", "lo", "hi")), "kinds")
+    twice = kinds.where("n > 1").select("c", "g", "w")
+    sliced = parts.join(twice, ["c", "g", "w"], "left_semi").select("tag", F.col("lo").alias("start"), (F.col("hi") + LENGTH).alias("end"))
+    met = kinds.groupBy("c", "g").agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("least")).where("k > 1 and least = 1").select("c", "g")
+    left = kinds.join(met, ["c", "g"], "left_semi").groupBy("tag").agg(F.collect_list(F.struct("c", "lo", "hi")).alias("slices"))
+    hashes = written(windows(texts.select("tag", "text").join(left, "tag")), "windows")
+    repeated = hashes.groupBy("c", "h").agg(again).where("n > 1").select("c", "h")
+    single = hashes.join(repeated, ["c", "h"], "left_semi").select("tag", "start", (F.col("start") + LENGTH).alias("end"))
+    out = written(whole.union(sliced).union(single), "ends")
+    release(needed, variants, parts, kinds, hashes)
     return out
 
 
@@ -502,7 +540,7 @@ def cut(texts: DataFrame) -> DataFrame:
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([batch.column("sha"), *[pa.array(c, t) for c, t in zip(out, kinds, strict=True)]], names=["sha", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed"])
 
-    return texts.select("sha", "text", "start", "end", "ends").mapInArrow(run, "sha string, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, removed array<array<bigint>>")
+    return texts.select("sha", "text", "start", "end", "ends").mapInArrow(combined(run), "sha string, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, removed array<array<bigint>>")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -512,7 +550,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     copies = plain.groupBy("sha").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("sha", F.lit(True).alias("twin"))
     # regions that can hold a repeat; of texts that occur several times, one takes part
     marks = written(coarse(rows), "marks")
-    place = F.struct("k", "pos")
+    place = F.xxhash64("k", "pos")
     twice = marks.groupBy("c").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("c")
     at = marks.join(twice, "c", "left_semi").groupBy("k").agg(F.collect_set("pos").alias("at"))
     single = once_a_task(rows.select("k", "sha", "text")).join(at, "k").dropDuplicates(["k", "sha"])
