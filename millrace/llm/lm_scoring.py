@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, written
+from .common import combined, release, written
 
 BIGRAM_WEIGHT, ADD = 0.7, 0.1
 #: Words that occur less often are never in the vocabulary; bins of the count histogram for each power of two.
@@ -174,7 +174,7 @@ def score(docs: DataFrame, table: DataFrame, id_col: str = "doc_id") -> DataFram
 
     kind = dict(docs.dtypes)[id_col]
     rows = docs.select(F.col(id_col).alias("doc_id"), "text").withColumn("tag", F.monotonically_increasing_id())
-    rows = rows.mapInArrow(run, f"tag bigint, key bigint, n int, whole struct<doc_id:{kind},tokens:bigint,a:double,b:double>")
+    rows = rows.mapInArrow(combined(run), f"tag bigint, key bigint, n int, whole struct<doc_id:{kind},tokens:bigint,a:double,b:double>")
     cold = table.where(F.floor(F.log2("n") * BINS) < F.lit(least)).select("key", "l0", "l1")
     met = rows.hint("merge").join(cold, "key", "left")
     part = lambda c, x: F.sum(F.when(F.col("n") > 0, F.col("n") * F.col(c)).otherwise(F.col(f"whole.{x}"))).alias(x)
