@@ -20,9 +20,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
@@ -47,8 +44,8 @@ def vectors(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         at = np.flatnonzero(np.r_[True, (r[1:] != r[:-1]) | (x[1:] != x[:-1])]) if len(r) else np.zeros(0, np.int64)
         count = np.diff(np.r_[at, len(r)])
         r, x = r[at], x[at]
-        cell = (lo + r) * WIDTH + (x % np.uint64(WIDTH)).astype(np.int64)
-        out += np.bincount(cell, np.where(x >> np.uint64(63), 1.0, -1.0) * (1 + np.log(count)), n * WIDTH).reshape(n, WIDTH)
+        cell = r * WIDTH + (x % np.uint64(WIDTH)).astype(np.int64)
+        out[lo : lo + rows] = np.bincount(cell, np.where(x >> np.uint64(63), 1.0, -1.0) * (1 + np.log(count)), rows * WIDTH).reshape(rows, WIDTH)
     return tokens, out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
 
@@ -75,6 +72,9 @@ MEANS = 64
 
 def learn_topics(docs: DataFrame) -> Topics:
     """k-means over all documents with a word; means of all languages up to MEANS of them, the others share a zero mean."""
+    from pyspark.ml.clustering import KMeans  # here, so that Python workers, which import this module, don't load it
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.stat import Summarizer
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
