@@ -29,7 +29,7 @@ GRAM = 4
 #: Size of the hashed gram space; bounds the model to languages x 65,536 numbers.
 BUCKETS = 1 << 16
 #: Cells of the (language x gram) work array of one step; bounds a task's memory.
-WORK = 4_000_000
+WORK = 1_000_000
 #: Bounds what the driver and each task hold: 128 languages.
 MODEL_LIMIT_MB = 64
 EM_STEPS, REFINE_STEPS = 8, 6
