@@ -40,9 +40,9 @@ SALTS = 16
 #: Members of a bucket that is compared pair by pair; larger ones are compared in blocks.
 SMALL = 16
 #: Members and bytes of a block, on average; two blocks meet in one task.
-BLOCK, BLOCK_BYTES = 256, 8 << 20
+BLOCK, BLOCK_BYTES = 256, 4 << 20
 #: Elements of one step of a block's comparison; bounds its matrices.
-COLUMNS = 4096
+COLUMNS = 2048
 #: Least number of the BANDS x ROWS registers that agree for a pair to be verified: 0.8 less 4.8 deviations.
 AGREE = 75
 _STEP = np.uint64(0x9E3779B97F4A7C15)
