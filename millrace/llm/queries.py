@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, exact_dedup, language_id, lm_scoring, minhash_dedup, mixing, packing, pii, quality, suffix_dedup
+from . import embedding_dedup, exact_dedup, host_rules, language_id, lm_scoring, minhash_dedup, mixing, packing, periodic_runs, pii, quality, source_audit, suffix_dedup
 from .common import held_out, read_table, written
 
 
@@ -66,6 +66,37 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic"), F.col("_tokens").cast("long").alias("n_tokens"), F.col("_p").alias("p"), F.col("_drawn").alias("drawn"))
 
 
+def op11_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = host_rules.judge(read_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op12_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.audit(read_table(spark, sf_dir, "documents"))
+
+
+def with_loops(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): every tenth text, by crc32 of its id, ends in a loop of its own words; a null id has no loop."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    rows = docs.select("doc_id", "text", h.alias("h"), F.floor(h / 10).cast("bigint").alias("g"), F.when(h % 10 == 0, F.array_remove(F.split("text", host_rules.GAP), "")).alias("w"))
+    rows = rows.withColumn("n", F.size("w")).withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")).cast("int"))
+    rows = rows.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    loop = F.transform(F.sequence(F.lit(0), F.col("n") - F.col("a") - 1), lambda k: F.get(F.col("w"), F.col("a") + k % F.col("p")))
+    looped = F.array_join(F.concat(F.slice("w", F.lit(1), F.col("a")), loop), " ")
+    return rows.select("doc_id", F.when(F.col("a").isNotNull(), looped).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = periodic_runs.find_runs(with_loops(read_table(spark, sf_dir, "documents")))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    rank = F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period")))
+    best = F.array_max(rank)
+    return out.select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), (-best["start"]).alias("start"), best["length"].alias("length"), (-best["period"]).alias("period"),
+        F.floor(1000 * best["length"] / -best["period"]).cast("bigint").alias("exponent_milli"), F.sha2(lines.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -77,5 +108,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_pii": op9_pii,
     "op10_source_mixing": op10_source_mixing,
+    "op11_host_rules": op11_host_rules,
+    "op12_source_audit": op12_source_audit,
+    "op13_periodic_runs": op13_periodic_runs,
 }
-ORACLES: dict[str, str] = {"op5_exact_dedup": exact_dedup.ORACLE}
+ORACLES: dict[str, str] = {"op5_exact_dedup": exact_dedup.ORACLE, "op11_host_rules": host_rules.ORACLE, "op12_source_audit": source_audit.ORACLE}
