@@ -37,8 +37,9 @@ RULES: dict[str, tuple[str, float]] = {
     "same_lines": ("10 * n_dup_lines > 3 * n_lines", 0.5),
     "word_length": ("word_chars < 2 * n_words or word_chars > 15 * n_words", 0.5),
 }
-#: Largest weight of the prior, in documents, and what it weighs where the hosts' rates are all alike.
-MAX_WEIGHT = 1000.0
+#: Least and largest weight of the prior, in documents. The least keeps a few documents from deciding on a host; the
+#: largest is used where the hosts' rates are all alike.
+MIN_WEIGHT, MAX_WEIGHT = 10.0, 1000.0
 BROADCAST_HOSTS, SALTS = 100_000, 32
 
 
@@ -80,7 +81,7 @@ def verdicts(measured: DataFrame, rules: dict[str, tuple[str, float]] | None = N
 
     The prior of a rule: with hosts' rates p_h of n_h documents, their mean m and variance s (both weighted by n_h), a
     and b are m and 1 - m times the weight (m (1 - m) - s) / (s - m (1 - m) k / n), k hosts and n documents, which takes
-    the scatter of small hosts out of s; what is not positive, or above MAX_WEIGHT, is MAX_WEIGHT.
+    the scatter of small hosts out of s; it is kept from MIN_WEIGHT to MAX_WEIGHT, and MAX_WEIGHT if not positive.
     """
     rules = RULES if rules is None else rules
     hosts = measured.where("host is not null").groupBy("host").agg(F.count(F.lit(1)).alias("n_docs"), *[F.count_if(F.expr(test)).alias(f"failed_{r}") for r, (test, _) in rules.items()])
@@ -94,7 +95,7 @@ def verdicts(measured: DataFrame, rules: dict[str, tuple[str, float]] | None = N
         m = (prior[f"f_{r}"] or 0.0) / n
         spread, even = (prior[f"q_{r}"] or 0.0) / n - m * m, m * (1 - m)
         beyond = spread - even * k / n
-        weights[r] = (m, min((even - spread) / beyond, MAX_WEIGHT) if beyond > 0 and even > spread else MAX_WEIGHT)
+        weights[r] = (m, max(MIN_WEIGHT, min((even - spread) / beyond, MAX_WEIGHT)) if beyond > 0 and even > spread else MAX_WEIGHT)
     every = hosts.withColumns({f"rate_{r}": (F.col(f"failed_{r}") + F.lit(m * w)) / (F.col("n_docs") + F.lit(w)) for r, (m, w) in weights.items()})
     rejected = F.lit(False)
     for r, (_, limit) in rules.items():
@@ -120,7 +121,7 @@ def _oracle() -> str:
     sums = ", ".join(f"sum(failed_{r})::double as f_{r}, sum(failed_{r} * failed_{r} / n_docs::double) as q_{r}" for r in RULES)
     means = ", ".join(f"f_{r} / n as m_{r}, q_{r} / n - (f_{r} / n) * (f_{r} / n) as s_{r}" for r in RULES)
     evens = ", ".join(f"m_{r}, s_{r}, m_{r} * (1 - m_{r}) as e_{r}, s_{r} - m_{r} * (1 - m_{r}) * k / n as b_{r}" for r in RULES)
-    weights = ", ".join(f"m_{r}, case when b_{r} > 0 and e_{r} > s_{r} then least((e_{r} - s_{r}) / b_{r}, {MAX_WEIGHT}) else {MAX_WEIGHT} end as w_{r}" for r in RULES)
+    weights = ", ".join(f"m_{r}, case when b_{r} > 0 and e_{r} > s_{r} then greatest({MIN_WEIGHT}, least((e_{r} - s_{r}) / b_{r}, {MAX_WEIGHT})) else {MAX_WEIGHT} end as w_{r}" for r in RULES)
     bad = " or ".join(f"(failed_{r} + m_{r} * w_{r}) / (n_docs + w_{r}) > {limit}" for r, (_, limit) in RULES.items())
     return rf"""
     with t as (
