@@ -39,7 +39,7 @@ MIN_DOCS, TOP_TERMS = 3, 200
 #: Terms of a chunk on average, groups of a block, chunks of a stripe.
 CHUNK, BLOCK, STRIPE = 2048, 4, 32
 #: Distinct (group, term) pairs that a task holds before it passes them on, and cells of the matrices of one step.
-HELD, CELLS = 200_000, 1 << 18
+HELD, CELLS = 500_000, 1 << 18
 #: ASCII letters in lower case; other bytes below 128 separate terms.
 _TABLE = bytes(b if b > 127 else ord(chr(b).lower()) if chr(b).isalpha() else 32 for b in range(256))
 _COUNTED = "lang string, source string, term string, n bigint, df bigint"
