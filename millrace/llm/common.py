@@ -50,6 +50,11 @@ def remove(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def row_of(docs: DataFrame) -> Column:
+    """All columns as one struct ``row``, so that names of the table's own meet no others; any name will do."""
+    return F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in docs.columns]).alias("row")
+
+
 def combined(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], limit: int = 4 << 20) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """``run`` with its small record batches joined into some of about ``limit`` bytes: each batch costs as much as many rows."""
 

@@ -11,7 +11,7 @@ what is feasible and what is expected.
 Defined results: nulls in source, language or topic form a cell value of their own; a null text has no
 tokens, and a text without a word no topic; a cell without tokens keeps its documents; targets naming an absent
 value are spread over the present ones; an empty table gives an empty result. Repeated rows are drawn alike. A
-word of a script without spaces is a character.
+word of a script without spaces is a character. Further columns may have any name.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import remove, written
+from .common import remove, row_of, written
 from .hashing import words
 
 DIMS = ("source", "lang", "topic")
@@ -54,61 +54,89 @@ def _cell(c: str) -> Column:
 
 
 class Topics:
-    """Means of the languages and centres of the clusters; a row's topic is the centre nearest to its vector less its language's mean."""
+    """Centres of the clusters, and (lang, shift): what a language's mean adds to the distance from each centre.
+
+    A row's topic is the centre nearest to its vector less its language's mean. Of |x - m - c|^2 only
+    |c|^2 - 2 x c + 2 m c differs between centres, so of a mean only its products with the centres are needed.
+    """
+
+    def __init__(self, centres: np.ndarray, shifts: DataFrame | None):
+        self.centres, self.shifts = centres, shifts
+
+
+def nearest(centres: np.ndarray, shifts: list[list[float] | None], tokens: np.ndarray, x: np.ndarray) -> list[str]:
+    """The topic of each row; a text without a word has none."""
+    if not len(centres):
+        return [NONE if not n else "topic0" for n in tokens]
+    moved = np.array([m or [0.0] * len(centres) for m in shifts]).reshape(len(x), len(centres))
+    near = ((centres**2).sum(1) - 2 * x @ centres.T + 2 * moved).argmin(1)
+    return [f"topic{t}" if n else NONE for t, n in zip(near, tokens, strict=True)]
 
-    def __init__(self, means: dict[str, np.ndarray], centres: np.ndarray):
-        self.means, self.centres = means, centres
 
-    def of(self, langs: list[str], tokens: np.ndarray, x: np.ndarray) -> list[str]:
-        zero = np.zeros(WIDTH)
-        y = x - np.array([self.means.get(g, zero) for g in langs]).reshape(len(langs), WIDTH)
-        near = ((y * y).sum(1)[:, None] - 2 * y @ self.centres.T + (self.centres**2).sum(1)).argmin(1) if len(self.centres) else np.zeros(len(y), int)
-        return [f"topic{t}" if n else NONE for t, n in zip(near, tokens, strict=True)]
+#: Most languages whose few numbers are sent to every task; more are met by a shuffle.
+SENT_LANGS = 20_000
 
 
-#: Languages with a mean of their own, the largest ones; bounds the model.
-MEANS = 64
+def _by_language(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """``rows`` with the columns of ``table`` (_lang, ...), one row a language."""
+    few = table.limit(SENT_LANGS + 1).count() <= SENT_LANGS
+    return rows.join(F.broadcast(table) if few else table, "_lang", "left")
 
 
 def learn_topics(docs: DataFrame) -> Topics:
-    """k-means over all documents with a word; means of all languages up to MEANS of them, the others share a zero mean."""
+    """k-means over all documents with a word, each less the mean of its language, however many languages there are."""
     from pyspark.ml.clustering import KMeans  # here, so that Python workers, which import this module, don't load it
-    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.functions import array_to_vector, vector_to_array
     from pyspark.ml.stat import Summarizer
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             tokens, x = vectors(batch.column("text"))
-            yield pa.RecordBatch.from_arrays([batch.column("_lang"), pa.array(tokens), pa.array(list(x), pa.list_(pa.float64()))], names=["lang", "tokens", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column("_lang"), pa.array(tokens), pa.array(list(x), pa.list_(pa.float64()))], names=["_lang", "tokens", "x"])
 
-    table = written(docs.select("text", _cell("lang").alias("_lang")).mapInArrow(run, "lang string, tokens double, x array<double>"), "vectors")
-    rows = table.where("tokens > 0").select("lang", array_to_vector("x").alias("x"))
-    sums = rows.groupBy("lang").agg(Summarizer.mean(F.col("x")).alias("m"), F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MEANS)
-    means = {r["lang"]: np.array(r["m"].toArray()) for r in sums.collect()}
-    if not means:
+    table = written(docs.select("text", _cell("lang").alias("_lang")).mapInArrow(run, "_lang string, tokens double, x array<double>"), "vectors")
+    rows = table.where("tokens > 0").select("_lang", "x")
+    means = written(rows.groupBy("_lang").agg(vector_to_array(Summarizer.mean(array_to_vector("x"))).alias("m")), "means")
+    if means.isEmpty():
         remove(table)
-        return Topics({}, np.zeros((0, WIDTH)))
-    mean = F.create_map(*[x for g, m in means.items() for x in (F.lit(g), F.array(*[F.lit(float(v)) for v in m]))])
-    zero = F.array(*[F.lit(0.0)] * WIDTH)
-    centred = table.where("tokens > 0").select(array_to_vector(F.zip_with("x", F.coalesce(mean[F.col("lang")], zero), lambda a, b: a - b)).alias("features"))
+        remove(means)
+        return Topics(np.zeros((0, WIDTH)), None)
+    centred = _by_language(rows, means).select(array_to_vector(F.zip_with("x", "m", lambda a, b: a - b)).alias("features"))
     found = KMeans(k=TOPICS, maxIter=STEPS, seed=5).fit(centred)
+    centres = np.array(found.clusterCenters())
+    product = lambda c: F.aggregate(F.zip_with("m", F.array(*[F.lit(float(v)) for v in c]), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    shifts = written(means.select("_lang", F.array(*[product(c) for c in centres]).alias("_shift")), "shifts")
     remove(table)
-    return Topics(means, np.array(found.clusterCenters()))
+    remove(means)
+    return Topics(centres, shifts)
 
 
-def with_cells(docs: DataFrame, topics: Topics | None = None) -> DataFrame:
-    """Adds _tokens, _source, _lang and _topic, names that cannot clash with the table's own."""
+def cell_rows(docs: DataFrame, topics: Topics | None = None) -> DataFrame:
+    """(row, _source, _lang, _tokens, _topic): the rows as structs, so that no name clashes."""
     topics = topics or learn_topics(docs)
-    known = docs.withColumns({"_source": _cell("source"), "_lang": _cell("lang")})
-    shared = docs.sparkSession.sparkContext.broadcast(topics)  # bounded: MEANS and TOPICS vectors
+    known = docs.select(row_of(docs), _cell("source").alias("_source"), _cell("lang").alias("_lang"))
+    schema, at = known.schema, docs.columns.index("text")
+    known = _by_language(known, topics.shifts) if topics.shifts is not None else known.withColumn("_shift", F.lit(None).cast("array<double>"))
+    known = known.select("row", "_source", "_lang", "_shift")
+    centres = docs.sparkSession.sparkContext.broadcast(topics.centres)  # TOPICS vectors
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tokens, x = vectors(batch.column("text"))
-            topic = shared.value.of(batch.column("_lang").to_pylist(), tokens, x)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(tokens), pa.array(topic, pa.string())], names=[*batch.schema.names, "_tokens", "_topic"])
+            tokens, x = vectors(batch.column("row").field(at))
+            topic = nearest(centres.value, batch.column("_shift").to_pylist(), tokens, x)
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("_source"), batch.column("_lang"), pa.array(tokens), pa.array(topic, pa.string())], names=["row", "_source", "_lang", "_tokens", "_topic"])
+
+    return known.mapInArrow(run, StructType([*schema.fields, StructField("_tokens", DoubleType()), StructField("_topic", StringType())]))
+
 
-    return known.mapInArrow(run, StructType([*known.schema.fields, StructField("_tokens", DoubleType()), StructField("_topic", StringType())]))
+def with_cells(docs: DataFrame, topics: Topics | None = None) -> DataFrame:
+    """:func:`cell_rows` with the columns of ``docs`` beside the new ones, which replace columns of the same name."""
+    return _flat(cell_rows(docs, topics), docs.columns)
+
+
+def _flat(out: DataFrame, columns: list[str]) -> DataFrame:
+    new = [c for c in out.columns if c != "row"]
+    return out.select(*[F.col(f"row.`{c}`") for c in columns if c not in new], *new)
 
 
 def tempered_targets(cells: DataFrame, dim: str, temperature: float) -> DataFrame:
@@ -228,8 +256,69 @@ def uniform(doc_id: Column) -> Column:
     return F.pmod(F.xxhash64(doc_id.cast("string")), F.lit(1 << 53)) / F.lit(float(1 << 53))
 
 
-def fitted(cells: DataFrame, targets: dict[str, DataFrame], keep_share: float, sweeps: int = SWEEPS) -> DataFrame:
-    """The cells with p, as a written table."""
+#: Most cells that are fitted in memory; their number follows the categories, never the documents.
+FEW_CELLS = 20_000
+
+
+def _fitted_in_memory(cells: DataFrame, targets: dict[str, DataFrame], keep_share: float, sweeps: int) -> DataFrame:
+    """The steps of :func:`rake`, :func:`calibrate` and :func:`capped` over arrays of at most FEW_CELLS cells."""
+    fit, dims = cells.toPandas(), list(targets)
+    tokens = fit["tokens"].to_numpy(float)
+    code, size, to = {}, {}, {}
+    for d in dims:
+        names, code[d] = np.unique(fit[d].to_numpy(dtype=object).astype(str), return_inverse=True)
+        size[d] = len(names)
+        wanted = {r[d]: r["target"] for r in targets[d].join(cells.select(d).distinct(), d).collect()}
+        share = np.array([wanted.get(x, 0.0) for x in names]) * (np.bincount(code[d], tokens > 0, size[d]) > 0)
+        to[d] = share / share.sum() if share.sum() else share
+        fit[f"_to_{d}"] = to[d][code[d]]
+
+    def swept(w: np.ndarray, goal: dict[str, np.ndarray], cap: np.ndarray | None) -> np.ndarray:
+        for n in range(sweeps):
+            for d in dims:
+                margin = np.bincount(code[d], w if cap is None else np.minimum(cap, w), size[d])[code[d]]
+                w = np.where(margin > 0, w * goal[d][code[d]] / np.where(margin > 0, margin, 1), 0.0)
+            drawn = w if cap is None else np.minimum(cap, w)
+            off = max((np.abs(np.bincount(code[d], drawn, size[d]) - goal[d]).max(initial=0.0) for d in dims), default=0.0)
+            if off < TOLERANCE * (drawn.sum() or 1.0):
+                break
+        return w
+
+    fit["w"] = swept(tokens.copy(), to, None)
+    f = np.divide(fit["w"].to_numpy(), tokens, out=np.zeros(len(fit)), where=tokens > 0)
+    total, p = tokens.sum(), np.ones(len(fit))
+    if total and f.max() > 0:
+        lo, hi = 0.0, 1.0 / f[f > 0].min()
+        for _ in range(4):
+            grid = np.linspace(lo, hi, 65)
+            k = next((k for k, c in enumerate(grid) if (np.minimum(1.0, c * f) * tokens).sum() >= keep_share * total), 64)
+            lo, hi = grid[max(0, k - 1)], grid[k]
+        p = np.where(tokens > 0, np.minimum(1.0, hi * f), 1.0)
+        if ((tokens > 0) & (p >= 1)).any():
+            goal = {}
+            for d in dims:
+                cap = np.bincount(code[d], tokens, size[d])
+                lo, hi = 0.0, max((c / r for c, r in zip(cap, to[d]) if r > 0), default=0.0)
+                for _ in range(6):
+                    grid = np.linspace(lo, hi, 65)
+                    k = next((k for k, c in enumerate(grid) if np.minimum(cap, c * to[d]).sum() >= keep_share * total), 64)
+                    lo, hi = grid[max(0, k - 1)], grid[k]
+                goal[d] = np.minimum(cap, hi * to[d])
+                fit[f"_at_{d}"] = goal[d][code[d]]
+            g = swept(keep_share * total * fit["w"].to_numpy(), goal, tokens)
+            p = np.where(tokens > 0, np.minimum(1.0, np.divide(g, tokens, out=np.zeros(len(g)), where=tokens > 0)), 1.0)
+    fit["p"] = p
+    kinds = dict(cells.dtypes) | {c: "double" for c in fit.columns if c not in cells.columns}
+    return cells.sparkSession.createDataFrame(fit, ", ".join(f"`{c}` {kinds[c]}" for c in fit.columns))
+
+
+def fitted(cells: DataFrame, targets: dict[str, DataFrame], keep_share: float, sweeps: int = SWEEPS, few: int = FEW_CELLS) -> DataFrame:
+    """The cells with p, as a written table: fitted in memory if they are few, else by window sums over tables.
+
+    Both ways take the same steps; where few sweeps are enough the tables take some more, as they are tested less often.
+    """
+    if cells.limit(few + 1).count() <= few:
+        return written(_fitted_in_memory(cells, targets, keep_share, sweeps), "fitted")
     return written(capped(written(calibrate(rake(cells, targets, sweeps), keep_share), "calibrated"), list(targets), keep_share, sweeps), "fitted")
 
 
@@ -238,16 +327,21 @@ def cells_of(rows: DataFrame) -> DataFrame:
     return written(rows.groupBy(*[F.col(f"_{d}").alias(d) for d in DIMS]).agg(F.sum("_tokens").alias("tokens"), F.count(F.lit(1)).alias("n_docs")), "cells")
 
 
-def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, temperature: float = 0.7, keep_share: float = 0.8, sweeps: int = SWEEPS) -> DataFrame:
-    """Every row of ``docs`` with _tokens, _source, _lang, _topic, _p (probability) and _drawn.
+def mix_rows(docs: DataFrame, targets: dict[str, DataFrame] | None = None, temperature: float = 0.7, keep_share: float = 0.8, sweeps: int = SWEEPS) -> DataFrame:
+    """(row, _tokens, _source, _lang, _topic, _p, _drawn): every row of ``docs`` as a struct, its probability, and whether it is drawn.
 
     ``targets`` maps a dimension to (dimension, target) rows; by default each margin is tempered, which
     lowers the largest sources and lifts the small ones.
     """
-    rows = with_cells(docs)
+    rows = cell_rows(docs)
     cells = cells_of(rows)
     if targets is None:
         targets = {d: written(tempered_targets(cells, d, temperature), f"target-{d}") for d in DIMS}
     fit = fitted(cells, targets, keep_share, sweeps)
     prob = fit.select(*[F.col(d).alias(f"_{d}") for d in DIMS], F.col("p").alias("_p"))
-    return rows.join(prob, [f"_{d}" for d in DIMS], "left").withColumn("_p", F.coalesce("_p", F.lit(1.0))).withColumn("_drawn", uniform(F.col("doc_id")) < F.col("_p"))
+    return rows.join(prob, [f"_{d}" for d in DIMS], "left").withColumn("_p", F.coalesce("_p", F.lit(1.0))).withColumn("_drawn", uniform(F.col("row.doc_id")) < F.col("_p"))
+
+
+def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, temperature: float = 0.7, keep_share: float = 0.8, sweeps: int = SWEEPS) -> DataFrame:
+    """:func:`mix_rows` with the columns of ``docs`` beside the new ones, which replace columns of the same name."""
+    return _flat(mix_rows(docs, targets, temperature, keep_share, sweeps), docs.columns)

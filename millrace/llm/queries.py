@@ -62,8 +62,8 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mixing.mix(read_table(spark, sf_dir, "documents"))
-    return out.select("doc_id", F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic"), F.col("_tokens").cast("long").alias("n_tokens"), F.col("_p").alias("p"), F.col("_drawn").alias("drawn"))
+    out = mixing.mix_rows(read_table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"))
+    return out.select("row.doc_id", F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic"), F.col("_tokens").cast("long").alias("n_tokens"), F.col("_p").alias("p"), F.col("_drawn").alias("drawn"))
 
 
 def op11_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

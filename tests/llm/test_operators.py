@@ -709,6 +709,34 @@ def test_mixing_against_plain_loops_at_the_querys_settings(spark):
     assert {r._topic for r in rows.select("_topic").distinct().collect()} - {mixing.NONE} == {f"topic{k}" for k in range(mixing.TOPICS)}
 
 
+def test_few_cells_in_memory_as_over_tables(spark):
+    """Both ways of fitting take the same steps, where some cells are taken whole and where none is."""
+    rng = np.random.default_rng(71)
+    rows = [(f"s{a}", f"g{b}", f"t{c}", float(rng.integers(0, 10 ** rng.integers(1, 6)))) for a in range(5) for b in range(3) for c in range(4)]
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens double")
+    for keep in (0.8, 0.05):
+        targets = {d: mixing.tempered_targets(cells, d, 0.7) for d in mixing.DIMS}
+        here, there = ({(r.source, r.lang, r.topic): r.p for r in mixing.fitted(cells, targets, keep, few=few).collect()} for few in (mixing.FEW_CELLS, 0))
+        assert here.keys() == there.keys() and max(abs(here[k] - there[k]) for k in here) < 2e-3
+        total = sum(r[3] for r in rows)
+        assert sum(here[r[:3]] * r[3] for r in rows) == pytest.approx(sum(there[r[:3]] * r[3] for r in rows), abs=1e-3 * total)
+
+
+def test_mixing_of_many_languages_and_any_column_names(spark, monkeypatch):
+    """Languages beyond what is sent to every task meet their means by a shuffle, with the same topics."""
+    rng = np.random.default_rng(72)
+    words = vocabulary(73, 50)
+    rows = [(k, prose(rng, words, 30), f"l{k % 300}", "s", 1) for k in range(900)] + [(900, "long " * 300_000, "l1", "s", 1)]
+    df = spark.createDataFrame(rows, DOCS)
+    for c in ("_topic", "_tokens", "_source", "_lang", "row", "tag", "a.b", "_p", "_drawn", "_shift"):
+        df = df.withColumn(c, F.lit(1))
+    sent = {r.doc_id: (r._topic, r._p) for r in mixing.mix(df).select("doc_id", "_topic", "_p").collect()}
+    monkeypatch.setattr(mixing, "SENT_LANGS", 5)
+    met = {r.doc_id: (r._topic, r._p) for r in mixing.mix(df).select("doc_id", "_topic", "_p").collect()}
+    assert len(sent) == 901 and sent.keys() == met.keys()
+    assert sum(sent[k][0] == met[k][0] for k in sent) > 890
+
+
 def test_topics_follow_the_words(spark):
     """Two vocabularies in two languages each: a topic's words decide, not the language's."""
     rng = np.random.default_rng(35)
