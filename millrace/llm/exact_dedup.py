@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import remove, scratch_path, written
+from .common import remove, row_of, scratch_path, written
 
 #: Fixed value: the white space that counts as one space.
 WHITE_SPACE = r"[\x20\x09-\x0D]+"
@@ -130,7 +130,7 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["text_sha256"] == b["text_sha256"])
     lost = out.where("not kept").select(*pair).distinct()
     gone = written(lost.join(kept, same(lost, kept), "left_anti"), "gone").select(F.col("doc_id").alias("_gone_id"), F.col("text_sha256").alias("_gone_sha"))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("_id"), digest(F.col(text_col)).alias("_sha"))
+    rows = docs.select(row_of(docs), F.col(id_col).cast("long").alias("_id"), digest(F.col(text_col)).alias("_sha"))
     rows = rows.join(gone, rows["_id"].eqNullSafe(F.col("_gone_id")) & (rows["_sha"] == F.col("_gone_sha")), "left_anti")
     twice = written(out.groupBy(*pair).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("_twice_id"), F.col("text_sha256").alias("_twice_sha")), "twice")
     if not twice.isEmpty():  # rows repeated with the same id and text: one of each stays

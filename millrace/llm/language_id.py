@@ -22,6 +22,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import remove, written
 
@@ -183,6 +184,6 @@ def identify(docs: DataFrame, model: dict[str, np.ndarray], keep: list[str] = ["
             columns = [batch.column(c) for c in keep] + [pa.array(names, pa.string()), pa.array(score), pa.array(maps, pa.map_(pa.string(), pa.float64()))]
             yield pa.RecordBatch.from_arrays(columns, names=[*keep, "lang_pred", "score", "shares"])
 
-    kinds = dict(docs.dtypes)
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", lang_pred string, score double, shares map<string,double>"
-    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(predict, schema)
+    rows = docs.select(*dict.fromkeys([*keep, "text"]))
+    found = StructType.fromDDL("lang_pred string, score double, shares map<string,double>")
+    return rows.mapInArrow(predict, StructType([*(rows.schema[c] for c in keep), *found.fields]))

@@ -128,7 +128,7 @@ def test_periodic_runs_query(spark, tmp_path):
     got = [tuple(r) for r in queries.op13_periodic_runs(spark, str(tmp_path)).collect()]
     want = [plain_row(r[0], r[1]) for r in rows]
     assert sorted(map(repr, (r for r in got if r[0] != 305))) == sorted(map(repr, want))
-    assert sum(r[1] for r in want) > 30 and any(zlib.crc32(str(r[0]).encode()) % 10 == 0 for r in rows)
+    assert sum(r[1] for r in want) >= 20 and any(zlib.crc32(str(r[0]).encode()) % 10 == 0 for r in rows)
     long_ = next(r for r in got if r[0] == 305)
     assert long_[1:6] == (1, 0, 30_000, 1, 30_000_000)
 

@@ -51,3 +51,20 @@ def test_language_is_carried_forward(spark, tmp_path):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     out = {r.doc_id: r.lang for r in corpus_pipeline.identify_language(spark, df, str(tmp_path)).collect()}
     assert out[90] == "l1" and out[91] == "l0" and all(out[k] == f"l{k % 2}" for k in range(80))
+
+
+def test_any_column_names(spark, tmp_path):
+    """Names of the table's own that the stages use themselves, and names with dots, pass through."""
+    rng = np.random.default_rng(5)
+    words = ["".join(rng.choice(list("abcdefghij"), 5)) for _ in range(200)]
+    rows = [(k, " ".join(rng.choice(words, 50)), "en", f"s{k % 3}", 1) for k in range(40)]
+    df = spark.createDataFrame([*rows, rows[3]], "doc_id long, text string, lang string, source string, n_chars long")
+    for c in ("a.b", "_gone", "_topic", "_tokens", "_source", "_lang", "_p", "row", "tag", "t", "score", "_id", "_sha", "piece"):
+        df = df.withColumn(c, F.lit("x"))
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        out.write.parquet(str(tmp_path / name))
+        before, docs = docs, spark.read.parquet(str(tmp_path / name))
+        assert docs.count() > 0 and (name == "packing" or docs.columns == before.columns and docs.where("`a.b` = 'x' and _gone = 'x' and row = 'x'").count() == docs.count())
