@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import exact_dedup, language_id, minhash_dedup, mixing, packing
-from millrace.llm.common import held_out, read_table, remove, written
+from millrace.llm.common import held_out, read_table, remove, row_of, written
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,7 +22,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     model = language_id.train(docs.where(~held_out(F.col("doc_id"))))
     if not model:
         return docs.where(F.coalesce(F.col("text"), F.lit("")).rlike(r"\p{L}"))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
+    rows = docs.select(row_of(docs), "text")
     found = language_id.identify(rows, model, ["row"]).where("lang_pred <> 'und'")
     return found.select(*[F.col("lang_pred").alias("lang") if c == "lang" else F.col(f"row.`{c}`") for c in docs.columns])
 
@@ -36,13 +36,12 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     out = minhash_dedup.near_duplicates(docs).where("doc_id is not null")
     gone = out.groupBy("doc_id").agg(F.max("kept").alias("stays")).where("not stays").select(F.col("doc_id").alias("_gone"))
     gone = written(gone, "near-gone")
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    return docs.select(row_of(docs)).join(gone, F.col("row.doc_id") == F.col("_gone"), "left_anti").select("row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rakes over source, the language that the first stage found, and learnt topics; draws documents by probability."""
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "text", "source", "lang")
-    return mixing.mix(rows).where("_drawn").select("row.*")
+    return mixing.mix_rows(docs).where("_drawn").select("row.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
