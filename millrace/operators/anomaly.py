@@ -9,6 +9,7 @@ from ..config import EngineConfig
 from ..functions.text import stable_id
 from .metrics import WINDOW
 from .ordered import number_lines
+from .percentiles import exact_percentile
 
 
 def local_anomaly(table: DataFrame, cfg: EngineConfig = EngineConfig()) -> DataFrame:  # noqa: B008
@@ -18,7 +19,13 @@ def local_anomaly(table: DataFrame, cfg: EngineConfig = EngineConfig()) -> DataF
 
 def corpus_p95(metrics: DataFrame) -> DataFrame:
     """Interpolated 95th percentile of the windows' p95, per session, category and metric."""
-    return metrics.where("p95_ms is not null").groupBy("session_id", "category", "metric").agg(F.expr("percentile_cont(0.95) within group (order by cast(p95_ms as double))").alias("corpus_p95"))
+    return _p95(metrics, True)
+
+
+def _p95(metrics: DataFrame, interpolate: bool) -> DataFrame:
+    """Percentiles over hundredths: p95_ms has two decimals."""
+    found = exact_percentile(metrics, ["session_id", "category", "metric"], F.col("p95_ms").cast("decimal(20,2)") * 100, 0.95, "_hundredths", interpolate)
+    return found.select("session_id", "category", "metric", (F.col("_hundredths") / 100).alias("corpus_p95"))
 
 
 def outlier_buckets(metrics: DataFrame, cfg: EngineConfig = EngineConfig()) -> DataFrame:  # noqa: B008
@@ -36,7 +43,7 @@ def flag_latency_outliers(windows: DataFrame, metrics: DataFrame, cfg: EngineCon
 
 def in_memory_anomaly(table: DataFrame, metrics: DataFrame, cfg: EngineConfig = EngineConfig()) -> DataFrame:  # noqa: B008
     """All rules at once, per window, against the nearest-rank percentile of the corpus."""
-    corpus = metrics.where("p95_ms is not null").groupBy("session_id", "category", "metric").agg(F.expr("percentile_disc(0.95) within group (order by cast(p95_ms as double))").alias("corpus_p95"))
+    corpus = _p95(metrics, False)
     far = metrics.join(corpus, ["session_id", "category", "metric"]).where((F.col("corpus_p95") > 0) & (F.col("p95_ms").cast("double") > cfg.latency_multiplier * F.col("corpus_p95"))).select(*WINDOW).distinct().withColumn("_out", F.lit(True))
     local = local_anomaly(table, cfg)
     return local.join(far, WINDOW, "left").withColumn("is_anomalous", F.col("is_anomalous") | F.coalesce("_out", F.lit(False))).drop("_out")

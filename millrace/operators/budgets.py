@@ -7,12 +7,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def rolling_budget(calls: DataFrame, key: str, ts: str, tokens: Column, seconds: int = 60, max_calls: int = 75, max_tokens: int = 24_000) -> DataFrame:
-    """Adds calls_in_window, tokens_in_window (up to this call) and admitted."""
-    at = F.unix_micros(F.col(ts))
-    w = Window.partitionBy(key).orderBy(at).rangeBetween(-1_000_000 * seconds + 1, 0)
-    df = calls.withColumn("_t", tokens).withColumn("calls_in_window", F.count(F.lit(1)).over(w)).withColumn("tokens_in_window", F.sum("_t").over(w)).drop("_t")
-    return df.withColumn("admitted", (F.col("calls_in_window") <= max_calls) & (F.col("tokens_in_window") <= max_tokens))
+def rolling_budget(calls: DataFrame, key: str, ts: str, tokens: Column, seconds: int = 60, max_calls: int = 75, max_tokens: int = 24_000, block: int = 16) -> DataFrame:
+    """Adds calls_in_window, tokens_in_window (up to this call) and admitted.
+
+    Calls are first added up by instant. Time is cut into blocks of ``block`` windows' length; the instants of a block's last
+    ``seconds`` are copied into the next one, so each block's windows are whole, and a key's blocks are shared out.
+    """
+    span = 1_000_000 * seconds
+    width = block * span
+    rows = calls.withColumns({"_at": F.unix_micros(F.col(ts)), "_t": tokens})
+    sums = rows.groupBy(F.col(key).alias("_key"), F.col("_at").alias("_when")).agg(F.count(F.lit(1)).alias("_n"), F.sum("_t").alias("_sum"))
+    past = F.pmod(F.col("_when"), F.lit(width))
+    sums = sums.withColumn("_own", F.call_function("div", F.col("_when") - past, F.lit(width)))
+    met = sums.withColumn("_block", F.explode(F.when(past >= width - span, F.array(F.col("_own"), F.col("_own") + 1)).otherwise(F.array("_own"))))
+    w = Window.partitionBy("_key", "_block").orderBy("_when").rangeBetween(-span + 1, 0)
+    met = met.withColumn("calls_in_window", F.sum("_n").over(w)).withColumn("tokens_in_window", F.sum("_sum").over(w)).where(F.col("_block").eqNullSafe(F.col("_own")))
+    found = met.select("_key", "_when", "calls_in_window", "tokens_in_window")
+    out = rows.join(found, F.col(key).eqNullSafe(F.col("_key")) & F.col("_at").eqNullSafe(F.col("_when"))).drop("_key", "_when", "_at", "_t")
+    return out.withColumn("admitted", (F.col("calls_in_window") <= max_calls) & (F.col("tokens_in_window") <= max_tokens))
 
 
 def token_bucket(requests: DataFrame, key: str, ts: str, capacity: float = 15, per_second: float = 0.25) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..config import EngineConfig
 from ..functions import patterns as P
 from ..functions.text import first_group, metric_line, simple_name
+from .intervals import interval_join
 from .windows import KEYS
 
 WINDOW = [*KEYS, "time_bucket", "line_start"]
@@ -189,7 +190,7 @@ def top_metrics(metrics: DataFrame, limit: int = 40) -> DataFrame:
 
 
 def metric_context(ranges: DataFrame, metrics: DataFrame) -> DataFrame:
-    """``ranges`` (session_id, range_id, lo, hi) with a text line for each metric row of the closed range."""
+    """``ranges`` (session_id, range_id, lo, hi) with a text line for each metric row of the closed range; met by time bins."""
     m = metrics.select("session_id", "time_bucket", "category", "metric", "count", "avg_ms", "p95_ms")
-    hit = ranges.join(m, "session_id").where(F.col("time_bucket").between(F.col("lo"), F.col("hi")))
+    hit = interval_join(ranges, m, ["session_id"], "lo", "hi", "time_bucket")
     return hit.select("session_id", "range_id", "time_bucket", "category", "metric", metric_line(F.col("category"), F.col("metric"), F.col("count"), F.col("avg_ms"), F.col("p95_ms")).alias("line"))

@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
+
 
 def with_block(df: DataFrame, order: str, size: int, name: str = "_block") -> DataFrame:
     return df.withColumn(name, F.floor((F.col(order) - 1) / size))
@@ -30,6 +32,15 @@ def number_lines(df: DataFrame, keys: Sequence[str], order: str, size: int, out:
     return numbered.withColumn(out, (F.col("_before") + F.col("_k")).cast("long")).drop("_block", "_before", "_k")
 
 
+def with_ordered_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str], size: int) -> DataFrame:
+    """A written table of the rows with ``_block``: blocks of at most ``size`` rows that follow each other in the order of
+    ``keys`` and ``order``. Ranges of the order are dealt to tasks, so one key's rows may fill many blocks of many tasks."""
+    by = [*keys, *order]
+    ranges = written(df.repartitionByRange(*by).withColumn("_range", F.spark_partition_id()), "ranges")
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*by))
+    return ranges.withColumn("_block", F.shiftleft(F.col("_range").cast("bigint"), 40) + F.floor((place - 1) / size)).drop("_range")
+
+
 def running_count(df: DataFrame, keys: Sequence[str], order: str, flag: Column, out: str, size: int) -> DataFrame:
     """Adds ``out``: how many rows up to each one have the flag."""
     df = with_block(df.withColumn("_f", flag.cast("long")), order, size)

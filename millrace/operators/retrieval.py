@@ -5,17 +5,20 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import partial
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.feature import BucketedRandomProjectionLSH
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..functions.text import terms
 
+if TYPE_CHECKING:
+    from .text_index import TextIndex
+
 
 def knn(items: DataFrame, query: list[float], k: int = 30, key: str = "chunk_id", vector: str = "embedding") -> DataFrame:
     """(key, similarity) of the k nearest by cosine; rows without a vector are left out; ties by key."""
@@ -24,8 +27,8 @@ def knn(items: DataFrame, query: list[float], k: int = 30, key: str = "chunk_id"
     return scored.orderBy(F.desc_nulls_last("similarity"), key).limit(k)
 
 
-#: Queries, and items, of one block of an exact search.
-QUERY_BLOCK, ITEM_BLOCK = 512, 4096
+#: Queries, and items, of one block of an exact search; shares of the item blocks.
+QUERY_BLOCK, ITEM_BLOCK, SHARES = 512, 4096, 64
 
 
 def _blocks(rows: DataFrame, key: str, vector: str, size: int) -> DataFrame:
@@ -51,8 +54,9 @@ def knn_all(items: DataFrame, queries: DataFrame, k: int = 30, key: str = "chunk
 
     Blocks of queries meet blocks of items; from each meeting only a query's k best go on.
     """
-    left = _blocks(queries, key, vector, QUERY_BLOCK).toDF("qk", "qm", "width")
-    both = left.join(_blocks(items, key, vector, ITEM_BLOCK), "width")
+    # item blocks are dealt out, and every query block is copied to each share of them
+    left = _blocks(queries, key, vector, QUERY_BLOCK).toDF("qk", "qm", "width").withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
+    both = left.join(_blocks(items, key, vector, ITEM_BLOCK).withColumn("share", F.pmod(F.xxhash64("matrix"), F.lit(SHARES)).cast("int")), ["width", "share"])
     kind = dict(items.dtypes)[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,19 +79,6 @@ def _top(near: DataFrame, k: int, key: str) -> DataFrame:
     return near.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
 
 
-def knn_lsh(items: DataFrame, queries: DataFrame, k: int = 10, key: str = "chunk_id", vector: str = "embedding", tables: int = 24, width: float = 1.0) -> DataFrame:
-    """(query, key, similarity): approximate nearest items of every query. Items are indexed by random projections of
-    their unit vectors, in several tables; what shares a bucket with a query is ranked exactly."""
-    unit = lambda df: df.where(F.col(vector).isNotNull()).select(F.col(key).alias("k"), V.l2_normalised(F.col(vector)).alias("u"))
-    rows, asked = unit(items), unit(queries)
-    hashed = lambda df: df.withColumn("_v", array_to_vector("u"))
-    model = BucketedRandomProjectionLSH(inputCol="_v", outputCol="_h", numHashTables=tables, bucketLength=width, seed=7).fit(hashed(rows))
-    index = lambda df: model.transform(hashed(df)).select("k", F.posexplode("_h").alias("table", "h")).select("k", "table", vector_to_array("h")[0].alias("bucket"))
-    pairs = index(asked).toDF("query", "table", "bucket").join(index(rows), ["table", "bucket"]).groupBy("query", "k").agg(F.count(F.lit(1)).alias("shared"))
-    met = pairs.join(asked.toDF("query", "qu"), "query").join(rows, "k")
-    return _top(met.select("query", F.col("k").alias(key), F.round(V.dot(F.col("qu"), F.col("u")), 6).alias("similarity")), k, key)
-
-
 @dataclass
 class TextQuery:
     """A web-style query: all terms and phrases, alternatives joined by ``or``, and terms that must not occur."""
@@ -143,7 +134,7 @@ def text_rank(words: Column, query: TextQuery) -> Column:
     total = F.lit(0.0)
     for w in query.words:
         c = F.size(words) - F.size(F.array_remove(words, w))
-        total = total + F.when(c > 0, F.aggregate(F.sequence(F.lit(1), c), F.lit(0.0), lambda s, j: s + 1.0 / (j * j))).otherwise(0.0)
+        total = total + F.when(c > 0, F.aggregate(F.sequence(F.lit(1), c), F.lit(0.0), lambda s, j: s + 1.0 / (j.cast("double") * j))).otherwise(0.0)
     return F.round(0.1 * total / n, 6)
 
 
@@ -170,21 +161,22 @@ def fuse(lists: list[DataFrame], limit: int = 30, k: int = 60) -> DataFrame:
     return fused.orderBy(F.desc("score"), "_first").limit(limit).drop("_first")
 
 
-def retrieve(items: DataFrame, query_text: str, query_vector: list[float] | None, limit: int = 30, key: str = "chunk_id") -> DataFrame:
-    """Hybrid retrieval; only if both lists are empty does a match of any word count."""
+def retrieve(items: DataFrame, query_text: str, query_vector: list[float] | None, limit: int = 30, key: str = "chunk_id", index: TextIndex | None = None) -> DataFrame:
+    """Hybrid retrieval; only if both lists are empty does a match of any word count. With an ``index`` of the items no text is read."""
     near = knn(items, query_vector, limit, key) if query_vector else None
-    text = full_text(items, query_text, limit, key)
+    search = partial(index.search, k=limit, key=key) if index else partial(full_text, items, k=limit, key=key)
+    text = search(query_text)
     lists = ([ranked_list(near, "similarity", key, 0)] if near is not None else []) + [ranked_list(text, "rank", key, 1)]
     out = fuse(lists, limit)
     if out.isEmpty():
-        out = fuse([ranked_list(full_text(items, query_text, limit, key, any_word=True), "rank", key, 1)], limit)
+        out = fuse([ranked_list(search(query_text, any_word=True), "rank", key, 1)], limit)
     return out
 
 
-def retrieve_all(items: DataFrame, query_text: str, queries: DataFrame, limit: int = 30, key: str = "chunk_id", text: str = "content", k: int = 60) -> DataFrame:
+def retrieve_all(items: DataFrame, query_text: str, queries: DataFrame, limit: int = 30, key: str = "chunk_id", text: str = "content", k: int = 60, index: TextIndex | None = None) -> DataFrame:
     """(query, key, score): hybrid retrieval with one text and every query vector."""
     near = knn_all(items, queries, limit, key).select("query", F.col(key).alias("key"), F.lit(0).alias("list_no"), F.col("similarity").alias("s"))
-    found = full_text(items, query_text, limit, key, text).select(F.col(key).alias("key"), F.col("rank").alias("s"))
+    found = (index.search(query_text, limit, key) if index else full_text(items, query_text, limit, key, text)).select(F.col(key).alias("key"), F.col("rank").alias("s"))
     words = queries.select(F.col(key).alias("query")).join(F.broadcast(found), F.lit(True)).select("query", "key", F.lit(1).alias("list_no"), "s")  # at most ``limit`` rows
     place = Window.partitionBy("query", "list_no").orderBy(F.desc("s"), "key")
     every = near.unionByName(words).withColumn("position", F.row_number().over(place) - 1)
@@ -199,31 +191,3 @@ def search_similar_chunks(chunks: DataFrame, documents: DataFrame, user_id, vect
     if document_ids is not None:
         docs = docs.where(F.col("document_id").isin(document_ids))
     return knn(chunks.join(docs.select("document_id"), "document_id"), vector, limit)
-
-
-def inverted_index(items: DataFrame, key: str = "chunk_id", text: str = "content") -> DataFrame:
-    """(term, key, n): how often each term occurs in each text; written once, it is searched by its terms."""
-    return items.select(key, F.explode(terms(F.col(text))).alias("term")).groupBy("term", key).agg(F.count(F.lit(1)).alias("n"))
-
-
-def index_search(index: DataFrame, query: str, k: int = 30, key: str = "chunk_id", any_word: bool = False) -> DataFrame:
-    """(key, rank) as :func:`full_text` gives them, from the rows of the query's single words in the index alone."""
-    q = TextQuery.parse(query)
-    words, banned = q.words, [w for u in q.without for w in u]
-    if any(len(u) > 1 for g in [*q.groups, q.without] for u in g):
-        raise ValueError("phrases need the texts; use full_text")
-    rows = index.where(F.col("term").isin(*words, *banned))
-    count = {w: F.max(F.when(F.col("term") == w, F.col("n"))) for w in words}
-    found = rows.groupBy(key).agg(*[F.coalesce(c, F.lit(0)).alias(f"n{i}") for i, c in enumerate(count.values())], F.count_if(F.col("term").isin(*banned) if banned else F.lit(False)).alias("_banned"))
-    has = {w: F.col(f"n{i}") > 0 for i, w in enumerate(words)}
-    ok = F.lit(bool(q.groups))
-    for group in q.groups:
-        any_ = F.lit(False)
-        for unit in group:
-            any_ = any_ | has[unit[0]]
-        ok = (ok & any_) if not any_word else (any_ if group is q.groups[0] else ok | any_)
-    total = F.lit(0.0)
-    for i in range(len(words)):
-        c = F.col(f"n{i}").cast("int")
-        total = total + F.when(c > 0, F.aggregate(F.sequence(F.lit(1), c), F.lit(0.0), lambda s, j: s + 1.0 / (j * j))).otherwise(0.0)
-    return found.where(ok & ((F.col("_banned") == 0) | F.lit(any_word))).select(key, F.round(0.1 * total / max(len(words), 1), 6).alias("rank")).orderBy(F.desc("rank"), key).limit(k)
