@@ -18,6 +18,8 @@ from .functions import vectors as V
 from .operators import anomaly, budgets, findings, incidents, metrics, retrieval, segments, windows
 from .operators.metrics import RULES, WINDOW
 from .operators.ordered import number_lines
+from .operators.text_index import TextIndex
+from .operators.vector_index import VectorIndex
 from .plans.ingest import Ingested, ingest, session_metrics, wide
 from .sources import tables
 from .sources.lines import NOTE_EVERY, NOTES, read_lines, synth_log_lines
@@ -550,8 +552,11 @@ def knn_cosine(spark, sf):
 
 
 @query()
-def knn_lsh(spark, sf):
-    return retrieval.knn_lsh(_read(spark, sf, "embeddings"), _asked(spark, sf), 10, "vec_id")
+def knn_index(spark, sf):
+    """Every item indexed; searches look into cells of codes and compare 40 whole vectors a query."""
+    items = _read(spark, sf, "embeddings")
+    index = VectorIndex.build(items, scratch_path(spark, "vector-index"), "vec_id")
+    return index.search(_asked(spark, sf), 10, "vec_id").select("query", F.col("key").alias("vec_id"), "similarity")
 
 
 @query(
@@ -607,8 +612,23 @@ def fts_or_fallback(spark, sf):
 @query(f"WITH {_WORDS} SELECT doc_id, {_rank_sql(['the', 'on'])} AS rank FROM w WHERE list_contains(ws, 'the') AND list_contains(ws, 'on') AND NOT list_contains(ws, 'licensed') ORDER BY rank DESC, doc_id LIMIT 30")
 def fts_index(spark, sf):
     """The index is written once; a search reads the rows of its words."""
-    index = written(retrieval.inverted_index(_read(spark, sf, "documents"), "doc_id", "text").repartition("term").sortWithinPartitions("term"), "index")
-    return retrieval.index_search(index, "the on -licensed", 30, "doc_id")
+    return _text_index(spark, sf).search("the on -licensed", 30, "doc_id")
+
+
+def _text_index(spark, sf) -> TextIndex:
+    return TextIndex.build(_read(spark, sf, "documents"), scratch_path(spark, "text-index"), "doc_id", "text", block_items=256)
+
+
+_JOINED = "' ' || array_to_string(ws, ' ') || ' '"
+
+
+@query(
+    f"""WITH {_WORDS} SELECT doc_id, {_rank_sql(['of', 'the', 'on', 'that'])} AS rank FROM w
+WHERE contains({_JOINED}, ' of the ') AND (list_contains(ws, 'on') OR list_contains(ws, 'that')) AND NOT contains({_JOINED}, ' the and ') ORDER BY rank DESC, doc_id LIMIT 30"""
+)
+def fts_phrase(spark, sf):
+    """A phrase, alternatives and an excluded phrase, answered by the positions of the index."""
+    return _text_index(spark, sf).search('"of the" on or that -"the and"', 30, "doc_id")
 
 
 @query(

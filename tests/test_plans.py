@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace import catalogue
 from millrace.config import EngineConfig
-from millrace.operators import retrieval, segments, windows
+from millrace.operators import segments, windows
 from millrace.plans import analyse
 from millrace.plans import ingest as plans
 from millrace.sources.lines import read_lines, split_lines, synth_log_lines
@@ -80,15 +80,6 @@ def test_parts_are_cut_hard_on_records(spark):
     assert all((p.first_line - 1) % 3 == 0 for p in parts) and [p.first_line for p in parts[1:]] == [p.last_line + 1 for p in parts[:-1]]
 
 
-def test_approximate_search_finds_the_nearest(spark):
-    """Recall of the index against the exact search over the same queries."""
-    items = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
-    asked = items.where("vec_id % 20 = 0")
-    exact = {(r.query, r.vec_id) for r in retrieval.knn_all(items, asked, 10, "vec_id").collect()}
-    near = {(r.query, r.vec_id) for r in retrieval.knn_lsh(items, asked, 10, "vec_id").collect()}
-    assert len(exact) == 250 and len(near & exact) / len(exact) >= 0.9
-
-
 def test_late_and_unordered_rows(spark, tmp_path):
     """Without a watermark a late row still counts; with one it is dropped once its window is closed."""
     t0, src = dt.datetime(2024, 1, 1), tmp_path / "in"
@@ -124,10 +115,3 @@ def test_reports_hold_every_incident(spark):
     assert '"incident_count": 70' in r.content_json and r.generated_at is not None
     body = re.findall(r"n\d{3}", r.content_md)
     assert body == [f"n{k:03}" for k in [*range(1, 70), 0]]
-
-
-@pytest.mark.parametrize("query", ["the on", "fox or dog", "brown -fox", "nosuchword"])
-def test_index_search_equals_text_search(spark, query):
-    df = spark.createDataFrame([(1, "the quick brown fox on the"), (2, "quick the fox"), (3, "brown dog"), (4, None), (5, "the on on")], "chunk_id int, content string")
-    want = [tuple(r) for r in retrieval.full_text(df, query).collect()]
-    assert [tuple(r) for r in retrieval.index_search(retrieval.inverted_index(df), query).collect()] == want
