@@ -12,7 +12,7 @@ Weights are at most SCALE + 1, so a square fits in 64 bits, and so does a sum wh
 Terms that no group of a tile holds in a chunk add the same value each and are counted, not visited.
 
 Texts are cut and counted in Arrow batches, so the shuffle carries one row for each group, term and task. No step
-gathers a group: vectors are gathered by chunk, whose terms are some CHUNK; best terms are picked by chunk first.
+gathers a group: vectors are gathered by chunk, whose terms are some CHUNK; best terms are picked in each task first.
 
 Defined results: null text, language and source are ''; a group whose documents have no term is compared all the
 same; a language without kept terms has value 0 for each pair; repeated rows count as often as they occur; an empty
@@ -50,24 +50,25 @@ def count_terms(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+        size = 0
 
         def passed() -> Iterator[pa.RecordBatch]:
             for (lang, source), (n, df) in held.items():
-                terms = [t.decode() for t in n]
+                k = len(n) + 1
+                terms = pa.concat_arrays([pa.array(list(n), pa.binary()).cast(pa.string()), pa.nulls(1, pa.string())])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * (len(n) + 1)), pa.array([source] * (len(n) + 1)), pa.array([*terms, None], pa.string()), pa.array([*n.values(), 0], pa.int64()), pa.array([*(df[t] for t in n), 0], pa.int64())],
+                    [pa.repeat(lang, k), pa.repeat(source, k), terms, pa.array([*n.values(), 0], pa.int64()), pa.array([*map(df.__getitem__, n), 0], pa.int64())],
                     names=["lang", "source", "term", "n", "df"],
                 )
             held.clear()
 
-        size = 0
         for batch in batches:
             for lang, source, text in zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), batch.column("text")):
-                one = Counter(text.as_buffer().to_pybytes().translate(_TABLE).split())
+                words = text.as_buffer().to_pybytes().translate(_TABLE).split()
                 n, df = held.setdefault((lang, source), (Counter(), Counter()))
                 size -= len(n)
-                n.update(one)
-                df.update(one.keys())
+                n.update(words)
+                df.update(set(words))
                 size += len(n)
                 if size > HELD:
                     yield from passed()
@@ -75,7 +76,9 @@ def count_terms(docs: DataFrame) -> DataFrame:
         yield from passed()
 
     rows = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
-    return rows.mapInArrow(combined(run), _COUNTED).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
+    # tasks have added up what they hold, so rows are dealt by term at once: another partial aggregate would find little
+    dealt = rows.mapInArrow(combined(run), _COUNTED).repartition("lang", "source", "term")
+    return dealt.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
 
 
 def weight(count: Column, total: Column, size: Column) -> Column:
@@ -168,9 +171,7 @@ def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top_terms: int = TOP_TERMS,
     weighed = cells.join(groups.select("lang", "source", "total", "v", "all"), ["lang", "source"])
     weighed = weighed.withColumn("p", weight(F.col("n"), F.col("total"), F.col("v")))
     marked = weighed.withColumn("q", weight(F.col("c"), F.col("all"), F.col("v"))).where("n > 0 and p > q")
-    marked = marked.select("lang", "source", "chunk", F.col("term").alias("item"), value(F.col("p"), F.col("q")).alias("value"))
-    best = Window.partitionBy("lang", "source", "chunk").orderBy(F.desc("value"), "item")
-    marked = marked.withColumn("r", F.row_number().over(best)).where(F.col("r") <= top_terms).drop("r", "chunk")
+    marked = marked.select("lang", "source", F.col("term").alias("item"), value(F.col("p"), F.col("q")).alias("value"))
 
     packed = weighed.groupBy("lang", "chunk", "source").agg(F.sort_array(F.collect_list(F.struct("id", "p"))).alias("x"))
     packed = packed.select("lang", "chunk", "source", F.col("x")["id"].alias("ids"), F.col("x")["p"].alias("ps"))
@@ -185,6 +186,7 @@ def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top_terms: int = TOP_TERMS,
     pairs = tiled.mapInArrow(_tiles, "lang string, source string, item string, value bigint").groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
     bare = groups.where("n_chunks = 0").select("lang", "source")
     bare = bare.join(bare.select("lang", F.col("source").alias("item")), "lang").where("source <> item").withColumn("value", F.lit(0).cast("bigint"))
+    # a bounded rank is looked for in each task first, so a group's shuffled rows are top_terms for each task at most
     return _ranked(pairs.unionByName(bare), "pair").unionByName(_ranked(marked, "term").where(F.col("rank") <= top_terms))
 
 
