@@ -34,12 +34,38 @@ class MetricRule:
 
 #: Feature columns that rules refer to: each pattern is matched once a line.
 FLAGS = {
-    "query": P.QUERY, "deadlock": P.DEADLOCK, "timed_out": P.TIMEOUT, "pool": P.POOL, "failure": P.FAILURE, "slow": P.SLOW,
-    "error_level": P.ERROR_LEVEL, "fatal_level": P.FATAL_LEVEL, "unauthorized": P.UNAUTHORIZED, "forbidden": P.FORBIDDEN,
-    "auth_fail": P.AUTH_FAIL, "token_expired": P.TOKEN_EXPIRED, "oom": P.OOM, "memory_warn": P.MEMORY_WARN, "thread_pool": P.THREAD_POOL,
-    "startup": P.STARTUP, "shutdown": P.SHUTDOWN, "deploy": P.DEPLOY, "config_reload": P.CONFIG_RELOAD, "health_fail": P.HEALTH_FAIL,
-    "request": P.REQUEST, "warn": P.WARN,
+    "query": P.QUERY, "deadlock": P.DEADLOCK, "timed_out": P.TIMEOUT, "pool": P.POOL, "failure": P.FAILURE,
+    "slow": P.SLOW, "error_level": P.ERROR_LEVEL, "fatal_level": P.FATAL_LEVEL, "unauthorized": P.UNAUTHORIZED,
+    "forbidden": P.FORBIDDEN, "auth_fail": P.AUTH_FAIL, "token_expired": P.TOKEN_EXPIRED, "oom": P.OOM,
+    "memory_warn": P.MEMORY_WARN, "thread_pool": P.THREAD_POOL, "startup": P.STARTUP, "shutdown": P.SHUTDOWN,
+    "deploy": P.DEPLOY, "config_reload": P.CONFIG_RELOAD, "health_fail": P.HEALTH_FAIL, "request": P.REQUEST,
+    "warn": P.WARN,
 }
+#: Words without one of which, in the lower-cased line, a flag's pattern cannot match: most lines are told by them.
+NEEDS = {
+    "query": ("select", "insert", "update", "delete", "merge", "executing query", "hibernate:"),
+    "deadlock": ("deadlock",),
+    "timed_out": ("timeout",),
+    "pool": ("pool", "unable to acquire", "connection is not available"),
+    "failure": ("sqlexception", "sqlstate", "constraint violation", "could not ", "ora-", "duplicate key"),
+    "slow": ("slow query", "slow sql"),
+    "error_level": ("error", "fatal", "severe"),
+    "fatal_level": ("fatal", "severe"),
+    "unauthorized": ("401", "unauthorized"),
+    "forbidden": ("403", "forbidden", "access denied"),
+    "auth_fail": ("auth", "credentials", "invalid password", "login failed"),
+    "token_expired": ("expired",),
+    "oom": ("outofmemoryerror", "out of memory", "oomkilled", "heap space", "gc overhead limit"),
+    "memory_warn": ("memory", "heap"),
+    "thread_pool": ("thread", "task rejected", "rejectedexecution", "queue "),
+    "startup": ("start", "jvm running", "springapplication"),
+    "shutdown": ("shut", "stopping "),
+    "deploy": ("deploy", "new version", "rolling out", "release "),
+    "config_reload": ("config", "refreshing ", "reloaded properties"),
+    "health_fail": ("health", "liveness", "readiness", "status"),
+    "request": ("/", "incoming request", "request received"),
+    "warn": ("warn",),
+}
 RULES: tuple[MetricRule, ...] = (
     MetricRule("API", "api_calls", "path is not null"),
     MetricRule("API", "ff_api_calls", "path is not null and lower(path) rlike 'flag|feature'"),
@@ -77,18 +103,27 @@ RULES: tuple[MetricRule, ...] = (
 
 def features(runs: DataFrame) -> DataFrame:
     """One row per line with every flag, group and number the rules use."""
-    line = F.col("value")
+    line, low = F.col("value"), F.col("_low")
     number = lambda c: c.try_cast("double")
-    cols = {k: line.rlike(p) for k, p in FLAGS.items()}
+
+    def holds(*words: str) -> Column:
+        out = low.contains(words[0])
+        for w in words[1:]:
+            out = out | low.contains(w)
+        return out
+
+    cols = {k: holds(*NEEDS[k]) & line.rlike(p) for k, p in FLAGS.items()}
+    ms = holds("ms")
+    gc_pause = F.when(ms & holds("gc", "garbage collect", "pause"), first_group(line, (P.GC_PAUSE, 1), (P.GC_PAUSE, 2)))
     cols |= {
-        "path": F.when(line.rlike(P.METHOD_PATH), F.regexp_extract(line, P.METHOD_PATH, 2)),
-        "status": first_group(line, (P.STATUS_LABELLED, 1), (P.STATUS_HTTP, 1)).try_cast("int"),
-        "latency": first_group(line, (P.LATENCY_LABELLED, 1), (P.LATENCY_BARE, 1)).try_cast("bigint"),
-        "sql_latency": first_group(line, (P.QUERY_LATENCY, 1)).try_cast("bigint"),
-        "exception": first_group(line, (P.EXCEPTION, 1)),
-        "gc_pause": F.floor(number(first_group(line, (P.GC_PAUSE, 1), (P.GC_PAUSE, 2))) + 0.5).cast("bigint"),
+        "path": F.when(holds("/") & line.rlike(P.METHOD_PATH), F.regexp_extract(line, P.METHOD_PATH, 2)),
+        "status": F.when(holds("status", "response", "code", "http/"), first_group(line, (P.STATUS_LABELLED, 1), (P.STATUS_HTTP, 1))).try_cast("int"),
+        "latency": F.when(ms, first_group(line, (P.LATENCY_LABELLED, 1), (P.LATENCY_BARE, 1))).try_cast("bigint"),
+        "sql_latency": F.when(ms & holds("query", "sql", "statement", "db"), first_group(line, (P.QUERY_LATENCY, 1))).try_cast("bigint"),
+        "exception": F.when(holds("exception", "error", "throwable"), first_group(line, (P.EXCEPTION, 1))),
+        "gc_pause": F.floor(number(gc_pause) + 0.5).cast("bigint"),
     }
-    return runs.withColumns(cols)
+    return runs.withColumn("_low", F.lower(line)).withColumns(cols).drop("_low")
 
 
 def _numbers(rule: MetricRule) -> list[Column]:

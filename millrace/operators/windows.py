@@ -27,7 +27,10 @@ def with_runs(lines: DataFrame, cfg: EngineConfig) -> DataFrame:
     """
     order = "seq" if "seq" in lines.columns else "line_no"
     df = lines.withColumn("_block", F.col("block")) if "block" in lines.columns else with_block(lines, order, cfg.order_block)
-    df = df.withColumn("ts", line_ts(F.col("value"), cfg.syslog_year))
+    # dealt by block first, as the windows need it: a file that is read by one task is parsed by many. A stated number of
+    # parts, as lines pack well and parsing costs more than their bytes tell
+    parts = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    df = df.repartition(parts, *KEYS, "_block").withColumn("ts", line_ts(F.col("value"), cfg.syslog_year))
     of = lambda t: bucket(t, cfg.window_seconds)
     w = Window.partitionBy(*KEYS, "_block").orderBy(order)
     df = df.withColumn("_k", F.row_number().over(w)).withColumn("_filled", F.last("ts", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
