@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..config import EngineConfig
 from ..operators import findings, incidents, metrics, retrieval
 from ..operators.ordered import number_lines
+from ..operators.text_index import TextIndex
 from ..ports import ChatModel, Embedder, explain_column
 from ..sources.scratch import written
 
@@ -92,12 +93,12 @@ class Answer:
     citations: list[str]
 
 
-def drilldown(chunks: DataFrame, question: str, model: ChatModel, embedder: Embedder | None, cfg: EngineConfig = EngineConfig()) -> Answer:  # noqa: B008
-    """Retrieve, grade, rewrite at most twice, answer; citations outside the evidence are dropped."""
+def drilldown(chunks: DataFrame, question: str, model: ChatModel, embedder: Embedder | None, cfg: EngineConfig = EngineConfig(), index: TextIndex | None = None) -> Answer:  # noqa: B008
+    """Retrieve, grade, rewrite at most twice, answer; citations outside the evidence are dropped. With an ``index`` of the chunks no text is searched."""
     asked, best = question, []
     for attempt in range(cfg.max_rewrites + 1):
         vector = embedder.embed([asked])[0] if embedder else None
-        hits = retrieval.retrieve(chunks, asked, vector, cfg.retrieve_limit)
+        hits = retrieval.retrieve(chunks, asked, vector, cfg.retrieve_limit, index=index)
         docs = hits.join(chunks, F.col("key") == chunks["chunk_id"]).orderBy(F.desc("score"), "key").select("chunk_id", F.substring("content", 1, 800).alias("content")).collect()  # at most the limit
         best = best or docs
         text = "\n".join(f"[{d.chunk_id}] {d.content}" for d in docs)

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -30,6 +30,9 @@ class MergeTable:
         self.ids = list(dict.fromkeys([session, key]))
         self.rest = [f.name for f in self.schema if f.name not in [*self.ids, version]]
 
+    def _cast(self, *columns: str) -> list[Column]:
+        return [F.col(c).cast(self.schema[c].dataType).alias(c) for c in columns]
+
     def _folder(self, path: str):
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
@@ -47,17 +50,17 @@ class MergeTable:
         return sorted(found, key=lambda x: (x[0].rsplit("/", 1)[1], x[0]))
 
     def base(self) -> DataFrame:
-        return read_or_empty(self.spark, f"{self.path}/base", self.ddl)
+        return read_or_empty(self.spark, f"{self.path}/base", self.ddl).select(*self.schema.names)
 
     def load(self, rows: DataFrame) -> None:
         """Replace the base rows of the sessions in ``rows``; earlier changes of later versions still count."""
-        write_sessions(rows.select(*[f.name for f in self.schema]), f"{self.path}/base")
+        write_sessions(rows.select(*self._cast(*[f.name for f in self.schema])), f"{self.path}/base", self.session, self.key if self.key != self.session else None)
 
     def change(self, rows: DataFrame, name: str | None = None) -> str:
         """Append a change: ``rows`` has the ids, the version, and the columns to set. Returns the batch's name."""
         columns = sorted(c for c in rows.columns if c in self.rest)
         name = name or uuid.uuid4().hex
-        rows.select(*self.ids, self.version, *columns).write.mode("overwrite").parquet(f"{self.path}/changes/{'+'.join(columns) or '-'}/batch={name}")
+        rows.select(*self._cast(*self.ids, self.version, *columns)).write.mode("overwrite").parquet(f"{self.path}/changes/{'+'.join(columns) or '-'}/batch={name}")
         return name
 
     def _changes(self, batches: list[tuple[str, list[str]]]) -> DataFrame | None:
@@ -100,7 +103,7 @@ class MergeTable:
         touched = changes.select(self.session).distinct()
         # a row's one version stands for all of its columns from now on, so that of a column which was set earlier is lost
         merged = written(self._merged(batches).join(touched, self.session, "left_semi"), "compacted")
-        write_sessions(merged, f"{self.path}/base")
+        write_sessions(merged, f"{self.path}/base", self.session, self.key if self.key != self.session else None)
         remove(merged)
         for folder, _ in batches:
             p, fs = self._folder(folder)

@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def write_sessions(df: DataFrame, path: str) -> None:
+def write_sessions(df: DataFrame, path: str, session: str = "session_id", spread_by: str | None = None) -> None:
     """Replace the sessions that ``df`` holds; all others stay. Sorted within files for min/max pruning."""
-    order = [c for c in ("session_id", "time_bucket", "line_start", "created_at") if c in df.columns]
-    # a session is dealt to several tasks by time or line, so a large one is not written by one
+    order = [c for c in (session, "time_bucket", "line_start", "created_at", spread_by) if c in df.columns]
+    # a session is dealt to several tasks by time, line or key, so a large one is not written by one
     spread = F.pmod(F.xxhash64(*order[1:2]), F.lit(16)) if len(order) > 1 else F.lit(0)
-    df.withColumn("_part", spread).repartition("session_id", "_part").drop("_part").sortWithinPartitions(*order).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("session_id").parquet(path)
+    df.withColumn("_part", spread).repartition(session, "_part").drop("_part").sortWithinPartitions(*order).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(session).parquet(path)
 
 
 def append(df: DataFrame, path: str) -> None:
@@ -44,10 +44,11 @@ def missing_embeddings(chunks: DataFrame) -> DataFrame:
 
 
 def pair_vectors(ids: DataFrame) -> DataFrame:
-    """(chunk_id, vector) from rows of (chunk_ids, vectors); as many as the shorter list has."""
+    """(..., chunk_id, vector) from rows of (..., chunk_ids, vectors); as many as the shorter list has."""
     n = F.least(F.size("chunk_ids"), F.size("vectors"))
     pairs = F.arrays_zip(F.slice("chunk_ids", 1, n).alias("chunk_id"), F.slice("vectors", 1, n).alias("vector"))
-    return ids.select(F.explode(pairs).alias("p")).select(F.col("p.chunk_id").alias("chunk_id"), F.col("p.vector").alias("vector"))
+    rest = [c for c in ids.columns if c not in ("chunk_ids", "vectors")]
+    return ids.select(*rest, F.explode(pairs).alias("p")).select(*rest, F.col("p.chunk_id").alias("chunk_id"), F.col("p.vector").alias("vector"))
 
 
 def unprocessed(parts: DataFrame, done: DataFrame) -> DataFrame:

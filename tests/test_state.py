@@ -90,5 +90,15 @@ def test_engine_end_to_end(spark, tmp_path):
     assert "Key Metrics" in e.report("s1").first().content_md
     a = e.drilldown("s1", "BoomException deadlock")
     assert a.citations and e.history("s1").count() == 1
+    # vectors change without the session being rewritten, the last report counts, and compaction changes nothing
+    ids = [r.chunk_id for r in e.chunks().orderBy("chunk_id").limit(2).collect()]
+    e.store_embeddings(spark.createDataFrame([("s1", ids, [[1.0, 2.0], None, [3.0]])], "session_id string, chunk_ids array<string>, vectors array<array<float>>"), 1)
+    assert {r.chunk_id: r.embedding for r in e.chunks().where(F.col("chunk_id").isin(ids)).collect()} == dict(zip(ids, ([1.0, 2.0], None), strict=True))
+    assert e.backfill("s1", 2) == 1 and e.backfill("s1", 3) == 0
+    before, report = sorted(map(str, e.chunks().collect())), e.report("s1").first()
+    e.analyse("s1")
+    assert e.report("s1").count() == 1 and e.report("s1").first().generated_at > report.generated_at
+    e.compact()
+    assert sorted(map(str, e.chunks().collect())) == before and e.report("s1").count() == 1
     e.drop("s1")
-    assert e.chunks().count() == 0
+    assert e.chunks().count() == 0 and e.report("s1").count() == 0
