@@ -23,8 +23,10 @@ from .operators.vector_index import VectorIndex
 from .plans.ingest import Ingested, ingest, session_metrics, wide
 from .sources import tables
 from .sources.lines import NOTE_EVERY, NOTES, read_lines, synth_log_lines
+from .sources.merge import MergeTable
 from .sources.scratch import scratch_path, written
 from .streaming import ingest as streams
+from .streaming import state
 
 CFG = EngineConfig(window_seconds=3600)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -679,6 +681,65 @@ def redelivered_counts(spark, sf):
     return streams.finished(docs, p).select("document_id", "parsed")
 
 
+@query(
+    """SELECT CAST(user_id % 10 AS VARCHAR) AS document_id, count(DISTINCT event_id % 50) AS parsed, 50::BIGINT AS total, (count(DISTINCT event_id % 50) >= 50)::BIGINT AS claims
+FROM events WHERE user_id % 10 <> 9 GROUP BY 1"""
+)
+def completion_claims(spark, sf):
+    """Part markers as a stream that stops and goes on: counters of each document, and how often its completion was claimed.
+
+    Markers are redelivered; documents of user 9 were deleted before their first marker.
+    """
+    folder = scratch_path(spark, "claims")
+    owner = (F.col("user_id") % 10).cast("string")
+    marker = F.struct(owner.alias("owner"), F.concat(F.lit("part"), F.col("event_id") % 50).alias("item"), F.lit(1).alias("done"), F.lit(0).alias("total"), F.lit(False).alias("gone"))
+    planned = F.struct(owner.alias("owner"), F.lit("plan").alias("item"), F.lit(0).alias("done"), F.lit(50).alias("total"), (owner == "9").alias("gone"))
+    events = _read(spark, sf, "events")
+    for half in (0, 1):
+        events.where(F.col("event_id") % 2 == half).select(F.explode(F.array(planned, marker)).alias("e")).select("e.*").write.parquet(f"{folder}/in/{half}")
+        stream = spark.readStream.schema("owner string, item string, done int, total int, gone boolean").parquet(f"{folder}/in/*")
+        state.run_stateful(state.completions(stream), f"{folder}/checkpoint", streams.additive_sink(f"{folder}/rows"))
+    rows = spark.read.parquet(f"{folder}/rows")
+    return rows.groupBy(F.col("owner").alias("document_id")).agg(F.max("done").alias("parsed"), F.max("total").alias("total"), F.count_if("claimed").alias("claims"))
+
+
+@query(
+    """WITH s AS (SELECT user_id, event_id, CASE event_type WHEN 'error' THEN 'FAILED' ELSE upper(event_type) END AS status, CAST(floor(value / 100) AS BIGINT) AS enriched, epoch_ms(ts) AS at_ms, epoch_ms(ts) // 3600000 AS sweep FROM events),
+b AS (SELECT *, min(sweep) OVER (PARTITION BY user_id) AS opened FROM s QUALIFY row_number() OVER (PARTITION BY user_id, sweep ORDER BY at_ms DESC, event_id DESC) = 1),
+k AS (SELECT *, min(CASE WHEN status = 'FAILED' THEN sweep END) OVER (PARTITION BY user_id) AS stop, lag(status || ':' || enriched) OVER (PARTITION BY user_id ORDER BY sweep) AS before FROM b WHERE sweep - opened <= 72),
+f AS (SELECT * FROM k WHERE stop IS NULL OR sweep <= stop)
+SELECT user_id, at_ms, status, enriched, status = 'FAILED' AS closed FROM f WHERE before IS NULL OR before <> status || ':' || enriched OR status = 'FAILED'
+UNION ALL SELECT user_id, (opened + 1) * 3600000 + 259200000, arg_max(status, sweep), arg_max(enriched, sweep), true FROM f WHERE stop IS NULL GROUP BY user_id, opened"""
+)
+def progress_feed(spark, sf):
+    """Hourly sweeps over each user's states, sent on change; a feed ends with FAILED, or three days after it opened."""
+    folder = scratch_path(spark, "feed")
+    at = F.timestamp_micros(F.unix_micros(F.col("ts").cast("timestamp")) - _shift() * 1_000_000)
+    status = F.when(F.col("event_type") == "error", "FAILED").otherwise(F.upper("event_type"))
+    rows = _read(spark, sf, "events").select(F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("seq"), status.alias("status"), F.floor(F.col("value") / 100).alias("enriched"), F.lit(0).cast("bigint").alias("total"), at.alias("at"))
+    end = rows.select(F.max("at").alias("at")).select(F.lit("").alias("key"), F.lit(0).cast("bigint").alias("seq"), F.lit("FAILED").alias("status"), F.lit(0).cast("bigint").alias("enriched"), F.lit(0).cast("bigint").alias("total"), (F.col("at") + F.expr("interval 9 days")).alias("at"))
+    for name, part in (("a", rows), ("b", end)):  # the second arrival only moves the watermark on
+        part.write.parquet(f"{folder}/in/{name}")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{folder}/in/*")
+        state.run_stateful(state.progress_feed(stream, "at", sweep_ms=3_600_000, cap_ms=259_200_000), f"{folder}/checkpoint", streams.additive_sink(f"{folder}/rows"))
+    return spark.read.parquet(f"{folder}/rows").where("key <> ''").select(F.col("key").cast("bigint").alias("user_id"), "at_ms", "status", "enriched", "closed")
+
+
+@query(
+    """WITH v AS (SELECT vec_id, embedding, 1 AS version FROM embeddings WHERE vec_id % 3 = 0 UNION ALL SELECT vec_id, [x * 2 for x in embedding], 2 FROM embeddings WHERE vec_id % 15 = 0)
+SELECT doc_id, lang, round(arg_max(v.embedding[1], version)::DOUBLE, 5) AS first, coalesce(max(version), 0)::BIGINT AS version FROM documents d LEFT JOIN v ON v.vec_id = d.doc_id GROUP BY doc_id, lang"""
+)
+def merged_updates(spark, sf):
+    """Two updates of some vectors, in the wrong order, beside a base that is not rewritten."""
+    table = MergeTable(spark, scratch_path(spark, "merge"), "lang string, doc_id bigint, embedding array<float>, version bigint", "doc_id", "version", "lang")
+    table.load(_read(spark, sf, "documents").select("lang", "doc_id", F.lit(None).cast("array<float>").alias("embedding"), F.lit(0).cast("bigint").alias("version")))
+    vectors = _read(spark, sf, "embeddings").join(_read(spark, sf, "documents").select("lang", F.col("doc_id").alias("vec_id")), "vec_id")
+    later = vectors.where("vec_id % 15 = 0").select("lang", F.col("vec_id").alias("doc_id"), F.transform("embedding", lambda x: x * 2).alias("embedding"), F.lit(2).cast("bigint").alias("version"))
+    table.change(later, "first to arrive")
+    table.change(vectors.where("vec_id % 3 = 0").select("lang", F.col("vec_id").alias("doc_id"), "embedding", F.lit(1).cast("bigint").alias("version")), "second")
+    return table.read().select("doc_id", "lang", F.round(F.get("embedding", F.lit(0)).cast("double"), 5).alias("first"), "version")
+
+
 @query("SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
 def cascade_delete(spark, sf):
     gone = _read(spark, sf, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"))
