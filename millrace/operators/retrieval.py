@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..functions.text import terms
+from ..sources.scratch import written
 
 if TYPE_CHECKING:
     from .text_index import TextIndex
@@ -185,6 +186,25 @@ def retrieve_all(items: DataFrame, query_text: str, queries: DataFrame, limit: i
     return fused.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= limit).drop("_r", "_first")
 
 
+def retrieve_each(items: DataFrame, queries: DataFrame, index: TextIndex, limit: int = 30, key: str = "chunk_id", k: int = 60) -> DataFrame:
+    """(query, key, score): :func:`retrieve` for every row (query, text, embedding) of ``queries``, in one run."""
+    asked = queries.where(F.col("embedding").isNotNull() & (F.size("embedding") > 0)).select(F.col("query").alias(key), "embedding")
+    near = knn_all(items, asked, limit, key).select("query", F.col(key).alias("key"), F.lit(0).alias("list_no"), F.col("similarity").alias("s"))
+
+    def words(rows: DataFrame, any_word: bool) -> DataFrame:
+        return index.search_all(rows.select("query", "text"), limit, key, any_word).select("query", F.col(key).alias("key"), F.lit(1).alias("list_no"), F.col("rank").alias("s"))
+
+    found = written(near.unionByName(words(queries, False)), "found")
+    missed = written(queries.join(found.select("query").distinct(), "query", "left_anti"), "missed")
+    if not missed.isEmpty():
+        found = found.unionByName(words(missed, True))
+    place = Window.partitionBy("query", "list_no").orderBy(F.desc_nulls_last("s"), "key")
+    every = found.withColumn("position", F.row_number().over(place) - 1)
+    fused = every.groupBy("query", "key").agg(F.round(F.sum(1.0 / (k + F.col("position"))), 6).alias("score"), F.min(F.struct("list_no", "position")).alias("_first"))
+    best = Window.partitionBy("query").orderBy(F.desc("score"), "_first")
+    return fused.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= limit).drop("_r", "_first")
+
+
 def search_similar_chunks(chunks: DataFrame, documents: DataFrame, user_id, vector: list[float], limit: int = 10, document_ids: list | None = None) -> DataFrame:
     """Nearest chunks of a user's completed documents, optionally of some documents only."""
     docs = documents.where((F.col("user_id") == user_id) & (F.col("processing_status") == "COMPLETED"))

@@ -16,10 +16,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import terms
+from ..sources.scratch import written
 from .retrieval import TextQuery
 
 #: Items of a block on average, folders of postings, tasks that share a folder, blocks evaluated first.
@@ -150,6 +151,52 @@ class TextIndex:
                 ok = ok & ~has(unit)
         return rows.where(ok).select("doc", "key", _score({w: count[w] for w in words}).alias("rank"))
 
+    # --- many queries at once ---------------------------------------------------------------------------------------
+    def search_all(self, queries: DataFrame, k: int = 30, key: str = "chunk_id", any_word: bool = False, first: int = FIRST) -> DataFrame:
+        """(query, key, rank): for every row (query, text) of ``queries`` what :func:`search` gives for its text.
+
+        Blocks are chosen for each query from the blocks' numbers, in two rounds as for one query. Queries whose terms are
+        excluded words alone look through the items in the order of their keys.
+        """
+        items = self.items()
+        kind = dict(items.dtypes)["key"]
+        asked = written(_parsed(queries, any_word), "queries")
+        with_words, without = asked.where(F.size("words") > 0), asked.where((F.size("words") == 0) & (F.size("without") > 0))
+        every = F.array_distinct(F.concat("words", F.flatten("without")))
+        spec = asked.select("query", "groups", "without", "words")
+        posted = self.spark.read.schema(_POSTINGS.format(kind=kind)).parquet(f"{self.path}/postings")
+        numbers = self.spark.read.schema(_BLOCKS).parquet(f"{self.path}/blocks")
+
+        wanted = with_words.select("query", F.explode("words").alias("term")).withColumn("bucket", _bucket(F.col("term")))
+        most = wanted.join(numbers, ["bucket", "term"]).groupBy("query", "block").agg(F.map_from_entries(F.collect_list(F.struct("term", "most"))).alias("most"))
+        most = most.join(spec, "query")
+        can = F.forall("groups", lambda g: F.exists(g, lambda u: F.forall(u, lambda w: F.map_contains_key(F.col("most"), w))))
+        blocks = written(most.where(can).select("query", "block", _mean_harmonic("most").alias("bound")), "blocks")
+
+        terms_of = with_words.select("query", F.explode(every).alias("term")).withColumn("bucket", _bucket(F.col("term")))
+
+        def matches(chosen: DataFrame) -> DataFrame:
+            rows = chosen.select("query", "block").join(terms_of, "query").join(posted, ["bucket", "term", "block"])
+            found = rows.groupBy("query", "block", "doc", "key").agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("at"), F.map_from_entries(F.collect_list(F.struct("term", "n"))).alias("n"))
+            return found.join(spec, "query").where(_accepted()).select("query", "key", _mean_harmonic("n").alias("rank"))
+
+        order = Window.partitionBy("query").orderBy(F.desc("bound"), "block")
+        placed = blocks.withColumn("_r", F.row_number().over(order))
+        head = written(_best(matches(placed.where(F.col("_r") <= first)), k), "head")
+        least = head.groupBy("query").agg(F.count(F.lit(1)).alias("n"), F.min("rank").alias("least"))
+        rest = placed.where(F.col("_r") > first).join(least, "query", "left").where(F.col("n").isNull() | (F.col("n") < k) | (F.col("bound") >= F.col("least")))
+        out = _best(head.unionByName(matches(rest)), k)
+
+        if not without.isEmpty():
+            banned = without.select("query", F.explode(F.array_distinct(F.flatten("without"))).alias("term")).withColumn("bucket", _bucket(F.col("term")))
+            found = banned.join(posted, ["bucket", "term"]).groupBy("query", "doc").agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("at"))
+            held = written(found.join(spec, "query").where(F.exists("without", _has)).select("query", "doc"), "held")
+            most_held = held.groupBy("query").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+            lowest = items.orderBy("key", "doc").limit(k + most_held)  # at most as many are excluded from them
+            free = lowest.withColumn("query", F.explode(F.array(*[F.lit(r["query"]) for r in without.select("query").distinct().collect()])))
+            out = out.unionByName(_best(free.join(held, ["query", "doc"], "left_anti").select("query", "key", F.lit(0.0).alias("rank")), k))
+        return out.select("query", F.col("key").alias(key), "rank")
+
     def search(self, text: str, k: int = 30, key: str = "chunk_id", any_word: bool = False, first: int = FIRST) -> DataFrame:
         """(key, rank) of the k best matches; ``any_word`` asks for one of the words instead of all."""
         query, items = TextQuery.parse(text), self.items()
@@ -176,3 +223,42 @@ class TextIndex:
         more = self._matches(postings.join(rest.select("block"), "block", "left_semi"), query, any_word)
         known = self.spark.createDataFrame(best, f"key {kind}, rank double")
         return top(known.unionByName(more.select("key", "rank"))).select(F.col("key").alias(key), "rank")
+
+
+# --- parts of the search for many queries ----------------------------------------------------------------------------
+_UNITS = pa.list_(pa.list_(pa.string()))
+
+
+def _parsed(queries: DataFrame, any_word: bool) -> DataFrame:
+    """(query, groups, without, words) of (query, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [TextQuery.parse(t or "") for t in b.column("text").to_pylist()]
+            if any_word:
+                found = [TextQuery([[[w] for w in q.words]]) if q.words else q for q in found]
+            yield pa.RecordBatch.from_arrays([b.column("query"), pa.array([q.groups for q in found], pa.list_(_UNITS)), pa.array([q.without for q in found], _UNITS), pa.array([q.words for q in found], pa.list_(pa.string()))], names=["query", "groups", "without", "words"])
+
+    kind = dict(queries.dtypes)["query"]
+    return queries.select("query", "text").mapInArrow(run, f"query {kind}, groups array<array<array<string>>>, without array<array<string>>, words array<string>")
+
+
+def _has(unit: Column) -> Column:
+    """Whether the postings ``at`` hold a word, or a phrase at consecutive positions."""
+    starts = lambda w, k: F.transform(F.try_element_at(F.col("at"), w), lambda x: x - k)
+    phrase = F.aggregate(F.sequence(F.lit(0), F.size(unit) - 1), F.try_element_at(F.col("at"), F.get(unit, F.lit(0))), lambda held, k: F.array_intersect(held, starts(F.get(unit, k), k)))
+    return F.when(F.size(unit) == 1, F.map_contains_key(F.col("at"), F.get(unit, F.lit(0)))).otherwise(F.coalesce(F.size(phrase) > 0, F.lit(False)))
+
+
+def _accepted() -> Column:
+    return F.forall("groups", lambda g: F.exists(g, _has)) & ~F.exists("without", _has)
+
+
+def _mean_harmonic(counts: str) -> Column:
+    total = F.aggregate("words", F.lit(0.0), lambda s, w: s + _harmonic(F.try_element_at(F.col(counts), w)))
+    return F.round(0.1 * total / F.greatest(F.size("words"), F.lit(1)), 6)
+
+
+def _best(rows: DataFrame, k: int) -> DataFrame:
+    place = Window.partitionBy("query").orderBy(F.desc("rank"), "key")
+    return rows.withColumn("_r", F.row_number().over(place)).where(F.col("_r") <= k).drop("_r")

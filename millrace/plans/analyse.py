@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ from ..config import EngineConfig
 from ..operators import findings, incidents, metrics, retrieval
 from ..operators.ordered import number_lines
 from ..operators.text_index import TextIndex
-from ..ports import ChatModel, Embedder, explain_column
+from ..ports import ChatModel, Embedder, embed_column, explain_column
 from ..sources.scratch import written
 
 NOTHING = "No anomalies were found in this session."
@@ -113,3 +115,61 @@ def drilldown(chunks: DataFrame, question: str, model: ChatModel, embedder: Embe
     ids = {d.chunk_id for d in use}
     out = json.loads(model.complete("answer: answer and citations as JSON", question + "\n" + "\n".join(f"[{d.chunk_id}] {d.content}" for d in use)))
     return Answer(out.get("answer", ""), [c for c in out.get("citations", []) if c in ids])
+
+
+_DOCS = "array<struct<chunk_id:string,content:string>>"
+
+
+def _evidence(docs: list[dict]) -> str:
+    return "\n".join(f"[{d['chunk_id']}] {d['content']}" for d in docs)
+
+
+def drilldown_each(chunks: DataFrame, questions: DataFrame, model: ChatModel, embedder: Embedder, index: TextIndex, cfg: EngineConfig = EngineConfig()) -> DataFrame:  # noqa: B008
+    """(question_id, question, answer, citations): :func:`drilldown` for every row (question_id, question), in one run.
+
+    A round retrieves for all questions that are still open and grades what was found; what each question has been rewritten
+    to, its first evidence and its useful evidence are columns of a table that every round writes anew. The model is
+    called by the tasks that hold the questions.
+    """
+
+    def graded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for r in b.to_pylist():
+                docs = r["docs"] or []
+                ids = set(json.loads(model.complete("grade: useful ids as JSON", f"{r['asked']}\n{_evidence(docs)}")).get("useful", [])) if docs else set()
+                useful = [d for d in docs if d["chunk_id"] in ids]
+                last = r["attempt"] == cfg.max_rewrites
+                over = bool(useful) or last
+                out.append({"question_id": r["question_id"], "question": r["question"], "asked": r["asked"] if over else model.complete("rewrite", r["asked"]), "attempt": r["attempt"] + 1, "best": r["best"] or docs, "use": (useful or docs or r["best"] or []) if over else [], "over": over})
+            yield from pa.Table.from_pylist(out, b_schema).to_batches()
+
+    item = pa.list_(pa.struct([("chunk_id", pa.string()), ("content", pa.string())]))
+    b_schema = pa.schema([("question_id", pa.string()), ("question", pa.string()), ("asked", pa.string()), ("attempt", pa.int32()), ("best", item), ("use", item), ("over", pa.bool_())])
+    spark_schema = f"question_id string, question string, asked string, attempt int, best {_DOCS}, use {_DOCS}, over boolean"
+    none = F.array().cast(_DOCS)
+    open_ = written(questions.select(F.col("question_id").cast("string").alias("question_id"), "question", F.col("question").alias("asked"), F.lit(0).alias("attempt"), none.alias("best")), "questions")
+    text = chunks.select(F.col("chunk_id").alias("key"), F.substring("content", 1, 800).alias("content"))
+    closed = None
+    for _ in range(cfg.max_rewrites + 1):
+        asked = embed_column(open_.select(F.col("question_id").alias("query"), F.col("asked").alias("text")), "text", "embedding", embedder, cfg.embed_text_chars)
+        hits = retrieval.retrieve_each(chunks, written(asked, "asked"), index, cfg.retrieve_limit)
+        docs = hits.join(text, "key").groupBy(F.col("query").alias("question_id")).agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("key").alias("chunk_id"), "content"))).alias("d"))
+        docs = docs.select("question_id", F.transform("d", lambda x: F.struct(x["chunk_id"].alias("chunk_id"), x["content"].alias("content"))).alias("docs"))  # at most the limit for each question
+        state = written(open_.join(docs, "question_id", "left").mapInArrow(graded, spark_schema), "graded")
+        done = state.where("over")
+        closed = done if closed is None else closed.unionByName(done)
+        open_ = state.where("not over").select("question_id", "question", "asked", "attempt", "best")
+        if open_.isEmpty():
+            break
+
+    def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for r in b.to_pylist():
+                ids = {d["chunk_id"] for d in r["use"]}
+                reply = json.loads(model.complete("answer: answer and citations as JSON", r["question"] + "\n" + _evidence(r["use"]))) if ids else {"answer": NO_EVIDENCE}
+                out.append({"question_id": r["question_id"], "question": r["question"], "answer": reply.get("answer", ""), "citations": [c for c in reply.get("citations", []) if c in ids]})
+            yield from pa.Table.from_pylist(out, pa.schema([("question_id", pa.string()), ("question", pa.string()), ("answer", pa.string()), ("citations", pa.list_(pa.string()))])).to_batches()
+
+    return closed.select("question_id", "question", "use").mapInArrow(answered, "question_id string, question string, answer string, citations array<string>")

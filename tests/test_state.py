@@ -2,11 +2,15 @@
 
 import datetime as dt
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from millrace.config import EngineConfig
 from millrace.engine import Engine
 from millrace.operators import budgets
+from millrace.operators.text_index import TextIndex
+from millrace.plans import analyse
+from millrace.ports import EchoModel, HashEmbedder
 from millrace.sources import tables
 from millrace.streaming import ingest as streams
 
@@ -102,3 +106,36 @@ def test_engine_end_to_end(spark, tmp_path):
     assert sorted(map(str, e.chunks().collect())) == before and e.report("s1").count() == 1
     e.drop("s1")
     assert e.chunks().count() == 0 and e.report("s1").count() == 0
+
+
+def test_many_questions_as_one_by_one(spark, tmp_path):
+    """One run over all questions gives what single runs give: found at once, after a rewrite, by any word, or not at all."""
+    rng = np.random.default_rng(6)
+    words = [f"word{k}" for k in range(60)]
+    rows = [("s", f"c{k:03}", " ".join(rng.choice(words, 12)), HashEmbedder().embed([f"c{k}"])[0]) for k in range(120)]
+    chunks = spark.createDataFrame(rows, "session_id string, chunk_id string, content string, embedding array<float>")
+    index = TextIndex.build(chunks, str(tmp_path / "index"), block_items=16)
+
+    class Picky(EchoModel):
+        """Finds evidence useful only where the question holds no x; rewrites x away."""
+
+        def complete(self, system, user):
+            if system.startswith("grade") and " x" in user.splitlines()[0]:
+                return '{"useful": []}'
+            return user.replace(" x", "", 1) if system == "rewrite" else super().complete(system, user)
+
+    class Blank(HashEmbedder):
+        """Without a vector for half of all questions."""
+
+        def embed(self, texts):
+            return [v if len(t) % 2 else [] for t, v in zip(texts, super().embed(texts), strict=True)]
+
+    asked = [f"{a} {b}" for a, b in zip(rng.choice(words, 12), rng.choice(words, 12))] + ["word1 nosuch", "nothing at all", "word2 x", "word3 word4 x x", "word5 x x x x", '"word1 word2" or word7', "-word3", ""]
+    questions = spark.createDataFrame([(f"q{k:02}", q) for k, q in enumerate(asked)], "question_id string, question string")
+    cfg = EngineConfig(retrieve_limit=6)
+    got = {r.question_id: (r.answer, r.citations) for r in analyse.drilldown_each(chunks, questions, Picky(), Blank(), index, cfg).collect()}
+    assert len(got) == len(asked)
+    for k, q in enumerate(asked):
+        one = analyse.drilldown(chunks, q, Picky(), Blank(), cfg, index)
+        assert got[f"q{k:02}"] == (one.text, one.citations), q
+    assert sum(a == analyse.NO_EVIDENCE for a, _ in got.values()) >= 1 and sum(bool(c) for _, c in got.values()) > 12

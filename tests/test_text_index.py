@@ -61,6 +61,18 @@ def test_no_text_is_read_by_retrieval_with_an_index(spark, texts, index):
     assert [tuple(r) for r in either] == [tuple(r) for r in retrieval.retrieve(texts, "nosuchword fox", None, 10).collect()] and len(either) == 10
 
 
+@pytest.mark.parametrize("any_word", [False, True])
+def test_many_queries_equal_single_ones(spark, texts, index, any_word):
+    queries = spark.createDataFrame([(f"q{n:02}", q) for n, q in enumerate([*QUERIES, None])], "query string, text string")
+    for k, first in ((7, 2), (1000, 32)):
+        got = {}
+        for r in index.search_all(queries, k, any_word=any_word, first=first).collect():
+            got.setdefault(r["query"], []).append((r["chunk_id"], r["rank"]))
+        for n, q in enumerate(QUERIES):
+            assert sorted(got.get(f"q{n:02}", []), key=lambda x: (-x[1], x[0])) == answers(retrieval.full_text(texts, q, k, any_word=any_word)), q
+        assert f"q{len(QUERIES):02}" not in got
+
+
 def test_empty_items(spark, texts, tmp_path):
     none = TextIndex.build(texts.limit(0), str(tmp_path / "none"))
     assert none.search("the").count() == 0 and none.search("-the").count() == 0
