@@ -349,7 +349,17 @@ def partition_routing(spark, sf):
     return _read(spark, sf, "events").groupBy(T.lane(F.col("event_id").cast("string"), 6).alias("lane")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {RUNS},
+sized AS (SELECT *, sum(strlen(value) + 1) OVER (PARTITION BY session_id, line_start) > 80000 AS large FROM runs),
+recs AS (SELECT *, CASE WHEN large THEN count(*) FILTER (WHERE regexp_matches(value, {_q(P.RECORD_START)}) OR line_no = line_start) OVER (PARTITION BY session_id, line_start ORDER BY line_no) ELSE 0 END AS record FROM sized),
+u AS (SELECT session_id, document_id, min(line_no) AS first, max(line_no) AS last, CAST(sum(strlen(value) + 1) AS BIGINT) AS bytes, bool_or(line_no = line_start) AS opens,
+  row_number() OVER (PARTITION BY session_id ORDER BY min(line_no)) AS i FROM recs GROUP BY session_id, document_id, line_start, record),
+f AS (SELECT session_id, i, 0 AS part, bytes AS used FROM u WHERE i = 1
+  UNION ALL SELECT u.session_id, u.i, CASE WHEN (used >= 20000 AND opens) OR used >= 80000 THEN part + 1 ELSE part END, CASE WHEN (used >= 20000 AND opens) OR used >= 80000 THEN bytes ELSE used + bytes END
+  FROM f JOIN u ON u.session_id = f.session_id AND u.i = f.i + 1)
+SELECT u.session_id, u.document_id, CAST(part AS INTEGER) AS part_idx, min(first) AS first_line, max(last) AS last_line, CAST(sum(bytes) AS BIGINT) AS bytes FROM f JOIN u USING (session_id, i) GROUP BY ALL"""
+)
 def parts_plan(spark, sf):
     return segments.parts_plan(_runs(spark, sf), EngineConfig(part_bytes=20_000, part_lines=500))
 

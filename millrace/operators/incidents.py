@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..config import EngineConfig
 from ..functions.text import stable_id
 from ..sources.scratch import written
-from .ordered import with_ordered_blocks
+from .ordered import same_keys, with_ordered_blocks
 
 
 def cluster(findings: DataFrame, cfg: EngineConfig = EngineConfig(), key: str = "id", size: int = 10_000) -> DataFrame:  # noqa: B008
@@ -30,28 +30,19 @@ def cluster(findings: DataFrame, cfg: EngineConfig = EngineConfig(), key: str =
     carried = blocks.select(*groups, "_block", F.max("_end").over(earlier.rowsBetween(Window.unboundedPreceding, -1)).alias("_latest_in"), F.lag("_open", 1, False).over(earlier).alias("_open_in"))
     inside = Window.partitionBy(*groups, "_block").orderBy(*order)
     rows = dated.withColumn("_latest", F.max("time_range_end").over(inside.rowsBetween(Window.unboundedPreceding, -1))).withColumn("_open", F.lag(F.col("time_range_end").isNull()).over(inside))
-    rows = _same(rows, carried, [*groups, "_block"])
+    rows = same_keys(rows, carried, [*groups, "_block"])
     latest, open_before = F.greatest("_latest", "_latest_in"), F.coalesce("_open", "_open_in")
     gap = F.expr(f"interval {cfg.cluster_gap_seconds} seconds")
     new = latest.isNull() | open_before | F.col("time_range_end").isNull() | (F.col("time_range_start") > latest + gap)
     rows = written(rows.withColumn("_new", new.cast("int")).select(*findings.columns, "_block", "_new"), "clusters")
     sums = rows.groupBy(*groups, "_block").agg(F.sum("_new").alias("_n"))
     before = sums.select(*groups, "_block", F.coalesce(F.sum("_n").over(earlier.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    rows = _same(rows, before, [*groups, "_block"])
+    rows = same_keys(rows, before, [*groups, "_block"])
     island = F.col("_before") + F.sum("_new").over(inside.rowsBetween(Window.unboundedPreceding, 0))
     out = rows.withColumn("island", island.cast("bigint")).select(*findings.columns, "island")
     return out.unionByName(findings.where("time_range_start is null").withColumn("island", F.lit(-1).cast("bigint")))
 
 
-def _same(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
-    """``rows`` with the columns of ``table``, null keys being equal."""
-    named = table.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)], *[c for c in table.columns if c not in keys])
-    on = F.lit(True)
-    for i, c in enumerate(keys):
-        on = on & F.col(c).eqNullSafe(F.col(f"_k{i}"))
-    return rows.join(named, on).drop(*[f"_k{i}" for i in range(len(keys))])
-
-
 def incidents(clustered: DataFrame, key: str = "id") -> DataFrame:
     """(id, session_id, category, island, time range, finding_ids, n_findings) of each cluster."""
     ids = F.transform(F.array_sort(F.collect_list(F.struct(F.col("time_range_start"), F.col(key).alias("k")))), lambda x: x["k"])

@@ -41,6 +41,40 @@ def with_ordered_blocks(df: DataFrame, keys: Sequence[str], order: Sequence[str]
     return ranges.withColumn("_block", F.shiftleft(F.col("_range").cast("bigint"), 40) + F.floor((place - 1) / size)).drop("_range")
 
 
+def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, out: str, size: int) -> DataFrame:
+    """Adds ``out``: the sum of ``value`` over the rows before each one, null keys being equal; blocks of ``size`` rows."""
+    rows = with_ordered_blocks(df, keys, order, size)
+    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy(*keys, "_block").agg(F.sum(value).alias("_s")).withColumn("_in", F.coalesce(F.sum("_s").over(before), F.lit(0))).drop("_s")
+    inside = Window.partitionBy(*keys, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return same_keys(rows, sums, [*keys, "_block"]).withColumn(out, F.col("_in") + F.coalesce(F.sum(value).over(inside), F.lit(0))).drop("_in", "_block")
+
+
+def next_at_or_after(rows: DataFrame, targets: DataFrame, keys: Sequence[str], at: str, pos: str, value: str, out: str, size: int) -> DataFrame:
+    """``rows`` with ``out``: ``value`` of the first target of the same keys whose ``pos`` is not before the row's ``at``, or null.
+
+    Rows and targets lie on one line, cut into blocks; a window over one row per block tells each block the first target after it.
+    """
+    both = rows.withColumns({"_pos": F.col(at), "_kind": F.lit(0), "_value": F.lit(None).cast(targets.schema[value].dataType)})
+    both = both.unionByName(targets.select(*keys, F.col(pos).alias("_pos"), F.lit(1).alias("_kind"), F.col(value).alias("_value")), allowMissingColumns=True)
+    line = with_ordered_blocks(both, keys, ["_pos", "_kind", "_value"], size)
+    later = Window.partitionBy(*keys).orderBy("_block").rowsBetween(1, Window.unboundedFollowing)
+    heads = line.groupBy(*keys, "_block").agg(F.min(F.when(F.col("_kind") == 1, F.struct("_pos", "_value")))["_value"].alias("_head"))
+    heads = heads.withColumn("_next", F.first("_head", ignorenulls=True).over(later)).drop("_head")
+    inside = Window.partitionBy(*keys, "_block").orderBy("_pos", "_kind", "_value").rowsBetween(0, Window.unboundedFollowing)
+    found = same_keys(line, heads, [*keys, "_block"]).withColumn(out, F.coalesce(F.first("_value", ignorenulls=True).over(inside), "_next"))
+    return found.where("_kind = 0").select(*rows.columns, out)
+
+
+def same_keys(rows: DataFrame, table: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``rows`` with the columns of ``table``, null keys being equal."""
+    named = table.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)], *[c for c in table.columns if c not in keys])
+    on = F.lit(True)
+    for i, c in enumerate(keys):
+        on = on & F.col(c).eqNullSafe(F.col(f"_k{i}"))
+    return rows.join(named, on).drop(*[f"_k{i}" for i in range(len(keys))])
+
+
 def running_count(df: DataFrame, keys: Sequence[str], order: str, flag: Column, out: str, size: int) -> DataFrame:
     """Adds ``out``: how many rows up to each one have the flag."""
     df = with_block(df.withColumn("_f", flag.cast("long")), order, size)

@@ -13,7 +13,8 @@ from ..config import EngineConfig
 from ..functions import patterns as P
 from ..functions.text import embed_tokens, first_group
 from ..functions.timestamps import is_record_start
-from .ordered import running_count
+from ..sources.scratch import written
+from .ordered import next_at_or_after, running_count, running_sum, same_keys
 from .windows import KEYS
 
 _START = re.compile(P.RECORD_START)
@@ -90,13 +91,9 @@ def embed_packing(texts: DataFrame, group: str, order: str, text: str, cfg: Engi
     return src.groupBy("grp").applyInPandas(fold, f"grp {kinds['grp']}, ord {kinds['ord']}, tokens bigint, request int")
 
 
-def parts_plan(runs: DataFrame, cfg: EngineConfig = EngineConfig()) -> DataFrame:  # noqa: B008
-    """(session, document, part, first line, last line, bytes) of processing parts.
-
-    A part is cut at the next window start once it holds ``part_bytes``, at the next record start beyond
-    ``hard_part_factor`` times that; files without timestamps every ``part_lines`` lines. One row per window
-    reaches the fold, and one per record of a window that is larger than a hard cut allows.
-    """
+def part_units(runs: DataFrame, cfg: EngineConfig = EngineConfig()) -> DataFrame:  # noqa: B008
+    """(session, document, has_ts, first, last, bytes, opens): what a part is made of, whole. A unit is a window, or a
+    record of a window that is larger than a hard cut allows; ``opens`` marks the first unit of each window."""
     window = [*KEYS, "line_start", "has_ts"]
     size = F.octet_length("value") + 1
     sizes = runs.groupBy(*window).agg(F.sum(size).alias("bytes"), F.max("line_no").alias("line_end"))
@@ -106,22 +103,43 @@ def parts_plan(runs: DataFrame, cfg: EngineConfig = EngineConfig()) -> DataFrame
     inside = Window.partitionBy(*window).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     opens = is_record_start(F.col("value")) | (F.col("line_no") == F.col("line_start"))
     records = large.withColumn("_record", F.count_if(opens).over(inside)).groupBy(*window, "_record").agg(F.min("line_no").alias("first"), F.max("line_no").alias("last"), F.sum(size).alias("bytes"))
-    units = small.unionByName(records.select(*KEYS, "has_ts", "first", "last", "bytes", (F.col("first") == F.col("line_start")).alias("opens")))
+    return small.unionByName(records.select(*KEYS, "has_ts", "first", "last", "bytes", (F.col("first") == F.col("line_start")).alias("opens")))
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("first")
-        out, first, used, last = [], None, 0, 0
-        for r in pdf.itertuples():
-            full = (used >= cfg.part_bytes and r.opens) or used >= hard if r.has_ts else first is not None and r.first - first >= cfg.part_lines
-            if first is not None and full:
-                out.append((first, last, used))
-                first, used = None, 0
-            first = r.first if first is None else first
-            used, last = used + r.bytes, r.last
-        out.append((first, last, used))
-        return pd.DataFrame([(pdf["session_id"].iloc[0], pdf["document_id"].iloc[0], k, *x) for k, x in enumerate(out)], columns=["session_id", "document_id", "part_idx", "first_line", "last_line", "bytes"])
-
-    return units.groupBy(*KEYS).applyInPandas(fold, "session_id string, document_id string, part_idx int, first_line bigint, last_line bigint, bytes bigint")
+
+def parts_plan(runs: DataFrame, cfg: EngineConfig = EngineConfig(), size: int = 10_000) -> DataFrame:  # noqa: B008
+    """(session, document, part, first line, last line, bytes) of processing parts.
+
+    A part is cut at the next window start once it holds ``part_bytes``, at the next record start beyond
+    ``hard_part_factor`` times that; files without timestamps every ``part_lines`` lines.
+
+    Every unit first learns where a part that started with it would end: the next unit at or after a position, found over
+    blocks of ``size`` units. The cuts are those that the first unit leads to; pointers that leap twice as far in each round reach
+    them all in as many rounds as the number of parts has binary digits, and no file is folded in one place.
+    """
+    units = running_sum(part_units(runs, cfg), KEYS, ["first"], "bytes", "start", size)
+    units = written(units.withColumn("start", F.col("start").cast("bigint")), "units")
+    full = F.when(F.col("has_ts"), F.col("start") + cfg.part_bytes).otherwise(F.col("first") + cfg.part_lines)
+    rows = units.withColumns({"_soft": full, "_hard": F.when(F.col("has_ts"), F.col("start") + cfg.hard_part_factor * cfg.part_bytes)})
+    targets = units.select(*KEYS, "opens", F.when(F.col("has_ts"), F.col("start")).otherwise(F.col("first")).alias("pos"), "first", "has_ts")
+    rows = next_at_or_after(rows, targets.where("opens or not has_ts"), KEYS, "_soft", "pos", "first", "_a", size)
+    rows = next_at_or_after(rows.where("has_ts"), targets.where("has_ts"), KEYS, "_hard", "pos", "first", "_b", size).unionByName(rows.where("not has_ts").withColumn("_b", F.lit(None).cast("bigint")))
+    leap = written(rows.select(*KEYS, "first", F.least("_a", "_b").alias("next")), "leaps")
+    reached = units.groupBy(*KEYS).agg(F.min("first").alias("first"))
+    while True:
+        reached = written(reached, "cuts")
+        far = same_keys(reached, leap.where("next is not null"), [*KEYS, "first"]).select(*KEYS, F.col("next").alias("first"))
+        if far.isEmpty():
+            break
+        reached = reached.unionByName(far)
+        onward = leap.select(*KEYS, F.col("first").alias("next"), F.col("next").alias("then"))
+        leap = written(same_keys(leap.where("next is not null"), onward, [*KEYS, "next"]).select(*KEYS, "first", F.col("then").alias("next")), "leaps")
+    ends = units.groupBy(*KEYS).agg(F.max("last").alias("_last"), F.sum("bytes").cast("bigint").alias("_bytes"))
+    cuts = same_keys(same_keys(reached, units.select(*KEYS, "first", "start"), [*KEYS, "first"]), ends, KEYS)
+    w = Window.partitionBy(*KEYS).orderBy("first")  # one row a part
+    return cuts.select(
+        *KEYS, (F.row_number().over(w) - 1).alias("part_idx"), F.col("first").alias("first_line"),
+        F.coalesce(F.lead("first").over(w) - 1, "_last").alias("last_line"), (F.coalesce(F.lead("start").over(w), "_bytes") - F.col("start")).alias("bytes"),
+    )
 
 
 def stack_frames(runs: DataFrame) -> DataFrame:

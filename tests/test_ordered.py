@@ -9,7 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from millrace.config import EngineConfig
-from millrace.operators import budgets, incidents, metrics
+from millrace.operators import budgets, incidents, metrics, segments, windows
 from millrace.operators.intervals import interval_join
 from millrace.operators.percentiles import exact_percentile
 
@@ -122,3 +122,41 @@ def test_percentiles_by_histograms(spark, bits, interpolate):
             assert got[g] == pytest.approx(want, rel=1e-12), (g, q)
         assert set(got) == set(groups)
     assert exact_percentile(df.limit(0), ["g"], F.col("v"), 0.5, "p").count() == 0
+
+
+def plain_parts(units, cfg):
+    """Parts of one file's units (first, last, bytes, opens, has_ts) by a plain fold."""
+    out, first, used, last, hard = [], None, 0, 0, cfg.hard_part_factor * cfg.part_bytes
+    for f, x, size, opens, has_ts in sorted(units):
+        full = (used >= cfg.part_bytes and opens) or used >= hard if has_ts else first is not None and f - first >= cfg.part_lines
+        if first is not None and full:
+            out.append((first, last, used))
+            first, used = None, 0
+        first = f if first is None else first
+        used, last = used + size, x
+    return [*out, (first, last, used)]
+
+
+@pytest.mark.parametrize("size", [1, 3, 1000])
+def test_parts_by_pointers_equal_a_fold(spark, size):
+    rng = np.random.default_rng(7)
+    rows, start = [], dt.datetime(2024, 1, 1)
+    for d in range(6):
+        n = 0
+        for w in range(int(rng.integers(1, 30))):
+            for k in range(int(rng.integers(1, 9)) * (12 if w % 7 == 3 else 1)):
+                n += 1
+                head = f"{start + dt.timedelta(minutes=w)} " if d < 4 and (k == 0 or rng.random() < 0.4) else ""
+                rows.append(("s" if d % 2 else None, f"d{d}", n, head + "x" * int(rng.integers(0, 40))))
+    df = spark.createDataFrame(rows, "session_id string, document_id string, line_no long, value string").where("session_id is not null")
+    for cfg in (EngineConfig(part_bytes=150, hard_part_factor=4, part_lines=9, fallback_lines=4), EngineConfig(part_bytes=1, hard_part_factor=1, part_lines=1, fallback_lines=1), EngineConfig()):
+        runs = windows.with_runs(df, cfg).cache()
+        files = {}
+        for u in segments.part_units(runs, cfg).collect():
+            files.setdefault(u.document_id, []).append((u.first, u.last, u.bytes, u.opens, u.has_ts))
+        got = {}
+        for r in segments.parts_plan(runs, cfg, size).orderBy("part_idx").collect():
+            got.setdefault(r.document_id, []).append((r.first_line, r.last_line, r.bytes))
+            assert r.part_idx == len(got[r.document_id]) - 1
+        assert got == {d: plain_parts(u, cfg) for d, u in files.items()}
+        runs.unpersist()
