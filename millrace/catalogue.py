@@ -595,15 +595,19 @@ def vector_literal(spark, sf):
 
 
 _WORDS = "w AS (SELECT doc_id, regexp_extract_all(lower(text), '([a-z0-9_]+)') AS ws FROM documents)"
-_RANK = "round(0.1 * ({sum}) / {n}, 6)"
+_AT = "list_slice(list_filter(generate_series(1, least(len(ws), 16383)), lambda i: ws[i] = '{w}'), 1, 256)"
 
 
-def _rank_sql(words: list[str]) -> str:
-    one = "coalesce(list_sum(list_transform(generate_series(1, len(list_filter(ws, lambda x: x = '{w}'))), lambda j: 1.0::DOUBLE / (j * j))), 0.0)"
-    return _RANK.format(sum=" + ".join(one.format(w=w) for w in words), n=len(words))
+def _rank_sql(words: list[str], near: bool = True) -> str:
+    """Rank by the distances of the words' places, or by their numbers. No word is later than place 16383 in these texts."""
+    at = [_AT.format(w=w) for w in words]
+    if not near:
+        return "round((" + " + ".join(f"coalesce(list_sum(list_transform(generate_series(1, len({a})), lambda j: 1.0::DOUBLE / (j * j))), 0.0)" for a in at) + f") * (0.1 / 1.64493406685) / {len(words)}, 6)"
+    one = "coalesce(list_product(flatten(list_transform({a}, lambda x: list_transform({b}, lambda y: CASE WHEN x = y THEN 1.0 ELSE 1 - 0.1 * sqrt(CASE WHEN abs(x - y) > 100 THEN 1e-30 ELSE 1 / (1.005 + 0.05 * exp(abs(x - y)::DOUBLE / 1.5 - 2)) END) END)))), 1.0)"
+    return "round(1 - " + " * ".join(one.format(a=at[i], b=at[k]) for i in range(len(at)) for k in range(i)) + ", 6)"
 
 
-@query(f"WITH {_WORDS} SELECT doc_id FROM w WHERE list_contains(ws, 'the') AND list_contains(ws, 'on') AND (list_contains(ws, 'that') OR list_contains(ws, 'with')) AND NOT list_contains(ws, 'licensed')")
+@query(f"WITH {_WORDS} SELECT doc_id FROM w WHERE list_contains(ws, 'the') AND list_contains(ws, 'on') AND list_contains(ws, 'that') OR list_contains(ws, 'with') AND NOT list_contains(ws, 'licensed')")
 def fts_match(spark, sf):
     q = retrieval.TextQuery.parse("the on that or with -licensed")
     return _read(spark, sf, "documents").where(retrieval.matches(T.terms(F.col("text")), q)).select("doc_id")
@@ -614,14 +618,14 @@ def fts_rank(spark, sf):
     return retrieval.full_text(_read(spark, sf, "documents"), "the on", 30, "doc_id", "text")
 
 
-@query(f"WITH {_WORDS} SELECT doc_id, {_rank_sql(['licensed', 'nosuchword'])} AS rank FROM w WHERE list_contains(ws, 'licensed') OR list_contains(ws, 'nosuchword') ORDER BY rank DESC, doc_id LIMIT 30")
+@query(f"WITH {_WORDS} SELECT doc_id, {_rank_sql(['licensed', 'nosuchword'], near=False)} AS rank FROM w WHERE list_contains(ws, 'licensed') OR list_contains(ws, 'nosuchword') ORDER BY rank DESC, doc_id LIMIT 30")
 def fts_or_fallback(spark, sf):
     docs = _read(spark, sf, "documents")
     found = retrieval.full_text(docs, "licensed nosuchword", 30, "doc_id", "text")
     return retrieval.full_text(docs, "licensed nosuchword", 30, "doc_id", "text", any_word=True) if found.isEmpty() else found
 
 
-@query(f"WITH {_WORDS} SELECT doc_id, {_rank_sql(['the', 'on'])} AS rank FROM w WHERE list_contains(ws, 'the') AND list_contains(ws, 'on') AND NOT list_contains(ws, 'licensed') ORDER BY rank DESC, doc_id LIMIT 30")
+@query(f"WITH {_WORDS} SELECT doc_id, {_rank_sql(['the', 'on', 'licensed'])} AS rank FROM w WHERE list_contains(ws, 'the') AND list_contains(ws, 'on') AND NOT list_contains(ws, 'licensed') ORDER BY rank DESC, doc_id LIMIT 30")
 def fts_index(spark, sf):
     """The index is written once; a search reads the rows of its words."""
     return _text_index(spark, sf).search("the on -licensed", 30, "doc_id")
@@ -635,12 +639,21 @@ _JOINED = "' ' || array_to_string(ws, ' ') || ' '"
 
 
 @query(
-    f"""WITH {_WORDS} SELECT doc_id, {_rank_sql(['of', 'the', 'on', 'that'])} AS rank FROM w
-WHERE contains({_JOINED}, ' of the ') AND (list_contains(ws, 'on') OR list_contains(ws, 'that')) AND NOT contains({_JOINED}, ' the and ') ORDER BY rank DESC, doc_id LIMIT 30"""
+    f"""WITH {_WORDS} SELECT doc_id, {_rank_sql(['of', 'the', 'on', 'and'])} AS rank FROM w
+WHERE contains({_JOINED}, ' of the ') AND list_contains(ws, 'on') AND NOT contains({_JOINED}, ' the and ') ORDER BY rank DESC, doc_id LIMIT 30"""
 )
 def fts_phrase(spark, sf):
-    """A phrase, alternatives and an excluded phrase, answered by the positions of the index."""
-    return _text_index(spark, sf).search('"of the" on or that -"the and"', 30, "doc_id")
+    """A phrase, a word and an excluded phrase, answered by the positions of the index."""
+    return _text_index(spark, sf).search('"of the" on -"the and"', 30, "doc_id")
+
+
+@query(
+    f"""WITH {_WORDS} SELECT doc_id, {_rank_sql(['of', 'the', 'with', 'licensed'], near=False)} AS rank FROM w
+WHERE contains({_JOINED}, ' of the ') OR list_contains(ws, 'with') AND NOT list_contains(ws, 'licensed') ORDER BY rank DESC, doc_id LIMIT 30"""
+)
+def fts_alternatives(spark, sf):
+    """Alternatives: a phrase, or a word without another."""
+    return _text_index(spark, sf).search('"of the" or with -licensed', 30, "doc_id")
 
 
 @query(

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import partial
 from typing import TYPE_CHECKING
@@ -82,33 +83,49 @@ def _top(near: DataFrame, k: int, key: str) -> DataFrame:
 
 @dataclass
 class TextQuery:
-    """A web-style query: all terms and phrases, alternatives joined by ``or``, and terms that must not occur."""
+    """A web-style query: alternatives joined by ``or``, each of words and phrases that must occur and others that must not.
 
-    groups: list[list[list[str]]] = field(default_factory=list)
-    without: list[list[str]] = field(default_factory=list)
+    ``or`` binds less than what stands side by side; it is a word where nothing precedes or follows it.
+    """
+
+    alternatives: list[tuple[list[list[str]], list[list[str]]]] = field(default_factory=list)
 
     @classmethod
     def parse(cls, text: str) -> TextQuery:
-        out, alternative = cls(), False
-        for minus, phrase, word in re.findall(r'(-?)(?:"([^"]*)"|(\S+))', text):
-            unit = re.findall(r"[a-z0-9_]+", (phrase or word).lower())
-            if not phrase and word.lower() == "or" and not minus:
-                alternative = bool(out.groups)
+        tokens = [(minus, phrase, word, unit) for minus, phrase, word in re.findall(r'(-?)(?:"([^"]*)"|(\S+))', text) if (unit := re.findall(r"[a-z0-9_]+", (phrase or word).lower()))]
+        out, operand = cls(), False  # whether an operand stands before
+        for n, (minus, phrase, word, unit) in enumerate(tokens):
+            if operand and not minus and not phrase and word.lower() == "or" and n + 1 < len(tokens):
+                out.alternatives.append(([], []))
+                operand = False
                 continue
-            if not unit:
-                continue
-            if minus:
-                out.without.append(unit)
-            elif alternative:
-                out.groups[-1].append(unit)
-            else:
-                out.groups.append([unit])
-            alternative = False
+            if not out.alternatives:
+                out.alternatives.append(([], []))
+            out.alternatives[-1][bool(minus)].append(unit)
+            operand = True
         return out
 
+    @classmethod
+    def any_of(cls, words: list[str]) -> TextQuery:
+        return cls([([[w]], []) for w in words])
+
     @property
     def words(self) -> list[str]:
-        return list(dict.fromkeys(w for g in self.groups for u in g for w in u))
+        """Words that a match may hold, each once."""
+        return list(dict.fromkeys(w for must, _ in self.alternatives for u in must for w in u))
+
+    @property
+    def operands(self) -> list[str]:
+        """All words, excluded ones too: a rank is shared among them."""
+        return list(dict.fromkeys(w for pair in self.alternatives for units in pair for u in units for w in u))
+
+    @property
+    def near(self) -> bool:
+        """Whether the rank follows the distances between words: one alternative of several units, or of one phrase."""
+        if len(self.alternatives) != 1 or len(self.operands) < 2:
+            return False
+        must, without = self.alternatives[0]
+        return len(must) + len(without) > 1 or bool(must)
 
 
 def _has(words: Column, unit: list[str]) -> Column:
@@ -117,34 +134,82 @@ def _has(words: Column, unit: list[str]) -> Column:
     return F.contains(F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" ")), F.lit(f" {' '.join(unit)} "))
 
 
-def matches(words: Column, query: TextQuery) -> Column:
-    out = F.lit(bool(query.groups or query.without))
-    for group in query.groups:
-        any_ = F.lit(False)
-        for unit in group:
-            any_ = any_ | _has(words, unit)
-        out = out & any_
-    for unit in query.without:
-        out = out & ~_has(words, unit)
+def accepts(query: TextQuery, has: Callable[[list[str]], Column]) -> Column:
+    """Whether one of the alternatives holds, by what tells whether a unit occurs."""
+    out = F.lit(False)
+    for must, without in query.alternatives:
+        one = F.lit(True)
+        for unit in must:
+            one = one & has(unit)
+        for unit in without:
+            one = one & ~has(unit)
+        out = out | one
     return out
 
 
+def matches(words: Column, query: TextQuery) -> Column:
+    return accepts(query, lambda unit: _has(words, unit))
+
+
+#: Fixed values of the rank: the weight of a word, the limit of the sum of 1 / j^2, the places of a word that count, and
+#: the last place that is told from later ones.
+WEIGHT, ZETA, PLACES, LAST_PLACE = 0.1, 1.64493406685, 256, 16383
+
+
+def places(words: Column, word: str) -> Column:
+    """Places of a word, from 1."""
+    return F.filter(F.transform(words, lambda w, i: F.when(w == word, i + 1)), lambda i: i.isNotNull())
+
+
+def counted(at: Column) -> Column:
+    """The places that count: PLACES at most, those beyond LAST_PLACE being one."""
+    return F.slice(F.array_distinct(F.transform(at, lambda i: F.least(i, F.lit(LAST_PLACE)))), 1, PLACES)
+
+
+def harmonic(n: Column) -> Column:
+    """Sum of 1 / j^2 for j up to n."""
+    return F.when(n > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), F.lit(0.0), lambda s, j: s + 1.0 / (j.cast("double") * j))).otherwise(0.0)
+
+
+def by_count(counts: Column) -> Column:
+    """Rank where any word may do, from the number of each operand's places: the mean of WEIGHT x harmonic / ZETA."""
+    return F.aggregate(counts, F.lit(0.0), lambda s, n: s + harmonic(n)) * F.lit(WEIGHT / ZETA) / F.greatest(F.size(counts), F.lit(1))
+
+
+def _far(distance: Column) -> Column:
+    """1 less the weight of two words at a distance; words at one place have none."""
+    d = F.abs(distance).cast("double")
+    closeness = F.when(d > 100, 1e-30).otherwise(1 / (1.005 + 0.05 * F.exp(d / 1.5 - 2)))
+    return F.when(d == 0, 1.0).otherwise(1 - WEIGHT * F.sqrt(closeness))
+
+
+#: The largest weight that two words can have: next to each other.
+NEXT = WEIGHT * (1 / (1.005 + 0.05 * math.exp(1 / 1.5 - 2))) ** 0.5
+
+
+def by_distance(at: Column) -> Column:
+    """Rank where words must meet, from the counted places of each operand: 1 less the product of 1 less each pair's weight."""
+    pairs = lambda held, x, other: F.aggregate(other, held, lambda c, y: c * _far(x - y))
+    one = lambda held, i: F.aggregate(F.get(at, i), held, lambda a, x: F.aggregate(F.slice(at, F.lit(1), i), a, lambda b, other: pairs(b, x, other)))
+    return 1 - F.aggregate(F.sequence(F.lit(0), F.greatest(F.size(at) - 1, F.lit(0))), F.lit(1.0), one)
+
+
+def rank_of(at: Column, near: Column | bool) -> Column:
+    """Rank from the counted places of each operand, an array of arrays."""
+    near = F.lit(near) if isinstance(near, bool) else near
+    return F.round(F.when(near, by_distance(at)).otherwise(by_count(F.transform(at, lambda p: F.size(p)))), 6)
+
+
 def text_rank(words: Column, query: TextQuery) -> Column:
-    """Mean over query words of 0.1 x the sum of 1 / j^2 over a word's occurrences j."""
-    n = max(len(query.words), 1)
-    total = F.lit(0.0)
-    for w in query.words:
-        c = F.size(words) - F.size(F.array_remove(words, w))
-        total = total + F.when(c > 0, F.aggregate(F.sequence(F.lit(1), c), F.lit(0.0), lambda s, j: s + 1.0 / (j.cast("double") * j))).otherwise(0.0)
-    return F.round(0.1 * total / n, 6)
+    return rank_of(F.array(*[counted(places(words, w)) for w in query.operands]) if query.operands else F.array().cast("array<array<int>>"), query.near)
 
 
 def full_text(items: DataFrame, query: str, k: int = 30, key: str = "chunk_id", text: str = "content", any_word: bool = False) -> DataFrame:
     """(key, rank) of the k best matches; ``any_word`` asks for one of the words instead of all."""
     q = TextQuery.parse(query)
-    rows = items.select(key, terms(F.col(text)).alias("_w"))
-    ok = F.arrays_overlap("_w", F.array(*[F.lit(w) for w in q.words])) if any_word and q.words else matches(F.col("_w"), q)
-    return rows.where(ok).select(key, text_rank(F.col("_w"), q).alias("rank")).orderBy(F.desc("rank"), key).limit(k)
+    q = TextQuery.any_of(q.words) if any_word and q.words else q
+    rows = items.select(key, terms(F.col(text)).alias("_w")).where(matches(F.col("_w"), q))
+    return rows.select(key, text_rank(F.col("_w"), q).alias("rank")).orderBy(F.desc("rank"), key).limit(k)
 
 
 def ranked_list(df: DataFrame, score: str, key: str, list_no: int) -> DataFrame:

@@ -13,6 +13,8 @@ in no result; one without a word is only found by queries of exclusions alone; r
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import terms
 from ..sources.scratch import written
-from .retrieval import TextQuery
+from .retrieval import NEXT, PLACES, TextQuery, accepts, by_count, counted, rank_of
 
 #: Items of a block on average, folders of postings, tasks that share a folder, blocks evaluated first.
 BLOCK_ITEMS, BUCKETS, SALTS, FIRST = 4096, 64, 16, 32
@@ -33,19 +35,6 @@ def _bucket(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
-def _harmonic(n: Column) -> Column:
-    """Sum of 1 / j^2 for j up to n; 0 for null."""
-    n = F.coalesce(n, F.lit(0)).cast("int")
-    return F.when(n > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), F.lit(0.0), lambda s, j: s + 1.0 / (j.cast("double") * j))).otherwise(0.0)
-
-
-def _score(count: dict[str, Column]) -> Column:
-    total = F.lit(0.0)
-    for c in count.values():
-        total = total + _harmonic(c)
-    return F.round(0.1 * total / max(len(count), 1), 6)
-
-
 class TextIndex:
     """An index in a folder: ``items``, ``postings`` and ``blocks``, the last two by bucket of the term."""
 
@@ -99,148 +88,125 @@ class TextIndex:
     def items(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/items")
 
-    def blocks(self, query: TextQuery, any_word: bool = False) -> DataFrame:
+    def blocks(self, query: TextQuery) -> DataFrame:
         """(block, bound): the blocks that can hold a match, and the most that an item of each can score."""
         words = query.words
         rows = self._table("blocks", "string", words)
         most = {w: F.max(F.when(F.col("term") == w, F.col("most"))) for w in words}
         found = rows.groupBy("block").agg(*[c.alias(f"m{i}") for i, c in enumerate(most.values())])
         has = {w: F.col(f"m{i}").isNotNull() for i, w in enumerate(words)}
-        ok = F.lit(True)
-        for group in [] if any_word else query.groups:
-            any_ = F.lit(False)
-            for unit in group:
-                whole = F.lit(True)
-                for w in unit:
-                    whole = whole & has[w]
-                any_ = any_ | whole
-            ok = ok & any_
-        return found.where(ok).select("block", _score({w: F.col(f"m{i}") for i, w in enumerate(words)}).alias("bound"))
-
-    def _matches(self, postings: DataFrame, query: TextQuery, any_word: bool) -> DataFrame:
-        """(key, rank) of the matching items of some postings."""
-        words = query.words
-        every = list(dict.fromkeys([*words, *(w for u in query.without for w in u)]))
-        long_ = {w for g in [*query.groups, query.without] for u in g if len(u) > 1 for w in u}
-        of = lambda w, c: F.max(F.when(F.col("term") == w, F.col(c)))
-        rows = postings.groupBy("block", "doc", "key").agg(*[of(w, "n").alias(f"n{i}") for i, w in enumerate(every)], *[F.first(F.when(F.col("term") == w, F.col("positions")), True).alias(f"p{i}") for i, w in enumerate(every) if w in long_])
-        count = {w: F.col(f"n{i}") for i, w in enumerate(every)}
-        place = {w: F.col(f"p{i}") for i, w in enumerate(every) if w in long_}
+        able = accepts(TextQuery([(must, []) for must, _ in query.alternatives]), lambda unit: reduce(and_, [has[w] for w in unit]))
+        counts = F.array(*[F.coalesce(F.col(f"m{words.index(w)}"), F.lit(0)) if w in has else F.lit(0) for w in query.operands])
+        return found.where(able).select("block", _bound(counts, query.near).alias("bound"))
+
+    def _matches(self, postings: DataFrame, query: TextQuery) -> DataFrame:
+        """(doc, key, rank) of the matching items of some postings."""
+        every = query.operands
+        rows = postings.groupBy("block", "doc", "key").agg(*[F.first(F.when(F.col("term") == w, F.col("positions")), True).alias(f"p{i}") for i, w in enumerate(every)])
+        place = {w: F.col(f"p{i}") for i, w in enumerate(every)}
 
         def has(unit: list[str]) -> Column:
-            if len(unit) == 1:
-                return count[unit[0]].isNotNull()
             moved = lambda w, k: F.transform(place[w], lambda x: x - k)
             starts = place[unit[0]]
             for k, w in enumerate(unit[1:], 1):
                 starts = F.array_intersect(starts, moved(w, k))
             return F.coalesce(F.size(starts) > 0, F.lit(False))
 
-        ok = F.lit(True)
-        if any_word:
-            ok = F.lit(False)
-            for w in words:
-                ok = ok | count[w].isNotNull()
-        else:
-            for group in query.groups:
-                any_ = F.lit(False)
-                for unit in group:
-                    any_ = any_ | has(unit)
-                ok = ok & any_
-            for unit in query.without:
-                ok = ok & ~has(unit)
-        return rows.where(ok).select("doc", "key", _score({w: count[w] for w in words}).alias("rank"))
+        at = F.array(*[_counted(place[w]) for w in every])
+        return rows.where(accepts(query, has)).select("doc", "key", rank_of(at, query.near).alias("rank"))
 
     # --- many queries at once ---------------------------------------------------------------------------------------
     def search_all(self, queries: DataFrame, k: int = 30, key: str = "chunk_id", any_word: bool = False, first: int = FIRST) -> DataFrame:
         """(query, key, rank): for every row (query, text) of ``queries`` what :func:`search` gives for its text.
 
-        Blocks are chosen for each query from the blocks' numbers, in two rounds as for one query. Queries whose terms are
+        Blocks are chosen for each query from the blocks' numbers, in two rounds as for one query. Queries with an alternative of
         excluded words alone look through the items in the order of their keys.
         """
         items = self.items()
         kind = dict(items.dtypes)["key"]
         asked = written(_parsed(queries, any_word), "queries")
-        with_words, without = asked.where(F.size("words") > 0), asked.where((F.size("words") == 0) & (F.size("without") > 0))
-        every = F.array_distinct(F.concat("words", F.flatten("without")))
-        spec = asked.select("query", "groups", "without", "words")
+        free = F.exists("alternatives", lambda a: F.size(a["must"]) == 0)  # of all items but some
+        bound_, loose = asked.where(~free & (F.size("alternatives") > 0)), asked.where(free)
+        spec = asked.select("query", "alternatives", "operands", "near")
         posted = self.spark.read.schema(_POSTINGS.format(kind=kind)).parquet(f"{self.path}/postings")
         numbers = self.spark.read.schema(_BLOCKS).parquet(f"{self.path}/blocks")
 
-        wanted = with_words.select("query", F.explode("words").alias("term")).withColumn("bucket", _bucket(F.col("term")))
+        wanted = bound_.select("query", F.explode("words").alias("term")).withColumn("bucket", _bucket(F.col("term")))
         most = wanted.join(numbers, ["bucket", "term"]).groupBy("query", "block").agg(F.map_from_entries(F.collect_list(F.struct("term", "most"))).alias("most"))
         most = most.join(spec, "query")
-        can = F.forall("groups", lambda g: F.exists(g, lambda u: F.forall(u, lambda w: F.map_contains_key(F.col("most"), w))))
-        blocks = written(most.where(can).select("query", "block", _mean_harmonic("most").alias("bound")), "blocks")
+        able = F.exists("alternatives", lambda a: F.forall(a["must"], lambda u: F.forall(u, lambda w: F.map_contains_key(F.col("most"), w))))
+        counts = F.transform("operands", lambda w: F.coalesce(F.try_element_at(F.col("most"), w), F.lit(0)))
+        blocks = written(most.where(able).select("query", "block", _bound(counts, F.col("near")).alias("bound")), "blocks")
 
-        terms_of = with_words.select("query", F.explode(every).alias("term")).withColumn("bucket", _bucket(F.col("term")))
+        terms_of = asked.select("query", F.explode("operands").alias("term")).withColumn("bucket", _bucket(F.col("term")))
+        at = F.transform("operands", lambda w: _counted(F.try_element_at(F.col("at"), w)))
 
-        def matches(chosen: DataFrame) -> DataFrame:
-            rows = chosen.select("query", "block").join(terms_of, "query").join(posted, ["bucket", "term", "block"])
-            found = rows.groupBy("query", "block", "doc", "key").agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("at"), F.map_from_entries(F.collect_list(F.struct("term", "n"))).alias("n"))
-            return found.join(spec, "query").where(_accepted()).select("query", "key", _mean_harmonic("n").alias("rank"))
+        def matches(rows: DataFrame) -> DataFrame:
+            """(query, doc, key, rank) of postings with their queries."""
+            found = rows.groupBy("query", "block", "doc", "key").agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("at"))
+            return found.join(spec, "query").where(_accepted()).select("query", "doc", "key", rank_of(at, F.col("near")).alias("rank"))
 
+        of_blocks = lambda chosen: matches(chosen.select("query", "block").join(terms_of, "query").join(posted, ["bucket", "term", "block"])).select("query", "key", "rank")
         order = Window.partitionBy("query").orderBy(F.desc("bound"), "block")
         placed = blocks.withColumn("_r", F.row_number().over(order))
-        head = written(_best(matches(placed.where(F.col("_r") <= first)), k), "head")
+        head = written(_best(of_blocks(placed.where(F.col("_r") <= first)), k), "head")
         least = head.groupBy("query").agg(F.count(F.lit(1)).alias("n"), F.min("rank").alias("least"))
         rest = placed.where(F.col("_r") > first).join(least, "query", "left").where(F.col("n").isNull() | (F.col("n") < k) | (F.col("bound") >= F.col("least")))
-        out = _best(head.unionByName(matches(rest)), k)
-
-        if not without.isEmpty():
-            banned = without.select("query", F.explode(F.array_distinct(F.flatten("without"))).alias("term")).withColumn("bucket", _bucket(F.col("term")))
-            found = banned.join(posted, ["bucket", "term"]).groupBy("query", "doc").agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("at"))
-            held = written(found.join(spec, "query").where(F.exists("without", _has)).select("query", "doc"), "held")
-            most_held = held.groupBy("query").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-            lowest = items.orderBy("key", "doc").limit(k + most_held)  # at most as many are excluded from them
-            free = lowest.withColumn("query", F.explode(F.array(*[F.lit(r["query"]) for r in without.select("query").distinct().collect()])))
-            out = out.unionByName(_best(free.join(held, ["query", "doc"], "left_anti").select("query", "key", F.lit(0.0).alias("rank")), k))
+        out = _best(head.unionByName(of_blocks(rest)), k)
+
+        if not loose.isEmpty():  # what holds any of their words is judged; all other items match, with rank 0
+            held = loose.select("query").join(terms_of, "query").join(posted, ["bucket", "term"])
+            some = written(held.select("query", "doc").distinct(), "held")
+            most_held = some.groupBy("query").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+            lowest = items.orderBy("key", "doc").limit(k + most_held)  # at most as many of them hold a word
+            others = lowest.withColumn("query", F.explode(F.array(*[F.lit(r["query"]) for r in loose.select("query").distinct().collect()])))
+            others = others.join(some, ["query", "doc"], "left_anti").select("query", "key", F.lit(0.0).alias("rank"))
+            out = out.unionByName(_best(matches(held).select("query", "key", "rank").unionByName(others), k))
         return out.select("query", F.col("key").alias(key), "rank")
 
     def search(self, text: str, k: int = 30, key: str = "chunk_id", any_word: bool = False, first: int = FIRST) -> DataFrame:
         """(key, rank) of the k best matches; ``any_word`` asks for one of the words instead of all."""
         query, items = TextQuery.parse(text), self.items()
-        kind, words = dict(items.dtypes)["key"], query.words
-        any_word = any_word and bool(words)
-        banned = [w for u in query.without for w in u]
+        query = TextQuery.any_of(query.words) if any_word and query.words else query
+        kind = dict(items.dtypes)["key"]
         schema = f"`{key}` {kind}, rank double"
-        if not query.groups and not query.without:
+        if not query.alternatives:
             return self.spark.createDataFrame([], schema)
-        postings = self._table("postings", kind, list(dict.fromkeys([*words, *([] if any_word else banned)])))
-        if not query.groups:  # all items but those with what is excluded
-            out = items
-            for unit in query.without:
-                held = self._matches(postings.where(F.col("term").isin(unit)), TextQuery([[unit]]), False)
-                out = out.join(held.select("doc"), "doc", "left_anti")
-            return out.select(F.col("key").alias(key), F.lit(0.0).alias("rank")).orderBy(F.desc("rank"), key).limit(k)
-        blocks = self.blocks(query, any_word)
-        head = [r.block for r in blocks.orderBy(F.desc("bound"), "block").limit(first).collect()]
         top = lambda df: df.orderBy(F.desc("rank"), "key").limit(k)
-        best = top(self._matches(postings.where(F.col("block").isin(head)), query, any_word).select("key", "rank")).collect()  # k rows at most
+        postings = self._table("postings", kind, query.operands)
+        if not all(must for must, _ in query.alternatives):  # all items but some: those without any of the words match, with rank 0
+            others = items.join(postings.select("doc").distinct(), "doc", "left_anti").select("key", F.lit(0.0).alias("rank"))
+            return top(self._matches(postings, query).select("key", "rank").unionByName(others)).select(F.col("key").alias(key), "rank")
+        blocks = self.blocks(query)
+        head = [r.block for r in blocks.orderBy(F.desc("bound"), "block").limit(first).collect()]
+        best = top(self._matches(postings.where(F.col("block").isin(head)), query).select("key", "rank")).collect()  # k rows at most
         rest = blocks.where(~F.col("block").isin(head))
         if len(best) == k:
             rest = rest.where(F.col("bound") >= best[-1]["rank"])
-        more = self._matches(postings.join(rest.select("block"), "block", "left_semi"), query, any_word)
+        more = self._matches(postings.join(rest.select("block"), "block", "left_semi"), query)
         known = self.spark.createDataFrame(best, f"key {kind}, rank double")
         return top(known.unionByName(more.select("key", "rank"))).select(F.col("key").alias(key), "rank")
 
 
 # --- parts of the search for many queries ----------------------------------------------------------------------------
 _UNITS = pa.list_(pa.list_(pa.string()))
+_ALTERNATIVE = pa.struct([("must", _UNITS), ("without", _UNITS)])
 
 
 def _parsed(queries: DataFrame, any_word: bool) -> DataFrame:
-    """(query, groups, without, words) of (query, text)."""
+    """(query, alternatives, words, operands, near) of (query, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [TextQuery.parse(t or "") for t in b.column("text").to_pylist()]
-            if any_word:
-                found = [TextQuery([[[w] for w in q.words]]) if q.words else q for q in found]
-            yield pa.RecordBatch.from_arrays([b.column("query"), pa.array([q.groups for q in found], pa.list_(_UNITS)), pa.array([q.without for q in found], _UNITS), pa.array([q.words for q in found], pa.list_(pa.string()))], names=["query", "groups", "without", "words"])
+            found = [TextQuery.any_of(q.words) if any_word and q.words else q for q in found]
+            yield pa.RecordBatch.from_arrays(
+                [b.column("query"), pa.array([[{"must": m, "without": w} for m, w in q.alternatives] for q in found], pa.list_(_ALTERNATIVE)), pa.array([q.words for q in found], pa.list_(pa.string())), pa.array([q.operands for q in found], pa.list_(pa.string())), pa.array([q.near for q in found], pa.bool_())],
+                names=["query", "alternatives", "words", "operands", "near"],
+            )
 
     kind = dict(queries.dtypes)["query"]
-    return queries.select("query", "text").mapInArrow(run, f"query {kind}, groups array<array<array<string>>>, without array<array<string>>, words array<string>")
+    return queries.select("query", "text").mapInArrow(run, f"query {kind}, alternatives array<struct<must:array<array<string>>,without:array<array<string>>>>, words array<string>, operands array<string>, near boolean")
 
 
 def _has(unit: Column) -> Column:
@@ -251,12 +217,21 @@ def _has(unit: Column) -> Column:
 
 
 def _accepted() -> Column:
-    return F.forall("groups", lambda g: F.exists(g, _has)) & ~F.exists("without", _has)
+    return F.exists("alternatives", lambda a: F.forall(a["must"], _has) & ~F.exists(a["without"], _has))
+
+
+def _counted(positions: Column) -> Column:
+    """The places, from 1, that count for the rank; none for null."""
+    return F.coalesce(counted(F.transform(positions, lambda i: i + 1)), F.array().cast("array<int>"))
 
 
-def _mean_harmonic(counts: str) -> Column:
-    total = F.aggregate("words", F.lit(0.0), lambda s, w: s + _harmonic(F.try_element_at(F.col(counts), w)))
-    return F.round(0.1 * total / F.greatest(F.size("words"), F.lit(1)), 6)
+def _bound(counts: Column, near: Column | bool) -> Column:
+    """The most that an item can score whose words occur as often as ``counts`` tells, at most; rounded up."""
+    near = F.lit(near) if isinstance(near, bool) else near
+    n = F.transform(counts, lambda c: F.least(c, F.lit(PLACES)).cast("double"))
+    total = F.aggregate(n, F.lit(0.0), lambda s, c: s + c)
+    pairs = (total * total - F.aggregate(n, F.lit(0.0), lambda s, c: s + c * c)) / 2
+    return F.when(near, 1 - F.pow(F.lit(1 - NEXT), pairs)).otherwise(by_count(F.transform(counts, lambda c: F.least(c, F.lit(PLACES))))) + 1e-6
 
 
 def _best(rows: DataFrame, k: int) -> DataFrame:
