@@ -22,7 +22,7 @@ from .operators.text_index import TextIndex
 from .operators.vector_index import VectorIndex
 from .plans.ingest import Ingested, ingest, session_metrics, wide
 from .sources import tables
-from .sources.lines import NOTE_EVERY, NOTES, read_lines, synth_log_lines
+from .sources.lines import NOTE_EVERY, NOTES, as_messages, from_messages, object_stat, read_lines, stream_lines, synth_log_lines
 from .sources.merge import MergeTable
 from .sources.scratch import scratch_path, written
 from .streaming import ingest as streams
@@ -399,13 +399,39 @@ def stack_frames(spark, sf):
     return out.select("session_id", "line_no", "exception", F.array_join("frames", ",").alias("frames"), T.exception_fingerprint(F.col("exception"), F.col("frames")).alias("fingerprint"))
 
 
-@query(f"WITH {LINES} SELECT session_id, line_no, value FROM lines")
-def file_lines(spark, sf):
-    """The log as text files, half of them with \\r\\n, written and read back."""
+def _log_files(spark, sf) -> str:
+    """The log as text files, half of them with \\r\\n."""
     folder = scratch_path(spark, "files")
     end = F.when(F.col("session_id").isin("1", "3"), "\r").otherwise("")
     _lines(spark, sf).select("session_id", "seq", F.concat("value", end).alias("value")).repartition("session_id").sortWithinPartitions("session_id", "seq").select("value", F.col("session_id").alias("s")).write.partitionBy("s").text(folder)
-    return read_lines(spark, f"{folder}/s=*", "x").select(F.regexp_extract("document_id", "s=([0-9])/", 1).alias("session_id"), "line_no", "value")
+    return folder
+
+
+@query(f"WITH {LINES} SELECT session_id, line_no, value FROM lines")
+def file_lines(spark, sf):
+    """Text files read back."""
+    return read_lines(spark, f"{_log_files(spark, sf)}/s=*", "x").select(F.regexp_extract("document_id", "s=([0-9])/", 1).alias("session_id"), "line_no", "value")
+
+
+@query(f"WITH {LINES} SELECT session_id, count(*) FILTER (WHERE regexp_matches(value, {_q(P.ERROR_LEVEL)})) AS errors, count(*) AS n, CAST(sum(strlen(value) + CASE WHEN session_id IN ('1', '3') THEN 2 ELSE 1 END) AS BIGINT) AS bytes FROM lines GROUP BY session_id")
+def streamed_files(spark, sf):
+    """Files that arrive one by one: lines and errors of each, counted by a stream, beside the sizes of the files."""
+    folder = _log_files(spark, sf)
+    session = lambda c: F.regexp_extract(c, "s=([0-9])/", 1)
+    lines = stream_lines(spark, f"{folder}/s=*").groupBy(session("document_id").alias("session_id")).agg(F.count_if(F.col("value").rlike(P.ERROR_LEVEL)).alias("errors"), F.count(F.lit(1)).alias("n"))
+    out = scratch_path(spark, "streamed")
+    streams.run_available(lines, f"{out}/checkpoint", streams.additive_sink(f"{out}/rows"), "update")
+    counts = spark.read.parquet(f"{out}/rows").groupBy("session_id").agg(F.max("errors").alias("errors"), F.max("n").alias("n"))
+    sizes = object_stat(spark, f"{folder}/s=*").groupBy(session("path").alias("session_id")).agg(F.sum("size").alias("bytes"))
+    return counts.join(sizes, "session_id")
+
+
+@query("SELECT CAST(event_id AS VARCHAR) AS key, user_id, event_type, CAST(user_id % 6 AS INTEGER) AS partition FROM events")
+def message_round_trip(spark, sf):
+    """Rows as keyed JSON messages and back."""
+    rows = _read(spark, sf, "events").select("event_id", "user_id", "event_type", (F.col("user_id") % 6).alias("lane"))
+    sent = as_messages(rows, "event_id", "lane")
+    return from_messages(sent, "event_id bigint, user_id bigint, event_type string").join(sent.select("key", "partition"), "key").select("key", "user_id", "event_type", "partition")
 
 
 @query(f"WITH {RUNS} SELECT session_id, bucket, line_start, count(*) AS n, sum(length(value))::BIGINT AS sum_ms FROM runs WHERE regexp_matches(value, '/api/click/') GROUP BY ALL")
@@ -464,6 +490,11 @@ def findings_ranked(spark, sf):
     return findings.ranked(_merged_findings(spark, sf), category="errors").select("session_id", "severity", _sec("time_range_start").alias("t0"), "title")
 
 
+@query(f"WITH {MERGED_FINDINGS} SELECT session_id, t0, category, seq FROM fm ORDER BY t0, category, seq")
+def findings_by_time(spark, sf):
+    return findings.by_time(_merged_findings(spark, sf), "session_id").select("session_id", _sec("time_range_start").alias("t0"), "category", "seq")
+
+
 @query(f"WITH {MERGED_FINDINGS} SELECT severity, count(*) AS n FROM fm GROUP BY severity")
 def severity_counts(spark, sf):
     return findings.severity_counts(_merged_findings(spark, sf))
@@ -812,6 +843,29 @@ def retry_router(spark, sf):
     return streams.route(items, _error(), F.lit(0), max_attempts=4).select("event_id", "route", F.col("next_attempt").cast("long").alias("next_attempt"))
 
 
+@query(f"SELECT event_id FROM events WHERE CASE WHEN event_type = 'click' AND user_id % 5 + 1 < 4 THEN event_id * 10 + 60000 ELSE 0 END <= 65000 AND event_type <> 'view'")
+def retry_due(spark, sf):
+    """Failed work that may run again 65 seconds in: what is retried waits a minute from when it failed."""
+    items = _read(spark, sf, "events").withColumn("attempt", F.col("user_id") % 5)
+    routed = streams.route(items, _error(), F.col("event_id") * 10, max_attempts=4).where("route <> 'DONE'")
+    return streams.ready(routed, 65_000).select("event_id")
+
+
+@query("SELECT CAST(user_id % 10 AS VARCHAR) AS document_id, CAST(least(100, round(100.0 * count(DISTINCT event_id % 50) / 64)) AS INTEGER) AS percent FROM events GROUP BY 1")
+def document_progress(spark, sf):
+    done = _parts(spark, sf).groupBy("document_id").agg(F.count_distinct("part_idx").alias("done"))
+    return done.select("document_id", T.progress_percent(F.col("done"), F.lit(64)).alias("percent"))
+
+
+@query("SELECT event_id, event_id % 3 <> 0 AS valid FROM events")
+def valid_ids(spark, sf):
+    """Ids in the form of a UUID, and others: cut short, or none."""
+    h = F.md5(F.col("event_id").cast("string"))
+    text = F.concat_ws("-", *[F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+    odd = F.when(F.col("event_id") % 2 == 0, F.substring(text, 1, 35))
+    return _read(spark, sf, "events").select("event_id", T.is_uuid(F.when(F.col("event_id") % 3 != 0, text).otherwise(odd)).alias("valid"))
+
+
 @query(f"SELECT event_type, CASE event_type WHEN 'view' THEN 'UNKNOWN' WHEN 'click' THEN 'RATE_LIMIT' WHEN 'purchase' THEN 'CONNECTION' WHEN 'signup' THEN 'UNAUTHORIZED' ELSE 'TIMEOUT' END AS category, count(*) AS n FROM events GROUP BY 1, 2")
 def error_category(spark, sf):
     return _read(spark, sf, "events").groupBy("event_type", T.error_category(_error()).alias("category")).agg(F.count(F.lit(1)).alias("n"))

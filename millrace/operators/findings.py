@@ -34,9 +34,9 @@ def merge(findings: DataFrame) -> DataFrame:
     return merged.join(lists, key, "left").withColumn("evidence_chunk_ids", F.coalesce("evidence_chunk_ids", F.array().cast("array<string>")))
 
 
-def by_time(findings: DataFrame) -> DataFrame:
-    """In the order of time, those without a start last, then by category."""
-    return findings.orderBy(F.col("time_range_start").asc_nulls_last(), "category", "seq")
+def by_time(findings: DataFrame, *last: str) -> DataFrame:
+    """In the order of time, those without a start last, then by category, age and ``last``."""
+    return findings.orderBy(F.col("time_range_start").asc_nulls_last(), "category", "seq", *last)
 
 
 def ranked(findings: DataFrame, session_id: str | None = None, category: str | None = None, severity: str | None = None) -> DataFrame:

@@ -52,6 +52,11 @@ def stream_lines(spark: SparkSession, path: str, files_per_trigger: int = 1) ->
 def kafka_messages(spark: SparkSession, servers: str, topic: str, schema: str) -> DataFrame:
     """A stream of JSON messages of a topic, from the earliest offset. Needs the connector's jar."""
     raw = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic).option("startingOffsets", "earliest").load()
+    return from_messages(raw, schema)
+
+
+def from_messages(raw: DataFrame, schema: str) -> DataFrame:
+    """(key, the columns of ``schema``) of JSON messages (key, value)."""
     return raw.select(F.col("key").cast("string").alias("key"), F.from_json(F.col("value").cast("string"), schema).alias("m")).select("key", "m.*")
 
 
