@@ -31,13 +31,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/millrace/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write a Parquet table to the shared folder and read it back.
+def written(df: DataFrame, name: str, dictionary: bool = True) -> DataFrame:
+    """Cut the lineage: write a Parquet table to the shared folder and read it back; ``dictionary`` off where values hardly recur.
 
     A lost executor costs a task that rereads the table, never a recomputation of the chain.
     """
     spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("parquet.enable.dictionary", str(dictionary).lower()).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

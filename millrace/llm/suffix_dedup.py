@@ -205,11 +205,12 @@ def triples(strings: DataFrame) -> DataFrame:
     return strings.select("tag", "n", "pos", "p").mapInArrow(combined(run), SORTED)
 
 
-def ranked(rows: DataFrame, name: str) -> DataFrame:
+def ranked(rows: DataFrame, name: str, near_only: bool = False) -> DataFrame:
     """Sorts ``rows`` (as SORTED, a written table) by their keys and compares neighbours.
 
     Adds place (rows before the first with equal keys), inner (rows with its first key before that one), again
-    (a neighbour has equal keys) and near (a neighbour has the same first key).
+    (a neighbour has equal keys) and near (a neighbour has the same first key). ``near_only`` leaves out rows without
+    such a neighbour, and the first key; only the groups at a task's borders can still get one, and are kept.
     Tasks hold ranges of the order, which may split even the rows of one key; what crosses their borders follows
     from one row per task.
     """
@@ -219,11 +220,14 @@ def ranked(rows: DataFrame, name: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, first, last, n, start, outer = None, None, None, 0, 0, 0
 
-        def flush(same: bool, kin: bool) -> pa.RecordBatch:
+        def flush(same: bool, kin: bool, over: bool = False) -> pa.RecordBatch:
             batch, eq, group_eq, at, out = held
             again, near = eq | np.r_[eq[1:], same], group_eq | np.r_[group_eq[1:], kin]
             columns = [batch.column(c) for c in ("pid", "tag", "idx", "k0", "bytes", "whole")]
-            return pa.RecordBatch.from_arrays([*columns, pa.array(at), pa.array(out), pa.array(again), pa.array(near), pa.nulls(len(at), edge_type)], names=out_names)
+            if near_only:
+                columns[3] = pa.nulls(len(at), pa.int64())
+            whole = pa.RecordBatch.from_arrays([*columns, pa.array(at), pa.array(out), pa.array(again), pa.array(near), pa.nulls(len(at), edge_type)], names=out_names)
+            return whole.filter(pa.array(again | near | (out == 0) | (over & (out == out[-1])))) if near_only else whole
 
         for batch in batches:
             if not batch.num_rows:
@@ -240,7 +244,7 @@ def ranked(rows: DataFrame, name: str) -> DataFrame:
             out = np.maximum.accumulate(np.where(group_eq, outer, here))
             held, last, n, start, outer = (batch, eq, group_eq, at, out), x[:, -1], n + batch.num_rows, int(at[-1]), int(out[-1])
         if held is not None:
-            yield flush(False, False)
+            yield flush(False, False, True)
             summary = {"n": n, "first": first.tolist(), "last": last.tolist(), "start": start, "outer": outer}
             none = [pa.array([None], t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_())]
             yield pa.RecordBatch.from_arrays([pa.array([pid], pa.int32()), *none, pa.array([summary], edge_type)], names=out_names)
@@ -250,7 +254,7 @@ def ranked(rows: DataFrame, name: str) -> DataFrame:
     out_names = ["pid", "tag", "idx", "k0", "bytes", "whole", "start", "outer", "again", "near", "edge"]
     kinds = f"pid int, tag bigint, idx int, k0 bigint, bytes int, whole boolean, start bigint, outer bigint, again boolean, near boolean, edge {edge}"
     order = rows.repartitionByRange(*KEYS, "tag", "idx").sortWithinPartitions(*KEYS).select(F.spark_partition_id().alias("pid"), *names)
-    table = written(order.mapInArrow(combined(run), kinds), name)
+    table = written(order.mapInArrow(combined(run), kinds), name, dictionary=False)  # hashes and tags in no order
     spark, fixes, before = rows.sparkSession, [], None
     for r in sorted(table.where("edge is not null").select("pid", "edge").collect(), key=lambda r: r["pid"]):  # one row per task
         e, off = r["edge"], before["end"] if before else 0
@@ -389,7 +393,7 @@ def repeats(strings: DataFrame, levels: int = 12) -> DataFrame:
         before, state, step = state, written(refined(state, ranked(rows, "order")), "names"), step * 3
         release(before, rows)
     rows = written(orders(strings, state), "merges")
-    found = _listed(ranked(rows, "order").where("near or again").select("tag", "idx", F.when(F.col("again"), F.col("bytes")).otherwise(0).alias("cover")), "cover")
+    found = _listed(ranked(rows, "order", True).where("near or again").select("tag", "idx", F.when(F.col("again"), F.col("bytes")).otherwise(0).alias("cover")), "cover")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
