@@ -1,8 +1,8 @@
 """Quality classification by positive-unlabelled learning.
 
 A linear model over binned text statistics minimises the non-negative unbiased risk of trusted positives
-against unlabelled web text. Bins are quantiles of all learning rows. Weights start from a bounded sample and are
-settled by steps down the risk of all positives and all unlabelled rows, each the sum of one pass over their bins.
+against unlabelled web text. Bins are quantiles of all learning rows. Weights start from a bounded sample and then go
+down the risk of all positives and all unlabelled rows, a pass over their bins a step, until it stops falling.
 The share of positives in unlabelled text is estimated from the scores of all learning rows (between 0.05 and
 0.95), and a logistic curve fitted on labelled rows, at most FIT_ROWS, turns the model's output into a probability.
 
@@ -28,8 +28,8 @@ from .common import remove, written
 #: Most rows of each class that the weights start from, and most labelled rows of the probability curve.
 FIT_ROWS = 20_000
 BINS, STEPS, RATE, DECAY = 12, 250, 0.05, 1e-4
-#: Steps over all rows.
-FULL_STEPS = 12
+#: Most steps over all rows; they end after PATIENCE steps without a risk that is lower by the share FALL.
+FULL_STEPS, PATIENCE, FALL = 40, 4, 1e-3
 _SYMBOLS = re.compile(r"[^\w\s]{3,}")
 _SHOUT = re.compile(r"!{2,}")
 _LAST = re.compile(r"[.!?]\s")
@@ -105,6 +105,10 @@ class Descent:
         self.model, self.prior, self.rate, self.t = model, prior, rate, 0
         self.first, self.second = np.zeros_like(model.w), np.zeros_like(model.w)
 
+    def risk(self, p: Sums, u: Sums) -> float:
+        """What the steps go down, the decay of the weights included."""
+        return self.prior * p.risk_positive(self.model) + max(0.0, u.risk_negative - self.prior * p.risk_negative) + 0.5 * DECAY * float((self.model.w**2).sum())
+
     def step(self, p: Sums, u: Sums) -> None:
         negative = u.risk_negative - self.prior * p.risk_negative
         g_neg = u.grad_negative - self.prior * p.grad_negative
@@ -122,6 +126,10 @@ class Sums:
         self.risk_negative = flat[1] / n
         self.grad_negative, self.grad_positive = (flat[2:] / n).reshape(2, *shape)
 
+    def risk_positive(self, model: Model) -> float:
+        """The risk if they were positive: of the logistic loss, the two differ by the mean margin."""
+        return self.risk_negative - float((model.w * (self.grad_negative - self.grad_positive)).sum())
+
     @staticmethod
     def of(model: Model, bins: np.ndarray) -> np.ndarray:
         """Rows, risk and both gradients, summed: they add up over parts."""
@@ -179,8 +187,9 @@ def full_sums(table: DataFrame, model: Model) -> tuple[Sums, Sums]:
     return Sums(out[1], model.w.shape), Sums(out[0], model.w.shape)
 
 
-def _sample(rows: DataFrame, n: int, limit: int = FIT_ROWS) -> np.ndarray:
-    """Up to ``limit`` of n rows, by a hash of the id, so the same on every run."""
+def _sample(rows: DataFrame, n: int) -> np.ndarray:
+    """Up to FIT_ROWS of n rows, by a hash of the id, so the same on every run."""
+    limit = FIT_ROWS
     share = F.pmod(F.xxhash64(F.lit("fit"), F.col("doc_id")), F.lit(1_000_000)) < F.lit(int(1_000_000 * min(1.0, limit / max(n, 1))) + 1)
     found = rows.where(share).select("x").limit(limit).toPandas()["x"]
     return np.array(found.tolist(), float).reshape(-1, STATS)
@@ -218,17 +227,16 @@ def train(feats: DataFrame, labels: DataFrame) -> Model | None:
         return None
     learning = rows.where("quality is null or quality = 1")
     edges = quantiles(learning)
+    table = written(binned(learning, edges), "bins")
     first = fit_risk(p, u, 0.5, STEPS // 2, edges)
+    settle(first, 0.5, table)
     hist = {q: np.zeros(200) for q in (0, 1)}
     scored = apply(learning, first, ("quality",))
     for r in scored.groupBy(F.coalesce("quality", F.lit(0)).alias("q"), F.least(F.floor(F.col("score") * 200), F.lit(199)).alias("k")).count().collect():  # 400 rows at most
         hist[r["q"]][r["k"]] = r["count"]
     prior = estimate_prior(hist[1], hist[0])
     model = fit_risk(p, u, prior, STEPS, edges)
-    table = written(binned(learning, edges), "bins")
-    down = Descent(model, prior, RATE / 2)
-    for _ in range(FULL_STEPS):
-        down.step(*full_sums(table, model))
+    settle(model, prior, table)
     remove(table)
     marks = labelled.where(F.pmod(F.xxhash64(F.lit("curve"), F.col("doc_id")), F.lit(1_000_000)) < F.lit(int(1_000_000 * min(1.0, FIT_ROWS / counts[2])) + 1)).select("x", "quality").limit(FIT_ROWS).toPandas()
     model.a, model.b = fit_platt(model.margin(model.bins(np.array(marks["x"].tolist(), float).reshape(-1, STATS))), marks["quality"].to_numpy(float))
@@ -236,6 +244,20 @@ def train(feats: DataFrame, labels: DataFrame) -> Model | None:
     return model
 
 
+def settle(model: Model, prior: float, table: DataFrame) -> int:
+    """Go down the risk of all rows of :func:`binned` until it stops falling; returns the number of passes."""
+    down, best, kept, since, passes = Descent(model, prior, RATE / 2), np.inf, model.w.copy(), 0, 0
+    while passes < FULL_STEPS and since < PATIENCE:
+        sums = full_sums(table, model)
+        risk, passes = down.risk(*sums), passes + 1
+        since = 0 if risk < best * (1 - FALL) else since + 1
+        if risk < best:
+            best, kept = risk, model.w.copy()
+        down.step(*sums)
+    model.w = kept
+    return passes
+
+
 def apply(feats: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns of ``keep`` and score."""
     if model is None:

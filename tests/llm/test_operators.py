@@ -709,6 +709,33 @@ def test_mixing_against_plain_loops_at_the_querys_settings(spark):
     assert {r._topic for r in rows.select("_topic").distinct().collect()} - {mixing.NONE} == {f"topic{k}" for k in range(mixing.TOPICS)}
 
 
+def test_quality_does_not_rest_on_the_sample(spark, monkeypatch):
+    """Weights started from 400 rows a class and from all end with much the same scores: the steps over all rows decide."""
+    rng = np.random.default_rng(81)
+    x = rng.normal(size=(4000, quality.STATS))
+    good = x[:, :6].sum(1) + 0.5 * rng.normal(size=4000) > 0.5
+    feats = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "doc_id long, x array<double>")
+    labels = spark.createDataFrame([(k, int(good[k])) for k in range(0, 4000, 3)], "doc_id long, quality int")
+    scores = []
+    for rows in (400, 20_000):
+        monkeypatch.setattr(quality, "FIT_ROWS", rows)
+        model = quality.train(feats, labels)
+        model.a, model.b = 1.0, 0.0
+        scores.append(np.array([model.margin(model.bins(x))]).ravel())
+    assert np.corrcoef(*scores)[0, 1] > 0.95
+    rank = scores[0].argsort().argsort()
+    assert (rank[good].sum() - good.sum() * (good.sum() - 1) / 2) / (good.sum() * (~good).sum()) > 0.85
+
+
+def test_risk_of_positives_by_plain_loops(spark):
+    rng = np.random.default_rng(82)
+    model = quality.Model(np.sort(rng.normal(size=(quality.STATS, quality.BINS - 1)), 1))
+    model.w = rng.normal(size=model.w.shape)
+    bins = model.bins(rng.normal(size=(50, quality.STATS)))
+    sums = quality.Sums(quality.Sums.of(model, bins), model.w.shape)
+    assert sums.risk_positive(model) == pytest.approx(np.mean(np.log1p(np.exp(-model.margin(bins)))), abs=1e-6)
+
+
 def test_few_cells_in_memory_as_over_tables(spark):
     """Both ways of fitting take the same steps, where some cells are taken whole and where none is."""
     rng = np.random.default_rng(71)
