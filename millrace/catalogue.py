@@ -177,6 +177,24 @@ def ts_extract(spark, sf):
     return _numbered(spark, sf).select("session_id", "line_no", _sec(D.line_ts(F.col("value"), 2024)).alias("ts"))
 
 
+_FORMS = 9
+
+
+@query(
+    f"""WITH e AS (SELECT event_id, event_id % {_FORMS} AS form, date_trunc('second', ts) AS t FROM events)
+SELECT event_id, CASE form WHEN 0 THEN epoch_us(t) WHEN 1 THEN epoch_us(t) + 120000 WHEN 2 THEN epoch_us(t) + 987654 WHEN 3 THEN epoch_us(t) - 7200000000 WHEN 4 THEN NULL WHEN 5 THEN epoch_us(t) WHEN 6 THEN epoch_us(t) + 19800000000 WHEN 7 THEN epoch_us(t) ELSE NULL END AS us FROM e"""
+)
+def ts_forms(spark, sf):
+    """Every form of timestamp: fractions of any length, zones, offsets with and without a colon, syslog, none."""
+    t = F.date_trunc("second", "ts")
+    text, iso = F.date_format(t, "yyyy-MM-dd HH:mm:ss"), F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss")
+    syslog = F.concat(F.element_at(F.array(*[F.lit(m) for m in P.MONTHS]), F.month(t)), F.lit(" "), F.lpad(F.dayofmonth(t).cast("string"), 2, " "), F.date_format(t, " HH:mm:ss"), F.lit(" host app: x"))
+    forms = [F.concat(F.lit("x "), text, F.lit(" INFO a")), F.concat(text, F.lit(",12 b")), F.concat(iso, F.lit(".987654321Z")), F.concat(iso, F.lit("+02:00 c")), F.concat(iso, F.lit("+0200")), F.concat(F.lit("["), iso, F.lit("Z]")), F.concat(text, F.lit("-05:30")), syslog, F.lit("no time at 12:00")]
+    k = (F.col("event_id") % _FORMS).cast("int")
+    line = F.get(F.array(*forms), k)
+    return _read(spark, sf, "events").select("event_id", F.unix_micros(D.line_ts(line, 2024)).alias("us"))
+
+
 @query(f"WITH {TIMED} SELECT session_id, line_no, CAST(epoch(fts) AS BIGINT) AS at_s FROM filled")
 def ts_forward_fill(spark, sf):
     return _runs(spark, sf).select("session_id", "line_no", _sec("at").alias("at_s"))
@@ -706,6 +724,51 @@ def drilldown_history(spark, sf):
     return _read(spark, sf, "conversations").select("conv_id", "turn", "role", "text").orderBy("conv_id", "turn")
 
 
+@query("SELECT conv_id, turn, role, text FROM conversations WHERE conv_id % 4 <> 1")
+def session_history(spark, sf):
+    """Messages appended in two writes, one session cleared, the rest read in order."""
+    folder = scratch_path(spark, "messages")
+    rows = _read(spark, sf, "conversations").withColumn("session_id", (F.col("conv_id") % 4).cast("string"))
+    tables.append(rows.where("turn % 2 = 0"), folder)
+    tables.append(rows.where("turn % 2 = 1"), folder)
+    tables.drop_session(spark, folder, "1")
+    return spark.read.parquet(folder).orderBy("conv_id", "turn").select("conv_id", "turn", "role", "text")
+
+
+@query("SELECT page_id, CASE WHEN page_id % 3 = 0 THEN url END AS key FROM pages")
+def object_keys(spark, sf):
+    """Keys of a bucket's objects; addresses elsewhere have none."""
+    address = F.concat(F.when(F.col("page_id") % 3 == 0, "s3://stage/").when(F.col("page_id") % 3 == 1, "s3://staged/").otherwise(""), "url")
+    return _read(spark, sf, "pages").select("page_id", T.object_key(address, "stage").alias("key"))
+
+
+@query("SELECT conv_id, turn, (length(role) + length(text)) // 4 + 512 AS tokens FROM conversations")
+def chat_token_estimate(spark, sf):
+    return _read(spark, sf, "conversations").select("conv_id", "turn", T.chat_tokens(F.col("role"), F.col("text")).alias("tokens"))
+
+
+@query(
+    """WITH r AS (SELECT o_orderkey, CASE o_orderkey % 8 WHEN 0 THEN 200 WHEN 1 THEN 429 WHEN 2 THEN 401 WHEN 3 THEN 404 WHEN 4 THEN 500 WHEN 5 THEN 503 WHEN 6 THEN NULL ELSE 302 END AS status, o_custkey % 4 AS attempt FROM orders)
+SELECT o_orderkey, CASE WHEN status < 400 THEN 'DONE' WHEN status = 429 THEN 'RETRY_LANE' WHEN status < 500 THEN 'FAIL' WHEN attempt < 2 THEN 'BACKOFF' ELSE 'FAIL' END AS lane FROM r"""
+)
+def reply_lanes(spark, sf):
+    status = F.get(F.array(*[F.lit(x) for x in (200, 429, 401, 404, 500, 503, None, 302)]), (F.col("o_orderkey") % 8).cast("int"))
+    return _read(spark, sf, "orders").select("o_orderkey", T.reply_lane(status, F.col("o_custkey") % 4).alias("lane"))
+
+
+@query(
+    """WITH f AS (SELECT user_id % 10 AS d, CASE WHEN event_id % 7 = 0 THEN NULL ELSE event_id % 50 END AS part, 'boom ' || props AS error FROM events WHERE event_type = 'error' AND user_id % 10 < 6),
+m AS (SELECT d, arg_min(CASE WHEN part IS NULL THEN 'Ingest' ELSE 'Part ' || part END || ' failed: ' || error, lpad(CAST(coalesce(part, -1) + 1 AS VARCHAR), 3, '0') || error) AS message FROM f GROUP BY d)
+SELECT CAST(k AS VARCHAR) AS document_id, CASE WHEN message IS NOT NULL AND k <> 2 THEN 'FAILED' WHEN k = 2 THEN 'COMPLETED' ELSE 'PROCESSING' END AS status, CASE WHEN k <> 2 THEN left(message, 24) END AS error FROM (SELECT DISTINCT user_id % 10 AS k FROM events) LEFT JOIN m ON d = k"""
+)
+def failed_documents(spark, sf):
+    """Documents whose parts failed are marked with the first failure; a completed one is not."""
+    e = _read(spark, sf, "events").withColumn("document_id", (F.col("user_id") % 10).cast("string"))
+    bad = e.where("event_type = 'error' and user_id % 10 < 6").select("document_id", F.when(F.col("event_id") % 7 != 0, F.col("event_id") % 50).alias("part_idx"), F.concat(F.lit("boom "), "props").alias("error"))
+    docs = e.select("document_id").distinct().withColumn("processing_status", F.when(F.col("document_id") == "2", "COMPLETED").otherwise("PROCESSING"))
+    return streams.mark_failed(docs, bad, 24).select("document_id", F.col("processing_status").alias("status"), F.col("error_message").alias("error"))
+
+
 @query("SELECT doc_id FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id WHERE e.embedding IS NULL")
 def missing_embeddings(spark, sf):
     chunks = _read(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.lit(None).cast("array<float>").alias("embedding"))

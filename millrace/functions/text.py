@@ -80,6 +80,29 @@ def embed_tokens(text: Column) -> Column:
     return F.floor(F.length(text) / 4).cast("long") + 8
 
 
+def chat_tokens(system: Column, user: Column, output: int = 512) -> Column:
+    """Estimated tokens of a chat call, its answer included."""
+    return F.floor((F.length(system) + F.length(user)) / 4).cast("long") + output
+
+
+def object_key(url: Column, bucket: str) -> Column:
+    """Key of an object of the bucket; null for any other address."""
+    prefix = f"s3://{bucket}/"
+    return F.when(url.startswith(prefix), F.substring(url, F.lit(len(prefix) + 1), F.length(url)))
+
+
+def truncated(message: Column, size: int = 500) -> Column:
+    """The start of an error's text."""
+    return F.substring(message, 1, size)
+
+
+def reply_lane(status: Column, attempt: Column, attempts: int = 3) -> Column:
+    """What follows a model server's reply (status null: no connection): DONE, a RETRY_LANE for rate limits, FAIL for what will
+    not change, and after other errors a BACKOFF of 1, 2, 4, … seconds until the attempts are used up."""
+    again = F.when(attempt + 1 < attempts, "BACKOFF").otherwise("FAIL")
+    return F.when(status.between(200, 399), "DONE").when(status == 429, "RETRY_LANE").when(status < 500, "FAIL").otherwise(again)
+
+
 def plain_number(x: Column) -> Column:
     """A decimal without trailing zeros."""
     return F.regexp_replace(F.regexp_replace(x.cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import error_category
+from ..functions.text import error_category, truncated
 
 
 def tumbling_counts(events: DataFrame, ts: str, keys: list[str], width: str = "60 seconds", late: str | None = None, slide: str | None = None) -> DataFrame:
@@ -36,8 +37,8 @@ def run_available(stream: DataFrame, checkpoint: str, sink: Callable[[DataFrame,
     stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(sink).start().awaitTermination()
 
 
-def with_dead_letters(work: Callable[[DataFrame, int], None], dead: Callable[[DataFrame, int, str], None], attempts: int = 3) -> Callable[[DataFrame, int], None]:
-    """Tries a batch several times, then hands it to ``dead`` with the error's start instead of failing the stream."""
+def with_dead_letters(work: Callable[[DataFrame, int], None], dead: Callable[[DataFrame, int, str], None], attempts: int = 3, pause: float = 2.0) -> Callable[[DataFrame, int], None]:
+    """Tries a batch several times, ``pause`` seconds apart, then hands it to ``dead`` with the error's start instead of failing the stream."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
         for k in range(attempts):
@@ -46,10 +47,22 @@ def with_dead_letters(work: Callable[[DataFrame, int], None], dead: Callable[[Da
             except Exception as e:
                 if k == attempts - 1:
                     dead(batch, batch_id, str(e)[:1000])
+                else:
+                    time.sleep(pause)
 
     return run
 
 
+def mark_failed(documents: DataFrame, failures: DataFrame, size: int = 1000) -> DataFrame:
+    """``documents`` with processing_status FAILED and error_message where ``failures`` (document_id, part_idx, error) names them:
+    the first failed part's, or the whole document's (part_idx null). Completed documents stay as they are."""
+    text = F.concat(F.when(F.col("part_idx").isNull(), "Ingest").otherwise(F.concat(F.lit("Part "), F.col("part_idx"))), F.lit(" failed: "), F.col("error"))
+    first = failures.groupBy("document_id").agg(F.min_by(truncated(text, size), F.struct(F.coalesce("part_idx", F.lit(-1)), "error")).alias("_message"))
+    bad = F.col("_message").isNotNull() & (F.col("processing_status") != "COMPLETED")
+    out = documents.join(first, "document_id", "left").withColumn("error_message", F.when(bad, F.col("_message")))
+    return out.withColumn("processing_status", F.when(bad, "FAILED").otherwise(F.col("processing_status"))).drop("_message")
+
+
 def route(items: DataFrame, error: Column, now_ms: Column, delay_seconds: int = 60, max_attempts: int = 1440) -> DataFrame:
     """Adds route (DONE, RETRY, DLQ), next_attempt and not_before_epoch_ms from each item's outcome.
 

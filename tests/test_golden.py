@@ -1,7 +1,9 @@
 """Fixed small inputs with the results the engine is defined by."""
 
 import datetime as dt
+import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -148,3 +150,21 @@ def test_text_query(spark):
     df = spark.createDataFrame([(1, "the quick brown fox"), (2, "quick the fox"), (3, "brown dog")], "k int, t string")
     hit = lambda q: [r.k for r in df.where(retrieval.matches(T.terms(F.col("t")), retrieval.TextQuery.parse(q))).orderBy("k").collect()]
     assert hit("quick fox") == [1, 2] and hit('"the quick"') == [1] and hit("fox or dog") == [1, 2, 3] and hit("brown -fox") == [3] and hit("") == []
+
+
+def test_no_line_matches_without_a_needed_word():
+    """Random lines of the patterns' own words, in any case: wherever a pattern matches, one of its needed words is there."""
+    from millrace.operators.metrics import FLAGS, NEEDS
+
+    rng = np.random.default_rng(1)
+    words = sorted({w for p in FLAGS.values() for w in re.findall(r"[A-Za-z]{2,}|\d{3}", p)} | {"ORA-12", "/a/b", "HTTP/1.1", "query:", "started x in 3", "status = DOWN", "connection  pool", "auth failure", "release 7"})
+    joins, hits = [" ", "  ", "", "_", "-", "=", ": "], dict.fromkeys(FLAGS, 0)
+    for _ in range(40_000):
+        line = "".join(str(w) + str(j) for w, j in zip(rng.choice(words, 4), rng.choice(joins, 4)))
+        line = line.upper() if rng.random() < 0.2 else line
+        low = line.lower()
+        for k, p in FLAGS.items():
+            if re.search(p, line):
+                hits[k] += 1
+                assert any(w in low for w in NEEDS[k]), (k, line)
+    assert sum(n > 0 for n in hits.values()) >= 20 and NEEDS.keys() == FLAGS.keys()

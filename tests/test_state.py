@@ -55,7 +55,7 @@ def test_dead_letters():
         seen.append(k)
         raise ValueError("no")
 
-    streams.with_dead_letters(work, lambda b, k, e: seen.append(e))(None, 7)
+    streams.with_dead_letters(work, lambda b, k, e: seen.append(e), pause=0.01)(None, 7)
     assert seen == [7, 7, 7, "no"]
 
 
