@@ -821,7 +821,7 @@ def completion_claims(spark, sf):
 
 
 @query(
-    """WITH s AS (SELECT user_id, event_id, CASE event_type WHEN 'error' THEN 'FAILED' ELSE upper(event_type) END AS status, CAST(floor(value / 100) AS BIGINT) AS enriched, epoch_ms(ts) AS at_ms, epoch_ms(ts) // 3600000 AS sweep FROM events),
+    """WITH s AS (SELECT user_id, event_id, CASE event_type WHEN 'error' THEN 'FAILED' ELSE upper(event_type) END AS status, CAST(floor(value / 100) AS BIGINT) AS enriched, epoch_us(ts) // 1000 AS at_ms, epoch_us(ts) // 3600000000 AS sweep FROM events),
 b AS (SELECT *, min(sweep) OVER (PARTITION BY user_id) AS opened FROM s QUALIFY row_number() OVER (PARTITION BY user_id, sweep ORDER BY at_ms DESC, event_id DESC) = 1),
 k AS (SELECT *, min(CASE WHEN status = 'FAILED' THEN sweep END) OVER (PARTITION BY user_id) AS stop, lag(status || ':' || enriched) OVER (PARTITION BY user_id ORDER BY sweep) AS before FROM b WHERE sweep - opened <= 72),
 f AS (SELECT * FROM k WHERE stop IS NULL OR sweep <= stop)

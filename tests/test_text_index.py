@@ -36,7 +36,7 @@ def answers(df):
 
 @pytest.mark.parametrize(("query", "any_word"), [*((q, False) for q in QUERIES), *((q, True) for q in QUERIES[:4])])
 def test_index_equals_reading_the_texts(texts, index, query, any_word):
-    for k, first in ((7, 2),) if any_word else ((7, 2), (1000, 32)):
+    for k, first in ((7, 2), (1000, 32)) if query in QUERIES[:6] and not any_word else ((7, 2),):
         assert answers(index.search(query, k, any_word=any_word, first=first)) == answers(retrieval.full_text(texts, query, k, any_word=any_word))
 
 
