@@ -176,20 +176,19 @@ def by_count(counts: Column) -> Column:
     return F.aggregate(counts, F.lit(0.0), lambda s, n: s + harmonic(n)) * F.lit(WEIGHT / ZETA) / F.greatest(F.size(counts), F.lit(1))
 
 
-def _far(distance: Column) -> Column:
-    """1 less the weight of two words at a distance; words at one place have none."""
-    d = F.abs(distance).cast("double")
-    closeness = F.when(d > 100, 1e-30).otherwise(1 / (1.005 + 0.05 * F.exp(d / 1.5 - 2)))
-    return F.when(d == 0, 1.0).otherwise(1 - WEIGHT * F.sqrt(closeness))
+def _weight(distance: int) -> float:
+    """The weight of two words at a distance of 1 to 100; farther ones weigh less than a double can tell from nothing."""
+    return WEIGHT * (1 / (1.005 + 0.05 * math.exp(distance / 1.5 - 2))) ** 0.5
 
 
 #: The largest weight that two words can have: next to each other.
-NEXT = WEIGHT * (1 / (1.005 + 0.05 * math.exp(1 / 1.5 - 2))) ** 0.5
+NEXT = _weight(1)
 
 
 def by_distance(at: Column) -> Column:
     """Rank where words must meet, from the counted places of each operand: 1 less the product of 1 less each pair's weight."""
-    pairs = lambda held, x, other: F.aggregate(other, held, lambda c, y: c * _far(x - y))
+    rest = F.array(F.lit(1.0), *[F.lit(1 - _weight(d)) for d in range(1, 101)])  # words at one place have no weight
+    pairs = lambda held, x, other: F.aggregate(other, held, lambda c, y: c * F.coalesce(F.get(rest, F.abs(x - y)), F.lit(1.0)))
     one = lambda held, i: F.aggregate(F.get(at, i), held, lambda a, x: F.aggregate(F.slice(at, F.lit(1), i), a, lambda b, other: pairs(b, x, other)))
     return 1 - F.aggregate(F.sequence(F.lit(0), F.greatest(F.size(at) - 1, F.lit(0))), F.lit(1.0), one)
 
@@ -200,8 +199,13 @@ def rank_of(at: Column, near: Column | bool) -> Column:
     return F.round(F.when(near, by_distance(at)).otherwise(by_count(F.transform(at, lambda p: F.size(p)))), 6)
 
 
-def text_rank(words: Column, query: TextQuery) -> Column:
-    return rank_of(F.array(*[counted(places(words, w)) for w in query.operands]) if query.operands else F.array().cast("array<array<int>>"), query.near)
+def with_rank(rows: DataFrame, at: Column, near: Column | bool) -> DataFrame:
+    """Adds rank. The places are a column of their own first: the loops over them refer to them again and again."""
+    return rows.withColumn("_at", at).withColumn("rank", rank_of(F.col("_at"), near)).drop("_at")
+
+
+def places_of(words: Column, query: TextQuery) -> Column:
+    return F.array(*[counted(places(words, w)) for w in query.operands]) if query.operands else F.array().cast("array<array<int>>")
 
 
 def full_text(items: DataFrame, query: str, k: int = 30, key: str = "chunk_id", text: str = "content", any_word: bool = False) -> DataFrame:
@@ -209,7 +213,7 @@ def full_text(items: DataFrame, query: str, k: int = 30, key: str = "chunk_id",
     q = TextQuery.parse(query)
     q = TextQuery.any_of(q.words) if any_word and q.words else q
     rows = items.select(key, terms(F.col(text)).alias("_w")).where(matches(F.col("_w"), q))
-    return rows.select(key, text_rank(F.col("_w"), q).alias("rank")).orderBy(F.desc("rank"), key).limit(k)
+    return with_rank(rows, places_of(F.col("_w"), q), q.near).select(key, "rank").orderBy(F.desc("rank"), key).limit(k)
 
 
 def ranked_list(df: DataFrame, score: str, key: str, list_no: int) -> DataFrame:

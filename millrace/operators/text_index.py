@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import terms
 from ..sources.scratch import written
-from .retrieval import NEXT, PLACES, TextQuery, accepts, by_count, counted, rank_of
+from .retrieval import NEXT, PLACES, TextQuery, accepts, by_count, counted, with_rank
 
 #: Items of a block on average, folders of postings, tasks that share a folder, blocks evaluated first.
 BLOCK_ITEMS, BUCKETS, SALTS, FIRST = 4096, 64, 16, 32
@@ -113,7 +113,7 @@ class TextIndex:
             return F.coalesce(F.size(starts) > 0, F.lit(False))
 
         at = F.array(*[_counted(place[w]) for w in every])
-        return rows.where(accepts(query, has)).select("doc", "key", rank_of(at, query.near).alias("rank"))
+        return with_rank(rows.where(accepts(query, has)), at, query.near).select("doc", "key", "rank")
 
     # --- many queries at once ---------------------------------------------------------------------------------------
     def search_all(self, queries: DataFrame, k: int = 30, key: str = "chunk_id", any_word: bool = False, first: int = FIRST) -> DataFrame:
@@ -144,7 +144,7 @@ class TextIndex:
         def matches(rows: DataFrame) -> DataFrame:
             """(query, doc, key, rank) of postings with their queries."""
             found = rows.groupBy("query", "block", "doc", "key").agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("at"))
-            return found.join(spec, "query").where(_accepted()).select("query", "doc", "key", rank_of(at, F.col("near")).alias("rank"))
+            return with_rank(found.join(spec, "query").where(_accepted()), at, F.col("near")).select("query", "doc", "key", "rank")
 
         of_blocks = lambda chosen: matches(chosen.select("query", "block").join(terms_of, "query").join(posted, ["bucket", "term", "block"])).select("query", "key", "rank")
         order = Window.partitionBy("query").orderBy(F.desc("bound"), "block")
