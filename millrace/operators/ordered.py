@@ -58,11 +58,12 @@ def next_at_or_after(rows: DataFrame, targets: DataFrame, keys: Sequence[str], a
     both = rows.withColumns({"_pos": F.col(at), "_kind": F.lit(0), "_value": F.lit(None).cast(targets.schema[value].dataType)})
     both = both.unionByName(targets.select(*keys, F.col(pos).alias("_pos"), F.lit(1).alias("_kind"), F.col(value).alias("_value")), allowMissingColumns=True)
     line = with_ordered_blocks(both, keys, ["_pos", "_kind", "_value"], size)
-    later = Window.partitionBy(*keys).orderBy("_block").rowsBetween(1, Window.unboundedFollowing)
+    # read backwards: a frame that ends at the row grows by a row, one that starts there is gone through for every row
+    later = Window.partitionBy(*keys).orderBy(F.desc("_block")).rowsBetween(Window.unboundedPreceding, -1)
     heads = line.groupBy(*keys, "_block").agg(F.min(F.when(F.col("_kind") == 1, F.struct("_pos", "_value")))["_value"].alias("_head"))
-    heads = heads.withColumn("_next", F.first("_head", ignorenulls=True).over(later)).drop("_head")
-    inside = Window.partitionBy(*keys, "_block").orderBy("_pos", "_kind", "_value").rowsBetween(0, Window.unboundedFollowing)
-    found = same_keys(line, heads, [*keys, "_block"]).withColumn(out, F.coalesce(F.first("_value", ignorenulls=True).over(inside), "_next"))
+    heads = heads.withColumn("_next", F.last("_head", ignorenulls=True).over(later)).drop("_head")
+    inside = Window.partitionBy(*keys, "_block").orderBy(F.desc("_pos"), F.desc("_kind"), F.desc("_value")).rowsBetween(Window.unboundedPreceding, 0)
+    found = same_keys(line, heads, [*keys, "_block"]).withColumn(out, F.coalesce(F.last("_value", ignorenulls=True).over(inside), "_next"))
     return found.where("_kind = 0").select(*rows.columns, out)
 
 

@@ -95,14 +95,15 @@ def part_units(runs: DataFrame, cfg: EngineConfig = EngineConfig()) -> DataFrame
     """(session, document, has_ts, first, last, bytes, opens): what a part is made of, whole. A unit is a window, or a
     record of a window that is larger than a hard cut allows; ``opens`` marks the first unit of each window."""
     window = [*KEYS, "line_start", "has_ts"]
-    size = F.octet_length("value") + 1
-    sizes = runs.groupBy(*window).agg(F.sum(size).alias("bytes"), F.max("line_no").alias("line_end"))
+    # the lines are read, ordered and matched once: what follows reads them several times, as numbers
+    lines = runs.select(*window, "line_no", (F.octet_length("value") + 1).alias("size"), (is_record_start(F.col("value")) | (F.col("line_no") == F.col("line_start"))).alias("record"))
+    lines = written(lines, "sizes")
+    sizes = lines.groupBy(*window).agg(F.sum("size").alias("bytes"), F.max("line_no").alias("line_end"))
     hard = cfg.hard_part_factor * cfg.part_bytes
     small = sizes.where(~F.col("has_ts") | (F.col("bytes") <= hard)).select(*KEYS, "has_ts", F.col("line_start").alias("first"), F.col("line_end").alias("last"), "bytes", F.lit(True).alias("opens"))
-    large = runs.join(sizes.where(F.col("has_ts") & (F.col("bytes") > hard)).select(*window), window)
+    large = lines.join(sizes.where(F.col("has_ts") & (F.col("bytes") > hard)).select(*window), window)
     inside = Window.partitionBy(*window).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    opens = is_record_start(F.col("value")) | (F.col("line_no") == F.col("line_start"))
-    records = large.withColumn("_record", F.count_if(opens).over(inside)).groupBy(*window, "_record").agg(F.min("line_no").alias("first"), F.max("line_no").alias("last"), F.sum(size).alias("bytes"))
+    records = large.withColumn("_record", F.count_if("record").over(inside)).groupBy(*window, "_record").agg(F.min("line_no").alias("first"), F.max("line_no").alias("last"), F.sum("size").alias("bytes"))
     return small.unionByName(records.select(*KEYS, "has_ts", "first", "last", "bytes", (F.col("first") == F.col("line_start")).alias("opens")))
 
 

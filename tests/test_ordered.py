@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from millrace.config import EngineConfig
 from millrace.operators import budgets, incidents, metrics, segments, windows
 from millrace.operators.intervals import interval_join
+from millrace.operators.ordered import next_at_or_after
 from millrace.operators.percentiles import exact_percentile
 
 T0 = dt.datetime(2024, 1, 1)
@@ -160,3 +161,19 @@ def test_parts_by_pointers_equal_a_fold(spark, size):
             assert r.part_idx == len(got[r.document_id]) - 1
         assert got == {d: plain_parts(u, cfg) for d, u in files.items()}
         runs.unpersist()
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString().lower()
+
+
+def test_parts_read_the_lines_once_and_no_frame_is_gone_through_row_by_row(spark, tmp_path):
+    start = dt.datetime(2024, 1, 1)
+    spark.createDataFrame([("s", "d", n, f"{start + dt.timedelta(minutes=n // 9)} x") for n in range(1, 300)], "session_id string, document_id string, line_no long, value string").write.parquet(str(tmp_path / "lines"))
+    cfg = EngineConfig(part_bytes=150, hard_part_factor=1)
+    units = segments.part_units(windows.with_runs(spark.read.parquet(str(tmp_path / "lines")), cfg), cfg)
+    assert not any(str(tmp_path) in f for f in units.inputFiles())
+    rows = units.select("session_id", "document_id", F.col("first").alias("at"), F.col("first").alias("pos"))
+    found = next_at_or_after(rows, rows, ["session_id", "document_id"], "at", "pos", "pos", "next", 7)
+    assert "unboundedfollowing" not in plan_of(found)
+    assert {(r["at"], r["next"]) for r in found.collect()} == {(r["at"], r["at"]) for r in rows.collect()}
