@@ -31,6 +31,20 @@ _POSTINGS = "term string, block int, doc bigint, key {kind}, n int, positions ar
 _BLOCKS = "term string, block int, most int, items bigint, bucket int"
 
 
+#: Words of one step of the indexing: a batch of long texts is cut, so that its arrays stay small.
+STEP_WORDS = 1 << 19
+
+
+def _small(batches: Iterator[pa.RecordBatch], column: str, most: int = STEP_WORDS) -> Iterator[pa.RecordBatch]:
+    """Batches cut into slices of whole rows whose lists hold ``most`` words together, a longer row being one."""
+    for b in batches:
+        ends, lo = np.cumsum(np.asarray(b.column(column).value_lengths())), 0
+        while lo < len(ends):
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most, side="right")))
+            yield b.slice(lo, hi - lo)
+            lo = hi
+
+
 def _bucket(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
@@ -90,13 +104,13 @@ class TextIndex:
 
     def blocks(self, query: TextQuery) -> DataFrame:
         """(block, bound): the blocks that can hold a match, and the most that an item of each can score."""
-        words = query.words
+        words = query.operands  # excluded ones too: where another alternative holds, they count for the rank
         rows = self._table("blocks", "string", words)
         most = {w: F.max(F.when(F.col("term") == w, F.col("most"))) for w in words}
         found = rows.groupBy("block").agg(*[c.alias(f"m{i}") for i, c in enumerate(most.values())])
         has = {w: F.col(f"m{i}").isNotNull() for i, w in enumerate(words)}
         able = accepts(TextQuery([(must, []) for must, _ in query.alternatives]), lambda unit: reduce(and_, [has[w] for w in unit]))
-        counts = F.array(*[F.coalesce(F.col(f"m{words.index(w)}"), F.lit(0)) if w in has else F.lit(0) for w in query.operands])
+        counts = F.array(*[F.coalesce(F.col(f"m{i}"), F.lit(0)) for i in range(len(words))])
         return found.where(able).select("block", _bound(counts, query.near).alias("bound"))
 
     def _matches(self, postings: DataFrame, query: TextQuery) -> DataFrame:
@@ -131,7 +145,8 @@ class TextIndex:
         posted = self.spark.read.schema(_POSTINGS.format(kind=kind)).parquet(f"{self.path}/postings")
         numbers = self.spark.read.schema(_BLOCKS).parquet(f"{self.path}/blocks")
 
-        wanted = bound_.select("query", F.explode("words").alias("term")).withColumn("bucket", _bucket(F.col("term")))
+        # excluded words too: where another alternative holds, they count for the rank
+        wanted = bound_.select("query", F.explode("operands").alias("term")).withColumn("bucket", _bucket(F.col("term")))
         most = wanted.join(numbers, ["bucket", "term"]).groupBy("query", "block").agg(F.map_from_entries(F.collect_list(F.struct("term", "most"))).alias("most"))
         most = most.join(spec, "query")
         able = F.exists("alternatives", lambda a: F.forall(a["must"], lambda u: F.forall(u, lambda w: F.map_contains_key(F.col("most"), w))))
@@ -194,19 +209,19 @@ _ALTERNATIVE = pa.struct([("must", _UNITS), ("without", _UNITS)])
 
 
 def _parsed(queries: DataFrame, any_word: bool) -> DataFrame:
-    """(query, alternatives, words, operands, near) of (query, text)."""
+    """(query, alternatives, operands, near) of (query, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [TextQuery.parse(t or "") for t in b.column("text").to_pylist()]
             found = [TextQuery.any_of(q.words) if any_word and q.words else q for q in found]
             yield pa.RecordBatch.from_arrays(
-                [b.column("query"), pa.array([[{"must": m, "without": w} for m, w in q.alternatives] for q in found], pa.list_(_ALTERNATIVE)), pa.array([q.words for q in found], pa.list_(pa.string())), pa.array([q.operands for q in found], pa.list_(pa.string())), pa.array([q.near for q in found], pa.bool_())],
-                names=["query", "alternatives", "words", "operands", "near"],
+                [b.column("query"), pa.array([[{"must": m, "without": w} for m, w in q.alternatives] for q in found], pa.list_(_ALTERNATIVE)), pa.array([q.operands for q in found], pa.list_(pa.string())), pa.array([q.near for q in found], pa.bool_())],
+                names=["query", "alternatives", "operands", "near"],
             )
 
     kind = dict(queries.dtypes)["query"]
-    return queries.select("query", "text").mapInArrow(run, f"query {kind}, alternatives array<struct<must:array<array<string>>,without:array<array<string>>>>, words array<string>, operands array<string>, near boolean")
+    return queries.select("query", "text").mapInArrow(run, f"query {kind}, alternatives array<struct<must:array<array<string>>,without:array<array<string>>>>, operands array<string>, near boolean")
 
 
 def _has(unit: Column) -> Column:

@@ -3,11 +3,12 @@
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from millrace.operators import retrieval
-from millrace.operators.text_index import TextIndex
+from millrace.operators.text_index import TextIndex, _small
 
 WORDS = "the on quick brown fox jumps over lazy dog Under_score x1 and".split()
 QUERIES = [
@@ -123,3 +124,24 @@ def test_empty_items(spark, texts, tmp_path):
     assert none.search("the").count() == 0 and none.search("-the").count() == 0
     odd = TextIndex.build(texts.where("chunk_id in (1000, 1001)"), str(tmp_path / "odd"))
     assert odd.search("the").count() == 0 and answers(odd.search("-the")) == [(1001, 0.0)]
+
+
+def test_excluded_words_count_in_the_bound_of_a_block(spark, tmp_path):
+    """Where another alternative holds, or an excluded phrase does not, an excluded word counts for the rank: blocks are not passed over."""
+    rows = [(k, "on the x1" + " the" * (k % 5) + (" licensed" * 30 + " the on the" if k > 150 else "")) for k in range(200)]
+    texts = spark.createDataFrame(rows, "chunk_id int, content string")
+    index = TextIndex.build(texts, str(tmp_path / "i"), block_items=4)
+    for query in ('"on the" or x1 -licensed', '"on the" x1 -"licensed x1"'):
+        want = answers(retrieval.full_text(texts, query, 5))
+        assert want[0][0] > 150 and answers(index.search(query, 5, first=1)) == want
+        asked = spark.createDataFrame([(1, query)], "query int, text string")
+        assert [(r["chunk_id"], r["rank"]) for r in index.search_all(asked, 5, first=1).orderBy(F.desc("rank"), "chunk_id").collect()] == want
+
+
+def test_batches_are_cut_by_the_words_they_hold():
+    """A batch of long texts is worked off in parts, whatever its rows; each row stays whole."""
+    words = pa.array([["a"] * n for n in (3, 4, 9, 0, 1, 1)])
+    batch = pa.RecordBatch.from_arrays([words, pa.array(range(6))], names=["words", "k"])
+    parts = list(_small(iter([batch]), "words", 8))
+    assert [p.column("k").to_pylist() for p in parts] == [[0, 1], [2], [3, 4, 5]]
+    assert sum((p.column("words").to_pylist() for p in parts), []) == words.to_pylist()
