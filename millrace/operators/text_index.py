@@ -68,7 +68,7 @@ class TextIndex:
         kind = dict(rows.dtypes)["key"]
 
         def posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in _small(batches, "words"):
                 words = b.column("words")
                 sizes = np.asarray(words.value_lengths())
                 code = words.flatten().dictionary_encode()
