@@ -29,51 +29,76 @@ def knn(items: DataFrame, query: list[float], k: int = 30, key: str = "chunk_id"
     return scored.orderBy(F.desc_nulls_last("similarity"), key).limit(k)
 
 
-#: Queries, and items, of one block of an exact search; shares of the item blocks.
+#: Queries, and items, of one step of an exact search; shares that the items are dealt to.
 QUERY_BLOCK, ITEM_BLOCK, SHARES = 512, 4096, 64
 
 
-def _blocks(rows: DataFrame, key: str, vector: str, size: int) -> DataFrame:
-    """(keys, matrix, width): rows packed into blocks of at most ``size`` unit vectors, one width a block."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            widths = np.asarray(batch.column("v").value_lengths())
-            for d in np.unique(widths):
-                at = np.flatnonzero(widths == d)
-                for lo in range(0, len(at), size):
-                    take = pa.array(at[lo : lo + size])
-                    x = np.asarray(batch.column("v").take(take).flatten(), float).reshape(len(take), d)
-                    x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-                    yield pa.RecordBatch.from_arrays([pa.array([batch.column("k").take(take).to_pylist()], pa.list_(batch.column("k").type)), pa.array([x.tobytes()], pa.binary()), pa.array([int(d)], pa.int32())], names=["keys", "matrix", "width"])
-
-    src = rows.where(F.col(vector).isNotNull() & (F.size(vector) > 0)).select(F.col(key).alias("k"), F.col(vector).alias("v"))
-    return src.mapInArrow(run, f"keys array<{dict(src.dtypes)['k']}>, matrix binary, width int")
-
-
 def knn_all(items: DataFrame, queries: DataFrame, k: int = 30, key: str = "chunk_id", vector: str = "embedding") -> DataFrame:
     """(query, key, similarity): the k nearest items by cosine of every query, exactly; ties by key.
 
-    Blocks of queries meet blocks of items; from each meeting only a query's k best go on.
+    Items are dealt to shares and every query goes to each share. A share's items come first and are held, a SHARES-th of them;
+    its queries follow as a stream, and from each share only a query's k best go on.
     """
-    # item blocks are dealt out, and every query block is copied to each share of them
-    left = _blocks(queries, key, vector, QUERY_BLOCK).toDF("qk", "qm", "width").withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
-    both = left.join(_blocks(items, key, vector, ITEM_BLOCK).withColumn("share", F.pmod(F.xxhash64("matrix"), F.lit(SHARES)).cast("int")), ["width", "share"])
-    kind = dict(items.dtypes)[key]
+    kind, d = dict(items.dtypes)[key], F.array(*[F.lit(n) for n in range(SHARES)])
+    rows = lambda df: df.where(F.col(vector).isNotNull() & (F.size(vector) > 0)).select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v"))
+    held = rows(items).select(F.pmod(F.xxhash64("k", "v"), F.lit(SHARES)).cast("int").alias("share"), F.lit(False).alias("asks"), "k", "v")
+    asked = rows(queries).select(F.explode(d).alias("share"), F.lit(True).alias("asks"), F.col("k").cast(kind).alias("k"), "v")
+    both = held.unionByName(asked).repartition("share").sortWithinPartitions("share", "asks")
+
+    def unit(column: pa.ListArray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(width, rows, unit vectors) of each width."""
+        widths = np.asarray(column.value_lengths())
+        for w in np.unique(widths):
+            at = np.flatnonzero(widths == w)
+            x = np.asarray(column.take(pa.array(at)).flatten(), float).reshape(len(at), w)
+            yield int(w), at, x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+
+    def nearest(share: dict[int, tuple[pa.Array, np.ndarray]], b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for w, at, q in unit(b.column("v")):
+            if w not in share:
+                continue
+            keys, x = share[w]
+            for lo in range(0, len(q), QUERY_BLOCK):
+                part, rows, sims, best = q[lo : lo + QUERY_BLOCK], None, None, None
+                for start in range(0, len(x), ITEM_BLOCK):  # the items are in the order of their keys, so ties go by key
+                    s = np.round(part @ x[start : start + ITEM_BLOCK].T, 6)
+                    n = np.broadcast_to(np.arange(start, start + s.shape[1]), s.shape)
+                    s, n = (s, n) if sims is None else (np.hstack([sims, s]), np.hstack([rows, n]))
+                    best = np.argsort(-s, 1, kind="stable")[:, :k]
+                    sims, rows = np.take_along_axis(s, best, 1), np.take_along_axis(n, best, 1)
+                who = pa.array(at[lo + np.repeat(np.arange(len(part)), sims.shape[1])])
+                yield pa.RecordBatch.from_arrays([b.column("k").take(who), keys.take(pa.array(rows.ravel())), pa.array(sims.ravel())], names=["query", key, "similarity"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts, share = None, [], None
         for batch in batches:
-            for n in range(batch.num_rows):
-                d = batch.column("width")[n].as_py()
-                q, x = (np.frombuffer(batch.column(c)[n].as_buffer()).reshape(-1, d) for c in ("qm", "matrix"))
-                keys, asked = batch.column("keys")[n].values, batch.column("qk")[n].values
-                order = np.argsort(np.asarray(keys), kind="stable")
-                sim = np.round(q @ x[order].T, 6)
-                best = np.argsort(-sim, 1, kind="stable")[:, :k]
-                yield pa.RecordBatch.from_arrays([asked.take(pa.array(np.repeat(np.arange(len(q)), best.shape[1]))), keys.take(pa.array(order[best].ravel())), pa.array(np.take_along_axis(sim, best, 1).ravel())], names=["query", key, "similarity"])
-
-    near = both.mapInArrow(run, f"query {kind}, `{key}` {kind}, similarity double")
-    return _top(near, k, key)
+            for b in runs_of(batch, ["share", "asks"]):
+                if b.column("share")[0].as_py() != now:
+                    now, parts, share = b.column("share")[0].as_py(), [], None
+                if not b.column("asks")[0].as_py():
+                    parts.append(b.select(["k", "v"]))
+                    continue
+                if share is None:
+                    share = {}
+                    if parts:
+                        table = pa.Table.from_batches(parts).combine_chunks()
+                        table = table.take(pa.array(np.argsort(np.asarray(table.column("k")), kind="stable")))
+                        keys = table.column("k").combine_chunks()
+                        share = {w: (keys.take(pa.array(at)), x) for w, at, x in unit(table.column("v").combine_chunks())}
+                    parts = []
+                yield from nearest(share, b)
+
+    return _top(both.mapInArrow(run, f"query {kind}, `{key}` {kind}, similarity double"), k, key)
+
+
+def runs_of(b: pa.RecordBatch, columns: list[str]) -> Iterator[pa.RecordBatch]:
+    """A batch cut where one of the columns changes."""
+    if not b.num_rows:
+        return
+    values = np.stack([np.asarray(b.column(c)).astype(np.int64) for c in columns])
+    ends = np.flatnonzero((values[:, 1:] != values[:, :-1]).any(0)) + 1
+    for lo, hi in zip([0, *ends], [*ends, b.num_rows], strict=True):
+        yield b.slice(int(lo), int(hi - lo))
 
 
 def _top(near: DataFrame, k: int, key: str) -> DataFrame:

@@ -84,3 +84,24 @@ def test_one_cell_of_copies(spark, tmp_path):
     assert [r["key"] for r in found] == [0, 3, 6, 9, 12] and all(r["similarity"] == 1 for r in found)
     blocks = spark.read.parquet(str(tmp_path / "index/codes"))
     assert blocks.agg(F.sum(F.size("keys"))).first()[0] == len(rows) and blocks.agg(F.max(F.size("keys"))).first()[0] <= 2048
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString().lower()
+
+
+def test_exact_search_holds_a_share_and_streams_the_queries(spark):
+    """Blocks are not copied to each other by a join: a batch of such pairs holds as many matrices as it has rows."""
+    rng = np.random.default_rng(5)
+    rows = [(k, rng.standard_normal(3 + k % 2).tolist()) for k in range(500)] + [(900, None), (901, [])]
+    items = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    near = retrieval.knn_all(items, items.where("vec_id % 20 < 2 or vec_id >= 900"), 7, "vec_id")
+    assert "join" not in plan_of(near)
+    got = {}
+    for r in near.collect():
+        got.setdefault(r["query"], []).append((-r["similarity"], r["vec_id"]))
+    unit = {k: np.array(v) / np.linalg.norm(v) for k, v in rows if v}
+    for q in (k for k in unit if k % 20 < 2):
+        want = sorted((-round(float(unit[q] @ x), 6), k) for k, x in unit.items() if len(x) == len(unit[q]))[:7]
+        assert [k for _, k in sorted(got.pop(q))] == [k for _, k in want]
+    assert not got
