@@ -1,9 +1,10 @@
 """A stored vector index: coarse cells with residual codes, searched by cell, merged, and re-ranked exactly.
 
 ``build`` cuts the unit vectors into cells around centres and keeps, for each vector, four bits a dimension of what is
-left after its cell's centre, rotated. Blocks of a cell's codes are rows of a table; whole vectors lie in another one. A search takes a
-whole set of queries: each looks into its nearest cells, where blocks of queries meet blocks of codes; each query's
-best estimates go on, are joined with their vectors and ranked by the exact cosine. So whole vectors are compared for
+left after its cell's centre, rotated. Blocks of a cell's codes are rows of a table; whole vectors lie in another one. Cells are dealt to
+shares, a large cell to several. A search takes a whole set of queries: each goes once to every share that holds a cell it looks into,
+where a share's codes are held and its queries stream by; each query's best estimates go on, are joined with their
+vectors and ranked by the exact cosine. So whole vectors are compared for
 ``rerank`` x k items of a query, whatever the size of the index.
 
 Centres, code ranges and the number of cells to look into come from a sample of at most SAMPLE vectors, chosen by a
@@ -19,7 +20,7 @@ keys are items of their own. An index of no items finds nothing.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -29,10 +30,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..sources.scratch import written
+from .retrieval import runs_of
 
 SAMPLE, MAX_CELLS, PROBE_QUERIES = 32_768, 4096, 512
-#: Codes of a stored block, queries of a block, copies of a query block that share a cell's blocks, stored shards.
-BLOCK, QUERY_BLOCK, SALTS, SHARDS = 2048, 256, 8, 64
+#: Codes of a stored block, queries of a step, pairs of a step, shares of the cells, stored shards.
+BLOCK, QUERY_BLOCK, PAIRS, SHARES, SHARDS = 2048, 256, 1 << 21, 64, 64
 
 
 @dataclass(frozen=True)
@@ -44,6 +47,7 @@ class Model:
     low: np.ndarray
     step: np.ndarray
     probes: int
+    spread: np.ndarray  # how many shares each cell is dealt to
 
     @property
     def width(self) -> int:
@@ -63,14 +67,24 @@ class Model:
         code = np.pad(code, ((0, 0), (0, code.shape[1] % 2)))
         return code[:, ::2] << 4 | code[:, 1::2]
 
-    def estimate(self, q: np.ndarray, cell: int, codes: np.ndarray) -> np.ndarray:
-        """Estimated cosine of each query and each code of a cell: 1 - |q - y|^2 / 2 for the coded vector y.
+    def decode(self, cells: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The coded vectors y, and (1 - |y|^2) / 2."""
+        code = np.stack([codes >> 4, codes & 15], 2).reshape(len(codes), -1)[:, : self.width]
+        y = (self.centres @ self.turn + self.low)[cells] + code * self.step
+        return y.astype(np.float32), ((1 - (y * y).sum(1)) / 2).astype(np.float32)
+
+    def estimate(self, q: np.ndarray, y: np.ndarray, rest: np.ndarray) -> np.ndarray:
+        """Estimated cosine of each query and each coded vector y: 1 - |q - y|^2 / 2.
 
         Distances, as the error of q y grows with q, that of |q - y| with the distance: near items are told apart.
         """
-        code = np.stack([codes >> 4, codes & 15], 2).reshape(len(codes), -1)[:, : self.width]
-        y = (self.centres[cell] @ self.turn + self.low + code * self.step).astype(np.float32)
-        return (q @ self.turn).astype(np.float32) @ y.T + (1 - (y * y).sum(1)) / 2
+        return (q @ self.turn).astype(np.float32) @ y.T + rest
+
+    def shares(self, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place among ``cells``, share): all shares of each cell."""
+        n = self.spread[cells]
+        at = np.repeat(np.arange(len(cells)), n)
+        return at, (cells[at] + np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)) % SHARES
 
 
 def _usable(vector: Column, width: int) -> Column:
@@ -94,8 +108,13 @@ def fit(items: DataFrame, key: str, vector: str, recall: float = 0.97, cells: in
     first = items.where(v.isNotNull() & (F.size(v) > 0)).select(F.size(v).alias("n")).groupBy().agg(F.mode("n").alias("n"), F.count(F.lit(1)).alias("rows")).first()
     if not first["rows"]:
         return None
-    sample = _units(items, key, vector, first["n"]).select("k", "u").orderBy(F.xxhash64("k"), "k").limit(SAMPLE)
-    sample = sample.select("u", array_to_vector("u").alias("x"))
+    units = _units(items, key, vector, first["n"]).select("k", "u")
+    hashed, sample = F.xxhash64("k"), None
+    if first["rows"] > 2 * SAMPLE:  # the least hashes, of which nearly all rows have none: else each task would hand on a whole sample
+        sample = written(units.where(hashed < int(-(2.0**63) + 2.0**64 * 1.2 * SAMPLE / first["rows"])).orderBy(hashed, "k").limit(SAMPLE), "sample")
+    if sample is None or sample.count() < SAMPLE // 2:  # few rows, or keys that recur
+        sample = written(units.orderBy(hashed, "k").limit(SAMPLE), "sample")
+    sample = sample.orderBy(hashed, "k").select("u", array_to_vector("u").alias("x"))
     few = np.array([r["u"] for r in sample.select("u").limit(2048).collect()], float).reshape(-1, first["n"])
     if not len(few):
         return None
@@ -103,11 +122,13 @@ def fit(items: DataFrame, key: str, vector: str, recall: float = 0.97, cells: in
     kept = KMeans(k=cells, featuresCol="x", seed=11, maxIter=8).fit(sample) if cells > 1 else None
     centres = np.array(kept.clusterCenters(), float) if kept else few.mean(0, keepdims=True)
     turn = np.linalg.qr(np.random.default_rng(11).standard_normal((first["n"],) * 2))[0]
-    model = Model(centres, turn, np.zeros(first["n"]), np.ones(first["n"]), len(centres))
+    model = Model(centres, turn, np.zeros(first["n"]), np.ones(first["n"]), len(centres), np.ones(len(centres), np.int64))
+    part = np.bincount(model.cells(few), minlength=len(centres)) / len(few)
+    spread = np.clip(np.ceil(SHARES * part), 1, SHARES).astype(np.int64)
     left = (few - centres[model.cells(few)]) @ turn
     low, high = np.quantile(left, 0.002, 0), np.quantile(left, 0.998, 0)
-    model = Model(centres, turn, low, np.maximum((high - low) / 15, 1e-9), len(centres))
-    return Model(centres, turn, low, model.step, _probes(model, few, recall))
+    model = Model(centres, turn, low, np.maximum((high - low) / 15, 1e-9), len(centres), spread)
+    return replace(model, probes=_probes(model, few, recall))
 
 
 def _probes(model: Model, few: np.ndarray, recall: float) -> int:
@@ -133,14 +154,14 @@ class VectorIndex:
         if row["width"]:
             of = lambda c, *shape: np.frombuffer(bytes(row[c])).reshape(*shape)
             d = row["width"]
-            self.model = Model(of("centres", -1, d), of("turn", d, d), of("low", d), of("step", d), row["probes"])
+            self.model = Model(of("centres", -1, d), of("turn", d, d), of("low", d), of("step", d), row["probes"], of("spread", -1).astype(np.int64))
 
     @classmethod
     def build(cls, items: DataFrame, path: str, key: str = "chunk_id", vector: str = "embedding", recall: float = 0.97, cells: int | None = None) -> VectorIndex:
         """Fit, then index every item; what was in the folder is replaced."""
         spark, m = items.sparkSession, fit(items, key, vector, recall, cells)
-        data = (m.width, m.probes, *(x.astype(np.float64).tobytes() for x in (m.centres, m.turn, m.low, m.step))) if m else (0, 0, b"", b"", b"", b"")
-        schema = "kind string, width int, probes int, centres binary, turn binary, low binary, step binary"
+        data = (m.width, m.probes, *(x.astype(np.float64).tobytes() for x in (m.centres, m.turn, m.low, m.step, m.spread))) if m else (0, 0, b"", b"", b"", b"", b"")
+        schema = "kind string, width int, probes int, centres binary, turn binary, low binary, step binary, spread binary"
         spark.createDataFrame([(dict(items.dtypes)[key], *data)], schema).write.mode("overwrite").parquet(f"{path.rstrip('/')}/model")
         out = cls(spark, path)
         out._write(items, key, vector, "overwrite")
@@ -160,31 +181,30 @@ class VectorIndex:
                 x = _matrix(b.column("u"), m.width)
                 cell = m.cells(x)
                 code = m.encode(x, cell)
-                yield pa.RecordBatch.from_arrays([pa.array(cell % SHARDS, pa.int32()), pa.array(cell, pa.int32()), b.column("k"), pa.array([c.tobytes() for c in code], pa.binary()), b.column("v")], names=["shard", "cell", "k", "code", "v"])
+                share = (cell + np.asarray(b.column("h")) % m.spread[cell]) % SHARES
+                yield pa.RecordBatch.from_arrays([pa.array(cell % SHARDS, pa.int32()), pa.array(cell, pa.int32()), pa.array(share, pa.int32()), b.column("k"), pa.array([c.tobytes() for c in code], pa.binary()), b.column("v")], names=["shard", "cell", "share", "k", "code", "v"])
 
         element = dict(items.dtypes)[vector]
-        rows = _units(items, key, vector, m.width).mapInArrow(placed, f"shard int, cell int, k {kind}, code binary, v {element}")
-        # a cell may hold a large part of all items: it is dealt to many tasks, by key
-        rows = rows.withColumn("salt", F.pmod(F.xxhash64("k"), F.lit(64)).cast("int")).repartition("cell", "salt").sortWithinPartitions("shard", "cell", "k")
-        rows.select("shard", "cell", "k", "code", F.col("v").cast("array<double>").alias("v")).write.mode(mode).partitionBy("shard").parquet(f"{self.path}/vectors")
+        rows = _units(items, key, vector, m.width).withColumn("h", F.xxhash64("k")).mapInArrow(placed, f"shard int, cell int, share int, k {kind}, code binary, v {element}")
+        dealt = lambda df: df.repartition("share", F.pmod(F.xxhash64("k"), F.lit(4)))
+        ordered = dealt(rows).sortWithinPartitions("shard", "cell", "k")
+        ordered.select("shard", "cell", "share", "k", "code", F.col("v").cast("array<double>").alias("v")).write.mode(mode).partitionBy("shard").parquet(f"{self.path}/vectors")
         size = (m.width + 1) // 2
 
         def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                cell = np.asarray(b.column("cell"))
-                ends = np.r_[np.flatnonzero(np.diff(cell)) + 1, len(cell)] if len(cell) else []
-                lo = 0
-                for end in ends:
-                    for at in range(lo, end, BLOCK):
-                        n = min(BLOCK, end - at)
-                        codes = b"".join(b.column("code").slice(at, n).to_pylist())
-                        assert len(codes) == n * size
-                        keys = pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), b.column("k").slice(at, n))
-                        yield pa.RecordBatch.from_arrays([pa.array([int(cell[at])], pa.int32()), keys, pa.array([codes], pa.binary()), pa.array([int(cell[at]) % SHARDS], pa.int32())], names=["cell", "keys", "codes", "shard"])
-                    lo = end
-
-        stored = self.spark.read.parquet(f"{self.path}/vectors").select("cell", "k", "code") if mode == "overwrite" else rows.select("cell", "k", "code")
-        blocks = stored.repartition("cell", F.pmod(F.xxhash64("k"), F.lit(64))).sortWithinPartitions("cell", "k").mapInArrow(packed, f"cell int, keys array<{kind}>, codes binary, shard int")
+                for run in runs_of(b, ["cell", "share"]):
+                    cell, share = run.column("cell")[0].as_py(), run.column("share")[0].as_py()
+                    for at in range(0, run.num_rows, BLOCK):
+                        part = run.slice(at, BLOCK)
+                        codes = b"".join(part.column("code").to_pylist())
+                        assert len(codes) == part.num_rows * size
+                        keys = pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column("k"))
+                        yield pa.RecordBatch.from_arrays([pa.array([cell], pa.int32()), pa.array([share], pa.int32()), keys, pa.array([codes], pa.binary()), pa.array([cell % SHARDS], pa.int32())], names=["cell", "share", "keys", "codes", "shard"])
+
+        stored = self.spark.read.parquet(f"{self.path}/vectors") if mode == "overwrite" else rows
+        stored = dealt(stored.select("cell", "share", "k", "code")).sortWithinPartitions("cell", "share", "k")
+        blocks = stored.mapInArrow(packed, f"cell int, share int, keys array<{kind}>, codes binary, shard int")
         blocks.write.mode(mode).partitionBy("shard").parquet(f"{self.path}/codes")
 
     def _empty(self, more: str) -> DataFrame:
@@ -198,38 +218,60 @@ class VectorIndex:
 
         def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                cells = m.probed(_matrix(b.column("u"), m.width))
-                at = pa.array(np.repeat(np.arange(len(cells)), cells.shape[1]))
-                yield pa.RecordBatch.from_arrays([pa.array(cells.ravel(), pa.int32()), b.column("k").take(at), b.column("u").take(at)], names=["cell", "query", "u"])
-
-        def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                cell = np.asarray(b.column("cell"))
-                lo = 0
-                for end in np.r_[np.flatnonzero(np.diff(cell)) + 1, len(cell)] if len(cell) else []:
-                    for at in range(lo, end, QUERY_BLOCK):
-                        n = min(QUERY_BLOCK, end - at)
-                        x = _matrix(b.column("u").slice(at, n), m.width)
-                        keys = pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), b.column("query").slice(at, n))
-                        yield pa.RecordBatch.from_arrays([pa.array([int(cell[at])], pa.int32()), keys, pa.array([x.tobytes()], pa.binary())], names=["cell", "asked", "q"])
-                    lo = end
+                for lo in range(0, b.num_rows, QUERY_BLOCK):
+                    part = b.slice(lo, QUERY_BLOCK)
+                    cells = m.probed(_matrix(part.column("u"), m.width))
+                    at, share = m.shares(cells.ravel())
+                    who, cell = at // cells.shape[1], cells.ravel()[at]
+                    order = np.lexsort((share, who))
+                    who, share, cell = who[order], share[order], cell[order]
+                    new = np.flatnonzero(np.r_[True, (np.diff(who) != 0) | (np.diff(share) != 0)])
+                    lists = pa.ListArray.from_arrays(pa.array(np.r_[new, len(who)].astype(np.int32)), pa.array(cell, pa.int32()))
+                    take = pa.array(who[new])
+                    yield pa.RecordBatch.from_arrays([pa.array(share[new], pa.int32()), lists, part.column("k").take(take), part.column("u").take(take)], names=["share", "cells", "query", "u"])
+
+        def best(held: tuple, b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            keys, of, y, rest = held
+            step = max(1, min(QUERY_BLOCK, PAIRS // len(of)))
+            for lo in range(0, b.num_rows, step):
+                part = b.slice(lo, step)
+                q, cells = _matrix(part.column("u"), m.width), part.column("cells")
+                looked, row = np.asarray(cells.flatten()), np.repeat(np.arange(len(q)), np.asarray(cells.value_lengths()))
+                e = np.full((len(q), len(of)), -np.inf)
+                for cell in np.unique(looked):
+                    at, asks = np.flatnonzero(of == cell), row[looked == cell]
+                    if len(at):
+                        e[np.ix_(asks, at)] = np.round(m.estimate(q[asks], y[at], rest[at]).astype(float), 9)
+                least = np.partition(-e, min(n, len(of)) - 1, 1)[:, min(n, len(of)) - 1]
+                r, c = np.nonzero((-e <= least[:, None]) & (e > -np.inf))  # a row's n best, and what is equal to the last of them
+                order = np.lexsort((c, -e[r, c], r))  # held in the order of the keys, so ties go by key
+                r, c = r[order], c[order]
+                first = np.arange(len(r)) - np.searchsorted(r, r) < n
+                r, c = r[first], c[first]
+                yield pa.RecordBatch.from_arrays([part.column("query").take(pa.array(r)), keys.take(pa.array(c)), pa.array(of[c], pa.int32()), pa.array(e[r, c])], names=["query", "key", "cell", "estimate"])
 
         def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for r in range(b.num_rows):
-                    cell = b.column("cell")[r].as_py()
-                    q = np.frombuffer(b.column("q")[r].as_buffer()).reshape(-1, m.width)
-                    codes = np.frombuffer(b.column("codes")[r].as_buffer(), np.uint8).reshape(-1, (m.width + 1) // 2)
-                    e = np.round(m.estimate(q, cell, codes).astype(float), 9)
-                    best = np.argsort(-e, 1, kind="stable")[:, :n]  # a block's keys are in order, so ties go by key
-                    who = pa.array(np.repeat(np.arange(len(q)), best.shape[1]))
-                    yield pa.RecordBatch.from_arrays([b.column("asked")[r].values.take(who), b.column("keys")[r].values.take(pa.array(best.ravel())), pa.array(np.full(best.size, cell), pa.int32()), pa.array(np.take_along_axis(e, best, 1).ravel())], names=["query", "key", "cell", "estimate"])
-
-        probes = _units(queries, key, vector, m.width).mapInArrow(asked, f"cell int, query {kind}, u array<double>")
-        blocks = probes.repartition("cell", F.pmod(F.xxhash64("query"), F.lit(64))).sortWithinPartitions("cell").mapInArrow(packed, f"cell int, asked array<{kind}>, q binary")
-        blocks = blocks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        codes = self.spark.read.parquet(f"{self.path}/codes").withColumn("salt", F.pmod(F.xxhash64(F.element_at("keys", 1)), F.lit(SALTS)).cast("int"))
-        pairs = blocks.join(codes, ["cell", "salt"]).select("cell", "asked", "q", "keys", "codes").mapInArrow(met, f"query {kind}, key {kind}, cell int, estimate double")
+            now, parts, held = None, [], None
+            for batch in batches:
+                for b in runs_of(batch, ["share", "asks"]):
+                    if b.column("share")[0].as_py() != now:
+                        now, parts, held = b.column("share")[0].as_py(), [], None
+                    if not b.column("asks")[0].as_py():
+                        parts.append(b.select(["cell", "keys", "codes"]))
+                    elif parts:
+                        if held is None:
+                            table = pa.Table.from_batches(parts).combine_chunks()
+                            keys = table.column("keys").combine_chunks()
+                            of = np.repeat(np.asarray(table.column("cell")), np.asarray(keys.value_lengths()))
+                            codes = np.frombuffer(b"".join(table.column("codes").to_pylist()), np.uint8).reshape(-1, (m.width + 1) // 2)
+                            order = np.argsort(np.asarray(keys.flatten()), kind="stable")
+                            held = (keys.flatten().take(pa.array(order)), of[order], *m.decode(of[order], codes[order]))
+                        yield from best(held, b)
+
+        probes = _units(queries, key, vector, m.width).select(F.col("k").cast(kind).alias("k"), "u").mapInArrow(asked, f"share int, cells array<int>, query {kind}, u array<double>").withColumn("asks", F.lit(True))
+        codes = self.spark.read.parquet(f"{self.path}/codes").select("share", "cell", "keys", "codes", F.lit(False).alias("asks"))
+        both = codes.unionByName(probes, allowMissingColumns=True).repartition("share").sortWithinPartitions("share", "asks")
+        pairs = both.mapInArrow(met, f"query {kind}, key {kind}, cell int, estimate double")
         return _top(pairs, n, "estimate")
 
     def search(self, queries: DataFrame, k: int = 10, key: str = "chunk_id", vector: str = "embedding", rerank: int = 4) -> DataFrame:

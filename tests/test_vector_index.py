@@ -105,3 +105,14 @@ def test_exact_search_holds_a_share_and_streams_the_queries(spark):
         want = sorted((-round(float(unit[q] @ x), 6), k) for k, x in unit.items() if len(x) == len(unit[q]))[:7]
         assert [k for _, k in sorted(got.pop(q))] == [k for _, k in want]
     assert not got
+
+
+def test_a_query_goes_once_to_a_share(spark, tmp_path):
+    """However many cells and blocks it meets there: not once for each cell and copy."""
+    items = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(clustered(3000, 6))], "vec_id long, embedding array<double>")
+    index = VectorIndex.build(items, str(tmp_path / "index"), "vec_id")
+    found = index.candidates(items.where("vec_id % 20 = 0"), 40, "vec_id")
+    assert "join" not in plan_of(found) and found.groupBy("query").count().where("count <> 40").isEmpty()
+    at, share = index.model.shares(np.arange(len(index.model.centres)))
+    stored = {(r["cell"], r["share"]) for r in spark.read.parquet(str(tmp_path / "index/codes")).select("cell", "share").distinct().collect()}
+    assert stored <= set(zip(at.tolist(), share.tolist()))
