@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import EngineConfig
@@ -23,6 +23,7 @@ def cluster(findings: DataFrame, cfg: EngineConfig = EngineConfig(), key: str =
     clusters before it. What remains are windows within a block.
     """
     groups, order = ["session_id", "category"], ["time_range_start", key]
+    findings = written(findings, "findings")  # what they come from is read once, not for each range, sample and missing bound
     dated = with_ordered_blocks(findings.where("time_range_start is not null"), groups, order, size)
     at = F.struct(*[F.col(c) for c in order])
     blocks = dated.groupBy(*groups, "_block").agg(F.max("time_range_end").alias("_end"), F.max_by(F.col("time_range_end").isNull(), at).alias("_open"))
@@ -43,15 +44,28 @@ def cluster(findings: DataFrame, cfg: EngineConfig = EngineConfig(), key: str =
     return out.unionByName(findings.where("time_range_start is null").withColumn("island", F.lit(-1).cast("bigint")))
 
 
+def incident_id() -> Column:
+    return stable_id(F.col("session_id"), F.col("category"), F.col("island"))
+
+
 def incidents(clustered: DataFrame, key: str = "id") -> DataFrame:
     """(id, session_id, category, island, time range, finding_ids, n_findings) of each cluster."""
     ids = F.transform(F.array_sort(F.collect_list(F.struct(F.col("time_range_start"), F.col(key).alias("k")))), lambda x: x["k"])
     out = clustered.groupBy("session_id", "category", "island").agg(F.min("time_range_start").alias("time_range_start"), F.max("time_range_end").alias("time_range_end"), ids.alias("finding_ids"), F.count(F.lit(1)).alias("n_findings"))
-    return out.withColumn("id", stable_id(F.col("session_id"), F.col("category"), F.col("island")))
+    return out.withColumn("id", incident_id())
 
 
 def titles(incident_rows: DataFrame, findings: DataFrame, key: str = "id") -> DataFrame:
     """(incident, finding_id, title): the id stands in for a title that isn't there."""
-    flat = incident_rows.select(F.col("id").alias("incident"), F.explode("finding_ids").alias("finding_id"))
+    return _titled(incident_rows.select(F.col("id").alias("incident"), F.explode("finding_ids").alias("finding_id")), findings, key)
+
+
+def cluster_titles(clustered: DataFrame, findings: DataFrame, key: str = "id") -> DataFrame:
+    """:func:`titles` of the incidents of :func:`cluster`, with (session_id, category, island), row by row: an incident's findings,
+    which may be most of a session's, are not gathered for it."""
+    return _titled(clustered.select(incident_id().alias("incident"), "session_id", "category", "island", F.col(key).alias("finding_id")), findings, key)
+
+
+def _titled(flat: DataFrame, findings: DataFrame, key: str) -> DataFrame:
     t = findings.select(F.col(key).alias("finding_id"), F.col("title").alias("_title"))
-    return flat.join(t, "finding_id", "left").select("incident", "finding_id", F.coalesce("_title", F.col("finding_id").cast("string")).alias("title"))
+    return flat.join(t, "finding_id", "left").select(*flat.columns, F.coalesce("_title", F.col("finding_id").cast("string")).alias("title"))

@@ -177,3 +177,15 @@ def test_parts_read_the_lines_once_and_no_frame_is_gone_through_row_by_row(spark
     found = next_at_or_after(rows, rows, ["session_id", "document_id"], "at", "pos", "pos", "next", 7)
     assert "unboundedfollowing" not in plan_of(found)
     assert {(r["at"], r["next"]) for r in found.collect()} == {(r["at"], r["at"]) for r in rows.collect()}
+
+
+def test_titles_come_row_by_row_and_the_findings_are_read_once(spark, tmp_path):
+    rows = [("s", "c", k, at(600 * (k // 9)), at(600 * (k // 9) + 5), f"t{k}") for k in range(60)] + [("s", "c", 99, None, None, "t99")]
+    spark.createDataFrame(rows, "session_id string, category string, id long, time_range_start timestamp, time_range_end timestamp, title string").write.parquet(str(tmp_path / "f"))
+    found = incidents.cluster(spark.read.parquet(str(tmp_path / "f")), size=7)
+    assert not any(str(tmp_path / "f") in f for f in found.inputFiles())
+    named = incidents.cluster_titles(found, found.where("id % 2 = 0"))
+    assert "collect" not in plan_of(named)
+    want = incidents.titles(incidents.incidents(found), found.where("id % 2 = 0"))
+    assert sorted(map(tuple, named.select("incident", "finding_id", "title").collect())) == sorted(map(tuple, want.collect()))
+    assert {(r["finding_id"], r["title"]) for r in named.collect()} == {(r[2], r[5] if r[2] % 2 == 0 else str(r[2])) for r in rows}
