@@ -105,3 +105,44 @@ def test_feed_equals_plain_loops(spark, tmp_path, batches):
     got = sorted((r.key, r.at_ms - zero, r.status, r.enriched, r.total, r.closed) for r in spark.read.parquet(out).where("key <> 'end'").collect())
     want = plain_feed(rows, 1500, 60_000)
     assert list(map(str, got)) == list(map(str, want)) and sum(r[5] for r in want) == len({r[0] for r in rows if r[0]})
+
+
+def test_a_feed_calls_its_state_once_a_batch():
+    """However many sweeps a batch brings: one value is read and written, and one timer set; what is over by the first sweep is not held."""
+
+    class Value:
+        def __init__(self):
+            self.value, self.calls = None, 0
+
+        def exists(self):
+            return self.value is not None
+
+        def get(self):
+            return self.value
+
+        def update(self, value):
+            self.value, self.calls = value, self.calls + 1
+
+    class Handle:
+        def __init__(self):
+            self.value, self.timers = Value(), []
+
+        def getValueState(self, *_):
+            return self.value
+
+        def registerTimer(self, at):
+            self.timers.append(at)
+
+    class Time:
+        def __init__(self, at):
+            self.getExpiryTimeInMs, self.getCurrentWatermarkInMs = lambda: at, lambda: at + 1
+
+    feed, handle = state.Feed(10, 100), Handle()
+    feed.init(handle)
+    rows = [{"at_ms": t, "seq": t, "status": f"S{t // 40}", "enriched": 0, "total": 0} for t in range(5, 500, 5)]
+    assert list(feed.handleInputRows(("k",), iter(rows), None)) == [] and handle.value.calls == 1 and handle.timers == [10]
+    out = list(feed.handleExpiredTimer(("k",), Time(60), Time(60)))
+    assert [(r.at_ms, r.status, r.closed) for r in out] == [(5, "S0", False), (45, "S1", False)] and handle.timers == [10, 111, 70]
+    out = list(feed.handleExpiredTimer(("k",), Time(300), Time(300)))
+    assert [(r.at_ms, r.status, r.closed) for r in out] == [(85, "S2", False), (110, "S2", True)] and handle.timers == [10, 111, 70]
+    assert list(feed.handleInputRows(("k",), iter(rows), None)) == [] and handle.value.calls == 3
