@@ -7,11 +7,14 @@ pass through every stage as its operator defines.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import exact_dedup, language_id, minhash_dedup, mixing, packing
-from millrace.llm.common import held_out, read_table, remove, row_of, written
+from millrace.llm.common import bounded_batches, held_out, read_table, remove, row_of, written
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,8 +25,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     model = language_id.train(docs.where(~held_out(F.col("doc_id"))))
     if not model:
         return docs.where(F.coalesce(F.col("text"), F.lit("")).rlike(r"\p{L}"))
-    rows = docs.select(row_of(docs), "text")
-    found = language_id.identify(rows, model, ["row"]).where("lang_pred <> 'und'")
+    found = language_id.identify(docs.select(row_of(docs)), model, ["row"], within="row").where("lang_pred <> 'und'")
     return found.select(*[F.col("lang_pred").alias("lang") if c == "lang" else F.col(f"row.`{c}`") for c in docs.columns])
 
 
@@ -48,12 +50,26 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs)
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def _in_batches(stage: Stage) -> Stage:
+    """The stage with whole rows going to Python in small batches: with Spark's own an executor of 3 GB is not enough."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        bounded_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
 STAGES = [
-    ("language_id", identify_language),
+    ("language_id", _in_batches(identify_language)),
     ("exact_dedup", drop_exact_copies),
-    ("near_dedup", drop_near_copies),
-    ("mixing", mix_sources),
-    ("packing", pack),
+    ("near_dedup", _in_batches(drop_near_copies)),
+    ("mixing", _in_batches(mix_sources)),
+    ("packing", _in_batches(pack)),
 ]
 #: The stages are iterative or learned, which SQL cannot express; tests hold them against brute force.
 ORACLE_SQL = None

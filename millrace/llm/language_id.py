@@ -158,8 +158,11 @@ def infer(p: np.ndarray, row: np.ndarray, n: np.ndarray, rows: int, prior: np.nd
     return best, expected
 
 
-def identify(docs: DataFrame, model: dict[str, np.ndarray], keep: list[str] = ["doc_id"]) -> DataFrame:  # noqa: B006
-    """The columns of ``keep`` with lang_pred, score (its expected share) and shares (language to share in the selected set)."""
+def identify(docs: DataFrame, model: dict[str, np.ndarray], keep: list[str] = ["doc_id"], within: str | None = None) -> DataFrame:  # noqa: B006
+    """The columns of ``keep`` with lang_pred, score (its expected share) and shares (language to share in the selected set).
+
+    The text is the column text, or the field text of the struct ``within``, one of ``keep``, so that it is sent once.
+    """
     langs = list(model)
     if not langs:
         return docs.select(*keep, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.expr("cast(map() as map<string,double>)").alias("shares"))
@@ -171,7 +174,7 @@ def identify(docs: DataFrame, model: dict[str, np.ndarray], keep: list[str] = ["
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = prob.value
         for batch in batches:
-            texts = batch.column("text")
+            texts = batch.column("text") if within is None else batch.column(within).field(at)
             shares, expected = np.zeros((len(texts), len(langs))), np.tile(prior, (len(texts), 1))
             for lo, rows, row, gram, n in gram_counts(texts, max(1 << 16, WORK // len(langs))):
                 if len(gram):
@@ -184,6 +187,7 @@ def identify(docs: DataFrame, model: dict[str, np.ndarray], keep: list[str] = ["
             columns = [batch.column(c) for c in keep] + [pa.array(names, pa.string()), pa.array(score), pa.array(maps, pa.map_(pa.string(), pa.float64()))]
             yield pa.RecordBatch.from_arrays(columns, names=[*keep, "lang_pred", "score", "shares"])
 
-    rows = docs.select(*dict.fromkeys([*keep, "text"]))
+    rows = docs.select(*dict.fromkeys([*keep, "text"] if within is None else keep))
+    at = None if within is None else rows.schema[within].dataType.names.index("text")
     found = StructType.fromDDL("lang_pred string, score double, shares map<string,double>")
     return rows.mapInArrow(predict, StructType([*(rows.schema[c] for c in keep), *found.fields]))

@@ -3,6 +3,7 @@
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -68,3 +69,28 @@ def test_any_column_names(spark, tmp_path):
         out.write.parquet(str(tmp_path / name))
         before, docs = docs, spark.read.parquet(str(tmp_path / name))
         assert docs.count() > 0 and (name == "packing" or docs.columns == before.columns and docs.where("`a.b` = 'x' and _gone = 'x' and row = 'x'").count() == docs.count())
+
+
+def test_python_gets_small_batches(spark, tmp_path):
+    """A stage hands whole rows to Python a few MB at a time, the text once; a smaller bound of the session's stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    texts = lambda n: spark.range(0, 20, 1, 1).select(F.col("id").alias("doc_id"), F.expr(f"repeat(concat('word', id, ' '), {n})").alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(1).alias("n_chars"))
+    df, large = texts(10), texts(100_000)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["b"])
+
+    try:
+        for stage in (s for n, s in corpus_pipeline.STAGES if n != "exact_dedup"):
+            spark.conf.set(name, before)
+            stage(spark, df, str(tmp_path))
+            assert large.mapInArrow(sizes, "b long").agg(F.max("b")).first()[0] < 8 << 20
+            spark.conf.set(name, "1m")
+            stage(spark, df, str(tmp_path))
+            assert spark.conf.get(name) == "1m"
+        plan = corpus_pipeline.identify_language(spark, df, str(tmp_path))._jdf.queryExecution().analyzed().toString()
+        assert re.search(r"MapInArrow predict\(row#\d+\)", plan)
+    finally:
+        spark.conf.set(name, before)
