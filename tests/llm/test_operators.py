@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -790,3 +791,21 @@ def test_mixing_meets_feasible_margins_where_cells_are_capped(spark):
         tokens = got.groupby(dim).tokens.sum()[g.value].to_numpy()
         whole = g.expected.to_numpy() * 0.8 * tokens.sum() >= 0.98 * tokens  # below its target only where it is taken whole
         assert (whole | (g.expected >= g.target - 0.01)).all()
+
+
+def test_strings_together():
+    """Strings of many texts are taken by few array operations; no phrase reaches into the next text."""
+    rng = np.random.default_rng(17)
+    p = [rng.integers(0, 4, int(rng.integers(0, 9))).astype(np.int64) for _ in range(2 * suffix_dedup.TOGETHER + 3)]
+    pos = [np.cumsum(rng.integers(1, 50, len(x))).astype(np.int64) for x in p]
+    n = [int(x[-1]) + 7 if len(x) else 5 for x in pos]
+    whole = pa.RecordBatch.from_arrays([pa.array(range(len(p))), pa.array(n), *[pa.array([x.tobytes() for x in c], pa.binary()) for c in (pos, p)]], names=["tag", "n", "pos", "p"])
+    batch, seen, parts = whole.slice(1), 0, 0
+    for part, h, size, text, place, start in suffix_dedup._strings(batch):
+        parts += 1
+        for k, tag in enumerate(part.column("tag").to_pylist()):
+            mine = np.flatnonzero(text == k)
+            assert h[mine].tolist() == [*p[tag], 0, 0] and place[mine].tolist() == [*range(len(p[tag])), -1, -1] and start[k] == mine[0]
+            assert size[mine].tolist() == [*np.where(p[tag] != 0, np.r_[pos[tag][1:], n[tag]][: len(p[tag])] - pos[tag], 0), 0, 0]
+            seen += 1
+    assert parts == 3 and seen == batch.num_rows
