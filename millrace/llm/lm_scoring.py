@@ -7,9 +7,12 @@ background's counts are scaled to the target's number of tokens, so that the sam
 both. A document's score is its loss per token under the background less its loss under the target: the
 higher, the closer to the target.
 
-The n-gram tables come from every row and grow with the corpus; they are shuffled, and so are the documents'
-own n-grams, summed for each document, to meet them. Only the HOT most frequent bigrams, which would be hot
-keys, are broadcast; that changes no result. Words are 64-bit hashes, pairs 64-bit hashes of two.
+Texts are tokenised once, into blocks of about HELD tokens that keep each token as a number of the block's own
+list of words. A block asks for the counts of its words, and when those are known, of its pairs: each distinct
+one once, dealt by hash to shares. A share adds up what the blocks bring and answers each in the order it asked,
+so that a pair travels as a hash of eight bytes and its counts come back without it. No table is held whole: the
+shares grow in number with the tokens, and a frequent pair is one key a block. Words are 64-bit hashes, pairs
+64-bit hashes of two. A text is never cut, so a block may exceed HELD by one text.
 
 Defined results: null and empty texts have 0 tokens, null losses and score 0; without target rows (or
 background rows) both models are the same and every score is 0; repeated rows count as often as they occur.
@@ -20,23 +23,26 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import combined, release, written
+from .common import bounded_batches, release, written
 
 BIGRAM_WEIGHT, ADD = 0.7, 0.1
-#: Words that occur less often are never in the vocabulary; bins of the count histogram for each power of two.
-MIN_COUNT, BINS = 2, 64
-#: Most bigrams that are broadcast.
-HOT = 1 << 18
-#: Tokens (and cached word hashes) that a task holds before it hands its partial counts on.
+#: Words that occur less often are never in the vocabulary.
+MIN_COUNT = 2
+#: Keys that a share is meant to hold at most, hot ones (in many blocks) and others; LEAST where HOT is less.
+HOT, LEAST = 1 << 21, 1 << 12
+#: Tokens of a block (and cached word hashes of a task).
 HELD = 2_000_000
 CACHED = 500_000
 _WORD = re.compile(r"\w+|[^\w\s]")
+_ASKED = "share bigint, block bigint, keys binary, counts binary"
+_FOUND = "block bigint, share bigint, found binary, kinds bigint, rare0 bigint, rare1 bigint"
 
 
 def tokenise(text: str | None) -> list[str]:
@@ -49,148 +55,210 @@ class Hashes(dict):
     def __missing__(self, word: str) -> int:
         if len(self) >= CACHED:
             self.clear()
-        h = self[word] = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True) or 1
+        h = self[word] = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "replace"), digest_size=8).digest(), "little") or 1
         return h
 
-    def of(self, text: str | None) -> np.ndarray:
-        words = tokenise(text)
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
+class Codes(dict):
+    """Word to its number in a block, by first occurrence; ``seen`` holds the words' hashes in that order."""
 
-def before(h: np.ndarray) -> np.ndarray:
-    """The word before each word; 0 at the start."""
-    return np.r_[np.zeros(min(1, len(h)), np.int64), h[:-1]]
+    def __init__(self, hashes: Hashes):
+        self.hashes, self.seen = hashes, {}
 
+    def __missing__(self, word: str) -> int:
+        code = self[word] = self.seen.setdefault(self.hashes[word], len(self.seen))
+        return code
 
-def pair_keys(h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
-    u = h1.view(np.uint64)
-    return ((u << np.uint64(1) | u >> np.uint64(63)) ^ h2.view(np.uint64)).view(np.int64)
+
+def pack(x: np.ndarray) -> bytes:
+    """Whole numbers byte by byte, all lowest bytes first, compressed: high bytes are mostly equal."""
+    return len(x).to_bytes(8, "little") + pa.compress(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes(), "zstd", asbytes=True)
+
+
+def unpack(blob: bytes, dtype: type) -> np.ndarray:
+    n, size = int.from_bytes(blob[:8], "little"), np.dtype(dtype).itemsize
+    if not n:
+        return np.zeros(0, dtype)
+    return np.frombuffer(pa.decompress(blob[8:], n * size, "zstd", asbytes=True), np.uint8).reshape(size, n).T.copy().view(dtype).ravel()
 
 
-def _pair_key(h1: str, h2: str) -> Column:
-    return F.shiftleft(h1, 1).bitwiseOR(F.shiftrightunsigned(h1, 63)).bitwiseXOR(F.col(h2))
+def pair_keys(h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+    return (h1 << np.uint64(1) | h1 >> np.uint64(63)) ^ h2
 
 
-def bigrams(docs: DataFrame) -> DataFrame:
-    """(h1, h2, n0, n1): counts of every pair in background and target; h1 is 0 at the start of a text.
+def blocks(docs: DataFrame) -> DataFrame:
+    """(block, doc_id, size, target, codes, words, kinds, n0, n1): texts as numbers of the block's words, and its tokens of either side.
 
-    ``docs`` has text and target. Counts are summed per task before the shuffle.
+    ``docs`` has doc_id, text and target.
     """
+    kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush() -> pa.RecordBatch:
-            h1, h2, side = (np.concatenate([x[k] for x in held]) for k in range(3))
-            held.clear()
-            order = np.lexsort((h2, h1))
-            h1, h2, side = h1[order], h2[order], side[order]
-            at = np.flatnonzero(np.r_[True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])])
-            near, every = np.add.reduceat(side, at), np.diff(np.r_[at, len(h1)])
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in (h1[at], h2[at], every - near, near)], names=["h1", "h2", "n0", "n1"])
-
-        held, size, hashes = [], 0, Hashes()
+            size, near = np.array([len(x) for x in held], np.int64), np.array(sides, bool)
+            words = np.fromiter(codes.seen, np.uint64, len(codes.seen))
+            row = [
+                [ids], pa.array([size], pa.list_(pa.int64())), pa.array([near], pa.list_(pa.bool_())), [pack(np.concatenate(held))], [pack(words)], [len(words)],
+                [int(size[~near].sum())], [int(size[near].sum())],
+            ]
+            row[0] = pa.ListArray.from_arrays(pa.array([0, len(held)], pa.int32()), pa.concat_arrays(ids))
+            return pa.RecordBatch.from_arrays([pa.array(x) if isinstance(x, list) else x for x in row], names=["doc_id", "size", "target", "codes", "words", "kinds", "n0", "n1"])
+
+        hashes = Hashes()
+        held, sides, ids, tokens, codes = [], [], [], 0, Codes(hashes)
         for batch in batches:
-            for text, target in zip(batch.column("text"), batch.column("target").to_pylist(), strict=True):
-                h = hashes.of(text.as_py())
-                held.append((before(h), h, np.full(len(h), int(target), np.int64)))
-                size += len(h)
-                if size > HELD:
+            for k, (text, near) in enumerate(zip(batch.column("text"), batch.column("target").to_pylist(), strict=True)):
+                words = tokenise(text.as_py())
+                held.append(np.fromiter(map(codes.__getitem__, words), np.int32, len(words)))
+                sides.append(near)
+                ids.append(batch.column("doc_id").slice(k, 1))
+                tokens += len(words) + 1
+                if tokens > HELD:
                     yield flush()
-                    size = 0
-        if size:
+                    held, sides, ids, tokens, codes = [], [], [], 0, Codes(hashes)
+        if held:
             yield flush()
 
-    rows = docs.select("text", "target").mapInArrow(run, "h1 bigint, h2 bigint, n0 bigint, n1 bigint")
-    return rows.groupBy("h1", "h2").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    schema = f"doc_id array<{kind}>, size array<bigint>, target array<boolean>, codes binary, words binary, kinds bigint, n0 bigint, n1 bigint"
+    rows = docs.select("doc_id", "text", "target").mapInArrow(run, schema)
+    return rows.withColumn("block", F.monotonically_increasing_id())
 
 
-def losses(pairs: DataFrame) -> DataFrame:
-    """(key, n, l0, l1): nats of the second word of each pair under background and target, and the pair's count.
+class Block:
+    """A row of :func:`blocks`, opened: each token's word, the word before it (-1: none) and its side."""
 
-    u: count of the word; c: of the word before it, as such; r: of that word before any rare word.
-    """
-    words = written(pairs.groupBy("h2").agg(F.sum("n0").alias("u0"), F.sum("n1").alias("u1")), "words")
-    known = F.col("u0") + F.col("u1") >= MIN_COUNT
-    zero = lambda c: F.coalesce(c, F.lit(0)).cast("double")
-    size0, size1, rare0, rare1, kinds = words.agg(zero(F.sum("u0")), zero(F.sum("u1")), zero(F.sum(F.when(~known, F.col("u0")))), zero(F.sum(F.when(~known, F.col("u1")))), F.count_if(known)).first()
-    vocab = words.where(known)
-    both = not size0 or not size1  # one side is missing: both are the sum
-    scaled = lambda a, b: (F.col(a) + F.col(b), F.col(a) + F.col(b)) if both else (F.col(a) * F.lit(size1 / size0), F.col(b).cast("double"))
-    rare = (rare0 + rare1, rare0 + rare1) if both else (rare0 * size1 / size0, rare1)
-    total = (size0 + size1 if both else size1) + ADD * (kinds + 1)
-    joined = written(pairs.join(vocab, "h2", "left"), "joined")
-    sums = {f"c{k}": F.sum(f"n{k}") for k in (0, 1)} | {f"r{k}": F.sum(F.when(F.col("u0").isNull(), F.col(f"n{k}")).otherwise(0)) for k in (0, 1)}
-    context = joined.where("h1 <> 0").groupBy("h1").agg(*[v.alias(k) for k, v in sums.items()])
-    context = context.join(vocab.select(F.col("h2").alias("h1")), "h1", "left_semi")
-    rows = joined.join(written(context, "contexts"), "h1", "left")
-    out = []
-    for k in (0, 1):
-        p = (F.coalesce(scaled("u0", "u1")[k], F.lit(rare[k])) + ADD) / total
-        n = F.when(F.col("u0").isNull(), scaled("r0", "r1")[k]).otherwise(scaled("n0", "n1")[k])
-        after = (1 - BIGRAM_WEIGHT) * p + BIGRAM_WEIGHT * (n + ADD * p) / (scaled("c0", "c1")[k] + ADD)
-        out.append((-F.log(F.coalesce(after, p))).alias(f"l{k}"))
-    table = written(rows.select(_pair_key("h1", "h2").alias("key"), (F.col("n0") + F.col("n1")).alias("n"), *out), "losses")
-    release(joined, words)
-    return table
-
-
-def hottest(table: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
-    """Keys and losses of at most HOT of the most frequent pairs, sorted by key, and the least bin of their counts.
-
-    The bin follows from a histogram of counts, so only those pairs reach the driver.
-    """
-    at = F.floor(F.log2("n") * BINS).cast("long")
-    room, least = HOT, float("inf")
-    for r in sorted(table.groupBy(at.alias("bin")).agg(F.count(F.lit(1)).alias("k")).collect(), key=lambda r: -r["bin"]):  # at most 64 x BINS rows
-        if r["k"] > room:
-            break
-        room, least = room - r["k"], r["bin"]
-    top = table.where(at >= F.lit(least)).select("key", "l0", "l1").toPandas().sort_values("key")
-    return top["key"].to_numpy(np.int64), top[["l0", "l1"]].to_numpy(float), least
+    def __init__(self, row: dict):
+        self.block, self.words, self.codes = row["block"], unpack(row["words"], np.uint64), unpack(row["codes"], np.int32)
+        self.size = np.array(row["size"], np.int64)
+        self.near = np.repeat(np.array(row["target"], bool), self.size)
+        self.stop = np.cumsum(self.size)
+        self.full = self.size > 0
+        self.before = np.roll(self.codes, 1)
+        self.before[(self.stop - self.size)[self.full]] = -1
+        self.order = np.argsort(self.words)
+
+    def ask_words(self, shares: int) -> pa.Table:
+        """Times a word occurs on either side, and times it ends a text there."""
+        last = self.stop[self.full] - 1
+        at = [(self.codes, self.near), (self.codes[last], self.near[last])]
+        counts = np.array([np.bincount(c[near == k], minlength=len(self.words)) for c, near in at for k in (False, True)], np.int64)
+        return asked(self.block, self.words[self.order], counts[:, self.order], shares)
+
+    def hear_words(self, answers: list[bytes]) -> None:
+        """``uses`` and ``follows``: times each word occurs, and has a word after it, on either side; words too rare have hash 0."""
+        counts = np.zeros((4, len(self.words)), np.int64)
+        counts[:, self.order] = joined(answers, 4)
+        self.uses, self.follows = counts[:2], counts[:2] - counts[2:]
+        self.known = self.uses.sum(0) >= MIN_COUNT
+        h = np.where(self.known, self.words, np.uint64(0))
+        self.after = np.flatnonzero((self.before >= 0) & self.known[self.before]) if len(self.codes) else np.zeros(0, np.int64)
+        self.keys, self.at = np.unique(pair_keys(h[self.before[self.after]], h[self.codes[self.after]]), return_inverse=True)
+
+    def ask_pairs(self, shares: int) -> pa.Table:
+        near = self.near[self.after]
+        counts = np.array([np.bincount(self.at[near == k], minlength=len(self.keys)) for k in (False, True)], np.int64)
+        return asked(self.block, self.keys, counts, shares)
+
+
+def asked(block: int, keys: np.ndarray, counts: np.ndarray, shares: int) -> pa.Table:
+    """A block's sorted keys and their counts, a row for each share: shares are equal ranges of the hashes."""
+    bounds = np.array([(k << 64) // shares for k in range(1, shares)], np.uint64)
+    rows = [(k, block, pack(np.diff(keys[a:b], prepend=np.uint64(0))), pack(counts[:, a:b].ravel())) for k, (a, b) in enumerate(pairwise([0, *np.searchsorted(keys, bounds), len(keys)])) if a < b]
+    return pa.table([pa.array(list(x), t) for x, t in zip(zip(*rows, strict=True) if rows else [()] * 4, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["share", "block", "keys", "counts"])
+
+
+def joined(answers: list[bytes], kinds: int) -> np.ndarray:
+    """The shares' answers, in their order, as one array of ``kinds`` rows."""
+    return np.concatenate([np.zeros((kinds, 0), np.int64), *(unpack(x, np.int64).reshape(kinds, -1) for x in answers)], axis=1)
 
 
-def score(docs: DataFrame, table: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, n_tokens, loss_background, loss_target, score) of each whole text.
+def answered(rows: DataFrame) -> DataFrame:
+    """Adds up each share's counts over all blocks, and answers every block in the order of its keys.
 
-    Hot pairs are summed where the text is read. Of the others each document has one row a pair, which meets
-    the table by a merge join; one further row of each document, whose key meets nothing, brings the rest.
+    A share's first row also tells how many of its keys are common enough, and the others' occurrences on either side.
     """
-    keys, values, least = hottest(table)
-    shared = docs.sparkSession.sparkContext.broadcast((keys, values))  # bounded: HOT
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot, lost = shared.value
-        hashes = Hashes()
-        for batch in batches:
-            tags = batch.column("tag").to_numpy()
-            for k, text in enumerate(batch.column("text")):
-                h = hashes.of(text.as_py())
-                key, n = np.unique(pair_keys(before(h), h), return_counts=True)
-                at = np.searchsorted(hot, key)
-                met = (hot[np.minimum(at, len(hot) - 1)] == key) if len(hot) else np.zeros(len(key), bool)
-                a, b = n[met] @ lost[at[met]] if met.any() else (0.0, 0.0)
-                key, n = key[~met], n[~met]
-                whole = pa.StructArray.from_arrays([pa.concat_arrays([batch.column("doc_id").slice(k, 1), pa.nulls(len(key), batch.column("doc_id").type)]), *[pa.array(np.r_[x, np.zeros(len(key))].astype(t)) for x, t in ((len(h), np.int64), (a, float), (b, float))]], names=["doc_id", "tokens", "a", "b"], mask=pa.array(np.arange(len(key) + 1) > 0))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key) + 1, tags[k])), pa.array(np.r_[~tags[k], key]), pa.array(np.r_[0, n].astype(np.int32)), whole], names=["tag", "key", "n", "whole"])
-
-    kind = dict(docs.dtypes)[id_col]
-    rows = docs.select(F.col(id_col).alias("doc_id"), "text").withColumn("tag", F.monotonically_increasing_id())
-    rows = rows.mapInArrow(combined(run), f"tag bigint, key bigint, n int, whole struct<doc_id:{kind},tokens:bigint,a:double,b:double>")
-    cold = table.where(F.floor(F.log2("n") * BINS) < F.lit(least)).select("key", "l0", "l1")
-    met = rows.hint("merge").join(cold, "key", "left")
-    part = lambda c, x: F.sum(F.when(F.col("n") > 0, F.col("n") * F.col(c)).otherwise(F.col(f"whole.{x}"))).alias(x)
-    sums = met.groupBy("tag").agg(F.max("whole.doc_id").alias("doc_id"), F.sum("whole.tokens").alias("n_tokens"), part("l0", "a"), part("l1", "b"))
-    a, b = (F.when(F.col("n_tokens") > 0, F.col(c) / F.col("n_tokens")) for c in "ab")
-    return sums.select("doc_id", "n_tokens", a.alias("loss_background"), b.alias("loss_target"), F.coalesce(a - b, F.lit(0.0)).alias("score"))
+    def run(share: pa.Table) -> pa.Table:
+        keys = [np.cumsum(unpack(x, np.uint64), dtype=np.uint64) for x in share.column("keys").to_pylist()]
+        every, at = np.unique(np.concatenate(keys), return_inverse=True)
+        at = np.split(at, np.cumsum([len(x) for x in keys])[:-1])
+        sums = None
+        for k, blob in zip(at, share.column("counts").to_pylist(), strict=True):
+            counts = unpack(blob, np.int64).reshape(-1, len(k))
+            sums = np.zeros((len(counts), len(every)), np.int64) if sums is None else sums
+            sums[:, k] += counts  # a block's keys are distinct
+        rare = sums[:2].sum(0) < MIN_COUNT
+        facts = ((~rare).sum(), sums[0, rare].sum(), sums[1, rare].sum())
+        first = [[int(x), *[0] * (len(at) - 1)] for x in facts]
+        found = pa.array([pack(sums[:, k].ravel()) for k in at], pa.binary())
+        return pa.table([share.column("block"), share.column("share"), found, *[pa.array(x, pa.int64()) for x in first]], names=["block", "share", "found", "kinds", "rare0", "rare1"])
+
+    return rows.groupBy("share").applyInArrow(run, _FOUND)
+
+
+def _shares(n: int) -> int:
+    return 1 + n // max(HOT, LEAST)
+
+
+def _sorted_answers(found: pa.Table, pairs: bool) -> list[bytes]:
+    rows = [r for r in found.select(["share", "found", "pairs"]).to_pylist() if r["pairs"] == pairs]
+    return [r["found"] for r in sorted(rows, key=lambda r: r["share"])]
 
 
 def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame) -> DataFrame:
     """Scores every row of ``docs`` (doc_id, text); rows whose id is among ``target_ids`` train the target model, all others the background.
 
-    Texts are shuffled once, for the counts. The join is a merge join at every size: its ids have no bound.
+    Gives (doc_id, n_tokens, loss_background, loss_target, score). Texts are shuffled once, to meet the ids. That join
+    is a merge join at every size: its ids have no bound.
     """
+    bounded_batches(docs.sparkSession)
     ids = target_ids.select("doc_id").where("doc_id is not null").distinct().withColumn("_t", F.lit(True))
-    marked = docs.select("doc_id", "text").hint("merge").join(ids, "doc_id", "left").select("text", F.coalesce("_t", F.lit(False)).alias("target"))
-    pairs = written(bigrams(marked), "pairs")
-    table = losses(pairs)
-    release(pairs)
-    return score(docs, table)
+    marked = docs.select("doc_id", "text").hint("merge").join(ids, "doc_id", "left").select("doc_id", "text", F.coalesce("_t", F.lit(False)).alias("target"))
+    table = written(blocks(marked), "blocks", dictionary=False)
+    release()
+    size0, size1, listed = table.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("n0", "n1", "kinds")]).first()
+    word_shares, pair_shares = _shares(4 * listed), _shares(size0 + size1)
+
+    def ask_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(len(batch)):
+                yield from Block(batch.slice(k, 1).to_pylist()[0]).ask_words(word_shares).to_batches()
+
+    known = table.select("block", "size", "target", "codes", "words")
+    words = written(answered(known.mapInArrow(ask_words, _ASKED)), "words", dictionary=False)
+    kinds, *rare = words.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("kinds", "rare0", "rare1")]).first()
+
+    def opened(row: pa.Table, found: pa.Table) -> Block:
+        b = Block(row.to_pylist()[0])
+        b.hear_words(_sorted_answers(found, False))
+        return b
+
+    def ask_pairs(row: pa.Table, found: pa.Table) -> pa.Table:
+        return opened(row, found).ask_pairs(pair_shares)
+
+    by_word = words.select("block", "share", "found", F.lit(False).alias("pairs"))
+    pairs = written(answered(known.groupBy("block").cogroup(by_word.groupBy("block")).applyInArrow(ask_pairs, _ASKED)), "pairs", dictionary=False)
+    release()
+
+    both = not size0 or not size1  # one side is missing: both are the sum
+    scaled = lambda x: [x[0] + x[1]] * 2 if both else [x[0] * (size1 / size0), x[1]]
+    total = (size0 + size1 if both else size1) + ADD * (kinds + 1)
+
+    def score(row: pa.Table, found: pa.Table) -> pa.Table:
+        b = opened(row, found)
+        n = scaled(joined(_sorted_answers(found, True), 2))
+        out = []
+        for uses, others, follows, met in zip(scaled(b.uses), scaled(rare), scaled(b.follows), n, strict=True):
+            p = ((np.where(b.known, uses, others) + ADD) / total)[b.codes]
+            tail = p[b.after]
+            p[b.after] = (1 - BIGRAM_WEIGHT) * tail + BIGRAM_WEIGHT * (met[b.at] + ADD * tail) / (follows[b.before[b.after]] + ADD)
+            sums = np.full(len(b.size), np.nan)
+            if b.full.any():
+                sums[b.full] = np.add.reduceat(-np.log(p), (b.stop - b.size)[b.full]) / b.size[b.full]
+            out.append(pa.array(sums, mask=~b.full))
+        gap = pa.array(np.where(b.full, out[0].to_numpy(False) - out[1].to_numpy(False), 0.0))
+        return pa.table([row.column("doc_id").combine_chunks().flatten(), pa.array(b.size), *out, gap], names=["doc_id", "n_tokens", "loss_background", "loss_target", "score"])
+
+    found = by_word.union(pairs.select("block", "share", "found", F.lit(True)))
+    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, n_tokens bigint, loss_background double, loss_target double, score double"
+    return table.select("block", "doc_id", "size", "target", "codes", "words").groupBy("block").cogroup(found.groupBy("block")).applyInArrow(score, schema)

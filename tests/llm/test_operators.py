@@ -1,8 +1,11 @@
 """Corpus operators against brute force, and the odd rows that each must survive."""
 
 import collections
+import contextlib
 import hashlib
+import os
 import re
+import threading
 import zlib
 
 import numpy as np
@@ -266,6 +269,57 @@ def test_lm_scoring_counts_every_word_and_pair(spark, monkeypatch, hot):
     assert min(out[k].score for k in range(161, 240, 2)) > max(out[k].score for k in range(160, 240, 2))
 
 
+def most_on_disk(spark, action):
+    """The action's result, and the most bytes of shuffle files and scratch tables, seen many times a second, that it added."""
+
+    def files():
+        dirs = [str(f) for f in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()] + [spark.conf.get("spark.checkpoint.dir")]
+        found = {}
+        for f in (os.path.join(d, f) for top in dirs for d, _, names in os.walk(top) for f in names):
+            with contextlib.suppress(OSError):  # deleted meanwhile
+                found[f] = os.path.getsize(f)
+        return found
+
+    before, most, ended = files(), [0], threading.Event()
+
+    def watch():
+        while not ended.wait(0.02):
+            most[0] = max(most[0], sum(n for f, n in files().items() if f not in before))
+
+    thread = threading.Thread(target=watch)
+    thread.start()
+    try:
+        return action(), most[0]
+    finally:
+        ended.set()
+        thread.join()
+
+
+def test_lm_scoring_writes_little(spark):
+    """Pairs that hardly recur: what lies on disk at any time is a small multiple of the texts."""
+    rng = np.random.default_rng(61)
+    texts = [prose(rng, vocabulary(62, 3000), 4000) for _ in range(60)]
+    out = lm_scoring.cross_entropy_difference
+    scored, most = most_on_disk(spark, lambda: out(docs_of(spark, texts), spark.range(0, 60, 2).toDF("doc_id")).where("score is not null").collect())
+    assert len(scored) == 60 and 0 < most < 4 * sum(map(len, texts))
+
+
+def test_lm_scoring_blocks_and_shares(spark, monkeypatch):
+    """Blocks of a few texts and shares of a few keys give what plain dictionaries give; so do blocks without a word, or with rare words only."""
+    monkeypatch.setattr(lm_scoring, "HELD", 300)
+    monkeypatch.setattr(lm_scoring, "HOT", 0)
+    monkeypatch.setattr(lm_scoring, "LEAST", 1000)
+    rng = np.random.default_rng(63)
+    words = vocabulary(64, 400)
+    texts = [prose(rng, words, int(rng.integers(1, 120))) for _ in range(120)] + [f"sole{k} lone{k}" for k in range(200)] + [words[0], "new", None, ""] + [None] * 700
+    near = set(range(0, len(texts), 3))
+    out = {r.doc_id: r for r in lm_scoring.cross_entropy_difference(docs_of(spark, texts), spark.createDataFrame([(k,) for k in near], "doc_id long")).collect()}
+    assert len(out) == len(texts)
+    for k, (n, a, b) in enumerate(brute_losses([t or "x" for t in texts[:322]], near)):
+        assert out[k].n_tokens == n and (out[k].loss_background, out[k].loss_target, out[k].score) == pytest.approx((a, b, a - b))
+    assert all(out[k][1:] == (0, None, None, 0.0) for k in range(322, len(texts)))
+
+
 def test_quality(spark):
     rng = np.random.default_rng(7)
     words = vocabulary(8, 300)
